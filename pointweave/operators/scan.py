@@ -242,10 +242,16 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles per key as rows ``(*keys, prob, value)``.
 
-    Works on the histogram of distinct values with a chunked running count, so no group is gathered.
+    Small groups (checked) use the built-in aggregate; larger ones the histogram of distinct values with a
+    chunked running count, so no group is gathered.
     ``mode`` is ``linear`` (interpolated) or ``lower`` (order statistic at floor(p(n-1))).
     """
     keys = names(keys)
+    if mode == "linear" and groups_fit(df, keys):
+        wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
+        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("q"))
+        return df.groupBy(*keys).agg(wanted).select(*keys, F.explode(pairs).alias("z")).select(
+            *keys, F.col("z.prob").alias("prob"), F.col("z.q").alias(value)).where(F.col(value).isNotNull())
     cum = running_rank(df, keys, value, chunk=chunk)
     probs_col = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     r = cum.select(*keys, F.col(value).alias("_v"), "n", "below", "total", probs_col)
