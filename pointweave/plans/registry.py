@@ -25,6 +25,7 @@ class Query:
     columns: list[tuple[str, str]]
     fn: QueryFn
     sql: str | None
+    module: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -65,7 +66,7 @@ def query(name: str, item: str, columns: str, sql: str | None = None) -> Callabl
             return shape(fn(spark, folder), cols)
 
         run.__name__ = name
-        REGISTRY[name] = Query(name, item, cols, run, shape_sql(sql, cols) if sql else None)
+        REGISTRY[name] = Query(name, item, cols, run, shape_sql(sql, cols) if sql else None, fn.__module__.rsplit(".", 1)[-1])
         return fn
 
     return register
