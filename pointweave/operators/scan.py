@@ -21,6 +21,7 @@ from ..session import cut_lineage
 CHUNK = "_chunk"
 MAX_GROUP_ROWS = "spark.pointweave.maxGroupRows"
 DEFAULT_GROUP_ROWS = "5000000"
+RANK_COLUMNS = ("n", "below", "total")  # output columns of running_rank
 
 
 def time_chunk(t: str | Column, width: float) -> Column:
@@ -230,6 +231,8 @@ def average_rank(
 ) -> DataFrame:
     """Add the average (mid) rank of ``value`` inside each key."""
     keys = names(keys)
+    if value in RANK_COLUMNS:
+        return average_rank(df.withColumnRenamed(value, "_val"), keys, "_val", out, chunk).withColumnRenamed("_val", value)
     ranks = running_rank(df, keys, value, chunk=chunk).select(
         *keys, value, (F.col("below") + (F.col("n") + 1) / 2.0).alias(out)
     )
@@ -247,6 +250,8 @@ def exact_percentiles(
     ``mode`` is ``linear`` (interpolated) or ``lower`` (order statistic at floor(p(n-1))).
     """
     keys = names(keys)
+    if value in RANK_COLUMNS:
+        return exact_percentiles(df.withColumnRenamed(value, "_val"), keys, "_val", probs, mode, chunk).withColumnRenamed("_val", value)
     if mode == "linear" and groups_fit(df, keys):
         wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("q"))
