@@ -27,9 +27,14 @@ MAX_MODEL = 4_000_000  # cells of a model array that may travel to every task
 HEX_ROW = 0.8660254  # fixed value: row spacing of the hexagonal grid
 
 
+def _check_cells(*shape: int) -> None:
+    cells = int(np.prod(shape))
+    if cells > MAX_MODEL:
+        raise ValueError(f"model of {cells} cells exceeds the bound of {MAX_MODEL}")
+
+
 def _bounded(model: np.ndarray) -> np.ndarray:
-    if model.size > MAX_MODEL:
-        raise ValueError(f"model of {model.size} cells exceeds the bound of {MAX_MODEL}")
+    _check_cells(*model.shape)
     return model
 
 
@@ -68,7 +73,7 @@ def standardize(
 def covariance(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, sample covariance and row count; each task folds its rows to one d x d block first."""
     d = dimension(df, vec)
-    _bounded(np.empty((d, d)))
+    _check_cells(d, d)
     shift = np.array(df.agg(*[F.avg(F.col(vec)[i]) for i in range(d)]).first(), dtype=float)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,8 +240,7 @@ def group_means(df: DataFrame, vec: str, group: str, d: int | None = None) -> Da
 
 def collect_model(means: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
     """Keys and matrix of a model-sized table, ordered by key; its size is checked before it is fetched."""
-    n = means.count()
-    _bounded(np.empty((n, 1)))
+    _check_cells(means.count(), dimension(means, vec))
     rows = means.select(key, vec).orderBy(key).collect()
     return [r[0] for r in rows], _bounded(np.array([r[1] for r in rows], dtype=float))
 
@@ -303,7 +307,8 @@ def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
     cent = group_means(df, vec, label).withColumnRenamed(vec, "_c")
     scatter = df.join(cent.select(label, "_c"), label).groupBy(label).agg(F.avg(F.sqrt(sq_distance(vec, "_c"))).alias("_s")).join(cent.select(label, "_c"), label)
     other = scatter.select(F.col(label).alias("_l2"), F.col("_s").alias("_s2"), F.col("_c").alias("_c2"))
-    pair = scatter.join(other, F.col(label) != F.col("_l2")).withColumn("_r", ratio(F.col("_s") + F.col("_s2"), F.sqrt(sq_distance("_c", "_c2"))))
+    rivals = scatter.select(label).agg(F.collect_list(label)).scalar()  # one entry per cluster
+    pair = scatter.withColumn("_l2", F.explode(rivals)).where(F.col(label) != F.col("_l2")).join(other, "_l2").withColumn("_r", ratio(F.col("_s") + F.col("_s2"), F.sqrt(sq_distance("_c", "_c2"))))
     return pair.groupBy(label).agg(F.max("_r").alias("_r")).agg(F.avg("_r").alias("db"))
 
 
@@ -335,8 +340,7 @@ def cluster_quality(model: DataFrame, key: str, vec: str, label: str) -> DataFra
 
     Distances to all members come from the broadcast matrix inside the row's task; no pair rows are made.
     """
-    n = model.count()
-    _bounded(np.empty((n, 1)))
+    _check_cells(model.count(), dimension(model, vec))
     rows = model.select(key, vec, label).orderBy(key).collect()
     x = _bounded(np.array([r[1] for r in rows], dtype=float))
     classes = sorted({r[2] for r in rows})
@@ -366,18 +370,26 @@ def cluster_quality(model: DataFrame, key: str, vec: str, label: str) -> DataFra
 def similarity_matrix(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     """Euclidean distance, 1 - d / max d, cosine and correlation for each pair of group vectors.
 
-    ``vectors`` is model-sized (one row per category or group), and pairs of it are the result itself.
+    ``vectors`` has one row per category or group and its size is checked; every row meets the broadcast
+    matrix inside its task and gives the pairs with later groups.
     """
-    a = vectors.select(F.col(group).alias("src"), F.col(vec).alias("_a"))
-    b = vectors.select(F.col(group).alias("dst"), F.col(vec).alias("_b"))
-    j = a.join(b, F.col("src") < F.col("dst"))
-    n = F.size("_a").cast("double")
-    tot = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
-    cov = dot("_a", "_b") - tot("_a") * tot("_b") / n
-    va, vb = dot("_a", "_a") - tot("_a") * tot("_a") / n, dot("_b", "_b") - tot("_b") * tot("_b") / n
-    s = j.select(
-        "src", "dst", F.sqrt(sq_distance("_a", "_b")).alias("dist"),
-        ratio(dot("_a", "_b"), F.sqrt(dot("_a", "_a") * dot("_b", "_b"))).alias("cosine"), ratio(cov, F.sqrt(va * vb)).alias("corr"))
+    keys, x = collect_model(vectors, group, vec)
+    key_type = vectors.schema[group].dataType.simpleString()
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    mid = x - x.mean(axis=1, keepdims=True)
+    mid_norm = np.maximum(np.linalg.norm(mid, axis=1), 1e-300)
+
+    @F.pandas_udf(f"array<struct<dst:{key_type},dist:double,cosine:double,corr:double>>")
+    def later(src: pd.Series) -> pd.Series:
+        out = []
+        for k in src:
+            i = keys.index(k)
+            d = np.sqrt(((x[i + 1:] - x[i]) ** 2).sum(axis=1))
+            c, r = x[i + 1:] @ x[i] / (norm[i] * norm[i + 1:]), mid[i + 1:] @ mid[i] / (mid_norm[i] * mid_norm[i + 1:])
+            out.append([{"dst": keys[i + 1 + j], "dist": float(d[j]), "cosine": float(c[j]), "corr": float(r[j])} for j in range(len(d))])
+        return pd.Series(out)
+
+    s = vectors.select(F.col(group).alias("src"), F.explode(later(F.col(group))).alias("p")).select("src", "p.*")
     top = s.agg(F.max("dist")).scalar()
     return s.withColumn("sim", 1 - ratio(F.col("dist"), top))
 

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.scalars import as_col, finite, names
+from ..functions.scalars import as_col, finite
+from .scan import scan
 
 # Areas whose name ends in a digit that is not a layer.
 DIGIT_AREAS = ("CA1", "CA2", "CA3")
@@ -167,14 +167,14 @@ def metric_filter(df: DataFrame, metrics: Sequence[str], rate: str, min_rate: fl
 def dense_ids(df: DataFrame, cols: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
     """Dense id (from 0) of the distinct rows of ``cols`` inside ``by``.
 
-    Only distinct combinations are ranked; the ids are joined back.
+    Only distinct combinations are numbered (chunked by the first column when there are many); the ids are
+    joined back NULL-safely.
     """
     by, cols = list(by), list(cols)
     combos = df.select(*by, *cols).distinct()
-    w = Window.partitionBy(*by).orderBy(*cols) if by else Window.orderBy(*cols)
-    ids = combos.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    ids = scan(combos, by, cols, F.struct(cols[0]), **{out: "row"}).withColumn(out, F.col(out) - 1)
     cond = F.lit(True)
     ids = ids.select(*[F.col(c).alias(f"_k_{c}") for c in by + cols], out)
     for c in by + cols:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return df.join(ids, cond, "left").drop(*[f"_k_{c}" for c in names(by + cols)])
+    return df.join(ids, cond, "left").drop(*[f"_k_{c}" for c in by + cols])

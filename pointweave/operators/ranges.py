@@ -48,12 +48,13 @@ def window_pairs(
 
 def overlap_flag(
     windows: DataFrame, others: DataFrame, keys: Sequence[str] | str, out: str, chunk_s: float,
-    pad: float = 0.0,
+    pad: float = 0.0, fits: bool | None = None,
 ) -> DataFrame:
     """Add ``out`` = does the window, widened by ``pad`` on both sides, overlap any other window.
 
     No pairs are built: a window overlaps something iff the largest end among the windows that begin
     no later than its own end reaches its start. One running maximum over both tables answers that.
+    ``fits`` states a known ``groups_fit`` answer for the keys.
     """
     keys = names(keys)
     cols = windows.columns
@@ -63,7 +64,7 @@ def overlap_flag(
     o = others.select(
         *keys, F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), F.col("t0").alias("_pos"),
         F.lit(0).alias("_side"), F.col("t1").alias("_end"), F.xxhash64("t0", "t1").alias("_n"))
-    both = scan(q.unionByName(o), keys, ["_pos", "_side", "_n"], time_chunk("_pos", chunk_s), _reach=("max", "_end"))
+    both = scan(q.unionByName(o), keys, ["_pos", "_side", "_n"], time_chunk("_pos", chunk_s), fits, _reach=("max", "_end"))
     hit = F.coalesce(F.col("_reach") >= F.col("_row.t0") - F.lit(pad), F.lit(False))
     return both.where("_side = 1").select("_row.*", hit.alias(out))
 

@@ -107,8 +107,10 @@ class _Frames:
         self.w = Window.partitionBy(*keys).orderBy(*order)
         self.upto = self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.before = self.w.rowsBetween(Window.unboundedPreceding, -1)
-        self.onward = self.w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        self.after = self.w.rowsBetween(1, Window.unboundedFollowing)
+        # rows from here on, as a growing frame of the reversed order (a shrinking frame costs rows squared)
+        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+        self.onward = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self.after = back.rowsBetween(Window.unboundedPreceding, -1)
         self.all = self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -134,9 +136,9 @@ def _local(kind: str, c: Column, f: _Frames, whole: bool = False) -> Column:
         case "prior":
             return F.last(c, ignorenulls=True).over(f.before)
         case "next":
-            return F.first(c, ignorenulls=True).over(f.onward)
+            return F.last(c, ignorenulls=True).over(f.onward)
         case "follow":
-            return F.first(c, ignorenulls=True).over(f.after)
+            return F.last(c, ignorenulls=True).over(f.after)
         case "first" if whole:
             return F.first(c).over(f.all)
         case "total" if whole:
@@ -184,7 +186,7 @@ def _carry(kind: str, edge: str, f: _Frames) -> Column:
         case "last" | "prior":
             return F.last(edge, ignorenulls=True).over(f.before)
         case "next" | "follow":
-            return F.first(edge, ignorenulls=True).over(f.after)
+            return F.last(edge, ignorenulls=True).over(f.after)
         case "total":
             return F.sum(edge).over(f.all)
         case "first":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_key, names, ratio
 from ..session import cut_lineage
 from .filters import dense_ids
-from .scan import average_rank, groups_fit, hash_chunk, magnitude_chunk, percentile_columns, running_rank, scan
+from .scan import average_rank, groups_fit, hash_chunk, magnitude_chunk, percentile_columns, running_rank, scan, settle
 
 
 def pearson(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
@@ -216,7 +216,7 @@ def fdr(df: DataFrame, keys: Sequence[str] | str, p: str, tie: str, method: str
     fits = groups_fit(known, keys)
     r = scan(known, keys, ["_o", tie], magnitude_chunk("_o"), fits, _row="row", _n=("total", F.lit(1)))
     r = r.withColumn("_i", F.col("_n") - F.col("_row") + 1)  # rank in ascending order
-    r = r.withColumn("_q", F.col(p) * F.col("_n") / F.col("_i"))
+    r = settle(r.withColumn("_q", F.col(p) * F.col("_n") / F.col("_i")), fits)
     r = scan(r, keys, ["_o", tie], magnitude_chunk("_o"), fits, _m=("min", "_q"), _h=("total", 1 / F.col("_i").cast("double")))
     adj = F.col("_m") * F.col("_h") if method == "by" else F.col("_m")
     done = r.select(*df.columns, F.least(F.greatest(adj, F.lit(0.0)), F.lit(1.0)).alias("p_adj"))

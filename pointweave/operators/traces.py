@@ -24,6 +24,14 @@ def index_chunk(i: str = "i") -> Column:
     return F.floor(F.col(i) / F.lit(FRAME))
 
 
+def index_grid(spans: DataFrame, keys: list[str], n: Column, out: str) -> DataFrame:
+    """``n`` consecutive indices per row of ``spans``, made frame by frame so that a long span uses many tasks."""
+    frames = spans.where(n > 0).withColumn("_fr", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / FRAME))))
+    spread = frames.withColumn("_n", n).select(*keys, "_fr", "_n").repartition(*keys, "_fr")
+    first = F.col("_fr") * FRAME
+    return spread.select(*keys, F.explode(F.sequence(first, F.least(first + FRAME, F.col("_n")) - 1)).alias(out))
+
+
 def neighbourhood(
     tr: DataFrame, keys: Sequence[str] | str, halo: int, build: Callable[[WindowSpec], dict[str, Column]], i: str = "i"
 ) -> DataFrame:
@@ -287,7 +295,7 @@ def rate_histogram(ev: DataFrame, spans: DataFrame, keys: Sequence[str] | str, w
     """``(keys, bin, rate)``: events per bin / width / units over each span, empty bins included."""
     keys = names(keys)
     n_bins = F.floor((F.col("hi") - F.col("lo")) / F.lit(width))
-    grid = spans.where(n_bins > 0).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), n_bins - 1)).alias("bin"))
+    grid = index_grid(spans, keys, n_bins, "bin")
     j = ev.join(spans, keys)
     k = F.floor((F.col("t") - F.col("lo")) / F.lit(width))
     counts = j.where((F.col("t") >= F.col("lo")) & (k < n_bins)).groupBy(*keys, k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

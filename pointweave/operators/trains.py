@@ -28,20 +28,28 @@ def raster_events(ev: DataFrame, trg: DataFrame, start: float, stop: float, keys
     return hits.withColumn("rel_t", F.col("t") - F.col("t_trg")).drop("t0", "t1")
 
 
-def intervals(evw: DataFrame, keys: Sequence[str] | str, order: Sequence[str] = ("t",), chunk_s: float = DAY) -> DataFrame:
+def intervals(
+    evw: DataFrame, keys: Sequence[str] | str, order: Sequence[str] = ("t",), chunk_s: float = DAY, fits: bool | None = None,
+    keep_first: bool = False,
+) -> DataFrame:
     """Intervals between consecutive events of a group, each with the interval that follows it.
 
     Gives one row per interval: ``isi`` ends at the row's event, ``nxt`` starts there (NULL for the last).
+    ``keep_first`` also keeps the first event of a group with both NULL, so that one aggregation over the
+    result can count events as well. ``fits`` states a known ``groups_fit`` answer; a window never holds
+    more events than its entity, so a check of the entities will do.
     """
-    out = scan(evw, keys, list(order), time_chunk("t", chunk_s), _pt=("lag", "t"), _nt=("lead", "t"))
-    return out.withColumns({"isi": F.col("t") - F.col("_pt"), "nxt": F.col("_nt") - F.col("t")}).where(
-        "isi IS NOT NULL").drop("_pt", "_nt")
+    out = scan(evw, keys, list(order), time_chunk("t", chunk_s), fits, _pt=("lag", "t"), _nt=("lead", "t"))
+    isi = F.col("t") - F.col("_pt")
+    out = out.withColumns({"isi": isi, "nxt": F.when(isi.isNotNull(), F.col("_nt") - F.col("t"))}).drop("_pt", "_nt")
+    return out if keep_first else out.where("isi IS NOT NULL")
 
 
 def interval_metrics(isi: DataFrame, keys: Sequence[str] | str, wanted: Sequence[str], min_n: int = 3) -> DataFrame:
     """Algebraic metrics per group in one aggregation (map-side combined), gated by input size."""
     return isi.groupBy(*names(keys)).agg(
-        *[gated(m, min_n).alias(m) for m in wanted], F.count("isi").alias("n_isi"), F.count("nxt").alias("n_pairs"))
+        *[gated(m, min_n).alias(m) for m in wanted], F.count("isi").alias("n_isi"), F.count("nxt").alias("n_pairs"),
+        F.count(F.lit(1)).alias("n_rows"))
 
 
 def interval_rho(isi: DataFrame, keys: Sequence[str] | str, min_n: int = 3) -> DataFrame:
@@ -83,9 +91,9 @@ def full_estimate(values: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return values.withColumns({m: F.when(complete, F.col(m)) for m in metrics})
 
 
-def mean_std(values: DataFrame, keys: Sequence[str] | str, metrics: Sequence[str], n_min: int) -> DataFrame:
+def mean_std(values: DataFrame, keys: Sequence[str] | str, metrics: Sequence[str], n_min: int, count_as: str | None = None) -> DataFrame:
     """Mean and population sd over windows, NULL below ``n_min`` finite values."""
-    aggs: list[Column] = []
+    aggs: list[Column] = [F.count(F.lit(1)).alias(count_as)] if count_as else []
     for m in metrics:
         x = finite(m)
         ok = F.count(x) >= n_min

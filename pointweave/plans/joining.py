@@ -113,8 +113,8 @@ def drop_isolated_small(spark, sf):
 
 
 @query("match_entities", "J10", "unit:s n_a:i n_b:i",
-       "SELECT * FROM (SELECT (user_id % 10) || '__' || user_id AS unit, count(*) AS n_a FROM events WHERE event_type = 'click' GROUP BY 1) "
-       "JOIN (SELECT (user_id % 10) || '__' || user_id AS unit, count(*) AS n_b FROM events WHERE event_type = 'signup' GROUP BY 1) USING (unit)")
+       "SELECT * FROM (SELECT (user_id // 15) || '__' || user_id AS unit, count(*) AS n_a FROM events WHERE event_type = 'click' GROUP BY 1) "
+       "JOIN (SELECT (user_id // 15) || '__' || user_id AS unit, count(*) AS n_b FROM events WHERE event_type = 'signup' GROUP BY 1) USING (unit)")
 def match_entities(spark, sf):
     def run(kind, out):
         unit = F.concat_ws("__", F.col("recid").cast("string"), F.col("uid").cast("string")).alias("unit")

@@ -6,7 +6,7 @@ TILE = 432000  # five days, the metric window of the registered queries
 
 CTES: dict[str, tuple[str, str]] = {
     # name: (names it needs, body)
-    "ev": ("", "SELECT user_id % 10 AS recid, user_id AS uid, epoch_us(ts) / 1e6 AS t, event_id AS eid, "
+    "ev": ("", "SELECT user_id // 15 AS recid, user_id AS uid, epoch_us(ts) / 1e6 AS t, event_id AS eid, "
                "event_type AS kind, value FROM events"),
     "trg": ("ev", "SELECT recid, eid AS win_id, t, value AS amp FROM ev WHERE kind = 'purchase'"),
     "art": ("ev", "SELECT recid, eid AS win_id, t - 0 AS t0, t + 1800 AS t1 FROM ev WHERE kind = 'error'"),

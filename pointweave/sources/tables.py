@@ -15,8 +15,15 @@ from ..operators.scan import scan, time_chunk
 DAY = 86400.0
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """Stored table; its schema is inferred once per path, since plans read the same table several times."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def load_event_trains(df: DataFrame, keys: Sequence[str] | str, t: str = "t") -> DataFrame:
@@ -124,12 +131,15 @@ def to_long_section(df: DataFrame, key: str) -> DataFrame:
 # Logical tables of the event model, derived from the stored tables.
 
 def event_rows(spark: SparkSession, folder: str, kinds: Sequence[str] | None = None) -> DataFrame:
-    """``(recid, uid, t, eid, kind, value)``: the stored events as per-entity trains in recordings."""
+    """``(recid, uid, t, eid, kind, value)``: the stored events as per-entity trains.
+
+    Fifteen neighbouring entities share a recording, so recordings grow in number, not in size.
+    """
     e = read_table(spark, folder, "events")
     if kinds:
         e = e.where(F.col("event_type").isin(list(kinds)))
     return e.select(
-        (F.col("user_id") % 10).alias("recid"), F.col("user_id").alias("uid"), seconds("ts").alias("t"),
+        F.floor(F.col("user_id") / 15).alias("recid"), F.col("user_id").alias("uid"), seconds("ts").alias("t"),
         F.col("event_id").alias("eid"), F.col("event_type").alias("kind"), "value")
 
 
