@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import ratio
+from .scalars import correlation, ratio
 
 # Fixed value: refractoriness constant of LvR, in seconds.
 REFRACTORY_S = 0.005
@@ -29,7 +29,7 @@ def burstiness(x: str = "isi") -> Column:
 
 def memory() -> Column:
     """Pearson correlation of consecutive intervals."""
-    return F.corr("isi", "nxt")
+    return correlation("isi", "nxt")
 
 
 def local_variation() -> Column:

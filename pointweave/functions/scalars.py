@@ -58,5 +58,18 @@ def sq_distance(a: ColumnLike, b: ColumnLike) -> Column:
     return F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
+def correlation(x: ColumnLike, y: ColumnLike) -> Column:
+    """Pearson correlation aggregate over complete pairs; NULL, not an error, when one side is constant."""
+    a, b = as_col(x), as_col(y)
+    px, py = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(px) * F.stddev_pop(py))
+
+
+def regression_slope(y: ColumnLike, x: ColumnLike) -> Column:
+    """Least-squares slope aggregate over complete pairs; NULL for a constant x."""
+    a, b = as_col(x), as_col(y)
+    return ratio(F.covar_pop(a, b), F.var_pop(F.when(b.isNotNull(), a)))
+
+
 def names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import dot, names, ratio, sq_distance
+from ..functions.scalars import correlation, dot, names, ratio, sq_distance
 from ..session import cut_lineage
 from .aggregate import with_share
 from .scan import magnitude_chunk, percentile_columns, scan
@@ -535,7 +535,7 @@ def pca_score_corr(long: DataFrame, group: str, cat: str, value: str, scores: Da
     j = p.join(scores.select(group, F.col(score).alias("_score")), group)
     outs = [F.struct(F.lit(f"pc{k + 1}").alias("pc"), F.get("scores", F.lit(k)).alias("s")) for k in range(n_comps)]
     rows = j.select(group, "vec", "_score", F.explode(F.array(*outs)).alias("o")).select("vec", "_score", "o.pc", "o.s")
-    with_score = rows.groupBy("pc").agg(F.corr("s", "_score").alias("r")).withColumn("target", F.lit("score"))
-    cats = rows.groupBy("pc").agg(*[F.corr("s", F.get("vec", F.lit(i))).alias(f"c{i}") for i in range(len(categories))])
+    with_score = rows.groupBy("pc").agg(correlation("s", "_score").alias("r")).withColumn("target", F.lit("score"))
+    cats = rows.groupBy("pc").agg(*[correlation("s", F.get("vec", F.lit(i))).alias(f"c{i}") for i in range(len(categories))])
     long_c = cats.select("pc", F.explode(F.array(*[F.struct(F.lit(str(c)).alias("target"), F.col(f"c{i}").alias("r")) for i, c in enumerate(categories)])).alias("t")).select("pc", "t.r", "t.target")
     return with_score.unionByName(long_c)

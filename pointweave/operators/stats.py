@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from ..functions.scalars import hash_key, names, ratio
+from ..functions.scalars import correlation, hash_key, names, ratio, regression_slope
 from ..session import cut_lineage
 from .filters import dense_ids
 from .scan import average_rank, groups_fit, hash_chunk, magnitude_chunk, percentile_columns, running_rank, scan, settle
 
 
 def pearson(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
-    return df.groupBy(*names(keys)).agg(F.corr(x, y).alias("r"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
+    return df.groupBy(*names(keys)).agg(correlation(x, y).alias("r"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
     keys = names(keys)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = average_rank(average_rank(both, keys, x, "_rx"), keys, y, "_ry")
-    return r.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*keys).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def _discordant(cells: DataFrame, keys: list[str], bits: int, fits: bool) -> DataFrame:
@@ -117,8 +117,9 @@ def _slopes_below(pts: DataFrame, cands: Sequence[float], bits: int, fits: bool)
 
 
 def linregress(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
+    mean_x, mean_y = F.avg(F.when(F.col(y).isNotNull(), F.col(x))), F.avg(F.when(F.col(x).isNotNull(), F.col(y)))
     return df.groupBy(*names(keys)).agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"))
+        regression_slope(y, x).alias("slope"), (mean_y - regression_slope(y, x) * mean_x).alias("intercept"), correlation(x, y).alias("r"))
 
 
 def corr_matrix(long: DataFrame, item: str, key_a: str, value: str, other: DataFrame | None = None, upper: bool = True, rank: bool = False) -> DataFrame:
@@ -134,7 +135,7 @@ def corr_matrix(long: DataFrame, item: str, key_a: str, value: str, other: DataF
     j = a.join(b, item)
     if other is None and upper:
         j = j.where("cat_a < cat_b")
-    return j.groupBy("cat_a", "cat_b").agg(F.corr("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy("cat_a", "cat_b").agg(correlation("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str] | str, value: str, label: str, positive) -> DataFrame:

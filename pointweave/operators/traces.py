@@ -346,7 +346,7 @@ def density_hist(df: DataFrame, key: str, value: str, upper: float = 0.975) -> D
     top = percentile_columns(df, key, value, {"_top": upper})
     n = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("bigint").alias("_e"))
     grid = n.join(top, key).where("_e > 1").withColumns({"n_bins": F.col("_e") - 1, "bw": F.col("_top") / (F.col("_e") - 1)})
-    k = F.floor(F.col(value) / F.col("bw"))
+    k = F.floor(ratio(value, "bw"))
     j = df.join(grid, key).where((F.col(value) >= 0) & (F.col(value) <= F.col("_top")))
     counts = j.groupBy(key, F.least(k, F.col("n_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     full = grid.select(key, "bw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import INTERVAL_METRICS, gated
-from ..functions.scalars import as_col, finite, names, ratio
+from ..functions.scalars import as_col, correlation, finite, names, ratio
 from .ranges import points_in_windows
 from .scan import average_rank, percentile_columns, scan, time_chunk
 
@@ -57,7 +57,7 @@ def interval_rho(isi: DataFrame, keys: Sequence[str] | str, min_n: int = 3) -> D
     keys = names(keys)
     pairs = isi.where("nxt IS NOT NULL")
     ranked = average_rank(average_rank(pairs, keys, "isi", "_ra"), keys, "nxt", "_rb")
-    return ranked.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_n, F.corr("_ra", "_rb")).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_n, correlation("_ra", "_rb")).alias("rho"))
 
 
 def interval_rate(isi: DataFrame, keys: Sequence[str] | str, min_n: int = 1) -> DataFrame:

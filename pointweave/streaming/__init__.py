@@ -1,0 +1 @@
+"""Intentionally empty: all inputs of the modelled workload are finished files (see README)."""
