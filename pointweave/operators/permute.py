@@ -138,11 +138,16 @@ def enrichment(
     return e.withColumns({"z": enrichment_z("n", "mean", "sd"), "level": signif_level("pofs")})
 
 
-def null_moments(perm: DataFrame, a1: str, a2: str, reps: int, by: Sequence[str] | str = ()) -> DataFrame:
-    """Mean and population sd of every cell over the repetitions; a repetition without the cell counts as 0."""
+def null_moments(
+    perm: DataFrame, a1: str, a2: str, reps: int, by: Sequence[str] | str = (), source: DataFrame | None = None
+) -> DataFrame:
+    """Mean and population sd of every cell over the repetitions; a repetition without the cell counts as 0.
+
+    ``source``, the table that was permuted, gives the category levels without running the permutation again.
+    """
     by = names(by)
     g = perm.groupBy(*by, a1, a2).agg(F.sum("n").alias("_s"), F.sum(F.col("n").cast("double") * F.col("n")).alias("_q"))
-    full = levels_grid(g, a1, a2, by).join(g, [*by, a1, a2], "left")
+    full = levels_grid(g if source is None else source, a1, a2, by).join(g, [*by, a1, a2], "left")
     mean = F.coalesce("_s", F.lit(0)) / F.lit(float(reps))
     var = F.coalesce("_q", F.lit(0.0)) / F.lit(float(reps)) - mean * mean
     return full.select(*by, a1, a2, mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))

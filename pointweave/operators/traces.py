@@ -91,7 +91,7 @@ def _crossings(tr: DataFrame, keys: list[str], value: str, level: Column | float
 
 def halfwaves(
     tr: DataFrame, keys: Sequence[str] | str, roll: Column | float, peak: Column | float, min_dur: int = 0, mode: str = "trough",
-    value: str = "v",
+    value: str = "v", fits: bool | None = None,
 ) -> DataFrame:
     """Complete excursions below (above) ``roll`` that reach ``peak`` and last longer than ``min_dur``.
 
@@ -102,7 +102,7 @@ def halfwaves(
     enter, leave = (-1, 1) if mode == "trough" else (1, -1)
     t = _crossings(tr, keys, value, roll).withColumn("_peak", F.lit(peak) if isinstance(peak, (int, float)) else peak)
     run = scan(
-        t, keys, "i", index_chunk(), _kind=("last", "_cross"),
+        t, keys, "i", index_chunk(), fits, _kind=("last", "_cross"),
         i0=("last", F.when(F.col("_cross") == enter, F.col("i"))), i1=("follow", F.when(F.col("_cross") == leave, F.col("i"))))
     agg = F.min if mode == "trough" else F.max
     g = run.where((F.col("_kind") == enter) & F.col("i1").isNotNull()).groupBy(*keys, "i0").agg(
@@ -332,9 +332,11 @@ def hist2d(df: DataFrame, x: str, y: str, x_edges: tuple[float, float, int], y_e
         return F.when((F.col(c) >= lo) & (F.col(c) < hi), F.least(k, F.lit(n - 1))).when(F.col(c) == hi, F.lit(n - 1)).cast("bigint")
     b = df.select(*keys, bin_of(x, x_edges).alias("bin_x"), bin_of(y, y_edges).alias("bin_y")).where("bin_x IS NOT NULL AND bin_y IS NOT NULL")
     cells = b.groupBy(*keys, "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n"))
-    mx = cells.groupBy(*keys, "bin_x").agg(F.sum("n").alias("n")).withColumn("bin_y", F.lit(None).cast("bigint"))
-    my = cells.groupBy(*keys, "bin_y").agg(F.sum("n").alias("n")).withColumn("bin_x", F.lit(None).cast("bigint"))
-    return cells.unionByName(mx).unionByName(my)
+    none = F.lit(None).cast("bigint")
+    views = F.array(*[F.struct(px.alias("bin_x"), py.alias("bin_y")) for px, py in (
+        (F.col("bin_x"), F.col("bin_y")), (F.col("bin_x"), none), (none, F.col("bin_y")))])
+    return cells.select(*keys, "n", F.explode(views).alias("b")).groupBy(
+        *keys, F.col("b.bin_x").alias("bin_x"), F.col("b.bin_y").alias("bin_y")).agg(F.sum("n").alias("n"))
 
 
 def window_amplitude(samples: DataFrame, keys: Sequence[str] | str, value: str = "v") -> DataFrame:

@@ -57,7 +57,8 @@ def permute_counts_by_margins(spark, sf):
 
 @query("null_moments", "N2", "a1:s a2:s mean:f sd:f", with_ctes("", "SELECT * FROM st", **_N))
 def null_moments(spark, sf):
-    return pm.null_moments(pm.permute_counts(_base(spark, sf), "id", "a1", "a2", "const", REPS), "a1", "a2", REPS)
+    base = _base(spark, sf)
+    return pm.null_moments(pm.permute_counts(base, "id", "a1", "a2", "const", REPS), "a1", "a2", REPS, source=base)
 
 
 @query("enrichment_z", "N3", "a1:s a2:s n:i mean:f sd:f z:f", with_ctes("", "SELECT * FROM en", **_N))

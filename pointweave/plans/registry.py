@@ -1,8 +1,8 @@
 """Query registry: name -> (Spark callable, SQL text), with one output contract for both sides.
 
 A query states its output columns once, e.g. ``"recid:i uid:i b:f kind:s ok:b"``. Both sides are cast and
-rounded by that contract: ``i`` bigint, ``f`` double rounded to 6 digits with NaN/inf as NULL, ``s`` string,
-``b`` boolean.
+rounded by that contract: ``i`` bigint, ``f`` double rounded to 6 digits (``p``: 9, for small fractions) with
+NaN/inf as NULL, ``s`` string, ``b`` boolean.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+_DIGITS = {"f": 6, "p": 9}
 _SPARK = {"i": "bigint", "s": "string", "b": "boolean"}
 _SQL = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
 
@@ -37,8 +38,8 @@ _SQL = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
 def shape(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     out = []
     for name, kind in columns:
-        if kind == "f":
-            out.append(F.round(finite(name), 6).alias(name))
+        if kind in _DIGITS:
+            out.append(F.round(finite(name), _DIGITS[kind]).alias(name))
         else:
             out.append(F.col(name).cast(_SPARK[kind]).alias(name))
     return df.select(*out)
@@ -47,9 +48,9 @@ def shape(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 def shape_sql(body: str, columns: list[tuple[str, str]]) -> str:
     out = []
     for name, kind in columns:
-        if kind == "f":
+        if kind in _DIGITS:
             x = f"CAST({name} AS DOUBLE)"
-            out.append(f"CASE WHEN isfinite({x}) THEN round({x}, 6) + 0.0 END AS {name}")
+            out.append(f"CASE WHEN isfinite({x}) THEN round({x}, {_DIGITS[kind]}) + 0.0 END AS {name}")
         else:
             out.append(f"CAST({name} AS {_SQL[kind]}) AS {name}")
     return f"SELECT {', '.join(out)} FROM ({body}) AS q"

@@ -93,7 +93,7 @@ _CP = {
 }
 
 
-@query("cccp", "T8", "recid:i uid:i cccp:f p:f pref:i", with_ctes(
+@query("cccp", "T8", "recid:i uid:i cccp:p p:p pref:i", with_ctes(
     "ev trg", "SELECT recid, uid, CASE WHEN c < 0.5 THEN 1 - c ELSE c END AS cccp, CASE WHEN c < 0.5 THEN 1 - p ELSE p END AS p, CASE WHEN c < 0.5 THEN -1 ELSE 1 END AS pref FROM pv", **_CP))
 def cccp(spark, sf):
     ev, trg = src.event_rows(spark, sf), src.triggers(spark, sf)
