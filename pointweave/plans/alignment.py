@@ -28,14 +28,17 @@ def rate_histogram(spark, sf):
 _RASTER = {
     "ra": f"SELECT e.recid, e.uid, CAST(floor((e.t - w.t - ({START})) / {WIDTH}) AS BIGINT) AS bin FROM trg w JOIN ev e ON e.recid = w.recid AND e.t > w.t + ({START}) AND e.t < w.t + {STOP}",
     "cn": f"SELECT recid, uid, bin, count(*) AS n FROM ra WHERE bin BETWEEN 0 AND {N_BINS - 1} GROUP BY ALL",
-    "gr": f"SELECT recid, uid, unnest(range(0, {N_BINS})) AS bin, k FROM (SELECT DISTINCT recid, uid FROM ev) JOIN (SELECT recid, count(*) AS k FROM trg GROUP BY recid) USING (recid)",
+    "kk": "SELECT recid, count(*) AS k FROM trg GROUP BY recid",
+    "gr": f"SELECT recid, uid, unnest(range(0, {N_BINS})) AS bin FROM (SELECT DISTINCT recid, uid FROM ev WHERE recid IN (SELECT recid FROM kk))",
 }
 _TAPS = align.gauss_kernel(SIGMA / WIDTH)
 _KER = "SELECT unnest(range(0, {n})) - {h} AS o, unnest([{w}]) AS w".format(
     n=len(_TAPS), h=len(_TAPS) // 2, w=", ".join(f"{w!r}::DOUBLE" for w in _TAPS))
 _PSTH = {**_RASTER, "ker": _KER,
          "sp": "SELECT recid, uid, bin + o AS bin, sum(n * w) AS s FROM cn CROSS JOIN ker GROUP BY recid, uid, bin + o",
-         "ps": f"SELECT gr.recid, gr.uid, gr.bin, coalesce(cn.n, 0) AS n, coalesce(sp.s, 0) / gr.k / {WIDTH} AS rate FROM gr LEFT JOIN cn USING (recid, uid, bin) LEFT JOIN sp USING (recid, uid, bin)"}
+         "pz": "SELECT recid, uid, bin, sum(n) AS n, sum(s) AS s FROM (SELECT recid, uid, bin, 0 AS n, 0::DOUBLE AS s FROM gr UNION ALL SELECT recid, uid, bin, n, 0 FROM cn "
+               f"UNION ALL SELECT recid, uid, bin, 0, s FROM sp) WHERE bin BETWEEN 0 AND {N_BINS - 1} GROUP BY recid, uid, bin",
+         "ps": f"SELECT pz.recid, uid, bin, n, s / k / {WIDTH} AS rate FROM pz JOIN kk ON kk.recid = pz.recid"}
 
 
 def _psth(spark, sf, sigma):
@@ -48,7 +51,8 @@ def psth(spark, sf):
 
 
 @query("psth_rate", "H3", "recid:i uid:i bin:i rate:f", with_ctes(
-    "ev trg", f"SELECT gr.recid, gr.uid, gr.bin, coalesce(n, 0) / k / {WIDTH} AS rate FROM gr LEFT JOIN cn USING (recid, uid, bin)", **_RASTER))
+    "ev trg", f"SELECT z.recid, uid, bin, n / k / {WIDTH} AS rate FROM (SELECT recid, uid, bin, sum(n) AS n FROM (SELECT recid, uid, bin, 0 AS n FROM gr UNION ALL "
+    "SELECT recid, uid, bin, n FROM cn) GROUP BY recid, uid, bin) z JOIN kk ON kk.recid = z.recid", **_RASTER))
 def psth_rate(spark, sf):
     return _psth(spark, sf, None)
 
