@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .registry import llm_query
 
-BUDGET, HISTORY = 1024, 128
+BUDGET, HISTORY = 512, 128
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Turn numbers that share a chunk of the prefix sums.
 CHUNK = 256
