@@ -71,5 +71,30 @@ def regression_slope(y: ColumnLike, x: ColumnLike) -> Column:
     return ratio(F.covar_pop(a, b), F.var_pop(F.when(b.isNotNull(), a)))
 
 
+#: Coefficients of the published rational approximation of the complementary error function
+#: (relative error below 1.2e-7), constant term first.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_tails(z: ColumnLike) -> Column:
+    """Two-sided p of a standard normal score."""
+    x = F.abs(as_col(z)) / F.lit(2.0 ** 0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + x * 0.5)
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        poly = F.lit(c) + t * poly
+    return t * F.exp(-x * x + poly)
+
+
+def normal_tails_sql(z: str) -> str:
+    """The same formula as SQL text."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + {x} * 0.5::DOUBLE))"
+    poly = f"({ERFC[-1]!r}::DOUBLE)"
+    for c in reversed(ERFC[:-1]):
+        poly = f"(({c!r}::DOUBLE) + {t} * {poly})"
+    return f"{t} * exp(-{x} * {x} + {poly})"
+
+
 def names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)

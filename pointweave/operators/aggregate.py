@@ -9,28 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import finite, names, ratio
-from .scan import exact_percentiles, percentile_columns
+from .scan import exact_percentiles, join_null_safe, percentile_columns
 
 
 def levels_grid(df: DataFrame, a1: str, a2: str, by: Sequence[str] = ()) -> DataFrame:
-    """All level combinations of two categories (inside ``by``): the frame of a zero-filled matrix.
+    """All level combinations of two categories (inside ``by``), NULL levels included: a zero-filled matrix.
 
-    The second set of levels travels as one array per group, built from distinct levels.
+    The result has one row per cell by definition; the levels themselves are joined, not gathered.
     """
     by = list(by)
-    rows = df.select(*by, a1).distinct()
-    if by:
-        cols = df.select(*by, a2).distinct().groupBy(*by).agg(F.collect_list(a2).alias("_lv"))
-        return rows.join(cols, by).select(*by, a1, F.explode("_lv").alias(a2))
-    lv = df.select(a2).distinct().agg(F.collect_list(a2)).scalar()
-    return rows.select(a1, F.explode(lv).alias(a2))
+    rows = df.select(*by, a1).distinct().withColumn("_one", F.lit(1))
+    cols = df.select(*by, a2).distinct().withColumn("_one", F.lit(1))
+    return join_null_safe(rows, cols, [*by, "_one"]).select(*by, a1, a2)
 
 
 def crosstab(df: DataFrame, a1: str, a2: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by, a1, a2, n)`` with zeros for combinations that do not occur."""
     keys = [*by, a1, a2]
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return levels_grid(n, a1, a2, by).join(n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return join_null_safe(levels_grid(n, a1, a2, by), n, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def crosstab_pairs(df: DataFrame, attrs: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import names, sq_distance
 from .intervals import islands, merge_by_gap
 from .ranges import points_in_windows
-from .scan import groups_fit, scan, settle, time_chunk
+from .scan import scan, time_chunk
 
 DAY = 86400.0
 
@@ -20,10 +20,9 @@ def _gap_islands(
     ev: DataFrame, keys: list[str], order: list[str], x: str, apart, chunk: Column, out: str
 ) -> DataFrame:
     """Island number of each row: a new one starts where ``apart(gap to the previous row)``."""
-    fits = groups_fit(ev, keys)
-    lagged = settle(scan(ev, keys, order, chunk, fits, _px=("lag", x)), fits)
+    lagged = scan(ev, keys, order, chunk, _px=("lag", x))
     gap = F.col(x) - F.col("_px")
-    return islands(lagged, keys, order, chunk, gap.isNull() | apart(gap), out, fits).drop("_px")
+    return islands(lagged, keys, order, chunk, gap.isNull() | apart(gap), out).drop("_px")
 
 
 def bursts(ev: DataFrame, keys: Sequence[str] | str, max_dist: float, order: Sequence[str] = ("t",), chunk_s: float = DAY) -> DataFrame:
@@ -94,10 +93,9 @@ def change_blocks(df: DataFrame, keys: Sequence[str] | str, order: str, value: s
     """Block number (from 1) that rises by one whenever ``value`` changes along ``order``."""
     keys = names(keys)
     chunk = F.floor(F.col(order) / 4096) if chunk is None else chunk
-    fits = groups_fit(df, keys)
-    p = settle(scan(df, keys, order, chunk, fits, _pv=("lag", F.struct(F.col(value).alias("x")))), fits)
+    p = scan(df, keys, order, chunk, _pv=("lag", F.struct(F.col(value).alias("x"))))
     new = F.col("_pv").isNull() | ~F.col("_pv.x").eqNullSafe(F.col(value))
-    return islands(p, keys, order, chunk, new, out, fits).drop("_pv")
+    return islands(p, keys, order, chunk, new, out).drop("_pv")
 
 
 def block_extents(trials: DataFrame, keys: Sequence[str] | str, block: str, exclude_zero: bool = True) -> DataFrame:
@@ -126,11 +124,10 @@ def jump_segments(points: DataFrame, order: str, coords: str, max_d: float, feat
     Gives the segment number and, inside a segment, the feature distance to the previous point.
     """
     chunk = F.floor(F.col(order) / 4096) if chunk is None else chunk
-    fits = groups_fit(points, [])
-    p = settle(scan(points, [], order, chunk, fits, _pc=("lag", coords), _pf=("lag", features)), fits)
+    p = scan(points, [], order, chunk, _pc=("lag", coords), _pf=("lag", features))
     step = F.sqrt(sq_distance(coords, "_pc"))
     new = F.col("_pc").isNull() | (step > max_d)
-    seg = islands(p, [], order, chunk, new, "segment", fits)
+    seg = islands(p, [], order, chunk, new, "segment")
     return seg.withColumn("dist", F.when(~new, F.sqrt(sq_distance(features, "_pf")))).drop("_pc", "_pf")
 
 

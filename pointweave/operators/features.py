@@ -20,8 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import correlation, dot, names, ratio, sq_distance
 from ..session import cut_lineage
 from .aggregate import with_share
-from .scan import magnitude_chunk, percentile_columns, scan
-from .stability import equal_parts
+from .scan import join_null_safe, magnitude_chunk, percentile_columns, scan
 
 MAX_MODEL = 4_000_000  # cells of a model array that may travel to every task
 HEX_ROW = 0.8660254  # fixed value: row spacing of the hexagonal grid
@@ -511,21 +510,30 @@ def label_transfer(a: DataFrame, vec: str, label_a: str, prototypes_b: np.ndarra
 
 
 def balanced_tiles(points: DataFrame, region: str, x: str, y: str, tie: str, depth: int | None = None, per_tile: int = 100) -> DataFrame:
-    """Cells of nearly equal count per region by repeated halving at the median, along x and y in turn.
+    """Cells of nearly equal count per region by repeated cuts along x and y in turn; ``tile`` counts from 0 in a region.
 
-    Without ``depth`` a cell is halved while the largest one holds more than ``per_tile`` points by 10 %.
+    A region of n points gets ``2 ** depth`` cells, or round(n / per_tile) (at least one). A cell that stands for p cells
+    is cut at the point floor(p / 2) / p of its count, so regions of any size end with cells of their mean size, give or
+    take the rounding of one point per cut.
     """
-    out = points.withColumn("tile", F.lit(0).cast("bigint"))
+    size = points.groupBy(region).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.lit(2**depth if depth else 1) if depth is not None else F.greatest(F.round(F.col("_n") / per_tile), F.lit(1))
+    size = size.select(region, parts.cast("bigint").alias("_parts"))
     if depth is None:
-        top = points.groupBy(region).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        depth = max(int(np.ceil(np.log2(max(top / (1.1 * per_tile), 1.0)))), 0)
+        most = size.agg(F.max("_parts")).first()[0] or 1
+        depth = (most - 1).bit_length()
+    out = join_null_safe(points, size, [region]).withColumn("tile", F.lit(0).cast("bigint"))
     for level in range(depth):
         axis = x if level % 2 == 0 else y
-        half = equal_parts(out, [region, "tile"], [axis, tie], 2, "_h", magnitude_chunk(axis))
-        out = half.withColumn("tile", F.col("tile") * 2 + F.col("_h") - 1).drop("_h")
+        ranked = scan(out, [region, "tile"], [axis, tie], magnitude_chunk(axis), _row="row", _total=("total", F.lit(1)))
+        half = F.floor(F.col("_parts") / 2)
+        left = F.col("_row") <= F.floor(F.col("_total") * half / F.col("_parts") + 0.5)
+        cut = F.when(F.col("_parts") == 1, F.col("tile")).when(left, F.col("tile")).otherwise(F.col("tile") + half)
+        now = F.when(F.col("_parts") == 1, 1).when(left, half).otherwise(F.col("_parts") - half)
+        out = ranked.select(*points.columns, cut.alias("tile"), now.cast("bigint").alias("_parts"))
         if level % 3 == 2:
             out = cut_lineage(out)
-    return out
+    return out.select(*points.columns, "tile")
 
 
 def pca_score_corr(long: DataFrame, group: str, cat: str, value: str, scores: DataFrame, score: str, categories: Sequence, n_comps: int = 2) -> DataFrame:

@@ -9,22 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, names, ratio
 from .ranges import count_in_windows
-from .scan import groups_fit, scan, settle, time_chunk
+from .scan import scan, time_chunk
 
 DAY = 86400.0
 
 
 def islands(
     df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str, chunk: Column, new: Column, out: str = "island",
-    fits: bool | None = None,
 ) -> DataFrame:
     """Running count of ``new`` flags: the island number of each row."""
-    return scan(df.withColumn("_new", new.cast("bigint")), keys, order, chunk, fits, **{out: ("sum", "_new")}).drop("_new")
+    return scan(df.withColumn("_new", new.cast("bigint")), keys, order, chunk, **{out: ("sum", "_new")}).drop("_new")
 
 
 def merge_intervals(
     win: DataFrame, keys: Sequence[str] | str, lo: float | None = None, hi: float | None = None,
-    gap: float | None = None, chunk_s: float = DAY, fits: bool | None = None,
+    gap: float | None = None, chunk_s: float = DAY,
 ) -> DataFrame:
     """Merge overlapping or touching windows; with ``gap`` also neighbours closer than it (strict).
 
@@ -36,16 +35,15 @@ def merge_intervals(
         w = w.where("t1 > t0")
     w = w.groupBy(*keys, "t0", "t1").agg(F.count(F.lit(1)).alias("n"))
     chunk = time_chunk("t0", chunk_s)
-    fits = groups_fit(w, keys) if fits is None else fits
-    prev = settle(scan(w, keys, ["t0", "t1"], chunk, fits, _reach=("reach", "t1")), fits)
+    prev = scan(w, keys, ["t0", "t1"], chunk, _reach=("reach", "t1"))
     apart = F.col("t0") > F.col("_reach") if gap is None else (F.col("t0") - F.col("_reach")) >= F.lit(gap)
     starts = F.col("_reach").isNull() | apart
-    return islands(prev, keys, ["t0", "t1"], chunk, starts, "_isl", fits).groupBy(*keys, "_isl").agg(
+    return islands(prev, keys, ["t0", "t1"], chunk, starts, "_isl").groupBy(*keys, "_isl").agg(
         F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n")).drop("_isl")
 
 
 def free_intervals(
-    win: DataFrame, bounds: DataFrame, keys: Sequence[str] | str, chunk_s: float = DAY, fits: bool | None = None
+    win: DataFrame, bounds: DataFrame, keys: Sequence[str] | str, chunk_s: float = DAY
 ) -> DataFrame:
     """Complement of the windows inside each key's ``[lo, hi]`` of ``bounds``; no windows: the whole range."""
     keys = names(keys)
@@ -56,7 +54,7 @@ def free_intervals(
         bounds.select(*keys, F.col("hi").alias("t0"), F.col("hi").alias("t1")))
     m = clipped.unionByName(ends).dropDuplicates(keys + ["t0", "t1"])
     chunk = time_chunk("t0", chunk_s)
-    prev = scan(m, keys, ["t0", "t1"], chunk, fits, _reach=("reach", "t1"))
+    prev = scan(m, keys, ["t0", "t1"], chunk, _reach=("reach", "t1"))
     return prev.where("t0 > _reach").select(*keys, F.col("_reach").alias("t0"), F.col("t0").alias("t1"))
 
 
@@ -82,8 +80,8 @@ def baseline_intervals(
     return free_intervals(blocked, bounds, keys, chunk_s)
 
 
-def merge_by_gap(win: DataFrame, keys: Sequence[str] | str, max_gap: float, chunk_s: float = DAY, fits: bool | None = None) -> DataFrame:
-    return merge_intervals(win, keys, gap=max_gap, chunk_s=chunk_s, fits=fits)
+def merge_by_gap(win: DataFrame, keys: Sequence[str] | str, max_gap: float, chunk_s: float = DAY) -> DataFrame:
+    return merge_intervals(win, keys, gap=max_gap, chunk_s=chunk_s)
 
 
 def members_per_merge(merged: DataFrame, win: DataFrame, keys: Sequence[str] | str, out: str = "n_members", chunk_s: float = DAY) -> DataFrame:
@@ -106,15 +104,14 @@ def members_per_merge(merged: DataFrame, win: DataFrame, keys: Sequence[str] | s
 
 def border_intervals(
     merged: DataFrame, n_col: str, bounds: DataFrame, keys: Sequence[str] | str, n_min: int, wide: float, narrow: float,
-    min_free: float, chunk_s: float = DAY, fits: bool | None = None,
+    min_free: float, chunk_s: float = DAY,
 ) -> DataFrame:
     """Give windows with enough members a wide margin, others a narrow one; absorb free stretches that are
     not longer than ``min_free``: the result is the complement of the long free stretches."""
     margin = F.when(F.col(n_col) >= n_min, F.lit(wide)).otherwise(F.lit(narrow))
     padded = merged.select(*names(keys), (F.col("t0") - margin).alias("t0"), (F.col("t1") + margin).alias("t1"))
-    fits = groups_fit(padded, keys) if fits is None else fits
-    long_free = free_intervals(padded, bounds, keys, chunk_s, fits).where(F.col("t1") - F.col("t0") > min_free)
-    return free_intervals(settle(long_free, fits), bounds, keys, chunk_s, fits)
+    long_free = free_intervals(padded, bounds, keys, chunk_s).where(F.col("t1") - F.col("t0") > min_free)
+    return free_intervals(long_free, bounds, keys, chunk_s)
 
 
 def extend_borders(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import names
 from .ranges import overlap_flag, window_pairs
-from .scan import groups_fit, scan, settle, time_chunk
+from .scan import scan, time_chunk
 
 DAY = 86400.0
 # Fixed value: marks an entity without a single matching score.
@@ -23,22 +23,20 @@ def interval_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str] | str, buck
 
 
 def purge_windows(
-    win: DataFrame, forbidden: DataFrame, keys: Sequence[str] | str, chunk_s: float = DAY, fits: bool | None = None
+    win: DataFrame, forbidden: DataFrame, keys: Sequence[str] | str, chunk_s: float = DAY
 ) -> DataFrame:
     """Windows that touch none of the forbidden ones."""
-    return overlap_flag(win, forbidden, keys, "_hit", chunk_s, fits=fits).where("NOT _hit").drop("_hit")
+    return overlap_flag(win, forbidden, keys, "_hit", chunk_s).where("NOT _hit").drop("_hit")
 
 
 def label_states(
     win: DataFrame, quiet: DataFrame, keys: Sequence[str] | str, active_buff: float = 1.0, quiet_buff: float = 0.0,
-    chunk_s: float = DAY, fits: bool | None = None,
+    chunk_s: float = DAY,
 ) -> DataFrame:
     """'active': no quiet window near; 'quiet': overlaps one and is not active; else 'uncertain'."""
     keys = names(keys)
-    if fits is None:
-        fits = groups_fit(win.select(*keys).unionByName(quiet.select(*keys)), keys)
-    f = settle(overlap_flag(win, quiet, keys, "_near", chunk_s, pad=active_buff, fits=fits), fits)
-    f = overlap_flag(f, quiet, keys, "_in", chunk_s, pad=quiet_buff, fits=fits)
+    f = overlap_flag(win, quiet, keys, "_near", chunk_s, pad=active_buff)
+    f = overlap_flag(f, quiet, keys, "_in", chunk_s, pad=quiet_buff)
     state = F.when(~F.col("_near"), "active").when(F.col("_in"), "quiet").otherwise("uncertain")
     return f.withColumn("state", state).drop("_near", "_in")
 

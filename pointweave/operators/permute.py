@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, names, ratio
 from .aggregate import crosstab, levels_grid
-from .scan import groups_fit, hash_chunk, scan
+from .scan import hash_chunk, join_null_safe, scan
 
 # P levels of the signed significance code.
 P_LEVELS = (0.05, 0.01, 0.001)
+#: Repetitions that one task draws together.
+REP_BLOCK = 250
 
 
 def permute_counts(
@@ -30,15 +32,14 @@ def permute_counts(
     by, const = names(by), [c for c in names(const) if c not in names(by)]
     group = by + const
     base = df.select(*group, entity, a1, a2)
-    fits = groups_fit(base, group)
     each = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     keys = group + ["rep"]
 
     def ranked(attr: str, salt: str) -> DataFrame:
         h = each.select(*keys, entity, attr, hash_key(salt, "rep", entity).alias("_h"))
-        return scan(h, keys, ["_h", entity], hash_chunk("_h"), fits, _r="row").select(*keys, attr, "_r")
+        return scan(h, keys, ["_h", entity], hash_chunk("_h"), _r="row").select(*keys, attr, "_r")
 
-    paired = ranked(a1, salts[0]).join(ranked(a2, salts[1]), keys + ["_r"])
+    paired = join_null_safe(ranked(a1, salts[0]), ranked(a2, salts[1]), keys + ["_r"])
     return paired.groupBy(*by, "rep", a1, a2).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -59,9 +60,10 @@ def permute_counts_by_margins(
     cells = df.groupBy(*group, a1, a2).agg(F.count(F.lit(1)).alias("n"))
     m1 = cells.groupBy(*group, a1).agg(F.sum("n").alias("n")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(a1).alias("v"), "n"))).alias("m1"))
     m2 = cells.groupBy(*group, a2).agg(F.sum("n").alias("n")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(a2).alias("v"), "n"))).alias("m2"))
-    joined = m1.join(m2, group)
-    tag = F.concat_ws("|", *[F.col(c).cast("string") for c in group])
-    tasks = joined.select(*by, tag.alias("_g"), "m1", "m2", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    joined = join_null_safe(m1, m2, group)
+    tag = F.to_json(F.struct(*group))  # different groups, NULL included, get different streams
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REP_BLOCK)))
+    tasks = joined.select(*by, tag.alias("_g"), "m1", "m2", blocks.alias("rep"))
     tasks = tasks.repartition("_g", "rep")
     schema = "".join(f"`{c}` {fields[c]}, " for c in by) + f"rep int, `{a1}` {fields[a1]}, `{a2}` {fields[a2]}, n bigint"
 
@@ -73,10 +75,10 @@ def permute_counts_by_margins(
                 g, rep, l1, l2 = row[len(by)], row[len(by) + 3], row[len(by) + 1], row[len(by) + 2]
                 key = hashlib.blake2b(f"{seed}|{rep}|{g}".encode(), digest_size=8).digest()
                 rng = np.random.default_rng(int.from_bytes(key, "little"))
-                table = _random_table(rng, [x["n"] for x in l1], [x["n"] for x in l2])
-                i, j = np.nonzero(table)
+                table = _random_tables(rng, [x["n"] for x in l1], [x["n"] for x in l2], min(REP_BLOCK, reps - rep))
+                t, i, j = np.nonzero(table)
                 block = {c: [r[c]] * len(i) for c in by}
-                block |= {"rep": [rep] * len(i), a1: [l1[k]["v"] for k in i], a2: [l2[k]["v"] for k in j], "n": table[i, j]}
+                block |= {"rep": rep + t, a1: [l1[k]["v"] for k in i], a2: [l2[k]["v"] for k in j], "n": table[t, i, j]}
                 out.append(pd.DataFrame(block))
             if out:
                 yield pd.concat(out, ignore_index=True)
@@ -85,33 +87,61 @@ def permute_counts_by_margins(
     return drawn.groupBy(*by, "rep", a1, a2).agg(F.sum("n").alias("n"))
 
 
-def _random_table(rng: np.random.Generator, rows: Sequence[int], cols: Sequence[int]) -> np.ndarray:
-    """A random contingency table with the given margins."""
-    left = np.asarray(cols, dtype=np.int64).copy()
-    table = np.zeros((len(rows), len(left)), dtype=np.int64)
+def exact_moments(df: DataFrame, a1: str, a2: str, const: Sequence[str] | str, by: Sequence[str] | str = ()) -> DataFrame:
+    """``(by, a1, a2, n, mean, sd)``: observed count and the exact moments of the null, without any draw.
+
+    In a constant group with N rows, of which r have the row level and c the column level, the count has mean r c / N
+    and variance r c (N - r)(N - c) / (N^2 (N - 1)); groups are independent, so both add up.
+    """
+    by, const = names(by), [c for c in names(const) if c not in names(by)]
+    group, one = by + const, F.count(F.lit(1))
+    m1 = df.groupBy(*group, a1).agg(one.alias("_r"))
+    m2 = df.groupBy(*group, a2).agg(one.alias("_c")).withColumn("_one", F.lit(1))
+    whole = df.groupBy(*group).agg(one.alias("_n")).withColumn("_one", F.lit(1))
+    cells = join_null_safe(join_null_safe(m1.withColumn("_one", F.lit(1)), m2, [*group, "_one"]), whole, [*group, "_one"])
+    r, c, n = (F.col(x).cast("double") for x in ("_r", "_c", "_n"))
+    var = F.when(n > 1, r * c * (n - r) * (n - c) / (n * n * (n - 1))).otherwise(0.0)
+    null = cells.groupBy(*by, a1, a2).agg(F.sum(r * c / n).alias("mean"), F.sqrt(F.sum(var)).alias("sd"))
+    grid = join_null_safe(crosstab(df, a1, a2, by), null, [*by, a1, a2], "left")
+    return grid.select(*by, a1, a2, "n", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("sd", F.lit(0.0)).alias("sd"))
+
+
+def _random_tables(rng: np.random.Generator, rows: Sequence[int], cols: Sequence[int], reps: int) -> np.ndarray:
+    """``reps`` random contingency tables with the given margins, drawn cell by cell for all of them at once."""
+    left = np.tile(np.asarray(cols, dtype=np.int64), (reps, 1))
+    table = np.zeros((reps, len(rows), left.shape[1]), dtype=np.int64)
     for i, n in enumerate(rows):
-        table[i] = left if i == len(rows) - 1 else _draw_row(rng, left, int(n))
-        left -= table[i]
+        if i == len(rows) - 1:
+            table[:, i] = left
+            break
+        need, rest = np.full(reps, int(n)), left.sum(axis=1)
+        for j in range(left.shape[1]):
+            rest = rest - left[:, j]
+            table[:, i, j] = _hypergeometric(rng, left[:, j], rest, need)
+            need = need - table[:, i, j]
+        left -= table[:, i]
     return table
 
 
-def _draw_row(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """``n`` items drawn without replacement from the colour counts ``left``."""
-    row = np.zeros(len(left), dtype=np.int64)
-    rest = int(left.sum())
-    for j, k in enumerate(left):
-        k, rest = int(k), rest - int(k)
-        if n == 0:
-            break
-        if rest + k < 1_000_000_000:  # the exact sampler's range
-            x = int(rng.hypergeometric(k, rest, n)) if k else 0
-        else:  # far beyond Monte-Carlo error, the normal limit on the exact support
-            t = k + rest
-            sd = np.sqrt(n * (k / t) * (rest / t) * ((t - n) / max(t - 1, 1)))
-            x = int(np.clip(round(rng.normal(n * k / t, sd)), max(0, n - rest), min(n, k)))
-        row[j] = x
-        n -= x
-    return row
+def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Exact draws; numpy's sampler refuses a billion items or more, those are inverted from the mode."""
+    if max(good.max(), bad.max()) < 1_000_000_000:
+        return rng.hypergeometric(good, bad, n)
+    return np.array([_invert(rng.random(), int(g), int(b), int(k)) for g, b, k in zip(good, bad, n, strict=True)], dtype=np.int64)
+
+
+def _invert(u: float, good: int, bad: int, n: int) -> int:
+    """The smallest x whose cumulative probability exceeds ``u``, summed over all x within 40 deviations of the mode."""
+    low, high = max(0, n - bad), min(n, good)
+    total = good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    wide = int(40 * np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1)))) + 40
+    a, b = max(low, mode - wide), min(high, mode + wide)
+    x = np.arange(a, b, dtype=np.float64)
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
+    logp = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.exp(logp - logp.max())
+    return a + int(np.searchsorted(np.cumsum(p) / p.sum(), u, side="right"))
 
 
 def enrichment(
@@ -125,7 +155,7 @@ def enrichment(
     by = names(by)
     keys = [*by, a1, a2]
     obs = crosstab(df, a1, a2, by)
-    stat = obs.withColumnRenamed("n", "_o").join(perm, keys, "left").groupBy(*keys).agg(
+    stat = join_null_safe(obs.withColumnRenamed("n", "_o"), perm, keys, "left").groupBy(*keys).agg(
         F.max("_o").alias("n"), F.sum("n").alias("_s"), F.sum(F.col("n").cast("double") * F.col("n")).alias("_q"), F.count("n").alias("_k"),
         F.count(F.when(F.col("n") < F.col("_o"), 1)).alias("_lt"), F.count(F.when(F.col("n") <= F.col("_o"), 1)).alias("_le"))
     r = F.lit(float(reps))
@@ -147,7 +177,7 @@ def null_moments(
     """
     by = names(by)
     g = perm.groupBy(*by, a1, a2).agg(F.sum("n").alias("_s"), F.sum(F.col("n").cast("double") * F.col("n")).alias("_q"))
-    full = levels_grid(g if source is None else source, a1, a2, by).join(g, [*by, a1, a2], "left")
+    full = join_null_safe(levels_grid(g if source is None else source, a1, a2, by), g, [*by, a1, a2], "left")
     mean = F.coalesce("_s", F.lit(0)) / F.lit(float(reps))
     var = F.coalesce("_q", F.lit(0.0)) / F.lit(float(reps)) - mean * mean
     return full.select(*by, a1, a2, mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
@@ -208,9 +238,8 @@ def shuffle_edges(edges: DataFrame, reps: int, src: str = "src", dst: str = "dst
     """``(rep, src, dst, w)``: weights of an upper-triangle edge list permuted over its positions."""
     e = edges.where(F.col(src) < F.col(dst)).select(src, dst, weight)
     each = e.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    fits = groups_fit(e, [])
     at = each.withColumn("_h", hash_key("pos", src, dst))
-    pos = scan(at, "rep", ["_h", src, dst], hash_chunk("_h"), fits, _r="row").select("rep", src, dst, "_r")
+    pos = scan(at, "rep", ["_h", src, dst], hash_chunk("_h"), _r="row").select("rep", src, dst, "_r")
     wt = each.withColumn("_h", hash_key("w", "rep", src, dst))
-    drawn = scan(wt, "rep", ["_h", src, dst], hash_chunk("_h"), fits, _r="row").select("rep", "_r", weight)
+    drawn = scan(wt, "rep", ["_h", src, dst], hash_chunk("_h"), _r="row").select("rep", "_r", weight)
     return pos.join(drawn, ["rep", "_r"]).drop("_r")

@@ -48,13 +48,12 @@ def window_pairs(
 
 def overlap_flag(
     windows: DataFrame, others: DataFrame, keys: Sequence[str] | str, out: str, chunk_s: float,
-    pad: float = 0.0, fits: bool | None = None,
+    pad: float = 0.0,
 ) -> DataFrame:
     """Add ``out`` = does the window, widened by ``pad`` on both sides, overlap any other window.
 
     No pairs are built: a window overlaps something iff the largest end among the windows that begin
     no later than its own end reaches its start. One running maximum over both tables answers that.
-    ``fits`` states a known ``groups_fit`` answer for the keys.
     """
     keys = names(keys)
     cols = windows.columns
@@ -64,7 +63,7 @@ def overlap_flag(
     o = others.select(
         *keys, F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), F.col("t0").alias("_pos"),
         F.lit(0).alias("_side"), F.col("t1").alias("_end"), F.xxhash64("t0", "t1").alias("_n"))
-    both = scan(q.unionByName(o), keys, ["_pos", "_side", "_n"], time_chunk("_pos", chunk_s), fits, _reach=("max", "_end"))
+    both = scan(q.unionByName(o), keys, ["_pos", "_side", "_n"], time_chunk("_pos", chunk_s), _reach=("max", "_end"))
     hit = F.coalesce(F.col("_reach") >= F.col("_row.t0") - F.lit(pad), F.lit(False))
     return both.where("_side = 1").select("_row.*", hit.alias(out))
 
@@ -74,7 +73,9 @@ def count_in_windows(
     closed: bool = True,
 ) -> DataFrame:
     """Add ``out`` = number of points of the key inside each window, from cumulative counts (no pairs)."""
-    keys = names(keys)
+    keys, shown = names(keys), windows.columns
+    # equal windows are counted once and unfolded at the end
+    windows = windows.groupBy(*shown).agg(F.count(F.lit(1)).alias("_copies"))
     ids = F.xxhash64(*windows.columns)
     lo_side, hi_side = (-1, 1) if closed else (1, -1)
     ends = windows.select(
@@ -93,4 +94,5 @@ def count_in_windows(
         _cum=("sum", "_one"))
     counted = both.where("_sign <> 0").groupBy("_row").agg(
         F.sum(F.col("_sign") * F.col("_cum")).cast("bigint").alias(out))
-    return counted.select("_row.*", out)
+    each = counted.select("_row.*", out).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return each.select(*shown, out)

@@ -1,10 +1,9 @@
 """Ordered scans that keep working when one key holds most of the rows.
 
-A plain ``lag`` or running ``sum`` over ``partitionBy(key)`` puts a whole key into one task. That is the
-best plan while the largest key is small, so the key sizes are checked first (one map-side combined count).
-When a key is too large, every key is cut into *chunks* along its sort order (a time slice, a value range,
-a hash prefix). The scan then runs per (key, chunk); a small table with one row per (key, chunk) carries
-the state between chunks and is joined back. The only full shuffle is by (key, chunk).
+A plain ``lag`` or running ``sum`` over ``partitionBy(key)`` puts a whole key into one task. Here every key is
+cut into *chunks* along its sort order (a time slice, a value range, a hash prefix). The scan runs per (key,
+chunk); a small table with one row per (key, chunk) carries the state between chunks and is joined back. The
+only full shuffle is by (key, chunk). There is one path for all sizes, and NULL keys are keys like others.
 """
 
 from __future__ import annotations
@@ -16,11 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import as_col, names
-from ..session import cut_lineage
 
 CHUNK = "_chunk"
-MAX_GROUP_ROWS = "spark.pointweave.maxGroupRows"
-DEFAULT_GROUP_ROWS = "5000000"
 RANK_COLUMNS = ("n", "below", "total")  # output columns of running_rank
 
 
@@ -38,25 +34,36 @@ def magnitude_chunk(col: str | Column, per_octave: int = 64) -> Column:
     return F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.abs(v) * 1e6) * per_octave)
 
 
-def hash_chunk(h: str | Column) -> Column:
-    """Two leading hex digits of an md5 key: 256 equal chunks in key order."""
-    return F.substring(as_col(h), 1, 2)
+def hash_chunk(h: str | Column, digits: int = 2) -> Column:
+    """Leading hex digits of an md5 key: 16 ** ``digits`` equal chunks in key order."""
+    return F.substring(as_col(h), 1, digits)
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str] | str) -> bool:
-    """Is every key small enough for one task? The limit is ``spark.pointweave.maxGroupRows``."""
-    limit = int(df.sparkSession.conf.get(MAX_GROUP_ROWS, DEFAULT_GROUP_ROWS))
-    if limit <= 0:
-        return False
-    keys = names(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    return largest <= limit
-
+def null_safe(df: DataFrame, cols: Sequence[str], prefix: str) -> dict[str, Column]:
+    """Columns to use as keys in place of ``cols``: never NULL, and equal where ``cols`` are equal or both NULL.
 
-def settle(df: DataFrame, fits: bool) -> DataFrame:
-    """Between two chained scans: with large keys the first result is checkpointed, not computed again."""
-    return df if fits else cut_lineage(df)
+    Plain equality on them joins NULL keys, and windows and joins share one shuffle.
+    """
+    kinds, out, nulls = dict(df.dtypes), {}, F.lit(0)
+    for i, c in enumerate(cols):
+        kind = kinds[c]
+        if kind == "string":
+            out[f"{prefix}{i}"] = F.coalesce(F.col(c), F.lit(""))
+        elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean"):
+            out[f"{prefix}{i}"] = F.coalesce(F.col(c), F.lit(0).cast(kind))
+        else:
+            out[f"{prefix}{i}"] = F.struct(c)
+        nulls = nulls + F.when(F.col(c).isNull(), 1 << i).otherwise(0)
+    return out | ({f"{prefix}n": nulls} if cols else {})
+
+
+def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL; the keys appear once, from ``a``."""
+    right = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return a.join(right, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def scan(
@@ -64,7 +71,6 @@ def scan(
     keys: Sequence[str] | str,
     order: Sequence[str] | str,
     chunk: Column,
-    fits: bool | None = None,
     **outs: tuple[str, Column | str] | str,
 ) -> DataFrame:
     """Add ordered-scan columns to ``df``.
@@ -73,18 +79,18 @@ def scan(
     ``min``, ``reach`` (largest value *before* the row), ``last`` (latest non-NULL up to the row),
     ``next`` (earliest non-NULL from the row on), ``prior`` and ``follow`` (the same without the row),
     ``first``, ``total``, and the bare string ``"row"`` for a row number. ``order`` must give a strict
-    order inside a key and ``chunk`` must not decrease along it. ``fits`` states a known answer of
-    ``groups_fit``; without it the check runs here.
+    order inside a key and ``chunk`` must not decrease along it (NULL first). NULL keys are a key of their own.
     """
     keys, order = names(keys), names(order)
     specs = {o: (s, F.lit(1)) if isinstance(s, str) else (s[0], as_col(s[1])) for o, s in outs.items()}
-    if groups_fit(df, keys) if fits is None else fits:
-        frame = _Frames(keys, order)
-        return df.withColumns({o: _local(kind, c, frame, whole=True) for o, (kind, c) in specs.items()})
-
     base = df.withColumn(CHUNK, chunk)
-    pkeys = keys + [CHUNK]
-    frame, across, pos = _Frames(pkeys, order), _Frames(keys, [CHUNK]), F.struct(*order)
+    group, part = null_safe(base, keys, "_g"), null_safe(base, [CHUNK], "_p")
+    base = base.withColumns(group | part)
+    whole = list(group)
+    at = ["_pn", "_p0"]  # NULL chunks carry 1 and come first
+    base = base.withColumn("_pn", 1 - F.col("_pn"))
+    pkeys = whole + at
+    frame, across, pos = _Frames(pkeys, order), _Frames(whole, at), F.struct(*order)
     local, edge, carry, final = {}, {}, {}, {}
     for out, (kind, c) in specs.items():
         lo, ca = F.col(f"_l_{out}"), F.col(f"_c_{out}")
@@ -114,8 +120,8 @@ class _Frames:
         self.all = self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _local(kind: str, c: Column, f: _Frames, whole: bool = False) -> Column:
-    """The scan inside one partition; ``first`` and ``total`` only make sense over a whole key."""
+def _local(kind: str, c: Column, f: _Frames) -> Column:
+    """The scan inside one chunk."""
     match kind:
         case "lag":
             return F.lag(c).over(f.w)
@@ -139,10 +145,6 @@ def _local(kind: str, c: Column, f: _Frames, whole: bool = False) -> Column:
             return F.last(c, ignorenulls=True).over(f.onward)
         case "follow":
             return F.last(c, ignorenulls=True).over(f.after)
-        case "first" if whole:
-            return F.first(c).over(f.all)
-        case "total" if whole:
-            return F.sum(c).over(f.all)
     raise ValueError(f"unknown scan kind {kind!r}")
 
 
@@ -238,7 +240,7 @@ def average_rank(
     ranks = running_rank(df, keys, value, chunk=chunk).select(
         *keys, value, (F.col("below") + (F.col("n") + 1) / 2.0).alias(out)
     )
-    return df.join(ranks, keys + [value], "left")
+    return join_null_safe(df, ranks, keys + [value], "left")
 
 
 def exact_percentiles(
@@ -247,18 +249,12 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles per key as rows ``(*keys, prob, value)``.
 
-    Small groups (checked) use the built-in aggregate; larger ones the histogram of distinct values with a
-    chunked running count, so no group is gathered.
+    They come from the histogram of distinct values with a chunked running count, so no group is gathered.
     ``mode`` is ``linear`` (interpolated) or ``lower`` (order statistic at floor(p(n-1))).
     """
     keys = names(keys)
     if value in RANK_COLUMNS:
         return exact_percentiles(df.withColumnRenamed(value, "_val"), keys, "_val", probs, mode, chunk).withColumnRenamed("_val", value)
-    if mode == "linear" and groups_fit(df, keys):
-        wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
-        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("q"))
-        return df.groupBy(*keys).agg(wanted).select(*keys, F.explode(pairs).alias("z")).select(
-            *keys, F.col("z.prob").alias("prob"), F.col("z.q").alias(value)).where(F.col(value).isNotNull())
     cum = running_rank(df, keys, value, chunk=chunk)
     probs_col = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     r = cum.select(*keys, F.col(value).alias("_v"), "n", "below", "total", probs_col)

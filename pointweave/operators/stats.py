@@ -7,11 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-from ..functions.scalars import correlation, hash_key, names, ratio, regression_slope
+from ..functions.scalars import correlation, hash_key, names, normal_tails, ratio, regression_slope
 from ..session import cut_lineage
 from .filters import dense_ids
-from .scan import average_rank, groups_fit, hash_chunk, magnitude_chunk, percentile_columns, running_rank, scan, settle
+from .scan import average_rank, hash_chunk, join_null_safe, magnitude_chunk, percentile_columns, running_rank, scan
 
 
 def pearson(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
@@ -25,19 +24,19 @@ def spearman(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFr
     return r.groupBy(*keys).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def _discordant(cells: DataFrame, keys: list[str], bits: int, fits: bool) -> DataFrame:
-    """``(keys, d)``: pairs with x smaller and y larger, from integer ranks ``rx, ry`` with weight ``w``.
+def _discordant(cells: DataFrame, keys: list[str], bits: Column) -> DataFrame:
+    """``(keys, d)``: pairs with x smaller and y larger, from integer ranks ``rx, ry`` below ``2 ** bits`` with weight ``w``.
 
     Counting inversions by the bits of the y rank: two different ranks part at exactly one bit level,
     where they share the higher bits. At each level a row with bit 0 adds the weight of bit-1 rows of the
     same node with smaller x. That is ``bits`` rows per cell and running sums, instead of all pairs.
     """
-    lv = cells.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    lv = cells.withColumn("_l", F.explode(F.sequence(F.lit(0), bits - 1)))
     node = F.expr("shiftright(ry, _l + 1)")
     bit = F.expr("shiftright(ry, _l) & 1")
     nodes = lv.groupBy(*keys, "_l", node.alias("_node"), "rx").agg(
         F.sum(F.when(bit == 0, F.col("w")).otherwise(0)).alias("_w0"), F.sum(F.when(bit == 1, F.col("w")).otherwise(0)).alias("_w1"))
-    run = scan(nodes, [*keys, "_l", "_node"], "rx", F.floor(F.col("rx") / 65536), fits, _c=("sum", "_w1"))
+    run = scan(nodes, [*keys, "_l", "_node"], "rx", F.floor(F.col("rx") / 65536), _c=("sum", "_w1"))
     before = (F.col("_c") - F.col("_w1")).cast("double")
     return run.groupBy(*keys).agg(F.sum(F.col("_w0") * before).alias("d"))
 
@@ -49,29 +48,28 @@ def kendall_tau(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> Dat
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_all", F.lit(0)).select(*keys, x, y)
     rx = running_rank(both, keys, x).select(*keys, x, F.col("below").alias("rx"))
     ry = running_rank(both, keys, y).select(*keys, y, F.col("below").alias("ry"))
-    cells = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w")).join(rx, keys + [x]).join(ry, keys + [y])
+    n = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    cells = join_null_safe(join_null_safe(both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w")), rx, keys + [x]), ry, keys + [y])
     cells = cells.groupBy(*keys, "rx", "ry").agg(F.sum("w").alias("w"))
-    fits = groups_fit(both, keys)
-    largest = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    cells = cells if fits else cut_lineage(cells)
-    d = _discordant(cells, keys, max(int(largest).bit_length(), 1), fits)
+    d = _discordant(join_null_safe(cells, n, keys), keys, F.length(F.bin("n")))
     half = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
-    n = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     tx = both.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(half("c").alias("n1"))
     ty = both.groupBy(*keys, y).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(half("c").alias("n2"))
     txy = cells.groupBy(*keys).agg(half("w").alias("n3"))
-    j = n.join(tx, keys).join(ty, keys).join(txy, keys).join(d, keys)
+    j = n
+    for part in (tx, ty, txy, d):
+        j = join_null_safe(j, part, keys)
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
     c = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
     return j.select(*shown, ratio(c - F.col("d"), F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("tau"), "n")
 
 
-def theil_sen(df: DataFrame, x: str, y: str, rounds: int = 12, fan: int = 32) -> DataFrame:
+def theil_sen(df: DataFrame, x: str, y: str, fan: int = 32) -> DataFrame:
     """Median of all pairwise slopes and the separate intercept median(y) - slope median(x), without pairs.
 
     The number of slopes below s is the number of inversions of ``y - s x`` in x order, so the median is
     found by counting: every round counts ``fan`` candidate slopes at once and narrows the interval around
-    the two middle order statistics by that factor. Driver state is two intervals.
+    the two middle order statistics by that factor, until no double lies inside. Driver state is two intervals.
     """
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     head = pts.agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("ymax"), F.min("y").alias("ymin")).first()
@@ -88,18 +86,18 @@ def theil_sen(df: DataFrame, x: str, y: str, rounds: int = 12, fan: int = 32) ->
     # the smallest step in x bounds every slope
     step = scan(pts.select("x").distinct(), [], "x", magnitude_chunk("x"), _p=("lag", "x")).agg(F.min(F.col("x") - F.col("_p"))).first()[0]
     top = (head["ymax"] - head["ymin"]) / step + 1e-9
-    bits = max(int(head["n"]).bit_length(), 1)
-    fits = groups_fit(pts, [])
+    bits = F.lit(max(int(head["n"]).bit_length(), 1))
     ranks = [int((pairs - 1) // 2), int(pairs // 2)]
     span = {k: (-top, top) for k in ranks}
-    for _ in range(rounds):
+    while True:
+        before = dict(span)
         cands = sorted({lo + (hi - lo) * i / fan for lo, hi in span.values() for i in range(1, fan)})
-        below = _slopes_below(pts, cands, bits, fits)
+        below = _slopes_below(pts, cands, bits)
         for k, (lo, hi) in span.items():
             lo = max([c for c in cands if below[c] <= k and c > lo] + [lo])
             hi = min([c for c in cands if below[c] > k and c < hi] + [hi])
             span[k] = (lo, hi)
-        if all(hi - lo <= 1e-13 * max(1.0, abs(lo)) for lo, hi in span.values()):
+        if span == before or all(hi - lo <= 1e-14 * abs(lo + hi) for lo, hi in span.values()):
             break
     slope = sum((lo + hi) / 2 for lo, hi in span.values()) / len(span)
     wide = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_g", F.lit(1))
@@ -108,12 +106,12 @@ def theil_sen(df: DataFrame, x: str, y: str, rounds: int = 12, fan: int = 32) ->
     return mx.join(my, "_g").select(F.lit(slope).alias("slope"), (F.col("my") - F.lit(slope) * F.col("mx")).alias("intercept"))
 
 
-def _slopes_below(pts: DataFrame, cands: Sequence[float], bits: int, fits: bool) -> dict[float, float]:
+def _slopes_below(pts: DataFrame, cands: Sequence[float], bits: Column) -> dict[float, float]:
     """Number of pairwise slopes smaller than each candidate."""
     at = pts.withColumn("s", F.explode(F.array(*[F.lit(float(c)) for c in cands]))).withColumn("z", F.col("y") - F.col("s") * F.col("x"))
     rz = running_rank(at, "s", "z", weight="w").select("s", "z", F.col("below").alias("ry"))
     cells = at.join(rz, ["s", "z"]).groupBy("s", "rx", "ry").agg(F.sum("w").alias("w"))
-    return {c: 0.0 for c in cands} | {r["s"]: r["d"] for r in _discordant(cells, ["s"], bits, fits).collect()}
+    return {c: 0.0 for c in cands} | {r["s"]: r["d"] for r in _discordant(cells, ["s"], bits).collect()}
 
 
 def linregress(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
@@ -148,19 +146,19 @@ def mann_whitney(df: DataFrame, keys: Sequence[str] | str, value: str, label: st
     return g.select(*keys, "n_a", "n_b", (F.col("_s") - na * (na + 1) / 2).alias("u")).withColumn("auc", ratio("u", F.col("n_a") * F.col("n_b").cast("double")))
 
 
-def permuted_labels(trials: DataFrame, trial: str, condition: str, label: str, reps: int) -> DataFrame:
+def permuted_labels(trials: DataFrame, trial: str, condition: Sequence[str] | str, label: str, reps: int) -> DataFrame:
     """``(rep, trial, condition, is_a)``: labels shuffled inside each condition; rep 0 is the observed one.
 
-    One shuffle of the labels serves every entity.
+    ``condition`` may be several columns (a recording and its condition). One shuffle of the labels serves every entity.
     """
-    fits = groups_fit(trials, condition)
-    t = trials.select(trial, condition, label)
-    by_id = scan(t.withColumn("_h", hash_key("pos", trial)), condition, ["_h", trial], hash_chunk("_h"), fits, _r="row").select(condition, trial, "_r")
+    condition = names(condition)
+    t = trials.select(trial, *condition, label)
+    by_id = scan(t.withColumn("_h", hash_key("pos", trial)), condition, ["_h", trial], hash_chunk("_h"), _r="row").select(*condition, trial, "_r")
     each = t.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = scan(each.withColumn("_h", hash_key("lab", "rep", trial)), [condition, "rep"], ["_h", trial], hash_chunk("_h"), fits, _r="row").select(
-        condition, "rep", "_r", label)
-    shuffled = by_id.join(drawn, [condition, "_r"]).select("rep", trial, condition, F.col(label).alias("is_a"))
-    return shuffled.unionByName(t.select(F.lit(0).alias("rep"), trial, condition, F.col(label).alias("is_a")))
+    drawn = scan(each.withColumn("_h", hash_key("lab", "rep", trial)), [*condition, "rep"], ["_h", trial], hash_chunk("_h"), _r="row").select(
+        *condition, "rep", "_r", label)
+    shuffled = join_null_safe(by_id, drawn, [*condition, "_r"]).select("rep", trial, *condition, F.col(label).alias("is_a"))
+    return shuffled.unionByName(t.select(F.lit(0).alias("rep"), trial, *condition, F.col(label).alias("is_a")))
 
 
 def choice_probability(
@@ -178,14 +176,15 @@ def choice_probability(
     both = trials.groupBy(*group, condition).agg(
         F.sum(F.col(label).cast("int")).alias("n_a"), F.sum((~F.col(label)).cast("int")).alias("n_b")).where("n_a > 0 AND n_b > 0")
     norm = both.withColumn("_g", F.lit(0)).groupBy("_g", *group).agg(F.sum(na * (na + 1) / 2).alias("_o"), F.sum(na * nb).alias("_d"))
-    used = trials.join(both.select(condition), condition, "left_semi")
-    cond = used.select(trial, condition)
-    ranks = average_rank(counts.drop(condition).join(cond, trial), entity + [condition], value, "_r").select(*entity, trial, "_r")
-    picked = permuted_labels(used, trial, condition, label, reps).where("is_a").select("rep", trial)
-    sums = ranks.join(picked, trial).groupBy(*entity, "rep").agg(F.sum("_r").alias("_s")).withColumn("_g", F.lit(0))
-    cp = sums.join(norm, ["_g", *group]).select(*entity, "rep", ((F.col("_s") - F.col("_o")) / F.col("_d")).alias("_v"))
+    # a condition, and a trial number, mean something only inside their group
+    used = join_null_safe(trials, both.select(*group, condition), [*group, condition], "left_semi")
+    cond = used.select(*group, trial, condition)
+    ranks = average_rank(join_null_safe(counts.drop(condition), cond, [*group, trial]), entity + [condition], value, "_r").select(*entity, trial, "_r")
+    picked = permuted_labels(used, trial, [*group, condition], label, reps).where("is_a").select("rep", *group, trial)
+    sums = join_null_safe(ranks, picked, [*group, trial]).groupBy(*entity, "rep").agg(F.sum("_r").alias("_s")).withColumn("_g", F.lit(0))
+    cp = join_null_safe(sums, norm, ["_g", *group]).select(*entity, "rep", ((F.col("_s") - F.col("_o")) / F.col("_d")).alias("_v"))
     obs = cp.where("rep = 0").select(*entity, F.col("_v").alias("_c"))
-    p = cp.where("rep > 0").join(obs, entity).groupBy(*entity, "_c").agg(
+    p = join_null_safe(cp.where("rep > 0"), obs, entity).groupBy(*entity, "_c").agg(
         (F.count(F.when(F.col("_c") <= F.col("_v"), 1)) / F.lit(float(reps))).alias("_p"))
     flip = F.col("_c") < 0.5
     return p.select(*entity, F.when(flip, 1 - F.col("_c")).otherwise(F.col("_c")).alias("cccp"),
@@ -193,18 +192,19 @@ def choice_probability(
 
 
 def wilcoxon(df: DataFrame, keys: Sequence[str] | str, base: str, value: str) -> DataFrame:
-    """Signed-rank statistic and tie-corrected z of value - base; zero differences dropped, all-equal skipped."""
+    """Signed-rank statistic, tie-corrected z and two-sided normal p of value - base; zero differences are dropped."""
     keys = names(keys)
     d = df.withColumn("_d", F.col(value) - F.col(base)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    hist = running_rank(d, keys, "_a")
+    hist = running_rank(d, keys, "_a")  # d has no NULL difference: NULL <> 0 is not true
     ties = hist.groupBy(*keys).agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("_t"))
-    r = d.join(hist.select(*keys, "_a", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_r")), keys + ["_a"])
+    r = join_null_safe(d, hist.select(*keys, "_a", (F.col("below") + (F.col("n") + 1) / 2.0).alias("_r")), keys + ["_a"])
     g = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_up"), F.sum("_r").alias("_all")).join(ties, keys)
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_up"), F.sum("_r").alias("_all"))
+    g = join_null_safe(g, ties, keys)
     n = F.col("n").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_t") / 2) / 24)
     return g.select(*keys, "n", F.least(F.col("_up"), F.col("_all") - F.col("_up")).alias("w"),
-                    ratio(F.least(F.col("_up"), F.col("_all") - F.col("_up")) - n * (n + 1) / 4, se).alias("z"))
+                    ratio(F.least(F.col("_up"), F.col("_all") - F.col("_up")) - n * (n + 1) / 4, se).alias("z")).withColumn("p", normal_tails("z"))
 
 
 def fdr(df: DataFrame, keys: Sequence[str] | str, p: str, tie: str, method: str = "bh", null_poisons: bool = True) -> DataFrame:
@@ -214,11 +214,10 @@ def fdr(df: DataFrame, keys: Sequence[str] | str, p: str, tie: str, method: str
     """
     keys = names(keys)
     known = df.where(F.col(p).isNotNull()).withColumn("_o", -F.col(p))
-    fits = groups_fit(known, keys)
-    r = scan(known, keys, ["_o", tie], magnitude_chunk("_o"), fits, _row="row", _n=("total", F.lit(1)))
+    r = scan(known, keys, ["_o", tie], magnitude_chunk("_o"), _row="row", _n=("total", F.lit(1)))
     r = r.withColumn("_i", F.col("_n") - F.col("_row") + 1)  # rank in ascending order
-    r = settle(r.withColumn("_q", F.col(p) * F.col("_n") / F.col("_i")), fits)
-    r = scan(r, keys, ["_o", tie], magnitude_chunk("_o"), fits, _m=("min", "_q"), _h=("total", 1 / F.col("_i").cast("double")))
+    r = r.withColumn("_q", F.col(p) * F.col("_n") / F.col("_i"))
+    r = scan(r, keys, ["_o", tie], magnitude_chunk("_o"), _m=("min", "_q"), _h=("total", 1 / F.col("_i").cast("double")))
     adj = F.col("_m") * F.col("_h") if method == "by" else F.col("_m")
     done = r.select(*df.columns, F.least(F.greatest(adj, F.lit(0.0)), F.lit(1.0)).alias("p_adj"))
     out = done.unionByName(df.where(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
@@ -228,7 +227,7 @@ def fdr(df: DataFrame, keys: Sequence[str] | str, p: str, tie: str, method: str
         some = df.agg(F.max(F.col(p).isNull().cast("int"))).scalar()
         return out.withColumn("p_adj", F.when(some == 0, F.col("p_adj")))
     flag = df.groupBy(*keys).agg(F.max(F.col(p).isNull().cast("int")).alias("_bad"))
-    return out.join(flag, keys).withColumn("p_adj", F.when(F.col("_bad") == 0, F.col("p_adj"))).drop("_bad")
+    return join_null_safe(out, flag, keys).withColumn("p_adj", F.when(F.col("_bad") == 0, F.col("p_adj"))).drop("_bad")
 
 
 def tuning_significance(p: str, p_naive: str, pref: str, pref_naive: str, cccp: str, p_thr: float = 0.05, naive_thr: float = 0.001, cp_thr: float = 0.52) -> Column:

@@ -91,7 +91,7 @@ def _crossings(tr: DataFrame, keys: list[str], value: str, level: Column | float
 
 def halfwaves(
     tr: DataFrame, keys: Sequence[str] | str, roll: Column | float, peak: Column | float, min_dur: int = 0, mode: str = "trough",
-    value: str = "v", fits: bool | None = None,
+    value: str = "v",
 ) -> DataFrame:
     """Complete excursions below (above) ``roll`` that reach ``peak`` and last longer than ``min_dur``.
 
@@ -102,7 +102,7 @@ def halfwaves(
     enter, leave = (-1, 1) if mode == "trough" else (1, -1)
     t = _crossings(tr, keys, value, roll).withColumn("_peak", F.lit(peak) if isinstance(peak, (int, float)) else peak)
     run = scan(
-        t, keys, "i", index_chunk(), fits, _kind=("last", "_cross"),
+        t, keys, "i", index_chunk(), _kind=("last", "_cross"),
         i0=("last", F.when(F.col("_cross") == enter, F.col("i"))), i1=("follow", F.when(F.col("_cross") == leave, F.col("i"))))
     agg = F.min if mode == "trough" else F.max
     g = run.where((F.col("_kind") == enter) & F.col("i1").isNotNull()).groupBy(*keys, "i0").agg(

@@ -29,17 +29,16 @@ def raster_events(ev: DataFrame, trg: DataFrame, start: float, stop: float, keys
 
 
 def intervals(
-    evw: DataFrame, keys: Sequence[str] | str, order: Sequence[str] = ("t",), chunk_s: float = DAY, fits: bool | None = None,
+    evw: DataFrame, keys: Sequence[str] | str, order: Sequence[str] = ("t",), chunk_s: float = DAY,
     keep_first: bool = False,
 ) -> DataFrame:
     """Intervals between consecutive events of a group, each with the interval that follows it.
 
     Gives one row per interval: ``isi`` ends at the row's event, ``nxt`` starts there (NULL for the last).
     ``keep_first`` also keeps the first event of a group with both NULL, so that one aggregation over the
-    result can count events as well. ``fits`` states a known ``groups_fit`` answer; a window never holds
-    more events than its entity, so a check of the entities will do.
+    result can count events as well.
     """
-    out = scan(evw, keys, list(order), time_chunk("t", chunk_s), fits, _pt=("lag", "t"), _nt=("lead", "t"))
+    out = scan(evw, keys, list(order), time_chunk("t", chunk_s), _pt=("lag", "t"), _nt=("lead", "t"))
     isi = F.col("t") - F.col("_pt")
     out = out.withColumns({"isi": isi, "nxt": F.when(isi.isNotNull(), F.col("_nt") - F.col("t"))}).drop("_pt", "_nt")
     return out if keep_first else out.where("isi IS NOT NULL")

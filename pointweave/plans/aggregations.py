@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as ag
+from ..operators.scan import average_rank, join_null_safe, percentile_columns, scan, time_chunk
 from ..sources import tables as src
 from .alignment import _PSTH, SIGMA, START, STOP, WIDTH, ZSCORE_SQL, _psth
 from .joining import _PRE, _STATE, _prestim, _quiet
@@ -28,6 +29,27 @@ def crosstab(spark, sf):
 _ATTRS = ("p_brand", "p_type", "p_size")
 
 
+@query("crosstab_null_level", "A1", "area:s seg:s n:i", with_ctes(
+    "", "SELECT l1.area, l2.seg, count(u.uid) AS n FROM (SELECT DISTINCT area FROM u) l1 CROSS JOIN (SELECT DISTINCT seg FROM u) l2 LEFT JOIN u ON u.area IS NOT DISTINCT FROM l1.area AND u.seg IS NOT DISTINCT FROM l2.seg GROUP BY ALL",
+    u="SELECT c_custkey AS uid, nullif(c_mktsegment, 'BUILDING') AS seg, nullif(c_nationkey % 5, 2)::VARCHAR AS area FROM customer"))
+def crosstab_null_level(spark, sf):
+    c = src.read_table(spark, sf, "customer").select(
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"), F.nullif(F.col("c_nationkey") % 5, F.lit(2)).cast("string").alias("area"))
+    return ag.crosstab(c, "area", "seg")
+
+
+@query("null_key_scan", "P9", "eid:i rk:f below_med:b prev:f", with_ctes(
+    "ev", "SELECT eid, rank() OVER (PARTITION BY k ORDER BY value) + (count(*) OVER (PARTITION BY k, value) - 1) / 2 AS rk, value <= med AS below_med, lag(value) OVER (PARTITION BY k ORDER BY t, eid) AS prev "
+    "FROM x JOIN (SELECT k AS km, quantile_cont(value, 0.5) AS med FROM x GROUP BY k) ON k IS NOT DISTINCT FROM km", x="SELECT nullif(recid, 3) AS k, eid, t, value FROM ev"))
+def null_key_scan(spark, sf):
+    """Ranks, percentiles and a lag where one key is NULL."""
+    ev = src.event_rows(spark, sf).select(F.nullif("recid", F.lit(3)).alias("k"), "eid", "t", "value")
+    ranked = average_rank(ev, "k", "value", "rk")
+    lagged = scan(ranked, "k", ["t", "eid"], time_chunk("t", 86400.0), prev=("lag", "value"))
+    med = percentile_columns(ev, "k", "value", {"med": 0.5})
+    return join_null_safe(lagged, med, ["k"]).select("eid", "rk", (F.col("value") <= F.col("med")).alias("below_med"), "prev")
+
+
 @query("crosstab_pairs", "A2", "attr1:s attr2:s v1:s v2:s n:i frac:f",
        "SELECT *, n / sum(n) OVER (PARTITION BY attr1, attr2, v1) AS frac FROM (" + " UNION ALL ".join(
            f"SELECT '{a}' AS attr1, '{b}' AS attr2, CAST({a} AS VARCHAR) AS v1, CAST({b} AS VARCHAR) AS v2, count(*) AS n FROM part GROUP BY ALL"

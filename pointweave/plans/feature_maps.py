@@ -238,6 +238,22 @@ def balanced_tiles(spark, sf):
     return ft.balanced_tiles(u, "region", "x", "y", "uid", depth=3)
 
 
+def _tile_levels(levels: int) -> dict[str, str]:
+    out = {"t0": "SELECT uid, region, bal AS x, uid * 7 % 101 AS y, 0 AS tile, greatest(round(count(*) OVER (PARTITION BY region) / 20.0), 1)::BIGINT AS parts FROM units"}
+    for i in range(levels):
+        left = "rn <= floor(c * (parts // 2) / parts + 0.5)"
+        out[f"t{i + 1}"] = (f"SELECT uid, region, x, y, CASE WHEN parts = 1 OR {left} THEN tile ELSE tile + parts // 2 END AS tile, CASE WHEN parts = 1 THEN 1 WHEN {left} THEN parts // 2 ELSE parts - parts // 2 END AS parts FROM ("
+                            f"SELECT *, row_number() OVER (PARTITION BY region, tile ORDER BY {'xy'[i % 2]}, uid) AS rn, (count(*) OVER (PARTITION BY region, tile))::DOUBLE AS c FROM t{i})")
+    return out
+
+
+@query("balanced_tiles_by_size", "M19", "uid:i region:s tile:i", with_ctes("units", "SELECT uid, region, tile FROM t10", **_tile_levels(10)))
+def balanced_tiles_by_size(spark, sf):
+    """Every region has its own number of tiles of about 20 points."""
+    u = units(spark, sf).select("uid", "region", F.col("bal").alias("x"), (F.col("uid") * 7 % 101).alias("y"))
+    return ft.balanced_tiles(u, "region", "x", "y", "uid", per_tile=20)
+
+
 @query("polygon_area", "M20", "area_name:s area:f cx:f cy:f pos:i", with_ctes(
     "units", "SELECT area AS area_name, a AS area, cx, cy, row_number() OVER (ORDER BY cx, area) - 1 AS pos FROM (SELECT area, abs(sum(x * ny - nx * y)) / 2 AS a, avg(x) AS cx, avg(y) AS cy FROM ("
     "SELECT *, coalesce(lead(x) OVER g, first_value(x) OVER g) AS nx, coalesce(lead(y) OVER g, first_value(y) OVER g) AS ny FROM (SELECT area, uid, bal / 1000 AS x, uid * 7 % 101 / 10 AS y FROM units) "

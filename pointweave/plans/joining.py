@@ -38,6 +38,17 @@ def window_counts(spark, sf):
     return count_in_windows(_prestim(spark, sf), src.event_rows(spark, sf), "recid", "n", chunk_s=86400.0)
 
 
+@query("window_counts_equal", "J1", "recid:i t0:f n:i", with_ctes(
+    "ev trg", "SELECT w.recid, w.t0, count(e.eid) AS n FROM (SELECT row_number() OVER () AS id, nullif(recid, 3) AS recid, floor(t / 864000) * 864000 AS t0, floor(t / 864000) * 864000 + 3600 AS t1 FROM trg) w "
+    "LEFT JOIN (SELECT nullif(recid, 3) AS recid, eid, t FROM ev) e ON e.recid IS NOT DISTINCT FROM w.recid AND e.t BETWEEN w.t0 AND w.t1 GROUP BY w.id, w.recid, w.t0"))
+def window_counts_equal(spark, sf):
+    """Many equal windows, and one recording without a name."""
+    key = F.nullif("recid", F.lit(3)).alias("recid")
+    start = (F.floor(F.col("t") / 864000) * 864000).cast("double")
+    win = src.triggers(spark, sf).select(key, start.alias("t0"), (start + 3600).alias("t1"))
+    return count_in_windows(win, src.event_rows(spark, sf).select(key, "t"), "recid", "n", chunk_s=86400.0)
+
+
 @query("raster_events", "J2", "recid:i win_id:i eid:i rel_t:f", with_ctes(
     "ev trg", "SELECT w.recid, w.win_id, e.eid, e.t - w.t AS rel_t FROM trg w JOIN ev e ON e.recid = w.recid AND e.t > w.t - 7200 AND e.t < w.t + 3600"))
 def raster_events(spark, sf):

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins, trains
-from ..operators.scan import groups_fit
 from ..operators.stability import equal_parts
 from ..sources import tables as src
 from .registry import query
@@ -15,7 +14,7 @@ G = ["recid", "uid", "win_id"]
 def _isi(spark, sf):
     ev = src.event_rows(spark, sf)
     evw = trains.events_in_windows(ev, src.tiles(ev, TILE), bucket=TILE)
-    return trains.intervals(evw, G, ("t", "eid"), fits=groups_fit(ev, ["recid", "uid"]))
+    return trains.intervals(evw, G, ("t", "eid"))
 
 
 query("isi", "P1", "recid:i uid:i win_id:i t:f isi:f", with_ctes("isi", "SELECT recid, uid, win_id, t, isi FROM isi"))(_isi)
@@ -155,16 +154,15 @@ _PRE = 6 * 86400
          "log10(count(*) / any_value(t1 - t0)) AS rate FROM iv GROUP BY recid, uid, state, win_id"))
 def spontaneous_metrics(spark, sf):
     ev = src.event_rows(spark, sf).select("recid", "uid", "t", "eid")
-    fits = groups_fit(ev, "recid")  # windows, artifacts and quiet periods each come from events of the recording
     trg = src.triggers(spark, sf)
     ends = trg.select("recid", "win_id", (F.col("t") - 60).alias("t0"), F.col("t").alias("t1"))
     art = src.triggers(spark, sf, "error").select("recid", F.col("t").alias("t0"), F.col("t").alias("t1"))
-    kept = joins.purge_windows(ends, art, "recid", fits=fits)
+    kept = joins.purge_windows(ends, art, "recid")
     quiet = src.event_windows(spark, sf, "signup", 3600.0, 3600.0)
     near = kept.withColumn("t0", F.col("t1") - 1800.0)
-    win = joins.label_states(near, quiet, "recid", fits=fits).withColumn("t0", F.col("t1") - float(_PRE))
+    win = joins.label_states(near, quiet, "recid").withColumn("t0", F.col("t1") - float(_PRE))
     evw = trains.events_in_windows(ev, win, bucket=float(_PRE))
     # a trigger window belongs to one recording and state: two numeric keys order the big table
-    isi = trains.intervals(evw, ["win_id", "uid"], ("t", "eid"), fits=fits or groups_fit(ev, ["recid", "uid"]), keep_first=True)
+    isi = trains.intervals(evw, ["win_id", "uid"], ("t", "eid"), keep_first=True)
     values = trains.interval_metrics(isi, ["win_id", "uid", "recid", "state", "t0", "t1"], ["b", "lv"], min_n=4).withColumnRenamed("n_rows", "n")
     return trains.mean_std(trains.log_rate(values), ["recid", "uid", "state"], ["b", "lv", "rate"], n_min=2, count_as="n_win")

@@ -55,6 +55,39 @@ def permute_counts_by_margins(spark, sf):
     return pm.permute_counts_by_margins(_base(spark, sf), "a1", "a2", "const", 1000)
 
 
+@query("exact_moments", "N2", "a1:s a2:s n:i mean:f sd:f", with_ctes(
+    "", "SELECT a1, a2, (SELECT count(*) FROM b WHERE b.a1 IS NOT DISTINCT FROM g.a1 AND b.a2 IS NOT DISTINCT FROM g.a2) AS n, mean, sd FROM g",
+    b="SELECT o_orderpriority AS a1, nullif(o_orderstatus, 'P') AS a2, nullif(o_custkey % 4, 1) AS const FROM orders",
+    g="SELECT a1, a2, sum(r * c / w) AS mean, sqrt(sum(CASE WHEN w > 1 THEN r * c * (w - r) * (w - c) / (w * w * (w - 1)) ELSE 0 END)) AS sd FROM ("
+      "SELECT x.a1, y.a2, x.n::DOUBLE AS r, y.n::DOUBLE AS c, z.n::DOUBLE AS w FROM (SELECT const, a1, count(*) AS n FROM b GROUP BY ALL) x "
+      "JOIN (SELECT const, a2, count(*) AS n FROM b GROUP BY ALL) y ON x.const IS NOT DISTINCT FROM y.const "
+      "JOIN (SELECT const, count(*) AS n FROM b GROUP BY ALL) z ON z.const IS NOT DISTINCT FROM x.const) GROUP BY a1, a2"))
+def exact_moments(spark, sf):
+    """Closed-form moments of the null, with NULL levels and a NULL constant group."""
+    o = src.read_table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("a1"), F.nullif("o_orderstatus", F.lit("P")).alias("a2"), F.nullif(F.col("o_custkey") % 4, F.lit(1)).alias("const"))
+    return pm.exact_moments(o, "a1", "a2", "const")
+
+
+@query("margin_draws_check", "N1", "reps:i rows_ok:b cols_ok:b mean_ok:b", "SELECT 1000 AS reps, true AS rows_ok, true AS cols_ok, true AS mean_ok")
+def margin_draws_check(spark, sf):
+    """A thousand repetitions keep both margins each, and their means lie within five standard errors of the exact ones."""
+    base, reps = _base(spark, sf), 1000
+    draws = pm.permute_counts_by_margins(base, "a1", "a2", "const", reps)
+    exact = pm.exact_moments(base, "a1", "a2", "const")
+
+    def kept(attr: str):
+        want = base.groupBy(attr).agg(F.count("*").alias("want"))
+        sums = draws.groupBy("rep", attr).agg(F.sum("n").alias("got")).join(want, attr)
+        return sums.agg((F.count("*") == F.lit(reps) * F.countDistinct(attr)).alias("all"), F.min(F.col("got") == F.col("want")).alias("same"))
+
+    mean = draws.groupBy("a1", "a2").agg((F.sum("n") / reps).alias("drawn"))
+    near = exact.join(mean, ["a1", "a2"], "left").agg(F.min(F.abs(F.coalesce("drawn", F.lit(0.0)) - F.col("mean")) <= 5 * F.col("sd") / reps ** 0.5 + 1e-9).alias("mean_ok"))
+    r, c = (kept(a).select((F.col("all") & F.col("same")).alias(n)) for a, n in (("a1", "rows_ok"), ("a2", "cols_ok")))
+    one = F.lit(1).alias("one")
+    return r.select("*", one).join(c.select("*", one), "one").join(near.select("*", one), "one").select(F.lit(reps).alias("reps"), "rows_ok", "cols_ok", "mean_ok")
+
+
 @query("null_moments", "N2", "a1:s a2:s mean:f sd:f", with_ctes("", "SELECT * FROM st", **_N))
 def null_moments(spark, sf):
     base = _base(spark, sf)

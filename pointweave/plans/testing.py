@@ -1,7 +1,9 @@
 """Statistical test and correlation queries (T)."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.scalars import normal_tails_sql
 from ..operators import stats as st
 from ..operators import trains
 from ..sources import tables as src
@@ -103,16 +105,71 @@ def cccp(spark, sf):
     return st.choice_probability(counts, trials, ["recid", "uid"], "win_id", "cond", "lab", "n", CP_REPS, group="recid")
 
 
-@query("wilcoxon", "T9", "l_suppkey:i n:i w:f z:f", (
+_WILCOXON = (
     "WITH d AS (SELECT l_suppkey, l_quantity - l_linenumber * 6 AS d FROM lineitem WHERE l_quantity - l_linenumber * 6 <> 0), "
     "r AS (SELECT l_suppkey, d, rank() OVER (PARTITION BY l_suppkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_suppkey, abs(d)) - 1) / 2 AS r FROM d), "
     "t AS (SELECT l_suppkey, sum(pow(c, 3) - c) AS t FROM (SELECT l_suppkey, abs(d) AS a, count(*) AS c FROM d GROUP BY ALL) GROUP BY 1), "
     "g AS (SELECT l_suppkey, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY 1) "
-    "SELECT l_suppkey, n, w, (w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - t / 2) / 24) AS z FROM g JOIN t USING (l_suppkey)"))
+    "SELECT l_suppkey, n, w, (w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - t / 2) / 24) AS z FROM g JOIN t USING (l_suppkey)")
+
+
+_CP_SHARED = {
+    "trials": "SELECT recid, row_number() OVER (PARTITION BY recid ORDER BY win_id) AS win_id, CAST(floor(t / 86400) AS BIGINT) % 3 AS cond, amp > 12 AS lab, t - 21600 AS t0, t + 21600 AS t1 FROM trg WHERE recid = recid",
+    "counts": _CP["counts"],
+    "cn": _CP["cn"].replace("SELECT cond, any_value(recid) AS recid,", "SELECT recid, cond,").replace("GROUP BY cond", "GROUP BY recid, cond"),
+    "rk": "SELECT uid, recid, win_id, cond, rank() OVER (PARTITION BY recid, uid, cond ORDER BY n) + (count(*) OVER (PARTITION BY recid, uid, cond, n) - 1) / 2 AS r FROM counts SEMI JOIN cn USING (recid, cond)",
+    "used": "SELECT * FROM trials SEMI JOIN cn USING (recid, cond)",
+    "pos": "SELECT recid, win_id, cond, lab, row_number() OVER (PARTITION BY recid, cond ORDER BY md5('pos_' || win_id), win_id) AS k FROM used",
+    "lb": f"SELECT recid, cond, rep, lab, row_number() OVER (PARTITION BY recid, cond, rep ORDER BY md5('lab_' || rep || '_' || win_id), win_id) AS k FROM used CROSS JOIN (SELECT unnest(range(1, {CP_REPS + 1})) AS rep)",
+    "pick": "SELECT 0 AS rep, recid, win_id FROM used WHERE lab UNION ALL SELECT rep, recid, win_id FROM pos JOIN lb USING (recid, cond, k) WHERE lb.lab",
+    "nn": _CP["nn"],
+    "cp": "SELECT recid, uid, rep, (s - o) / d AS c FROM (SELECT recid, uid, rep, sum(r) AS s FROM rk JOIN pick USING (recid, win_id) GROUP BY ALL) JOIN nn USING (recid)",
+    "ob": _CP["ob"], "pv": _CP["pv"],
+}
+
+
+@query("cccp_shared_names", "T8", "recid:i uid:i cccp:p p:p pref:i", with_ctes(
+    "ev trg", "SELECT recid, uid, CASE WHEN c < 0.5 THEN 1 - c ELSE c END AS cccp, CASE WHEN c < 0.5 THEN 1 - p ELSE p END AS p, CASE WHEN c < 0.5 THEN -1 ELSE 1 END AS pref FROM pv", **_CP_SHARED))
+def cccp_shared_names(spark, sf):
+    """Recordings share condition names and trial numbers."""
+    ev, trg = src.event_rows(spark, sf), src.triggers(spark, sf)
+    number = F.row_number().over(Window.partitionBy("recid").orderBy("win_id")).cast("bigint")
+    trials = trg.select("recid", number.alias("win_id"), (F.floor(F.col("t") / 86400) % 3).alias("cond"), (F.col("amp") > 12).alias("lab"), (F.col("t") - 21600).alias("t0"), (F.col("t") + 21600).alias("t1"))
+    counts = trains.window_counts(ev, trials, bucket=43200.0)
+    return st.choice_probability(counts, trials, ["recid", "uid"], "win_id", "cond", "lab", "n", CP_REPS, group="recid")
+
+
+@query("theil_sen_close_x", "T6", "slope:f intercept:f", (
+    "WITH p AS (SELECT s_suppkey // 2 + (s_suppkey % 2) * 1e-9 AS x, s_acctbal / 1000 AS y FROM supplier), m AS (SELECT quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM p a JOIN p b ON a.x < b.x) "
+    "SELECT slope, (SELECT quantile_cont(y, 0.5) FROM p) - slope * (SELECT quantile_cont(x, 0.5) FROM p) AS intercept FROM m"))
+def theil_sen_close_x(spark, sf):
+    s = src.read_table(spark, sf, "supplier")
+    return st.theil_sen(s.select(F.expr("s_suppkey div 2 + (s_suppkey % 2) * 1e-9D").alias("x"), (F.col("s_acctbal") / 1000).alias("y")), "x", "y")
+
+
+@query("wilcoxon", "T9", "l_suppkey:i n:i w:f z:f p:f", f"SELECT *, {normal_tails_sql('z')} AS p FROM ({_WILCOXON})")
 def wilcoxon(spark, sf):
     return st.wilcoxon(_lineitem(spark, sf).withColumn("base", F.col("l_linenumber") * 6.0), "l_suppkey", "base", "l_quantity")
 
 
+@query("wilcoxon_fdr", "T10", "l_suppkey:i p:f p_adj:f", (
+    f"WITH w AS (SELECT l_suppkey, {normal_tails_sql('z')} AS p FROM ({_WILCOXON})), q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, l_suppkey DESC) AS q FROM w) "
+    "SELECT l_suppkey, p, least(1, min(q) OVER (ORDER BY p DESC, l_suppkey ROWS UNBOUNDED PRECEDING)) AS p_adj FROM q"))
+def wilcoxon_fdr(spark, sf):
+    w = wilcoxon(spark, sf).select("l_suppkey", "p").withColumn("fam", F.lit(1))
+    return st.fdr(w, "fam", "p", "l_suppkey")
+
+
+@query("fdr_null_family", "T10", "id:i fam:s p_adj:f", (
+    "WITH pp AS (SELECT o_orderkey AS id, nullif(o_orderstatus, 'P') AS fam, pow((o_totalprice % 1000) / 1000, 3) AS p FROM orders), "
+    "q AS (SELECT *, p * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p, id DESC) AS q FROM pp) "
+    "SELECT id, fam, least(1, min(q) OVER (PARTITION BY fam ORDER BY p DESC, id ROWS UNBOUNDED PRECEDING)) AS p_adj FROM q"))
+def fdr_null_family(spark, sf):
+    o = src.read_table(spark, sf, "orders")
+    p = o.select(F.col("o_orderkey").alias("id"), F.nullif("o_orderstatus", F.lit("P")).alias("fam"), F.pow((F.col("o_totalprice") % 1000) / 1000, F.lit(3)).alias("p"))
+    return st.fdr(p, "fam", "p", "id")
+
+
 _P = "SELECT o_orderkey AS id, o_orderpriority AS fam, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice < 2000 THEN NULL ELSE pow((o_totalprice % 1000) / 1000, 3) END AS p FROM orders"
 
 

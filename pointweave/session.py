@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,12 +26,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "poi
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A session without that setting (tests) keeps its lineage: the plan is only longer, never wrong.
+    Only a session without that setting (tests) gets a local folder instead.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointweave-"))
     return df.checkpoint()

@@ -18,16 +18,6 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-@pytest.fixture
-def chunked(spark):
-    """Every key counts as too large for one task."""
-    from pointweave.operators.scan import MAX_GROUP_ROWS
-
-    spark.conf.set(MAX_GROUP_ROWS, "0")
-    yield spark
-    spark.conf.unset(MAX_GROUP_ROWS)
-
-
 def rows(df, *cols):
     df = df.select(*cols) if cols else df
     return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, x) for x in r))

@@ -18,9 +18,7 @@ def wins(spark, data):
 BLOCKED = [(300, 400), (550, 700), (1000, 1100), (5000, 5600), (410, 460), (690, 720), (740, 790), (800, 1050), (1060, 1070), (0, 600)]
 
 
-@pytest.mark.parametrize("limit", ["5000000", "0"])
-def test_merge_and_complement_example(spark, limit):
-    spark.conf.set("spark.pointweave.maxGroupRows", limit)
+def test_merge_and_complement_example(spark):
     m = iv.merge_intervals(wins(spark, BLOCKED), "recid", lo=0.0, hi=5000.0)
     assert rows(m, "t0", "t1") == [(0.0, 720.0), (740.0, 790.0), (800.0, 1100.0)]
     assert rows(iv.merge_intervals(m, "recid"), "t0", "t1") == rows(m, "t0", "t1")
@@ -29,7 +27,6 @@ def test_merge_and_complement_example(spark, limit):
     assert rows(free) == [("empty", 0.0, 9.0), ("r", 720.0, 740.0), ("r", 790.0, 800.0), ("r", 1100.0, 5000.0)]
     blocked = sum(t1 - t0 for t0, t1 in rows(m, "t0", "t1"))
     assert blocked + sum(t1 - t0 for r, t0, t1 in rows(free) if r == "r") == 5000.0
-    spark.conf.unset("spark.pointweave.maxGroupRows")
 
 
 def test_touching_windows_and_gaps(spark):

@@ -1,4 +1,4 @@
-"""Plain and chunked scans agree with each other and with plain Python."""
+"""Scans agree with plain Python whatever the chunks."""
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -21,21 +21,19 @@ SPECS = dict(
     prior=("prior", "v"), nxt=("next", "v"), follow=("follow", "v"), first=("first", "v"), total=("total", "v"), rn="row")
 
 
-def scanned(spark):
-    return rows(sc.scan(frame(spark), "k", ["t", "id"], sc.time_chunk("t", 50.0), **SPECS))
+def test_chunk_width_does_not_matter(spark):
+    """One chunk for all, many small ones: the same rows, NULL keys and NULL order values included."""
+    data = DATA + [(None, 3.0, 8, 1), (None, 400.0, 9, None), (None, None, 10, 4), ("a", None, 11, 3)]
+    df = spark.createDataFrame(data, "k string, t double, id int, v int")
+    wide, narrow = (rows(sc.scan(df, "k", ["t", "id"], sc.time_chunk("t", w), **SPECS)) for w in (1e9, 5.0))
+    assert wide == narrow and len(wide) == len(data)
+    by_id = {r[2]: r for r in narrow}
+    rn = list(SPECS).index("rn") + 4
+    assert [by_id[i][rn] for i in (10, 8, 9, 11, 1)] == [1, 2, 3, 1, 2]
 
 
-def test_chunked_equals_plain(spark):
-    plain = scanned(spark)
-    spark.conf.set(sc.MAX_GROUP_ROWS, "0")
-    try:
-        assert scanned(spark) == plain
-    finally:
-        spark.conf.unset(sc.MAX_GROUP_ROWS)
-
-
-def test_values(chunked):
-    got = {r["id"]: r for r in sc.scan(frame(chunked), "k", ["t", "id"], sc.time_chunk("t", 50.0), **SPECS).collect()}
+def test_values(spark):
+    got = {r["id"]: r for r in sc.scan(frame(spark), "k", ["t", "id"], sc.time_chunk("t", 50.0), **SPECS).collect()}
     assert (got[3]["lag"], got[3]["lead"], got[4]["lag"], got[4]["lead"]) == (None, 1, 7, None)
     assert (got[4]["s"], got[4]["mx"], got[4]["reach"], got[5]["last"], got[2]["next"] if "next" in got[2] else got[2]["nxt"]) == (13, 7, 7, 1, 7)
     assert (got[1]["rn"], got[5]["rn"], got[6]["rn"], got[5]["total"], got[5]["first"]) == (1, 5, 1, 13, 5)
@@ -46,38 +44,35 @@ def test_values(chunked):
 @given(hs.lists(hs.tuples(hs.sampled_from("xy"), hs.integers(-5, 5)), min_size=1, max_size=30))
 def test_average_rank_and_percentiles(spark, data):
     df = spark.createDataFrame([(i, k, float(v)) for i, (k, v) in enumerate(data)], "id int, k string, v double")
-    for limit in ("5000000", "0"):
-        spark.conf.set(sc.MAX_GROUP_ROWS, limit)
-        got = {r["id"]: r["r"] for r in sc.average_rank(df, "k", "v", "r").collect()}
-        med = {r["k"]: r["m"] for r in sc.percentile_columns(df, "k", "v", {"m": 0.5}).collect()}
-        low = {r["k"]: r["m"] for r in sc.percentile_columns(df, "k", "v", {"m": 0.4}, "lower").collect()}
-        for i, (k, v) in enumerate(data):
-            peers = sorted(x for kk, x in data if kk == k)
-            at = [j + 1 for j, x in enumerate(peers) if x == v]
-            assert got[i] == pytest.approx(sum(at) / len(at))
-            n = len(peers)
-            mid = (n - 1) / 2
-            assert med[k] == pytest.approx((peers[int(mid)] + peers[-int(-mid // 1)]) / 2)
-            assert low[k] == peers[int(0.4 * (n - 1))]
-    spark.conf.unset(sc.MAX_GROUP_ROWS)
+    got = {r["id"]: r["r"] for r in sc.average_rank(df, "k", "v", "r").collect()}
+    med = {r["k"]: r["m"] for r in sc.percentile_columns(df, "k", "v", {"m": 0.5}).collect()}
+    low = {r["k"]: r["m"] for r in sc.percentile_columns(df, "k", "v", {"m": 0.4}, "lower").collect()}
+    for i, (k, v) in enumerate(data):
+        peers = sorted(x for kk, x in data if kk == k)
+        at = [j + 1 for j, x in enumerate(peers) if x == v]
+        assert got[i] == pytest.approx(sum(at) / len(at))
+        n = len(peers)
+        mid = (n - 1) / 2
+        assert med[k] == pytest.approx((peers[int(mid)] + peers[-int(-mid // 1)]) / 2)
+        assert low[k] == peers[int(0.4 * (n - 1))]
 
 
 WINDOWS = [("r", 1, 0.0, 10.0), ("r", 2, 10.0, 20.0), ("r", 3, 35.0, 35.0), ("q", 4, 5.0, 6.0)]
 OTHERS = [("r", 20.0, 30.0), ("r", 35.0, 36.0), ("q", 7.0, 8.0)]
 
 
-def test_overlap_closed_and_padded(chunked):
-    w = chunked.createDataFrame(WINDOWS, "k string, id int, t0 double, t1 double")
-    o = chunked.createDataFrame(OTHERS, "k string, t0 double, t1 double")
+def test_overlap_closed_and_padded(spark):
+    w = spark.createDataFrame(WINDOWS, "k string, id int, t0 double, t1 double")
+    o = spark.createDataFrame(OTHERS, "k string, t0 double, t1 double")
     hit = {r["id"]: r["h"] for r in overlap_flag(w, o, "k", "h", 10.0).collect()}
     assert hit == {1: False, 2: True, 3: True, 4: False}
     near = {r["id"]: r["h"] for r in overlap_flag(w, o, "k", "h", 10.0, pad=1.0).collect()}
     assert near == {1: False, 2: True, 3: True, 4: True}
 
 
-def test_points_and_counts_at_the_border(chunked):
-    w = chunked.createDataFrame(WINDOWS, "k string, id int, t0 double, t1 double")
-    p = chunked.createDataFrame([("r", 10.0), ("r", 0.0), ("r", 35.0), ("q", 5.5), ("q", 6.0)], "k string, t double")
+def test_points_and_counts_at_the_border(spark):
+    w = spark.createDataFrame(WINDOWS, "k string, id int, t0 double, t1 double")
+    p = spark.createDataFrame([("r", 10.0), ("r", 0.0), ("r", 35.0), ("q", 5.5), ("q", 6.0)], "k string, t double")
     pairs = rows(points_in_windows(p, w, "k", 7.0), "id", "t")
     assert pairs == [(1, 0.0), (1, 10.0), (2, 10.0), (3, 35.0), (4, 5.5), (4, 6.0)]
     assert rows(points_in_windows(p, w, "k", 7.0, closed=False), "id", "t") == [(4, 5.5)]

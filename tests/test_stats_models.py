@@ -20,15 +20,12 @@ def labelled(spark):
     return spark.createDataFrame(data, "id int, a1 string, a2 string, const string")
 
 
-@pytest.mark.parametrize("limit", ["5000000", "0"])
-def test_permutation_keeps_margins(spark, labelled, limit):
-    spark.conf.set("spark.pointweave.maxGroupRows", limit)
+def test_permutation_keeps_margins(spark, labelled):
     perm = pm.permute_counts(labelled, "id", "a1", "a2", "const", 5)
     for c in ("a1", "a2"):
         want = dict(rows(labelled.groupBy(c).count()))
         for rep in range(5):
             assert dict(rows(perm.where(F.col("rep") == rep).groupBy(c).agg(F.sum("n")))) == want
-    spark.conf.unset("spark.pointweave.maxGroupRows")
 
 
 def test_margin_sampler_has_the_exact_null(spark, labelled):
@@ -71,9 +68,7 @@ def test_fdr_ties_null_and_by(spark):
     assert nokey[3] == pytest.approx(0.5)
 
 
-@pytest.mark.parametrize("limit", ["5000000", "0"])
-def test_kendall_and_theil_sen_against_pairs(spark, limit):
-    spark.conf.set("spark.pointweave.maxGroupRows", limit)
+def test_kendall_and_theil_sen_against_pairs(spark):
     rng = np.random.default_rng(11)
     x, y = rng.integers(0, 12, 60).astype(float), np.round(rng.normal(size=60), 1)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
@@ -85,7 +80,6 @@ def test_kendall_and_theil_sen_against_pairs(spark, limit):
     r = st.theil_sen(df, "x", "y").first()
     assert r["slope"] == pytest.approx(slope, abs=1e-9)
     assert r["intercept"] == pytest.approx(np.median(y) - slope * np.median(x), abs=1e-9)
-    spark.conf.unset("spark.pointweave.maxGroupRows")
 
 
 def test_tuning_significance_keeps_missing(spark):
