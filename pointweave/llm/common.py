@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,20 +120,39 @@ def combine(columns: list[np.ndarray]) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(array: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct ``k``-word shingle hashes; fewer words make one shingle, no words none."""
+def shingle_sets(array: pa.Array, k: int, crowd: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text its sorted distinct ``k``-word shingle hashes; fewer words make one shingle, no words none.
+
+    ``crowd`` gives a number for each word hash; with it comes, for each shingle, the least number of its words.
+    """
     offsets, flat = words(array)
     index, distinct = codes(flat)
-    h = word_hashes(distinct)[index]
-    n = len(h)
+    own = word_hashes(distinct)
+    h, n = own[index], len(index)
     rolled = combine([h[i : n - k + 1 + i] for i in range(k)]) if n >= k else np.empty(0, np.uint64)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+    least = whole = None
+    if crowd:
+        whole = crowd(own)[index]
+        least = whole[: max(n - k + 1, 0)].copy()
+        for i in range(1, k):
+            np.minimum(least, whole[i : n - k + 1 + i], out=least)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= k:
-            yield np.unique(rolled[a : b - k + 1])
+            part = rolled[a : b - k + 1]
+            if crowd:
+                order = np.argsort(part)
+                part, most = part[order], least[a : b - k + 1][order]
+            else:
+                part, most = np.sort(part), None
+            fresh = part[1:] != part[:-1]
+            if not fresh.all():
+                keep = np.concatenate([[True], fresh])
+                part, most = part[keep], most[keep] if crowd else None
+            yield part, most
         elif b > a:
-            yield np.array([combine([h[a + i : a + i + 1] for i in range(b - a)])[0] ^ np.uint64(b - a)], np.uint64)
+            yield np.array([combine([h[a + i : a + i + 1] for i in range(b - a)])[0] ^ np.uint64(b - a)], np.uint64), whole[a:b].min(keepdims=True) if crowd else None
         else:
-            yield np.empty(0, np.uint64)
+            yield np.empty(0, np.uint64), np.empty(0, np.uint32) if crowd else None
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -142,10 +161,6 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def checkpointed(df: DataFrame, what: str) -> DataFrame:
-    return materialise(df, what)
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for undirected ``edges``: component is the smallest node reachable.
 

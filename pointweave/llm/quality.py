@@ -148,6 +148,15 @@ class Slice:
         owner = np.repeat(np.arange(len(self.text)), np.diff(offsets))
         return np.bincount(np.unique(owner * (len(distinct) + 1) + index) // (len(distinct) + 1), minlength=len(self.text))
 
+    def _stutters(self) -> np.ndarray:
+        """Words equal to the word before them."""
+        offsets, index, _ = self.get("words")
+        same = np.zeros(len(index) + 1, bool)
+        same[1:-1] = index[1:] == index[:-1]
+        same[offsets[:-1]] = False
+        total = np.concatenate([[0], np.cumsum(same)])
+        return total[offsets[1:]] - total[offsets[:-1]]
+
     def _marked_words(self) -> np.ndarray:
         """Words whose last character is one of ``!`` or a symbol."""
         offsets, index, distinct = self.get("words")
@@ -189,11 +198,12 @@ def _share(part: str, whole: str, most: float) -> Callable[[Slice], np.ndarray]:
 
 RULES = (
     Rule("symbol_per_word", _share("n_symbols", "n_words", 0.1)),
-    Rule("duplicate_lines", lambda s: (s.get("n_lines") >= 4) & (s.get("n_dup_lines") > 0.3 * s.get("n_lines"))),
+    Rule("duplicate_lines", lambda s: (s.get("n_lines") >= 4) & (s.get("n_dup_lines") > 0.5 * s.get("n_lines"))),
     Rule("word_length", lambda s: (s.get("word_chars") < 2 * s.get("n_words")) | (s.get("word_chars") > 25 * s.get("n_words"))),
-    Rule("few_letters", lambda s: s.get("letters") < 0.6 * s.get("word_chars")),
+    Rule("few_letters", lambda s: s.get("letters") < 0.4 * s.get("word_chars")),
     Rule("few_distinct_words", lambda s: (s.get("n_words") >= 200) & (s.get("distinct_words") < 0.1 * s.get("n_words"))),
     Rule("marked_words", _share("marked_words", "n_words", 0.2)),
+    Rule("stutter", _share("stutters", "n_words", 0.4)),
     Rule("capitals", lambda s: (s.get("n_words") >= 20) & (s.get("capitals") > 0.7 * s.get("letters"))),
 )
 
@@ -275,7 +285,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)])
 
 
-@llm_query("op1_quality_rules")
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_AFTER = WINDOW - 1
+#: The same statistics and rules for DuckDB.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD})) AS lines FROM documents),
+p AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT id, i, word, lag(word) OVER o AS before, CASE WHEN lead(word, {_AFTER}) OVER o IS NOT NULL THEN
+    word || {" || ".join(f"' ' || lead(word, {j}) OVER o" for j in range(1, WINDOW))} END AS gram FROM p WINDOW o AS (PARTITION BY id ORDER BY i)),
+r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1),
+rep AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, i + j AS i FROM r, (SELECT unnest(range({WINDOW})) AS j)) GROUP BY id),
+s AS (SELECT id, count(DISTINCT word) AS distinct_words, count(*) FILTER (WHERE word = before) AS stutters,
+    count(*) FILTER (WHERE regexp_matches(word, '[!#*$%&|<>]{{2,}}$|^[|<>]+$')) AS marked FROM g GROUP BY id),
+b AS (SELECT doc_id, id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+    length(regexp_replace(text, '[\x00-@\\[-`{{-\x7F]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals FROM d),
+q AS (SELECT b.*, coalesce(rep.n, 0) AS n_repeat_words, coalesce(distinct_words, 0) AS distinct_words, coalesce(stutters, 0) AS stutters, coalesce(marked, 0) AS marked
+    FROM b LEFT JOIN rep USING (id) LEFT JOIN s USING (id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT (failed OR n_symbols > 0.1::DOUBLE * n_words
+    OR (n_lines >= 4 AND n_dup_lines > 0.5::DOUBLE * n_lines) OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR letters < 0.4::DOUBLE * word_chars
+    OR (n_words >= 200 AND distinct_words < 0.1::DOUBLE * n_words) OR marked > 0.2::DOUBLE * n_words OR stutters > 0.4::DOUBLE * n_words
+    OR (n_words >= 20 AND capitals > 0.7::DOUBLE * letters)) AS kept
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM q)
+"""
+
+
+@llm_query("op1_quality_rules", ORACLE)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", *STATS, "base_failed", "kept")
