@@ -21,9 +21,9 @@ def _orders(spark, sf):
 _GRID = "SELECT a.area, b.seg, count(u.uid) AS n FROM (SELECT DISTINCT area FROM u) a CROSS JOIN (SELECT DISTINCT seg FROM u) b LEFT JOIN u ON u.area = a.area AND u.seg = b.seg GROUP BY ALL"
 
 
-@query("crosstab", "A1", "area:s seg:s n:i", with_ctes("units", _GRID, u="SELECT * FROM units WHERE bal > 5000"))
+@query("crosstab", "A1", "area:s seg:s n:i", with_ctes("units", _GRID, u="SELECT * FROM units"))
 def crosstab(spark, sf):
-    return ag.crosstab(units(spark, sf).where("bal > 5000"), "area", "seg")
+    return ag.crosstab(units(spark, sf), "area", "seg")
 
 
 _ATTRS = ("p_brand", "p_type", "p_size")
@@ -150,10 +150,10 @@ def roi_counts(spark, sf):
 
 @query("roi_membership", "A14", "user_id:i side:s",
        "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'only_a' WHEN a.user_id IS NULL THEN 'only_b' ELSE 'both' END AS side FROM "
-       "(SELECT DISTINCT user_id FROM events WHERE value > 60) a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE value < 0.5) b ON a.user_id = b.user_id")
+       "(SELECT DISTINCT user_id FROM events) a FULL JOIN (SELECT DISTINCT user_id + 40 AS user_id FROM events) b ON a.user_id = b.user_id")
 def roi_membership(spark, sf):
     e = src.read_table(spark, sf, "events")
-    return ag.membership(e.where("value > 60"), e.where("value < 0.5"), "user_id")
+    return ag.membership(e, e.withColumn("user_id", F.col("user_id") + 40), "user_id")
 
 
 @query("share_change", "A15", "a1:s a2:s n:i share:f overall:f change_pct:f",

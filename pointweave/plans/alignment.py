@@ -120,13 +120,13 @@ def moving_average(spark, sf):
     "ev", "SELECT d.recid, d.i, count(*) * 100.0 / any_value(k) AS pct FROM det d JOIN kept USING (recid, chan) JOIN (SELECT recid, count(*) AS k FROM kept GROUP BY recid) USING (recid) "
     "WHERE NOT EXISTS (SELECT 1 FROM st s WHERE s.recid = d.recid AND d.i >= s.i - 1 AND d.i < s.i + 3) GROUP BY d.recid, d.i",
     det="SELECT DISTINCT recid, uid AS chan, CAST(floor(t / 3600) AS BIGINT) AS i FROM ev WHERE kind IN ('click', 'view')",
-    st="SELECT DISTINCT recid, CAST(floor(t / 3600) AS BIGINT) AS i FROM ev WHERE kind = 'signup' AND value > 20",
+    st="SELECT DISTINCT recid, CAST(floor(t / 3600) AS BIGINT) AS i FROM ev WHERE kind = 'signup'",
     nn="SELECT recid, chan, count(*) AS n FROM det GROUP BY ALL",
     kept="SELECT recid, chan FROM nn JOIN (SELECT recid, avg(n) AS mu, stddev_pop(n) AS sd FROM nn GROUP BY recid) USING (recid) WHERE abs(n - mu) <= 1.5 * sd"))
 def channel_consensus(spark, sf):
     ev = src.event_rows(spark, sf).withColumn("i", F.floor(F.col("t") / 3600))
     det = ev.where("kind IN ('click', 'view')").select("recid", F.col("uid").alias("chan"), "i").distinct()
-    return tc.channel_consensus(det, ev.where("kind = 'signup' AND value > 20").select("recid", "i").distinct(), "recid", 1.5, -1, 3)
+    return tc.channel_consensus(det, ev.where("kind = 'signup'").select("recid", "i").distinct(), "recid", 1.5, -1, 3)
 
 
 _OFF = {

@@ -140,14 +140,14 @@ def node_label(spark, sf):
 
 @query("relabel_clusters", "M12", "vec_id:i by_median:i by_distance:i", with_ctes(
     "", "SELECT vec_id, r1.pos AS by_median, r2.pos AS by_distance FROM emb JOIN r1 USING (label) JOIN r2 USING (label)", **M_CTES,
-    md="SELECT label, quantile_cont(e[1], 0.5) AS m1, quantile_cont(e[2], 0.5) AS m2, quantile_cont(e[3], 0.5) AS m3 FROM emb GROUP BY label",
-    r1="SELECT label, row_number() OVER (ORDER BY m1, label) - 1 AS pos FROM md",
-    rf="SELECT m1 AS a1, m2 AS a2, m3 AS a3 FROM md ORDER BY m1 DESC, label LIMIT 1",
-    r2="SELECT label, row_number() OVER (ORDER BY pow(m1 - a1, 2) + pow(m2 - a2, 2) + pow(m3 - a3, 2) DESC, label) - 1 AS pos FROM md CROSS JOIN rf"))
+    md="SELECT label, list(m ORDER BY d) AS m FROM (SELECT label, d, quantile_cont(v, 0.5) AS m FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS d FROM emb) GROUP BY ALL) GROUP BY label",
+    r1="SELECT label, row_number() OVER (ORDER BY m[1], label) - 1 AS pos FROM md",
+    rf="SELECT m AS a FROM md ORDER BY m[1] DESC, label LIMIT 1",
+    r2="SELECT label, row_number() OVER (ORDER BY list_distance(m, a) DESC, label) - 1 AS pos FROM md CROSS JOIN rf"))
 def relabel_clusters(spark, sf):
-    e = _emb(spark, sf).select("vec_id", "label", *[F.col("vec")[i].alias(f"f{i}") for i in range(3)])
+    e = _emb(spark, sf).select("vec_id", "label", *[F.col("vec")[i].alias(f"f{i}") for i in range(64)])
     m = ft.relabel_by_median(e, "label", "f0", "by_median").select("vec_id", "by_median")
-    d = ft.relabel_by_distance(e, "label", ["f0", "f1", "f2"], "f0", "by_distance").select("vec_id", "by_distance")
+    d = ft.relabel_by_distance(e, "label", [f"f{i}" for i in range(64)], "f0", "by_distance").select("vec_id", "by_distance")
     return m.join(d, "vec_id")
 
 

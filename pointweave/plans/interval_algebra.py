@@ -124,11 +124,11 @@ def mask_samples(spark, sf):
 @query("time_fractions", "I14", "recid:i usable:f frac_quiet:f frac_off:f", with_ctes(
     "ev art quiet", "SELECT recid, usable, coalesce(q, 0) / nullif(usable, 0) AS frac_quiet, coalesce(o, 0) / nullif(usable, 0) AS frac_off FROM ("
     "SELECT recid, hi - lo - coalesce((SELECT sum(t1 - t0) FROM art a WHERE a.recid = b.recid), 0) AS usable, "
-    "(SELECT sum(t1 - t0) FROM quiet a WHERE a.recid = b.recid) AS q, (SELECT sum(300.0) FROM ev a WHERE a.recid = b.recid AND kind = 'view' AND value > 30) AS o FROM bounds b)",
+    "(SELECT sum(t1 - t0) FROM quiet a WHERE a.recid = b.recid) AS q, (SELECT sum(300.0) FROM ev a WHERE a.recid = b.recid AND kind = 'view') AS o FROM bounds b)",
     bounds=_BOUNDS))
 def time_fractions(spark, sf):
     def kind(df, k):
         return df.select("recid", "t0", "t1", F.lit(k).alias("kind"))
-    off = src.event_rows(spark, sf, ["view"]).where("value > 30").select("recid", F.lit(0.0).alias("t0"), F.lit(300.0).alias("t1"))
+    off = src.event_rows(spark, sf, ["view"]).select("recid", F.lit(0.0).alias("t0"), F.lit(300.0).alias("t1"))
     w = kind(_art(spark, sf), "art").unionByName(kind(_quiet(spark, sf), "quiet")).unionByName(kind(off, "off"))
     return iv.time_fractions(w, bounds(spark, sf), "recid", ["quiet", "off"], "art")

@@ -83,9 +83,9 @@ def label_states(spark, sf):
 
 @query("before_reference", "J6", "recid:i win_id:i t0:f t1:f", with_ctes(
     "ev trg", "SELECT w.* FROM w LEFT JOIN r USING (recid) WHERE r.t IS NULL OR w.t1 <= r.t - 1", w=_PRE,
-    r="SELECT recid, min(t) AS t FROM ev WHERE kind = 'signup' AND value > 40 AND recid <> 3 GROUP BY recid"))
+    r="SELECT CASE WHEN recid = 3 THEN -3 ELSE recid END AS recid, min(t) AS t FROM ev WHERE kind = 'signup' GROUP BY recid"))
 def before_reference(spark, sf):
-    ref = src.event_rows(spark, sf, ["signup"]).where("value > 40 AND recid <> 3")
+    ref = src.event_rows(spark, sf, ["signup"]).withColumn("recid", F.expr("CASE WHEN recid = 3 THEN -3 ELSE recid END"))
     return joins.before_reference(_prestim(spark, sf), ref, "recid", buff=1.0)
 
 
@@ -135,19 +135,21 @@ def match_entities(spark, sf):
 
 @query("attach_delay", "J11", "uid:i resp_delay:f",
        "SELECT c_custkey AS uid, CASE WHEN n IS NULL OR n <> 1 THEN 999 WHEN p <= 0.5 THEN d END AS resp_delay FROM customer LEFT JOIN ("
-       "SELECT o_custkey AS c_custkey, count(*) AS n, max((o_totalprice % 1000) / 1000) AS p, max(o_totalprice) AS d FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY 1) USING (c_custkey)")
+       "SELECT CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN o_custkey ELSE -o_orderkey END AS c_custkey, count(*) AS n, max((o_totalprice % 1000) / 1000) AS p, max(o_totalprice) AS d FROM orders GROUP BY 1) USING (c_custkey)")
 def attach_delay(spark, sf):
-    s = src.read_table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(
-        F.col("o_custkey").alias("uid"), ((F.col("o_totalprice") % 1000) / 1000).alias("p"), F.col("o_totalprice").alias("d"))
+    own = F.expr("CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN o_custkey ELSE -o_orderkey END")  # other orders name nobody
+    s = src.read_table(spark, sf, "orders").select(
+        own.alias("uid"), ((F.col("o_totalprice") % 1000) / 1000).alias("p"), F.col("o_totalprice").alias("d"))
     return joins.attach_delay(src.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), s, "uid", "p", "d", 0.5)
 
 
 @query("score_lookup", "J12", "uid:i score_key:s score:f", with_ctes(
     "units", "SELECT uid, k AS score_key, score FROM (SELECT uid, CASE area WHEN 'NATION_1' THEN 'NATION_2' WHEN 'NATION_3' THEN 'NATION_4' ELSE area END AS k FROM units) u "
-    "JOIN (SELECT n_name AS k, avg(s_acctbal) AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey NOT IN (3, 7) GROUP BY 1) USING (k)"))
+    "JOIN (SELECT n_name || CASE WHEN n_nationkey IN (3, 7) THEN ' old' ELSE '' END AS k, avg(s_acctbal) AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (k)"))
 def score_lookup(spark, sf):
     s, n = src.read_table(spark, sf, "supplier"), src.read_table(spark, sf, "nation")
-    scores = s.join(n.where("n_nationkey NOT IN (3, 7)"), s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("area")).agg(
+    alias = F.concat("n_name", F.when(F.col("n_nationkey").isin(3, 7), " old").otherwise(""))
+    scores = s.join(n, s.s_nationkey == n.n_nationkey).groupBy(alias.alias("area")).agg(
         F.avg("s_acctbal").alias("score"))
     return joins.score_lookup(units(spark, sf), "area", {"NATION_1": "NATION_2", "NATION_3": "NATION_4"}, scores, "score")
 
@@ -166,10 +168,10 @@ def followon_windows(spark, sf):
     "ev", "SELECT a.recid, a.eid AS src, b.eid AS dst, b.t - a.t AS dt FROM s a JOIN s b ON a.recid = b.recid AND b.rn BETWEEN a.rn + 1 AND a.rn + 9 "
     "WHERE a.sign <> b.sign AND b.t - a.t <= 7200 AND a.lo <= b.hi AND a.hi >= b.lo",
     s="SELECT *, value - 5 AS lo, value + 5 AS hi, CASE WHEN uid % 2 = 0 THEN 1 ELSE -1 END AS sign, row_number() OVER (PARTITION BY recid ORDER BY t, eid) AS rn FROM "
-      "(SELECT recid % 5 AS recid, uid, t, eid, value FROM ev)"))
+      "(SELECT recid, uid, t, eid, value FROM ev)"))
 def next_opposite_events(spark, sf):
     ev = src.event_rows(spark, sf).select(
-        (F.col("recid") % 5).alias("recid"), "eid", "t", F.when(F.col("uid") % 2 == 0, 1).otherwise(-1).alias("sign"),
+        "recid", "eid", "t", F.when(F.col("uid") % 2 == 0, 1).otherwise(-1).alias("sign"),
         (F.col("value") - 5).alias("lo"), (F.col("value") + 5).alias("hi"))
     return joins.next_opposite_events(ev, "recid", 7200.0, search=10)
 

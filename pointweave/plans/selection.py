@@ -36,24 +36,24 @@ def sample_per_group(spark, sf):
     return sl.sample_per_group(units(spark, sf), "area", 5, "uid")
 
 
-@query("common_labels", "L4", "nat:i", "SELECT DISTINCT c_nationkey AS nat FROM customer WHERE c_acctbal > 9500 AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 2000)")
+@query("common_labels", "L4", "nat:i", "SELECT DISTINCT c_nationkey AS nat FROM customer WHERE c_nationkey IN (SELECT s_nationkey * 2 FROM supplier)")
 def common_labels(spark, sf):
-    c = src.read_table(spark, sf, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("nat"))
-    s = src.read_table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_nationkey").alias("nat"))
+    c = src.read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nat"))
+    s = src.read_table(spark, sf, "supplier").select((F.col("s_nationkey") * 2).alias("nat"))
     return sl.common_labels(c, s, "nat")
 
 
-@query("all_labels", "L4", "nat:i", "SELECT c_nationkey AS nat FROM customer WHERE c_acctbal > 9500 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 2000")
+@query("all_labels", "L4", "nat:i", "SELECT c_nationkey AS nat FROM customer UNION SELECT s_nationkey * 2 FROM supplier")
 def all_labels(spark, sf):
-    c = src.read_table(spark, sf, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("nat"))
-    s = src.read_table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_nationkey").alias("nat"))
+    c = src.read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nat"))
+    s = src.read_table(spark, sf, "supplier").select((F.col("s_nationkey") * 2).alias("nat"))
     return sl.all_labels(c, s, "nat")
 
 
-@query("unmatched_labels", "L5", "nat:i", "SELECT c_nationkey AS nat FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 2000")
+@query("unmatched_labels", "L5", "nat:i", "SELECT c_nationkey AS nat FROM customer EXCEPT SELECT s_nationkey * 2 FROM supplier")
 def unmatched_labels(spark, sf):
     c = src.read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nat"))
-    s = src.read_table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_nationkey").alias("nat"))
+    s = src.read_table(spark, sf, "supplier").select((F.col("s_nationkey") * 2).alias("nat"))
     return sl.unmatched_labels(c, s, "nat")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
+from ..session import output_folder
 from ..sources import tables as src
 from .registry import query
 from .sqltext import with_ctes
@@ -43,13 +44,15 @@ def allowed_recordings(spark, sf):
 
 
 @query("lookup_scores", "S5", "uid:i area:s score:f", with_ctes(
-    "units", "SELECT uid, area, coalesce(score, -1) AS score FROM units LEFT JOIN (SELECT n_name AS area, avg(s_acctbal) AS score "
-    "FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 2 GROUP BY n_name) USING (area)"))
+    "units", "SELECT uid, area, coalesce(score, -1) AS score FROM units LEFT JOIN (SELECT n_name || CASE WHEN n_regionkey = 2 THEN ' old' ELSE '' END AS area, avg(s_acctbal) AS score "
+    "FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey) USING (area)"))
 def lookup_scores(spark, sf):
     s, n = src.read_table(spark, sf, "supplier"), src.read_table(spark, sf, "nation")
-    scores = s.join(n.where("n_regionkey <> 2"), s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("area")).agg(
-        F.avg("s_acctbal").alias("score"))
-    return src.lookup_scores(units(spark, sf), scores, "area", "score", default=-1.0)
+    alias = F.concat("n_name", F.when(F.col("n_regionkey") == 2, " old").otherwise(""))
+    scores = s.join(n, s.s_nationkey == n.n_nationkey).groupBy(alias.alias("area")).agg(F.avg("s_acctbal").alias("score"))
+    path = output_folder(spark, "scores")
+    scores.write.option("header", True).csv(path)
+    return src.lookup_scores(units(spark, sf), src.read_scores(spark, path, "area"), "area", "score", default=-1.0)
 
 
 @query("write_sections", "S6", "section:s row_key:s field:s number:f text:s", with_ctes(
@@ -62,8 +65,10 @@ def write_sections(spark, sf):
     u = units(spark, sf)
     areas = u.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.avg("bal").alias("bal"), F.min("region").alias("region"))
     segs = u.groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
-    return src.to_long_section(areas, "area").withColumn("section", F.lit("areas")).unionByName(
-        src.to_long_section(segs, "seg").withColumn("section", F.lit("segments")))
+    path = output_folder(spark, "sections")
+    src.write_sections({"areas": areas, "segments": segs}, path)
+    back = [src.read_section(spark, path, name).withColumn("section", F.lit(name)) for name in ("areas", "segments")]
+    return back[0].unionByName(back[1])
 
 
 @query("filter_units", "F1", "p_partkey:i p_brand:s p_type:s", (
@@ -121,9 +126,9 @@ def decompose_region(spark, sf):
 @query("parent_region", "F7", "uid:i area:s parent:s",
        with_ctes("units", "SELECT uid, area, CASE WHEN region = 'ASIA' THEN 'na' ELSE region END AS parent FROM units"))
 def parent_region(spark, sf):
-    n, r = src.read_table(spark, sf, "nation"), src.read_table(spark, sf, "region").where("r_name <> 'ASIA'")
+    n, r = src.read_table(spark, sf, "nation"), src.read_table(spark, sf, "region")
     parents = n.join(r, n.n_regionkey == r.r_regionkey).select(
-        F.col("n_name").alias("area"), F.col("r_name").alias("parent"), F.col("r_regionkey").alias("rank"))
+        F.concat("n_name", F.when(F.col("r_name") == "ASIA", " old").otherwise("")).alias("area"), F.col("r_name").alias("parent"), F.col("r_regionkey").alias("rank"))
     return flt.parent_region(units(spark, sf), "area", parents)
 
 

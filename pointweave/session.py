@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "poi
     )
 
 
+def output_folder(spark: SparkSession, what: str) -> str:
+    """A new folder for results under ``spark.pointweave.outputDir``, else under ``spark.checkpoint.dir``.
+
+    Only a session without either (tests) gets a local folder.
+    """
+    top = spark.conf.get("spark.pointweave.outputDir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointweave-")
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where neither a wheel nor the source folder is installed."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="pointweave-"), "pointweave"), "zip", os.path.dirname(here), "pointweave")
+    spark.sparkContext.addPyFile(archive)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
