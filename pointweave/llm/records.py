@@ -17,9 +17,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,11 @@ from .common import codes, shared_folder, slices, table, texts, words
 from .registry import llm_query
 
 END_ID = 1
-REMEMBERED = 400_000
+#: Pieces that a worker remembers before it starts anew (about 200 bytes each).
+REMEMBERED = 800_000
 READ_BYTES = 4_000_000
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 5_000_000
 _MASK_DELTA = 0xA282EAD8
 
 
@@ -64,11 +69,15 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return doc_id, np.frombuffer(payload[10:], f"<u{payload[9]}").astype("<u4")
 
 
+#: A word of ASCII letters with marks after it, which the vocabulary's split always takes apart there.
+_PLAIN = r"^(?P<stem>[A-Za-z]+)(?P<marks>[.,;:!?#$%&*|]*)$"
+
+
 class WordEncoder:
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts from the library's ids of their pieces.
 
-    The vocabulary's own rules never join text across ASCII white space, so each distinct word is encoded once by the
-    library and looked up afterwards.
+    The vocabulary's own rules never join text across ASCII white space, nor ASCII letters with the marks after them, and
+    lower-case every letter. So each distinct piece goes through the library once; its ids stay in one flat array.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,26 +86,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = {"": 0}
+        self.first, self.pool = np.zeros(2, np.int64), np.empty(0, np.uint32)
+
+    def places(self, names: list[str]) -> np.ndarray:
+        """Number of each piece; new pieces go through the library."""
+        found = list(map(self.known.get, names))
+        if None in found:
+            new = [p for p, at in zip(names, found, strict=True) if at is None]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            found = list(map(self.known.__getitem__, names))
+        return np.array(found, np.int64)
 
     def encode(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets per text, all ids in order)."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
         offsets, flat = words(values)
         index, distinct = codes(flat)
-        names = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in names if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        parts = [self.known[w] for w in names]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        first = np.concatenate([[0], np.cumsum(size)])
-        pool = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        each = size[index]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(first[index] - ends[:-1], each) + np.arange(ends[-1])]
-        return ends[offsets], ids
+        plain = pc.extract_regex(distinct, _PLAIN)
+        stem, marks = codes(pc.coalesce(pc.ascii_lower(pc.struct_field(plain, "stem")), distinct)), codes(pc.coalesce(pc.struct_field(plain, "marks"), ""))
+        pieces = np.empty(2 * len(index), np.int64)
+        for at, (code, names) in enumerate((stem, marks)):
+            pieces[at::2] = self.places(names.to_pylist())[code][index]
+        start = self.first[pieces]
+        size = self.first[pieces + 1] - start
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ends[2 * offsets], self.pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
 
 
 @lru_cache(maxsize=4)
@@ -127,7 +150,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
         place = lambda kind, own="": f"{top}/{name}{own}.{kind}"
         at = records = tokens = 0
         out = index = None
-        for piece in slices(batches, "t"):
+        for piece in slices(batches, "t", ENCODE_BYTES):
             if out is None:
                 fs.create_dir(top, recursive=True)
                 out, index = fs.open_output_stream(place("rec", f"-{attempt}")), fs.open_output_stream(place("idx", f"-{attempt}"))
