@@ -42,7 +42,7 @@ def _discordant(cells: DataFrame, keys: list[str], bits: Column) -> DataFrame:
 
 
 def kendall_tau(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
-    """Kendall tau-b per key, exact with ties, in n log n rows."""
+    """Kendall tau-b per key, exact with ties, in n log n rows, and its two-sided p by the tie-corrected normal limit."""
     shown = names(keys)
     keys = shown or ["_all"]
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_all", F.lit(0)).select(*keys, x, y)
@@ -53,15 +53,25 @@ def kendall_tau(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> Dat
     cells = cells.groupBy(*keys, "rx", "ry").agg(F.sum("w").alias("w"))
     d = _discordant(join_null_safe(cells, n, keys), keys, F.length(F.bin("n")))
     half = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
-    tx = both.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(half("c").alias("n1"))
-    ty = both.groupBy(*keys, y).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(half("c").alias("n2"))
+    c = F.col("c").cast("double")
+
+    def ties(side: str, i: int) -> DataFrame:
+        moments = [half("c").alias(f"n{i}"), F.sum(c * (c - 1) * (2 * c + 5)).alias(f"v{i}"), F.sum(c * (c - 1) * (c - 2)).alias(f"w{i}")]
+        return both.groupBy(*keys, side).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(*moments)
+
+    tx, ty = ties(x, 1), ties(y, 2)
     txy = cells.groupBy(*keys).agg(half("w").alias("n3"))
     j = n
     for part in (tx, ty, txy, d):
         j = join_null_safe(j, part, keys)
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    c = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
-    return j.select(*shown, ratio(c - F.col("d"), F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("tau"), "n")
+    agree = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
+    score, m = agree - F.col("d"), F.col("n").cast("double")
+    var = (m * (m - 1) * (2 * m + 5) - F.col("v1") - F.col("v2")) / 18 + F.coalesce(ratio(2 * F.col("n1") * F.col("n2"), m * (m - 1)), F.lit(0.0)) + F.coalesce(
+        ratio(F.col("w1") * F.col("w2"), 9 * m * (m - 1) * (m - 2)), F.lit(0.0))
+    tau = ratio(score, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
+    out = j.select(*shown, tau.alias("tau"), "n", ratio(score, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("_z"))
+    return out.withColumn("p", F.when(F.col("tau").isNotNull(), normal_tails("_z"))).drop("_z")
 
 
 def theil_sen(df: DataFrame, x: str, y: str, fan: int = 32) -> DataFrame:
@@ -120,8 +130,8 @@ def linregress(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> Data
         regression_slope(y, x).alias("slope"), (mean_y - regression_slope(y, x) * mean_x).alias("intercept"), correlation(x, y).alias("r"))
 
 
-def corr_matrix(long: DataFrame, item: str, key_a: str, value: str, other: DataFrame | None = None, upper: bool = True, rank: bool = False) -> DataFrame:
-    """Correlation of every category pair over shared items.
+def corr_matrix(long: DataFrame, item: str, key_a: str, value: str, other: DataFrame | None = None, upper: bool = True, rank: bool = False, method: str = "pearson") -> DataFrame:
+    """Correlation of every category pair over shared items; ``method`` ``kendall`` gives tau and p instead of r.
 
     ``long`` and ``other`` are level-sized ``(item, category, value)`` tables (enrichment scores); the result
     has one row per category pair.
@@ -133,6 +143,8 @@ def corr_matrix(long: DataFrame, item: str, key_a: str, value: str, other: DataF
     j = a.join(b, item)
     if other is None and upper:
         j = j.where("cat_a < cat_b")
+    if method == "kendall":
+        return kendall_tau(j, ["cat_a", "cat_b"], "_x", "_y")
     return j.groupBy("cat_a", "cat_b").agg(correlation("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 

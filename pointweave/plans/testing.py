@@ -30,9 +30,18 @@ def _cust(spark, sf):
         F.col("c_mktsegment").alias("seg"), F.round(F.col("c_acctbal") / 50).alias("x"), F.coalesce("n", F.lit(0)).alias("y"))
 
 
-@query("kendall_tau", "T2", "seg:s tau:f n:i", (
-    f"WITH c AS (SELECT *, row_number() OVER () AS id FROM ({_CUST})), p AS (SELECT a.seg, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM c a JOIN c b ON a.seg = b.seg AND a.id < b.id) "
-    "SELECT seg, sum(sx * sy) / sqrt(sum(abs(sx))::DOUBLE * sum(abs(sy))) AS tau, (SELECT count(*) FROM c WHERE c.seg = p.seg) AS n FROM p GROUP BY seg"))
+_KENDALL_P = (  # from rows c(k, id, x, y): tau-b and its tie-corrected two-sided p for each k
+    "p AS (SELECT a.k, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM c a JOIN c b ON a.k = b.k AND a.id < b.id), "
+    "s AS (SELECT k, sum(sx * sy)::DOUBLE AS s, sum(abs(sx))::DOUBLE AS dx, sum(abs(sy))::DOUBLE AS dy FROM p GROUP BY k), "
+    "m AS (SELECT k, count(*)::DOUBLE AS n FROM c GROUP BY k), "
+    "tx AS (SELECT k, sum(t * (t - 1)) AS a, sum(t * (t - 1) * (2 * t + 5)) AS v, sum(t * (t - 1) * (t - 2)) AS w FROM (SELECT k, x, count(*)::DOUBLE AS t FROM c GROUP BY ALL) GROUP BY k), "
+    "ty AS (SELECT k, sum(t * (t - 1)) AS a, sum(t * (t - 1) * (2 * t + 5)) AS v, sum(t * (t - 1) * (t - 2)) AS w FROM (SELECT k, y, count(*)::DOUBLE AS t FROM c GROUP BY ALL) GROUP BY k), "
+    "z AS (SELECT k, n, s / nullif(sqrt(dx * dy), 0) AS tau, s / nullif(sqrt((n * (n - 1) * (2 * n + 5) - tx.v - ty.v) / 18 + tx.a * ty.a / (2 * n * (n - 1)) + coalesce(tx.w * ty.w / nullif(9 * n * (n - 1) * (n - 2), 0), 0)), 0) AS z "
+    "FROM s JOIN m USING (k) JOIN tx USING (k) JOIN ty USING (k))")
+
+
+@query("kendall_tau", "T2", "seg:s tau:f n:i p:f", (
+    f"WITH c AS (SELECT seg AS k, x, y, row_number() OVER () AS id FROM ({_CUST})), {_KENDALL_P} SELECT k AS seg, tau, n, {normal_tails_sql('z')} AS p FROM z"))
 def kendall_tau(spark, sf):
     return st.kendall_tau(_cust(spark, sf), "seg", "x", "y")
 
@@ -52,6 +61,15 @@ def corr_matrix(spark, sf):
     return st.corr_matrix(g, "area", "seg", "v")
 
 
+@query("corr_matrix_kendall", "T4", "cat_a:s cat_b:s tau:f n:i p:f", with_ctes(
+    "units", f"SELECT k[1] AS cat_a, k[2] AS cat_b, tau, n, {normal_tails_sql('z')} AS p FROM (WITH {_KENDALL_P} SELECT * FROM z)",
+    g="SELECT area, seg, avg(bal) AS v FROM units GROUP BY ALL",
+    c="SELECT [a.seg, b.seg] AS k, a.area AS id, a.v AS x, b.v AS y FROM g a JOIN g b ON a.area = b.area AND a.seg < b.seg"))
+def corr_matrix_kendall(spark, sf):
+    g = units(spark, sf).groupBy("area", "seg").agg(F.avg("bal").alias("v"))
+    return st.corr_matrix(g, "area", "seg", "v", method="kendall")
+
+
 @query("linregress", "T5", "l_returnflag:s slope:f intercept:f r:f",
        "SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, corr(l_extendedprice, l_quantity) AS r FROM lineitem GROUP BY 1")
 def linregress(spark, sf):
