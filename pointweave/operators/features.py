@@ -335,60 +335,41 @@ def squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 
 def cluster_quality(model: DataFrame, key: str, vec: str, label: str) -> DataFrame:
-    """Davies-Bouldin, Dunn and silhouette of a labelled model-sized table (prototypes, group vectors).
-
-    Distances to all members come from the broadcast matrix inside the row's task; no pair rows are made.
-    """
-    _check_cells(model.count(), dimension(model, vec))
-    rows = model.select(key, vec, label).orderBy(key).collect()
-    x = _bounded(np.array([r[1] for r in rows], dtype=float))
-    classes = sorted({r[2] for r in rows})
-    lab = np.array([classes.index(r[2]) for r in rows])
-
-    @F.pandas_udf("sil double, apart double, wide double")
-    def against_all(v: pd.Series, own: pd.Series) -> pd.DataFrame:
-        d = _distances(np.vstack(v.to_numpy()), x)
-        me = np.array([classes.index(c) for c in own])
-        sums = np.stack([d[:, lab == c].sum(axis=1) for c in range(len(classes))], axis=1)
-        size = np.bincount(lab, minlength=len(classes))
-        at = np.arange(len(me))
-        a = sums[at, me] / np.maximum(size[me] - 1, 1)
-        means = sums / size
-        means[at, me] = np.inf
-        b = means.min(axis=1)
-        sil = np.where(size[me] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
-        same = lab[None, :] == me[:, None]
-        apart = np.where(same | (d == 0), np.inf, d).min(axis=1)
-        return pd.DataFrame({"sil": sil, "apart": apart, "wide": np.where(same, d, 0.0).max(axis=1)})
-
-    q = model.select(against_all(F.col(vec), F.col(label)).alias("q")).agg(
-        ratio(F.min("q.apart"), F.max("q.wide")).alias("dunn"), F.avg("q.sil").alias("silhouette"))
+    """Davies-Bouldin, Dunn and silhouette of a labelled model table (prototypes, group vectors), from its pair distances."""
+    lab = model.select(F.col(key).alias("src"), F.col(label).alias("_own"))
+    d = pair_moments(model, key, vec).select("src", "dst", "dist")
+    d = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+    d = d.join(lab, "src").join(lab.select(F.col("src").alias("dst"), F.col("_own").alias("_other")), "dst")
+    per = d.groupBy("src", "_own", "_other").agg(
+        F.avg("dist").alias("_m"), F.max("dist").alias("_far"), F.min(F.when(F.col("dist") > 0, F.col("dist"))).alias("_close"))
+    same = F.col("_own") == F.col("_other")
+    row = per.groupBy("src").agg(
+        F.max(F.when(same, F.col("_m"))).alias("_a"), F.min(F.when(~same, F.col("_m"))).alias("_b"),
+        F.min(F.when(~same, F.col("_close"))).alias("_apart"), F.max(F.when(same, F.col("_far"))).alias("_wide"))
+    # the only member of its class has silhouette 0
+    sil = F.when(F.col("_a").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b", F.lit(1e-300)))
+    q = row.agg(ratio(F.min("_apart"), F.max(F.coalesce("_wide", F.lit(0.0)))).alias("dunn"), F.avg(sil).alias("silhouette"))
     return q.withColumn("_k", F.lit(1)).join(davies_bouldin(model, vec, label).withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def similarity_matrix(vectors: DataFrame, group: str, vec: str) -> DataFrame:
-    """Euclidean distance, 1 - d / max d, cosine and correlation for each pair of group vectors.
+def pair_moments(vectors: DataFrame, group: str, vec: str) -> DataFrame:
+    """(src, dst, dist, cosine, corr) for each pair src < dst: cells meet on their position and are summed.
 
-    ``vectors`` has one row per category or group and its size is checked; every row meets the broadcast
-    matrix inside its task and gives the pairs with later groups.
+    One row per pair of groups is the operator's result; nothing else than the cells of both groups meets in a task.
     """
-    keys, x = collect_model(vectors, group, vec)
-    key_type = vectors.schema[group].dataType.simpleString()
-    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
-    mid = x - x.mean(axis=1, keepdims=True)
-    mid_norm = np.maximum(np.linalg.norm(mid, axis=1), 1e-300)
-
-    @F.pandas_udf(f"array<struct<dst:{key_type},dist:double,cosine:double,corr:double>>")
-    def later(src: pd.Series) -> pd.Series:
-        out = []
-        for k in src:
-            i = keys.index(k)
-            d = np.sqrt(((x[i + 1:] - x[i]) ** 2).sum(axis=1))
-            c, r = x[i + 1:] @ x[i] / (norm[i] * norm[i + 1:]), mid[i + 1:] @ mid[i] / (mid_norm[i] * mid_norm[i + 1:])
-            out.append([{"dst": keys[i + 1 + j], "dist": float(d[j]), "cosine": float(c[j]), "corr": float(r[j])} for j in range(len(d))])
-        return pd.Series(out)
-
-    s = vectors.select(F.col(group).alias("src"), F.explode(later(F.col(group))).alias("p")).select("src", "p.*")
+    cells = vectors.select(F.col(group).alias("src"), F.posexplode(vec).alias("_d", "_x")).withColumn("_x", F.col("_x").cast("double"))
+    other = cells.select(F.col("src").alias("dst"), "_d", F.col("_x").alias("_y"))
+    x, y = F.col("_x"), F.col("_y")
+    s = cells.join(other, "_d").where("src < dst").groupBy("src", "dst").agg(
+        F.sqrt(F.sum((x - y) * (x - y))).alias("dist"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx"), F.sum(y * y).alias("_yy"),
+        F.coalesce(correlation("_x", "_y"), F.lit(0.0)).alias("corr"))
+    cosine = F.coalesce(ratio("_xy", F.sqrt("_xx") * F.sqrt("_yy")), F.lit(0.0))
+    return s.select("src", "dst", "dist", cosine.alias("cosine"), "corr")
+
+
+def similarity_matrix(vectors: DataFrame, group: str, vec: str) -> DataFrame:
+    """Euclidean distance, 1 - d / max d, cosine and correlation for each pair of group vectors."""
+    s = pair_moments(vectors, group, vec)
     top = s.agg(F.max("dist")).scalar()
     return s.withColumn("sim", 1 - ratio(F.col("dist"), top))
 
