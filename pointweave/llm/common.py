@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one step of a vectorised function holds at a time (a single longer text is a step of its own).
 SLICE_BYTES = 2_000_000
+#: Edges to a file while components are joined.
+FILE_ROWS = 100_000
 _OWN: dict[str, str] = {}
 
 
@@ -173,6 +175,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
     last = None
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -184,7 +187,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        edges = materialise(small, "edges")
+        # no more files than the edges of the last round fill
+        edges = materialise(small.coalesce(min(most, 8 + (last[0] if last else FILE_ROWS * most) // FILE_ROWS)), "edges")
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (mark["n"], mark["h"]) == last:
             break

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with adaptive multi-match prefixes (operator 6).
 
 A document is the set of its distinct ``k``-word shingles; equal sets are one class, represented by its smallest id.
-Shingles are ordered by an estimate of how many documents hold them (a count sketch over all documents, of fixed size),
-rare first. If two sets have Jaccard similarity of at least ``percent`` / 100, their prefixes of ``n - ceil(percent n /
-100) + l`` shingles share at least ``l``. Each document picks the ``l`` that makes its estimated candidate cost least:
-prefixes in crowded lists grow and demand more shared shingles before a pair is looked at.
+Shingles are ordered by a bound on how many documents hold them, rare first: the count of their rarest word, from a count
+sketch over the words of all documents (fixed size, never too low). If two sets have Jaccard similarity of at least
+``percent`` / 100, their prefixes of ``n - ceil(percent n / 100) + l`` shingles share at least ``l``. Each document picks
+the ``l`` that makes its estimated candidate cost least: prefixes in crowded lists grow and demand more shared shingles
+before a pair is looked at.
 
 Pairs are not listed group by group. First each document meets, in bounded chunks, those that share its most crowded
 prefix shingle; exact links there (a spanning forest of them) give first components. After that only prefix lists that
@@ -15,24 +16,29 @@ no group is expanded into its pairs and none is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, materialise, shingle_sets, slices, table, texts
+from .common import arrow_schema, codes, components, materialise, shingle_sets, slices, table, texts, word_hashes, words
 from .registry import llm_query
 
-SKETCH_BITS = 20
+#: Counters of the word sketch (4 bytes each): what is broadcast, whatever the input.
+SKETCH_BITS = 22
 CHUNKS = 64
 MAX_MATCH = 4
 #: Cost of looking at one candidate pair, in list entries read.
 PAIR_COST = 20
 #: Documents that are compared all against all at once; longer lists are cut and the cuts meet pairwise.
 CHUNK, BLOCK = 512, 4096
+#: Lists up to this length are joined pair by pair without their sets' bitmaps.
+SHORT = 64
 NO_ID = -(1 << 63)
 
 
@@ -51,58 +57,37 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return (low >> 64) - (1 << 63), (low & ((1 << 64) - 1)) - (1 << 63)
 
 
-def describe(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, d1, d2) for every row and, with a chunk number, each task's part of the count sketch."""
-    names = ["id", "n", "d1", "d2", "chunk", "counts"]
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+def word_sketch(rows: DataFrame) -> np.ndarray:
+    """Occurrences of all words in ``2**SKETCH_BITS`` counters: added up per task, then per chunk of counters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for part in slices(batches, "t"):
-            sets = list(shingle_sets(_lowered(part), k))
-            sketch += np.bincount(_buckets(np.concatenate(sets)), minlength=len(sketch)).astype(np.uint32)
-            digests = [_digest(s) for s in sets]
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
-                pa.array([d[1] for d in digests], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
-            ], schema=schema)
-        if sketch.any():
-            pieces = [(i, p.tobytes()) for i, p in enumerate(np.split(sketch, CHUNKS)) if p.any()]
-            m, none = len(pieces), pa.nulls(len(pieces), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], names)
-
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, chunk int, counts binary")
-
-
-def sketch_of(described: DataFrame) -> np.ndarray:
-    """All tasks' sketches added up: ``2**SKETCH_BITS`` numbers, whatever the input."""
+            index, distinct = codes(words(_lowered(part))[1])
+            np.add.at(sketch, _buckets(word_hashes(distinct)), np.bincount(index, minlength=len(distinct)).astype(np.uint32))
+        pieces = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(sketch, CHUNKS)) if p.any()]
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], ["chunk", "counts"])
 
     def add(frame):
-        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in frame["counts"])
+        total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in frame["counts"])
         frame = frame.iloc[:1][["chunk"]].copy()
-        frame["counts"] = [total.tobytes()]
+        frame["counts"] = [zlib.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)]
         return frame
 
-    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.int64)
-    for r in described.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        sketch[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
+    parts = rows.mapInArrow(count, "chunk int, counts binary")
+    for r in parts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+        sketch[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return sketch.reshape(-1)
 
 
-def excess(sketch: np.ndarray) -> np.ndarray:
-    """Estimated documents of a bucket's shingles above the chance level of all buckets."""
-    chance = np.median(sketch)
-    return np.maximum(0, sketch - np.ceil(chance + 4 * np.sqrt(chance))).astype(np.int64)
-
-
 def prefix_of(shingles: np.ndarray, crowd: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(l, prefix) of least estimated cost; the smallest such l."""
+    """(l, prefix) of least estimated cost, from sorted shingles and the bounds on their lists; the smallest such l."""
     n = len(shingles)
     plain = n - -(-percent * n // 100)
-    over = crowd[_buckets(shingles)]
-    order = np.lexsort((shingles, over))[: plain + MAX_MATCH]
-    read = np.cumsum(over[order])
+    order = np.argsort(crowd, kind="stable")[: plain + MAX_MATCH]
+    read = np.cumsum(crowd[order].astype(np.int64) - 1)
     best, least = 1, None
     for match in range(1, min(MAX_MATCH, n - plain) + 1):
         entries = read[plain + match - 1]
@@ -112,21 +97,19 @@ def prefix_of(shingles: np.ndarray, crowd: np.ndarray, percent: int) -> tuple[in
     return best, shingles[order[: plain + best]]
 
 
-def prefixes(rows: DataFrame, k: int, percent: int, crowd: np.ndarray) -> DataFrame:
-    """(id, d1, d2, n, match, prefix) of every row with a shingle."""
-    shared = rows.sparkSession.sparkContext.broadcast(crowd)
+def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
+    """(id, d1, d2, n, match, prefix) of every row: number of shingles, digest of the set, and its prefix."""
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             out = []
-            for i, s in zip(part.column(0).to_pylist(), shingle_sets(_lowered(part), k), strict=True):
-                if len(s):
-                    match, prefix = prefix_of(s, shared.value, percent)
-                    out.append((i, *_digest(s), len(s), match, prefix.view(np.int64)))
-            if out:
-                cols = list(zip(*out, strict=True))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in cols[5]])]), pa.int32()), pa.array(np.concatenate(cols[5])))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.int32()), lists], ["id", "d1", "d2", "n", "match", "prefix"])
+            for i, (s, crowd) in zip(part.column(0).to_pylist(), shingle_sets(_lowered(part), k, lambda h: shared.value[_buckets(h)]), strict=True):
+                match, prefix = prefix_of(s, crowd, percent) if len(s) else (1, s)
+                out.append((i, *_digest(s), len(s), match, prefix.view(np.int64)))
+            cols = list(zip(*out, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in cols[5]])]), pa.int32()), pa.array(np.concatenate(cols[5])))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.int32()), lists], ["id", "d1", "d2", "n", "match", "prefix"])
 
     return rows.mapInArrow(run, "id long, d1 long, d2 long, n long, match int, prefix array<long>")
 
@@ -146,17 +129,19 @@ def fold(bits: np.ndarray, words_: int) -> np.ndarray:
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, shingles, bits) of every row with a shingle."""
+    """The given columns but the text ``t``, and (n, shingles, bits) of every row with a shingle."""
+    kept = [c for c in rows.columns if c != "t"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("shingles", T.BinaryType()), ("bits", T.BinaryType()))]])
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            sets = list(shingle_sets(_lowered(part), k))
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
-            ], ["id", "n", "shingles", "bits"])
+            sets = [s for s, _ in shingle_sets(_lowered(part), k)]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())]
+            columns = [*[part.column(c) for c in kept], *made]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return rows.mapInArrow(run, "id long, n long, shingles binary, bits binary").where("n > 0")
+    return rows.select(*kept, "t").mapInArrow(run, schema).where("n > 0")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], key: int, most: int) -> Iterator[list[tuple]]:
@@ -207,8 +192,23 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
+def dealt(rows: DataFrame, order: str, turn: int) -> DataFrame:
+    """Rows of a list with their salt and place in it: by ``order`` ``n``, else shuffled; another turn deals anew."""
+    mixed = F.xxhash64("id", F.lit(turn))
+    place = F.col("n") if order == "n" else mixed
+    return rows.withColumn("salt", F.pmod(mixed, F.expr(f"members div {4 * CHUNK} + 1"))).withColumn("place", place)
+
+
+def open_lists(live: DataFrame, links: DataFrame) -> DataFrame:
+    """List entries with their component, of the lists that hold more than one component."""
+    known = components(links, "a", "b").withColumnRenamed("node", "id")
+    rows = live.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    return rows.join(mixed, "token")
+
+
 def forest(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each chunk of rows (token, salt, n, id, shingles)."""
+    """(a, b): a spanning forest of the links inside each chunk of rows (token, salt, place, id, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, 2, CHUNK):
@@ -227,7 +227,7 @@ def forest(rows: DataFrame, percent: int) -> DataFrame:
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sorted_rows = rows.select("token", "salt", "n", "id", "shingles").repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
+    sorted_rows = rows.select("token", "salt", "place", "id", "shingles").repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "id")
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
@@ -272,6 +272,23 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
+def short_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that may link, from the lists of at most ``SHORT`` entries.
+
+    A pair counts the short lists it shares; what it might share beyond them is at most what either document has in long ones.
+    """
+    long = rest.where(F.col("members") > SHORT).groupBy("id").agg(F.count("*").alias("beyond"))
+    short = rest.where(F.col("members") <= SHORT).select("token", "id", "n", "match", "component")
+    x, y = short, short.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "match", "component")])
+    near = (F.col("n") <= F.col("n_")) & (100 * F.col("n") >= percent * F.col("n_")) & ((F.col("n") < F.col("n_")) | (F.col("id") < F.col("id_")))
+    met = x.join(y, "token").where(near & (F.col("id") != F.col("id_")) & (F.col("component") != F.col("component_")))
+    counted = met.groupBy(F.col("id").alias("a"), F.col("id_").alias("b"), F.least("match", "match_").alias("asked")).agg(F.count("*").alias("shared"))
+    for c in ("a", "b"):
+        counted = counted.join(long.select(F.col("id").alias(c), F.col("beyond").alias(f"beyond_{c}")), c, "left")
+    beyond = F.least(F.coalesce("beyond_a", F.lit(0)), F.coalesce("beyond_b", F.lit(0)))
+    return counted.where(F.col("shared") + beyond >= F.col("asked")).select("a", "b")
+
+
 def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
@@ -296,33 +313,38 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     a null key sorts before all others and shows as null. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
-    described = materialise(describe(rows, k), "describe")
-    every = described.where("chunk IS NULL").select("id", "n", "d1", "d2")
+    described = materialise(prefixes(rows, k, percent, word_sketch(rows)), "describe")
+    every = described.select("id", "n", "d1", "d2")
     classes = materialise(every.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node")), "classes")
 
-    lists = prefixes(rows, k, percent, excess(sketch_of(described)))
-    lists = lists.join(classes.withColumnRenamed("node", "id"), ["d1", "d2", "id"], "left_semi").dropDuplicates(["d1", "d2", "id"])
-    postings = materialise(lists.select("id", "n", "match", F.explode("prefix").alias("token")), "postings")
-    counts = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    live = materialise(postings.join(counts, "token"), "live")
-
-    per = live.groupBy("id").agg(F.max(F.struct("members", "token")).alias("top"), F.sort_array(F.collect_set("token")).alias("live"))
-    chosen = materialise(per.select("id", "top.members", "top.token", "live"), "chosen")
-    sets = materialise(full_sets(rows.join(chosen.select("id"), "id", "left_semi"), k).dropDuplicates(["id", "shingles"]), "sets")
-    near = sets.join(chosen, "id").withColumn("salt", F.expr(f"pmod(xxhash64(id), members div {4 * CHUNK} + 1)"))
-    first = materialise(forest(near, percent), "links")
-
-    known = components(first, "a", "b")
-    live = live.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = described.where("n > 0").join(classes.withColumnRenamed("node", "id"), ["d1", "d2", "id"], "left_semi").dropDuplicates(["d1", "d2", "id"])
+    # a list entry stays if the next smaller or larger set of its list is near enough in size to link
+    of_token = Window.partitionBy("token")
+    by_size = of_token.orderBy("n")
+    live = lists.select("id", "n", "match", F.explode("prefix").alias("token"))
+    live = live.withColumns({"members": F.count("*").over(of_token), "asked": F.min("match").over(of_token), "less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    live = live.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).drop("less", "more")
     live = materialise(live, "live")
-    mixed = live.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    rest = live.join(mixed, "token").join(chosen.select("id", "live"), "id").join(sets.select("id", F.col("n").alias("size"), "bits"), "id").where("n = size").drop("size")
-    rest = rest.withColumn("blocks", F.expr(f"members div {BLOCK} + 1")).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    pairs = materialise(open_pairs(rest, percent).distinct(), "pairs")
+    # a document that shares fewer prefix shingles than any partner in its lists could ask for links with nothing
+    per = live.groupBy("id").agg(F.max(F.struct("members", "token")).alias("top"), F.sort_array(F.collect_set("token")).alias("live"), F.least(F.min("match"), F.min("asked")).alias("asked"))
+    chosen = materialise(per.where("size(live) >= asked").select("id", "top.members", "top.token", "live"), "chosen")
+    live = live.join(chosen.select("id"), "id", "left_semi").drop("asked")
+    sets = materialise(full_sets(rows.join(chosen, "id"), k), "sets")
+    links = materialise(forest(dealt(sets, "n", 1), percent), "links")
+    rest = materialise(open_lists(live, links), "rest")
+    # a second look in other company joins what chunks and the choice of lists had kept apart
+    lure = F.col("members") * (1 + F.pmod(F.xxhash64("token"), F.lit(1000)) / 1000)
+    other = rest.groupBy("id").agg(F.max_by(F.struct("token", "members"), lure).alias("top")).select("id", "top.token", "top.members")
+    again = sets.select("id", "n", "shingles").join(other, "id")
+    links = materialise(links.unionByName(forest(dealt(again, "turn", 2), percent)), "links")
+    rest = materialise(open_lists(rest.drop("component"), links), "rest")
+    long = rest.where(F.col("members") > SHORT).join(sets.select("id", "live", F.col("n").alias("size"), "bits"), "id").where("n = size").drop("size")
+    long = long.withColumn("blocks", F.expr(f"members div {BLOCK} + 1")).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+    long = long.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    pairs = materialise(short_pairs(rest, percent).unionByName(open_pairs(long, percent)).distinct(), "pairs")
     second = exact_links(pairs, sets, percent)
 
-    final = components(first.unionByName(second), "a", "b").withColumnRenamed("node", "n_")
+    final = components(links.unionByName(second), "a", "b").withColumnRenamed("node", "n_")
     joined = every.join(classes, ["d1", "d2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("id")))
     out = joined.join(final, joined["node"] == final["n_"], "left").select("id", "n", F.coalesce("component", "node").alias("component"))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
@@ -344,6 +366,22 @@ def keep_one(spark: SparkSession, docs: DataFrame, folder: str, k: int = 5, perc
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-@llm_query("op6_ngram_join")
+#: The same components for DuckDB: all links by counting shared shingles, then everything reachable.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM (SELECT doc_id FROM documents) d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc AS doc_id, min(c) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+
+@llm_query("op6_ngram_join", ORACLE)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))

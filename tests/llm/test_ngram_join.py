@@ -60,13 +60,16 @@ def test_components_against_all_pairs(spark, odd, monkeypatch, k, percent):
 def test_small_chunks_and_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(nj, "CHUNK", 3)
     monkeypatch.setattr(nj, "BLOCK", 7)
+    monkeypatch.setattr(nj, "SHORT", 4)
     data = near_copies(11, 4, 20)
     got = nj.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"))
     assert rows_of(got) == brute(data, 3, 90)
 
 
-def test_search_alone_finds_every_component(spark, monkeypatch):
+@pytest.mark.parametrize("short", [0, 4, 64])
+def test_search_alone_finds_every_component(spark, monkeypatch, short):
     """Without first links the full search must find all by itself."""
+    monkeypatch.setattr(nj, "SHORT", short)
     none = spark.createDataFrame([], "a long, b long")
     monkeypatch.setattr(nj, "forest", lambda rows, percent: none)
     data = near_copies(12, 5, 12)
