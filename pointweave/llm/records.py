@@ -136,8 +136,8 @@ def file_system(folder: str):
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
     """Write ``docs`` to record and index files under ``folder``; return the manifest (part, file, records, tokens).
 
-    ``key`` must be an integer. Rows go in ascending order of key, null keys first, equal keys by text. A null or empty
-    text gives a record of the end id alone; repeated rows give repeated records; an empty table no files. Other
+    ``key`` must be an integer. Rows go in ascending order of key, null keys first, equal keys by the hash of their text.
+    A null or empty text gives a record of the end id alone; repeated rows give repeated records; an empty table no files. Other
     columns are not read. ``files`` defaults to the session's shuffle partitions.
     """
     spark = docs.sparkSession
@@ -170,8 +170,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
                 fs.move(place(kind, f"-{attempt}"), place(kind))
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "records": [records], "tokens": [tokens]})
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    ranged = rows.repartitionByRange(files, F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    order = [F.col("k").asc_nulls_first(), "h"]  # the hash spreads rows that share a key, and keeps texts out of the range sample
+    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ranged.mapInArrow(run, "part long, file string, records long, tokens long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("part long, file string, records long, tokens long").parquet(f"{folder}/manifest")
 
