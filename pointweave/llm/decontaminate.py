@@ -98,6 +98,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius
     right = blocks(fingerprints(i, "item_id"), radius).withColumnRenamed("fp", "item_fp")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
     pairs = left.join(right, ["block", "bits"]).where(near).select("tid", "item_id").distinct()
+    pairs = materialise(pairs, "pairs")
 
     mine = shingled(texts, ["tid"])
     theirs = shingled(i, ["item_id"]).withColumnRenamed("weight", "item_weight")

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ MAX_MATCH = 4
 #: Cost of looking at one candidate pair, in list entries read.
 PAIR_COST = 20
 #: Documents that are compared all against all at once; longer lists are cut and the cuts meet pairwise.
-CHUNK, BLOCK = 512, 4096
+CHUNK, CHUNK_BYTES, BLOCK = 512, 4_000_000, 1024
 #: Lists up to this length are joined pair by pair without their sets' bitmaps.
 SHORT = 64
 NO_ID = -(1 << 63)
@@ -97,9 +98,8 @@ def prefix_of(shingles: np.ndarray, crowd: np.ndarray, percent: int) -> tuple[in
     return best, shingles[order[: plain + best]]
 
 
-def prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
+def prefixes(rows: DataFrame, k: int, percent: int, shared: Broadcast) -> DataFrame:
     """(id, d1, d2, n, match, prefix) of every row: number of shingles, digest of the set, and its prefix."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -144,15 +144,18 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select(*kept, "t").mapInArrow(run, schema).where("n > 0")
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], key: int, most: int) -> Iterator[list[tuple]]:
-    """Rows of sorted Arrow batches, cut where the first ``key`` columns change or after ``most`` rows."""
-    group: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group and (row[:key] != group[0][:key] or len(group) >= most):
-                yield group
-                group = []
-            group.append(row)
+def runs_of(batches: Iterator[pa.RecordBatch], key: int, most: int, room: int) -> Iterator[list[tuple]]:
+    """Rows of sorted Arrow batches, cut where the first ``key`` columns change, after ``most`` rows, or when the last
+    column's values would exceed ``room`` bytes."""
+    group, held = [], 0
+    for whole in batches:
+        for batch in slices(iter([whole]), whole.schema.names[-1]):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and (row[:key] != group[0][:key] or len(group) >= most or held + len(row[-1]) > room):
+                    yield group
+                    group, held = [], 0
+                group.append(row)
+                held += len(row[-1])
     if group:
         yield group
 
@@ -196,7 +199,7 @@ def dealt(rows: DataFrame, order: str, turn: int) -> DataFrame:
     """Rows of a list with their salt and place in it: by ``order`` ``n``, else shuffled; another turn deals anew."""
     mixed = F.xxhash64("id", F.lit(turn))
     place = F.col("n") if order == "n" else mixed
-    return rows.withColumn("salt", F.pmod(mixed, F.expr(f"members div {4 * CHUNK} + 1"))).withColumn("place", place)
+    return rows.withColumn("salt", 2 * F.pmod(mixed, F.expr(f"members div {4 * CHUNK} + 1")) + turn).withColumn("place", place)
 
 
 def open_lists(live: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,7 +214,7 @@ def forest(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links inside each chunk of rows (token, salt, place, id, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs_of(batches, 2, CHUNK):
+        for group in runs_of(batches, 2, CHUNK, CHUNK_BYTES):
             if len(group) < 2:
                 continue
             sets = [np.frombuffer(r[4], np.uint64) for r in group]
@@ -244,7 +247,8 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         live = [np.array(r[8], np.int64) for r in group]
         bits = [np.frombuffer(r[9], np.uint64) for r in group]
         width = [len(b) for b in bits]
-        folded = {w: np.array([fold(b, w) if len(b) >= w else np.zeros(w, np.uint64) for b in bits]) for w in set(width)}
+        folded, row_of = {}, np.zeros(len(group), np.int64)
+        # a partner is no smaller, so its bitmap is at least as wide and folds to the same width
         ends = np.searchsorted(n, 100 * n // percent, side="right")
         for i in range(len(group)):
             js = np.arange(i + 1, ends[i])
@@ -253,15 +257,20 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             total = n[i] + n[js]
             apart = total - 2 * -(-percent * total // (100 + percent))
-            rows_ = folded[width[i]]
-            js = js[np.bitwise_count(rows_[js] ^ rows_[i]).sum(axis=1) <= apart]
+            w = width[i]
+            if w not in folded:
+                own = [j for j in range(len(group)) if w <= width[j]]
+                row_of[own] = np.arange(len(own))
+                folded = {w: (np.array([fold(bits[j], w) for j in own]), row_of.copy())}
+            rows_, at = folded[w]
+            js = js[np.bitwise_count(rows_[at[js]] ^ rows_[at[i]]).sum(axis=1) <= apart]
             for j in js.tolist():
                 both = np.intersect1d(live[i], live[j], assume_unique=True)
                 if len(both) >= min(match[i], match[j]) and both[0] == token:
                     yield group[i][5], group[j][5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs_of(batches, 3, 1 << 62):
+        for group in runs_of(batches, 3, 1 << 62, 1 << 62):
             found = list(candidates(group)) if len(group) > 1 else []
             if found:
                 a, b = zip(*found, strict=True)
@@ -313,7 +322,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     a null key sorts before all others and shows as null. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
-    described = materialise(prefixes(rows, k, percent, word_sketch(rows)), "describe")
+    sketch = rows.sparkSession.sparkContext.broadcast(word_sketch(rows))
+    described = materialise(prefixes(rows, k, percent, sketch), "describe")
+    sketch.destroy()
     every = described.select("id", "n", "d1", "d2")
     classes = materialise(every.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node")), "classes")
 
@@ -326,18 +337,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     live = live.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).drop("less", "more")
     live = materialise(live, "live")
     # a document that shares fewer prefix shingles than any partner in its lists could ask for links with nothing
-    per = live.groupBy("id").agg(F.max(F.struct("members", "token")).alias("top"), F.sort_array(F.collect_set("token")).alias("live"), F.least(F.min("match"), F.min("asked")).alias("asked"))
-    chosen = materialise(per.where("size(live) >= asked").select("id", "top.members", "top.token", "live"), "chosen")
+    lure = F.col("members") * (1 + F.pmod(F.xxhash64("token"), F.lit(1000)) / 1000)
+    place = F.struct("members", "token")
+    per = live.groupBy("id").agg(F.max(place).alias("top"), F.max_by(place, lure).alias("other"), F.sort_array(F.collect_set("token")).alias("live"), F.least(F.min("match"), F.min("asked")).alias("asked"))
+    chosen = materialise(per.where("size(live) >= asked").select("id", "top", "other", "live"), "chosen")
     live = live.join(chosen.select("id"), "id", "left_semi").drop("asked")
     sets = materialise(full_sets(rows.join(chosen, "id"), k), "sets")
-    links = materialise(forest(dealt(sets, "n", 1), percent), "links")
+    # two looks: in the longest list by size, and shuffled in another list, which joins what chunks had kept apart
+    looks = [dealt(sets.select("id", "n", "shingles", f"{c}.*"), order, turn) for turn, (c, order) in enumerate((("top", "n"), ("other", "turn")))]
+    links = materialise(forest(looks[0].unionByName(looks[1]), percent), "links")
     rest = materialise(open_lists(live, links), "rest")
-    # a second look in other company joins what chunks and the choice of lists had kept apart
-    lure = F.col("members") * (1 + F.pmod(F.xxhash64("token"), F.lit(1000)) / 1000)
-    other = rest.groupBy("id").agg(F.max_by(F.struct("token", "members"), lure).alias("top")).select("id", "top.token", "top.members")
-    again = sets.select("id", "n", "shingles").join(other, "id")
-    links = materialise(links.unionByName(forest(dealt(again, "turn", 2), percent)), "links")
-    rest = materialise(open_lists(rest.drop("component"), links), "rest")
     long = rest.where(F.col("members") > SHORT).join(sets.select("id", "live", F.col("n").alias("size"), "bits"), "id").where("n = size").drop("size")
     long = long.withColumn("blocks", F.expr(f"members div {BLOCK} + 1")).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
     long = long.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
