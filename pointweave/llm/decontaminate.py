@@ -1,14 +1,16 @@
-"""Benchmark decontamination by SimHash windows (operator 4); DataFrame functions only.
+"""Benchmark decontamination (operator 4); DataFrame functions only.
 
-Item-sized windows of a document are fingerprinted: 64 bits, each the majority of that bit over the hashes of the
-window's words. Fingerprints of windows and of benchmark items are cut into ``RADIUS + 1`` blocks; two fingerprints within
-``RADIUS`` bits agree in one block at least, so joining block by block finds every such pair. What is found is verified
-exactly: the weighted Jaccard similarity of the five-word shingles, each weighted by how often it occurs, must reach
-``PERCENT``.
+A document leaks an item if one of its item-sized windows has a weighted Jaccard similarity of ``PERCENT`` or more with
+it: five-word shingles, each weighted by how often it occurs. A window of ``a`` shingles reaches that against ``b`` only
+with ``PERCENT * (a + b) / (100 + PERCENT)`` shingles in common, so every place of a document that holds a shingle of the
+benchmark is looked up, pairs with fewer places are dropped, and all windows of the others that hold enough places are
+compared exactly. Nothing at or above ``PERCENT`` is lost, wherever a passage is cut, edited or filled.
 
-A window without a single shingle of the benchmark has similarity 0, so only windows that hold one, laid where it stands
-in its item, are fingerprinted. Equal windows are fingerprinted and verified once. The benchmark side is broadcast when
-its shingles have been counted and are few; otherwise the join shuffles.
+The benchmark side is broadcast when its shingles have been counted and are few; otherwise the join shuffles.
+
+``fingerprints`` and ``blocks`` are SimHash with Hamming blocks: 64 bits, each the majority of that bit over the hashes of
+the words, and ``RADIUS + 1`` blocks of which two fingerprints within ``RADIUS`` bits share one. ``find_leaks`` does not
+ask them: near the similarity of 0.8 many bits sit close to a tie, so no radius that still selects keeps every window.
 """
 
 from __future__ import annotations
@@ -38,13 +40,6 @@ def hash_at(i: Column, n: int, w: str = "w") -> Column:
     return F.xxhash64(*[F.get(w, i + j) for j in range(n)])
 
 
-def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, shingle, weight) from a column of blank-separated words; fewer than five words make one shingle."""
-    w = F.split("words", " ")
-    at = rows.select(*keys, w.alias("w")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1)))))
-    return at.groupBy(*keys, F.array_join(F.slice("w", F.col("i"), SHINGLE), " ").alias("shingle")).agg(F.count("*").alias("weight"))
-
-
 def fingerprints(rows: DataFrame, key: str) -> DataFrame:
     """(key, fp) from a column of blank-separated words: 32 sums carry the counts of bits j and j + 32."""
     h = rows.select(key, F.explode(F.split("words", " ")).alias("word")).select(key, F.xxhash64("word").alias("h"))
@@ -65,50 +60,55 @@ def blocks(fp: DataFrame, radius: int) -> DataFrame:
     return fp.select("*", F.inline(F.array(*each)))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Of the places ``hits`` (i: position, p: position of the place whose occurrence it would repeat beyond the item's weight) and
+#: the window starts at which place ``j`` is the first inside: those with ``need`` places or more, and the shingles in common.
+_LOW = "greatest(0, coalesce(get(hits, j - 1).i + 1, 0), get(hits, j + need - 1).i - a + 1)"
+_HIGH = "least(get(hits, j).i, m - n_words)"
+_COMMON = "size(filter(slice(hits, j + 1, a), x -> x.i < s + a AND x.p < s))"
+_WINDOWS = f"transform(filter(sequence(0, size(hits) - need), j -> {_LOW} <= {_HIGH}), j -> transform(sequence({_LOW}, {_HIGH}), s -> struct({_COMMON} AS common, -s AS s)))"
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text_key, item_id, start, n_words, similarity): the best window of each document for each item it leaks.
 
     ``items`` has item_id and text. Null and blank texts have no words and match nothing; items shorter than five words
-    are one shingle. ``text_key`` is the hash of the text, which tells rows with one key apart; equal rows give one row.
+    are one shingle. Items are told apart by their words; a null item_id is kept, and an item_id with several texts gives
+    the best of them. ``text_key`` is the hash of the text, which tells rows with one key apart; equal rows give one row.
     A null key is kept. Other columns are not read. Empty tables give no rows. ``similarity`` is in whole thousandths.
     """
-    i = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
-    i = materialise(i.distinct().withColumn("words", F.array_join("w", " ")).withColumn("unit", F.least(F.col("n"), F.lit(SHINGLE))), "items")
-    lengths = sorted(r["unit"] for r in i.select("unit").distinct().collect())  # at most five numbers
+    named = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    named = materialise(named.select("item_id", F.array_join("w", " ").alias("words"), F.size("w").alias("n")).distinct(), "items")
+    own = named.select("words", "n").distinct().select("*", F.least(F.col("n"), F.lit(SHINGLE)).alias("unit"), F.monotonically_increasing_id().alias("iid"))
+    own = materialise(own, "items")
+    lengths = sorted(r["unit"] for r in own.select("unit").distinct().collect())  # at most five numbers
     d = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), words_of(F.col(text)).alias("w")).withColumn("m", F.size("w"))
     found = []
     for unit in lengths:
-        own = i.where(F.col("unit") == unit).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("n") - unit)))
-        places = own.select(hash_at(F.col("offset"), unit).alias("h"), "offset", "n").groupBy("h").agg(F.collect_set(F.struct("offset", "n")).alias("places"))
-        places = materialise(places, "places")
-        if places.count() <= BROADCAST_SHINGLES:
-            places = F.broadcast(places)
+        shingle = lambda i, unit=unit: F.array_join(F.slice("w", F.col(i) + 1, unit), " ")
+        mine = own.where(F.col("unit") == unit).withColumn("w", F.split("words", " ")).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("n") - unit)))
+        places = mine.select("iid", "n", "unit", "offset", hash_at(F.col("offset"), unit).alias("h"), shingle("offset").alias("shingle"))
+        places = materialise(places.groupBy("iid", "n", "unit", "h", "shingle").agg(F.min("offset").alias("place"), F.count("*").cast("int").alias("weight")), "places")
         at = d.where(F.col("m") >= unit).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - unit))).withColumn("h", hash_at(F.col("i"), unit))
-        found.append(at.join(places, "h").withColumn("p", F.explode("places")))
+        if places.count() <= BROADCAST_SHINGLES:
+            hit = at.join(F.broadcast(places), "h").where(shingle("i") == F.col("shingle"))
+        else:  # five words a row go through the shuffle, not the text
+            hit = at.select("k", "text_key", "m", "i", "h", shingle("i").alias("shingle")).join(places, ["h", "shingle"])
+        found.append(hit.select("k", "text_key", "m", "iid", "n", "unit", F.struct("place", "weight", "i").alias("hit")))
     if not found:
         return docs.sparkSession.createDataFrame([], f"{key} {dict(docs.dtypes)[key]}, text_key long, item_id long, start int, n_words int, similarity long")
-    hits = reduce(DataFrame.unionByName, found)
-    hits = hits.withColumn("n_words", F.least("p.n", "m")).withColumn("start", F.greatest(F.lit(0), F.least(F.col("i") - F.col("p.offset"), F.col("m") - F.col("n_words"))))
-    windows = hits.select("k", "text_key", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("words"))
-    windows = materialise(windows.distinct(), "windows")
-
-    texts = windows.select("words").distinct().withColumn("tid", F.sha2("words", 256))
-    texts = materialise(texts, "windows")
-    left = blocks(fingerprints(texts, "tid"), radius)
-    right = blocks(fingerprints(i, "item_id"), radius).withColumnRenamed("fp", "item_fp")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-    pairs = left.join(right, ["block", "bits"]).where(near).select("tid", "item_id").distinct()
-    pairs = materialise(pairs, "pairs")
-
-    mine = shingled(texts, ["tid"])
-    theirs = shingled(i, ["item_id"]).withColumnRenamed("weight", "item_weight")
-    both = pairs.join(mine, "tid").join(theirs, ["item_id", "shingle"])
-    common = both.groupBy("tid", "item_id").agg(F.sum(F.least("weight", "item_weight")).alias("common"))
-    size = common.join(mine.groupBy("tid").agg(F.sum("weight").alias("a")), "tid").join(theirs.groupBy("item_id").agg(F.sum("item_weight").alias("b")), "item_id")
-    union = F.col("a") + F.col("b") - F.col("common")
-    same = size.where(100 * F.col("common") >= percent * union).select("tid", "item_id", F.expr("1000 * common div (a + b - common)").alias("similarity"))
-    leaks = windows.join(texts, "words").join(same, "tid")
-    best = leaks.groupBy("k", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("best"))
+    pair = ["k", "text_key", "iid", "m", "n_words", "a", "b", "need"]
+    hits = reduce(DataFrame.unionByName, found).groupBy("k", "text_key", "m", "iid", "n", "unit").agg(F.collect_set("hit").alias("hits"))
+    hits = hits.withColumn("n_words", F.least("n", "m")).withColumn("a", F.col("n_words") - F.col("unit") + 1).withColumn("b", F.col("n") - F.col("unit") + 1)
+    hits = hits.withColumn("need", F.ceil(percent * (F.col("a") + F.col("b")) / (100 + percent)).cast("int") if percent else F.lit(1))
+    pairs = materialise(hits.where(F.size("hits") >= F.col("need")).select(*pair, "hits"), "pairs")
+
+    # a place counts in a window if the one that holds the same shingle ``weight`` occurrences earlier is outside
+    each = pairs.select(*pair, F.inline("hits")).groupBy(*pair, "place", "weight").agg(F.sort_array(F.collect_list("i")).alias("at"))
+    each = each.select(*pair, F.expr("transform(at, (x, r) -> struct(x AS i, coalesce(get(at, r - weight), -1) AS p))").alias("hits"))
+    each = each.groupBy(*pair).agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    best = each.select(*pair, F.array_max(F.flatten(F.expr(_WINDOWS))).alias("best")).where(100 * F.col("best.common") >= percent * (F.col("a") + F.col("b") - F.col("best.common")))
+    best = best.select("k", "text_key", "iid", F.struct(F.expr("1000L * best.common div (a + b - best.common)").alias("similarity"), F.col("best.s").alias("s"), "n_words").alias("best"))
+    best = best.join(named.join(own, "words").select("iid", "item_id"), "iid").groupBy("k", "text_key", "item_id").agg(F.max("best").alias("best"))
     return best.select(F.col("k").alias(key), "text_key", "item_id", (-F.col("best.s")).alias("start"), "best.n_words", "best.similarity")
 
 
