@@ -104,3 +104,36 @@ def test_mix_against_the_schedule(spark, odd, nothing):
     assert mixing.mix(nothing)[0].count() == 0
     stage = mixing.mix_documents(spark, docs.withColumnRenamed("shard", "mix_position"), "")
     assert stage.columns[-1] == "mix_position"
+
+
+def off(source, weights):
+    """The largest distance in blocks of any source from its target share, over all slots in order."""
+    total, seen, worst = sum(weights.values()), Counter(), 0.0
+    for t, s in enumerate(source):
+        seen[s] += 1
+        worst = max(worst, *(abs(seen[x] - (t + 1) * w / total) for x, w in weights.items()))
+    return worst
+
+
+def test_pfair_holds_against_the_targets():
+    for rows in ([72_000] + [7_500] * 19, [2_000_000, 1_000_000, 1], [5_000, 3, 1]):
+        blocks = [-(-n // 16) for n in rows]
+        weights = {i: n**mixing.TEMPER for i, n in enumerate(rows)}
+        slots = mixing.pfair(mixing.parts_of(list(weights.values()), mixing.SCALE), blocks)
+        source = dict((t, s) for s, own in enumerate(slots) for t in own)
+        assert sorted(source) == list(range(len(source)))
+        assert all(len(own) >= b for own, b in zip(slots, blocks)) and any(len(own) == b for own, b in zip(slots, blocks))
+        assert off([source[t] for t in range(len(source))], weights) < 1
+        total = sum(weights.values())
+        if rows[-1] == 1 and rows[0] > 10**6:  # one tiny source does not make the others start over
+            assert len(source) <= max((b - 1) * total / w for b, w in zip(blocks, weights.values())) + 2 * len(rows)
+
+
+def test_mix_holds_against_the_targets(spark):
+    rows = {"hot": 60_000, "tiny": 1, **{f"s{i}": 1_500 + i for i in range(5)}}
+    docs = spark.range(sum(rows.values())).selectExpr("id as doc_id", "array(" + ",".join(f"'{s}'" for s in rows) + ")[int(case " + " ".join(f"when id < {sum(list(rows.values())[: i + 1])} then {i}" for i in range(len(rows))) + " end)] as source")
+    mixed, end = mixing.mix(docs, block_rows=2)
+    got = {r["mix_slot"]: r["source"] for r in mixed.select("mix_slot", "source").distinct().collect()}
+    assert sorted(got) == list(range(end // 2))
+    assert off([got[t] for t in range(len(got))], {s: n**mixing.TEMPER for s, n in rows.items()}) < 1
+    assert mixed.where("mix_epoch = 0").select("doc_id").distinct().count() == sum(rows.values())
