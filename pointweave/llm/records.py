@@ -4,7 +4,8 @@ A record file holds frames: length (8 bytes, little endian), masked checksum of
 checksum of the payload (4). The payload is the document id (8 bytes, signed), a flag byte (1: the id is null), the
 width of an id in bytes (2 or 4) and the ids. The checksum is CRC-32, rotated right by 15 bits plus a constant, so that
 a checksum of data that holds checksums stays meaningful. The index file has 24 bytes a record: offset, frame length,
-number of ids. Documents are range-partitioned by id; file ``n`` holds range ``n`` in ascending order.
+number of ids. Documents are range-partitioned by id, or by an order of the caller; file ``n`` holds range ``n`` in ascending
+order.
 
 Files are written through pyarrow's file systems (local paths, hdfs, s3, gs by URI) under a name of the attempt and
 moved when complete, so a repeated or speculative task leaves the same file.
@@ -23,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import codes, shared_folder, slices, table, texts, words
+from .common import codes, materialise, shared_folder, slices, table, texts, words
 from .registry import llm_query
 
 END_ID = 1
@@ -133,10 +135,11 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", files: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """Write ``docs`` to record and index files under ``folder``; return the manifest (part, file, records, tokens).
 
-    ``key`` must be an integer. Rows go in ascending order of key, null keys first, equal keys by the hash of their text.
+    ``key`` must be an integer. Rows go in ascending order of the columns ``order``; without it of key, null keys first, equal
+    keys by the hash of their text.
     A null or empty text gives a record of the end id alone; repeated rows give repeated records; an empty table no files. Other
     columns are not read. ``files`` defaults to the session's shuffle partitions.
     """
@@ -170,9 +173,10 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
                 fs.move(place(kind, f"-{attempt}"), place(kind))
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "records": [records], "tokens": [tokens]})
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    order = [F.col("k").asc_nulls_first(), "h"]  # the hash spreads rows that share a key, and keeps texts out of the range sample
-    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), *[c.alias(f"o{i}") for i, c in enumerate(order or [])])
+    # the hash spreads rows that share a key, and keeps texts out of the range sample
+    by = [f"o{i}" for i in range(len(order))] if order else [F.col("k").asc_nulls_first(), "h"]
+    ranged = rows.repartitionByRange(files, *by).sortWithinPartitions(*by)
     ranged.mapInArrow(run, "part long, file string, records long, tokens long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("part long, file string, records long, tokens long").parquet(f"{folder}/manifest")
 
@@ -236,6 +240,27 @@ def write_and_read(spark: SparkSession, docs: DataFrame, folder: str = "") -> Da
     return read_records(manifest, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def as_stored(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` and the columns that order it as its Parquet files do: number and name of the file, row in the file.
+
+    A table that does not come from files is written first, so its partitions and their rows are the order.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialise(docs, "ordered")
+    name = F.col("_metadata.file_name")
+    return docs, [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
+def write_mixed(spark: SparkSession, docs: DataFrame, folder: str = "") -> DataFrame:
+    """Pipeline stage: as ``write_and_read``, but the records stay in the order of the mixed documents."""
+    docs, order = as_stored(docs)
+    out = shared_folder(spark, "records")
+    manifest = write_records(docs, out, vocabulary(), order=order)
+    return read_records(manifest, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @llm_query("op7_token_records")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return write_and_read(spark, table(spark, folder, "documents"))

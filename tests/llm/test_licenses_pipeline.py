@@ -103,3 +103,19 @@ def test_clean_documents_stay(spark, staged):
     (_, docs, good) = staged[0]
     clean = docs.join(labels, "doc_id").count()
     assert good.join(labels, "doc_id").count() >= 0.97 * clean
+
+
+def test_token_files_keep_the_mixed_order(spark, staged, tmp_path):
+    from pointweave.llm import mixing, records
+
+    mixed, last = staged[3][2], staged[4][2]
+    at = mixed.selectExpr("doc_id", "source", "_metadata.file_name as f", "_metadata.row_index as r").orderBy("f", "r").collect()
+    got = [r["doc_id"] for r in last.orderBy("start").collect()]
+    assert got == [r["doc_id"] for r in at] and got != sorted(got)
+    again, _ = mixing.mix(staged[3][1])
+    want = [(r["doc_id"], r["source"]) for r in again.orderBy("mix_position").select("doc_id", "source").collect()]
+    assert [(r["doc_id"], r["source"]) for r in at] == want  # sources take turns as scheduled
+    # a table that is not read from files keeps the order of its rows
+    docs = spark.createDataFrame([(i, f"t {i}") for i in (5, 3, 9, 1, 7, 3)], "doc_id long, text string")
+    out = records.write_mixed(spark, docs).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [5, 3, 9, 1, 7, 3]
