@@ -25,6 +25,8 @@ from .registry import llm_query
 SAMPLE_ROWS = 400
 SAMPLE_TEXT_BYTES = 65_536
 WINDOW = 5
+#: Words over which distinct ones are counted: their share in a whole text falls with its length.
+STRETCH = 1000
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -143,10 +145,14 @@ class Slice:
         low = data | 0x20
         return self.per_text(((low >= 97) & (low <= 122)) | (data >= 0xC0))
 
-    def _distinct_words(self) -> np.ndarray:
+    def _near_distinct_words(self) -> np.ndarray:
+        """Distinct words in each stretch of ``STRETCH`` words, added up."""
         offsets, index, distinct = self.get("words")
         owner = np.repeat(np.arange(len(self.text)), np.diff(offsets))
-        return np.bincount(np.unique(owner * (len(distinct) + 1) + index) // (len(distinct) + 1), minlength=len(self.text))
+        pieces = -(-np.diff(offsets) // STRETCH)
+        piece = (np.cumsum(pieces) - pieces)[owner] + (np.arange(len(index)) - offsets[owner]) // STRETCH
+        first = np.unique(piece * (len(distinct) + 1) + index, return_index=True)[1]
+        return np.bincount(owner[first], minlength=len(self.text))
 
     def _stutters(self) -> np.ndarray:
         """Words equal to the word before them."""
@@ -201,7 +207,7 @@ RULES = (
     Rule("duplicate_lines", lambda s: (s.get("n_lines") >= 4) & (s.get("n_dup_lines") > 0.5 * s.get("n_lines"))),
     Rule("word_length", lambda s: (s.get("word_chars") < 2 * s.get("n_words")) | (s.get("word_chars") > 25 * s.get("n_words"))),
     Rule("few_letters", lambda s: s.get("letters") < 0.4 * s.get("word_chars")),
-    Rule("few_distinct_words", lambda s: (s.get("n_words") >= 200) & (s.get("distinct_words") < 0.1 * s.get("n_words"))),
+    Rule("few_distinct_words", lambda s: (s.get("n_words") >= 200) & (s.get("near_distinct_words") < 0.1 * s.get("n_words"))),
     Rule("marked_words", _share("marked_words", "n_words", 0.2)),
     Rule("stutter", _share("stutters", "n_words", 0.4)),
     Rule("capitals", lambda s: (s.get("n_words") >= 20) & (s.get("capitals") > 0.7 * s.get("letters"))),
@@ -296,7 +302,7 @@ g AS (SELECT id, i, word, lag(word) OVER o AS before, CASE WHEN lead(word, {_AFT
     word || {" || ".join(f"' ' || lead(word, {j}) OVER o" for j in range(1, WINDOW))} END AS gram FROM p WINDOW o AS (PARTITION BY id ORDER BY i)),
 r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1),
 rep AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, i + j AS i FROM r, (SELECT unnest(range({WINDOW})) AS j)) GROUP BY id),
-s AS (SELECT id, count(DISTINCT word) AS distinct_words, count(*) FILTER (WHERE word = before) AS stutters,
+s AS (SELECT id, count(DISTINCT (word, (i - 1) // {STRETCH})) AS distinct_words, count(*) FILTER (WHERE word = before) AS stutters,
     count(*) FILTER (WHERE regexp_matches(word, '[!#*$%&|<>]{{2,}}$|^[|<>]+$')) AS marked FROM g GROUP BY id),
 b AS (SELECT doc_id, id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,

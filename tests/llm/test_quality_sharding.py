@@ -128,3 +128,25 @@ def test_growing_moves_little():
     before, after = place(keys, 10, 0.25), place(keys, 11, 0.25)
     moved = sum(before[k] != after[k] for k in before) / len(before)
     assert moved < 0.3  # a tenth must move; plain hashing would move nine tenths
+
+
+def test_long_clean_texts_have_enough_distinct_words(spark):
+    import duckdb
+    import numpy as np
+
+    from pointweave.llm import quality
+
+    rng = np.random.default_rng(2)
+    often = 1 / np.arange(1, 20_001)
+    book = " ".join(f"word{i}" for i in rng.choice(20_000, 300_000, p=often / often.sum()))
+    poor = " ".join(f"word{i}" for i in rng.integers(0, 60, 6_000))
+    short = " ".join(f"word{i}" for i in rng.integers(0, 25, 300))
+    docs = [(1, book), (2, poor), (3, short), (4, " ".join(f"word{i}" for i in range(2_500)))]
+    assert len(set(book.split())) < 0.1 * 300_000
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["base_failed"], r["kept"]) for r in quality.quality_rules(df).collect())
+    assert got == [(1, False, True), (2, False, False), (3, False, False), (4, False, True)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(con.execute(f"SELECT doc_id, base_failed, kept FROM ({quality.ORACLE})").fetchall()) == got
