@@ -67,7 +67,7 @@ def test_chains_ties_and_very_long_words(spark, monkeypatch):
     rng = random.Random(3)
     base = [("spelling", 40), ("speling", 12), ("spelin", 5), ("spolling", 40), ("élégance", 30), ("elégance", 9), ("élegance", 4), ("a" * 5000, 6), ("a" * 5001, 3)]
     base += [("".join(rng.choice("abcdé") for _ in range(rng.randrange(5, 8))), rng.randrange(3, 30)) for _ in range(400)]
-    rows = [(i, " ".join([w] * n)) for i, (w, n) in enumerate(base)]
+    rows = [(i, " ".join([w] * n)) for i, (w, n) in enumerate(base, 10)]
     got = ordered(spelling.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string")), *COLS)
     want = brute(rows)
     assert got == want
