@@ -223,7 +223,7 @@ def pack(columns: list[np.ndarray]) -> bytes:
         part[0] = np.diff(part[0], prepend=0)
         planes = []
         for c in part:
-            width = max(1, (int(c.max()).bit_length() + 7) // 8)
+            width = 8 if c.min() < 0 else max(1, (int(c.max()).bit_length() + 7) // 8)
             planes.append(bytes([width]) + np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
         data = press.compress(b"".join(planes))
         out += [len(part[0]).to_bytes(4, "little"), len(data).to_bytes(4, "little"), data]
