@@ -34,7 +34,7 @@ LENGTH, PERIOD, PASSES = 50, 13, 2
 #: Text bytes of a slice; a longer text is cut into overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of stretches of a bucket, and suffixes, that a task sorts at a time.
-BUCKET_BYTES, SORTED = 96_000_000, 1_000_000
+BUCKET_BYTES, SORTED = 64_000_000, 500_000
 _SPOT = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _ZERO = np.zeros(1, np.uint64)
@@ -219,40 +219,44 @@ class Bucket:
         self.parts.append((*columns, np.frombuffer(press.decompress(data[8 + size :]), np.uint8)))
         self.bytes += len(self.parts[-1][-1]) + 40 * len(columns[0])
 
+    def whole(self) -> tuple[np.ndarray, ...]:
+        """All columns, and where each stretch starts in the bytes."""
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        self.parts = [tuple(columns)]
+        size = columns[3] + self.length - 1
+        return (*columns, np.cumsum(size) - size)
+
     def settle(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """Drop stretches without a partner and decide copies: yields (id, hash, start, stop) to remove, keeps the rest."""
-        doc, row, place, n, ahead, x = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        """Decide copies of a bucket that is still growing: yields (id, hash, start, stop) to remove, keeps the rest."""
+        doc, row, place, n, ahead, x, start = self.whole()
         size = n + self.length - 1
-        start = np.cumsum(size) - size
-        word = Words(x)
-        first = copies(word, start, n, ahead, doc, self.length)
+        first = copies(Words(x), start, n, ahead, doc, self.length)
         gone = doc > doc[first]
         yield doc[gone], row[gone], place[gone], (place + size)[gone]
         rest = np.flatnonzero(~gone)
-        kept = doc[rest], row[rest], place[rest], n[rest], ahead[rest], x[spread(start[rest], size[rest])]
+        kept = doc[rest], row[rest], place[rest], n[rest], ahead[rest], gather(x, start[rest], size[rest])
         self.parts, self.bytes = [kept], len(kept[-1]) + 40 * len(rest)
 
     def sort(self) -> Iterator[tuple[np.ndarray, ...]]:
-        doc, row, place, n, ahead, x = self.parts[0]
-        size = n + self.length - 1
-        start = np.cumsum(size) - size
+        """Yields (id, hash, start, stop) to remove: anchors of one id drop out, copies are decided, the others sorted."""
+        doc, row, place, n, ahead, x, start = self.whole()
+        if not len(doc):
+            return
         word = Words(x)
-        gram = max(1, self.length // 2 - 1)
-        key = combine(prefix_words(word, start + ahead, gram))
-        order = np.argsort(key, kind="stable")
-        fresh = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(fresh, len(order)))
-        if len(order):  # one id alone removes nothing
-            held = doc[order]
-            shared = np.minimum.reduceat(held, fresh) < np.maximum.reduceat(held, fresh)
-            order, group = order[np.repeat(shared, counts)], np.repeat(np.arange(shared.sum()), counts[shared])
+        key = combine(prefix_words(word, start + ahead, max(1, self.length // 2 - 1)))
+        order, group = shared_groups(np.argsort(key, kind="stable"), key, doc)
+        first = order[copies(word, start[order], n[order], ahead[order], doc[order], self.length)]
+        gone = doc[order] > doc[first]
+        at = order[gone]
+        yield doc[at], row[at], place[at], place[at] + n[at] + self.length - 1
+        order, group = shared_groups(order[~gone], key, doc)
         at = 0
         suffixes = np.cumsum(n[order])
         while at < len(order):
             before = suffixes[at - 1] if at else 0
             stop = max(int(np.searchsorted(suffixes, before + SORTED)), at + 1)
             if stop < len(order):  # whole groups
-                stop = max(int(np.searchsorted(group, group[min(stop, len(group) - 1)])), int(np.searchsorted(group, group[at], side="right")))
+                stop = max(int(np.searchsorted(group, group[stop])), int(np.searchsorted(group, group[at], side="right")))
             own = order[at:stop]
             s, k = repeated(word, start[own], n[own], (start + ahead)[own], group[at:stop], doc[own], self.length)
             s, a, b = runs_of(s, k)
@@ -261,6 +265,23 @@ class Bucket:
             at = stop
 
 
+def shared_groups(order: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in the order of ``key`` those whose key has several ids, and the number of their group."""
+    if not len(order):
+        return order, order
+    held = doc[order]
+    fresh = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    counts = np.diff(np.append(fresh, len(order)))
+    shared = np.minimum.reduceat(held, fresh) < np.maximum.reduceat(held, fresh)
+    return order[np.repeat(shared, counts)], np.repeat(np.arange(shared.sum()), counts[shared])
+
+
+def gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all stretches, a part at a time: an index takes eight times the bytes it picks."""
+    step = 20_000
+    return np.concatenate([x[:0], *[x[spread(start[i : i + step], size[i : i + step])] for i in range(0, len(start), step)]])
+
+
 def bundle(doc: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray, ahead: np.ndarray, x: np.ndarray) -> bytes:
     head = pack([doc, row, place, n, ahead])
     return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
@@ -315,7 +336,7 @@ def bucket_rows(docs: DataFrame, length: int, buckets: int, number: int, passes:
             for b in np.flatnonzero(np.diff(stops)).tolist():
                 at = rest[stops[b] : stops[b + 1]]
                 out_bucket.append(b)
-                out.append(bundle(doc[at], row[at], place[at], n[at], (anchor - start)[at], x[spread(start[at], n[at] + length - 1)]))
+                out.append(bundle(doc[at], row[at], place[at], n[at], (anchor - start)[at], gather(x, start[at], n[at] + length - 1)))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], ["bucket", "data"])
 
     return docs.mapInArrow(run, "bucket int, data binary")
@@ -342,7 +363,6 @@ def sorted_buckets(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
         def done(held: Bucket, large: bool) -> Iterator[pa.RecordBatch]:
             if held.parts:
-                yield from map(spans, held.settle())
                 yield from late(held) if large else map(spans, held.sort())
 
         last, held, large = None, Bucket(length), False
@@ -383,7 +403,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     told apart by 32 bits of the text's hash. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("r"), F.col(text).alias("t"))
     found = None
     for number in range(passes):
