@@ -32,11 +32,24 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: later steps neither recompute it nor depend on executors."""
-    path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: later steps neither recompute it nor depend on executors.
+
+    ``free``: the shuffle files of this step go as soon as the table is complete.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, what)
+    before = spark.conf.get(_CLEANUP)
+    if free:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(taken: list[str], wanted: str) -> str:

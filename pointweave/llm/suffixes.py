@@ -407,12 +407,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("r"), F.col(text).alias("t"))
     found = None
     for number in range(passes):
-        part = materialise(sorted_buckets(bucket_rows(rows, length, buckets, number, passes), length, buckets), "suffix-spans")
+        part = materialise(sorted_buckets(bucket_rows(rows, length, buckets, number, passes), length, buckets), "suffix-spans", free=True)
         found = found.unionByName(part) if found else part
     spans = found.where("data is null").drop("data")
     late = found.where("data is not null")
     if late.limit(1).count():
-        spans = spans.unionByName(materialise(single_suffixes(late, length), "suffix-spans"))
+        spans = spans.unionByName(materialise(single_suffixes(late, length), "suffix-spans", free=True))
     lists = spans.groupBy("k", "r").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     whole = rows.join(lists, ["k", "r"], "left").select("k", "t", "starts", "stops")
 
