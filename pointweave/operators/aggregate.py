@@ -133,14 +133,14 @@ def share_change(df: DataFrame, group: str, cat: str) -> DataFrame:
     n = df.groupBy(group, cat).agg(F.count(F.lit(1)).alias("n"))
     s = with_share(n, group, "n", "share")
     whole = with_share(n.groupBy(cat).agg(F.sum("n").alias("_n")).withColumn("_one", F.lit(1)), "_one", "_n", "overall")
-    j = s.join(whole.select(cat, "overall"), cat)
+    j = join_null_safe(s, whole.select(cat, "overall"), [cat])
     return j.select(group, cat, "n", "share", "overall", (ratio(F.col("share") - F.col("overall"), "overall") * 100).alias("change_pct"))
 
 
 def group_mean_median(df: DataFrame, group: str, score: str) -> DataFrame:
     """Mean and median of a score per group label."""
     med = percentile_columns(df.where(F.col(score).isNotNull()), group, score, {"median": 0.5})
-    return df.groupBy(group).agg(F.avg(score).alias("mean"), F.count(score).alias("n")).join(med, group)
+    return join_null_safe(df.groupBy(group).agg(F.avg(score).alias("mean"), F.count(score).alias("n")), med, names(group))
 
 
 def category_profile(df: DataFrame, cat: str, features: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import names, ratio
 from .trains import raster_events
+from .scan import join_null_safe
 
 
 def gauss_kernel(sigma_bins: float, span: float = 4.0) -> list[float]:
@@ -44,9 +45,9 @@ def psth(
     spread = counts.select(*keys, "bin", "n", F.explode(kernel).alias("k")).groupBy(*keys, (F.col("bin") + F.col("k.o")).alias("bin")).agg(
         F.sum(F.col("n") * F.col("k.w")).alias("s"), F.sum(F.when(F.col("k.o") == 0, F.col("n"))).alias("n"))
     n_trg = trg.groupBy(recid).agg(F.count(F.lit(1)).alias("_k"))
-    entities = ev.select(*keys).distinct().join(n_trg, recid)
+    entities = join_null_safe(ev.select(*keys).distinct(), n_trg, [recid])
     grid = entities.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint"))))
-    return grid.join(spread, keys + ["bin"], "left").select(
+    return join_null_safe(grid, spread, keys + ["bin"], "left").select(
         *keys, "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("s", F.lit(0.0)) / F.col("_k") / F.lit(width)).alias("rate"))
 
 
@@ -58,4 +59,4 @@ def psth_zscore(p: DataFrame, keys: Sequence[str] | str, start: float, stop: flo
         F.avg(F.when(pre, F.col("rate"))).alias("_mu"), F.stddev_pop(F.when(pre, F.col("rate"))).alias("_sd"),
         (F.sum(F.when(pre, F.col("n"))) / F.lit(-start)).alias("_rp"), (F.sum("n") / F.lit(stop - start)).alias("_r"))
     keep = m.where((F.col("_rp") > min_rate) & (F.col("_r") > min_rate))
-    return p.join(keep, keys).select(*keys, "bin", ratio(F.col("rate") - F.col("_mu"), "_sd").alias("z"))
+    return join_null_safe(p, keep, keys).select(*keys, "bin", ratio(F.col("rate") - F.col("_mu"), "_sd").alias("z"))

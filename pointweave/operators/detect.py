@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import names, sq_distance
 from .intervals import islands, merge_by_gap
 from .ranges import points_in_windows
-from .scan import scan, time_chunk
+from .scan import join_null_safe, scan, time_chunk
 
 DAY = 86400.0
 
@@ -75,7 +75,7 @@ def network_bursts(events: DataFrame, keys: Sequence[str] | str, chan: str, d_ch
         "_new": F.coalesce((F.col(chan) - F.lag(chan).over(w) > reach).cast("int"), F.lit(1))})
     chain = pop.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     keep = chain.groupBy(*keys, "_chain").agg(F.max("_pop").alias("_core")).where(F.col("_core") >= min_pop)
-    return chain.join(keep, keys + ["_chain"], "left_semi").select(*keys, chan, "n")
+    return join_null_safe(chain, keep, keys + ["_chain"], "left_semi").select(*keys, chan, "n")
 
 
 def run_length(df: DataFrame, keys: Sequence[str] | str, order: str, label: str, chunk: Column | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def label_blocks(blocks: DataFrame, stim: DataFrame, keys: Sequence[str] | str,
     name = F.lit("")
     for k, s in enumerate(stim_keys):
         name = F.when(F.col("_p") == k, F.lit(s)).otherwise(name)
-    return blocks.join(best, keys + [block], "left").withColumn("name", name).drop("_p")
+    return join_null_safe(blocks, best, keys + [block], "left").withColumn("name", name).drop("_p")
 
 
 def jump_segments(points: DataFrame, order: str, coords: str, max_d: float, features: str, chunk: Column | None = None) -> DataFrame:

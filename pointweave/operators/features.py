@@ -62,7 +62,12 @@ def _literal(v: Sequence[float]) -> Column:
 def standardize(
     df: DataFrame, vec: str, weights: Sequence[float] | None = None, ref: tuple[Sequence[float], Sequence[float]] | None = None
 ) -> DataFrame:
-    """(x - mean) / population sd * weight per dimension; ``ref`` projects new data with stored moments."""
+    """(x - mean) / population sd * weight per dimension; ``ref`` projects new data with stored moments.
+
+    An empty table stays empty.
+    """
+    if ref is None and df.isEmpty():
+        return df
     mu, sd = ref if ref is not None else moments(df, vec)
     w = weights if weights is not None else [1.0] * len(mu)
     m, s, g = _literal(mu), _literal(sd), _literal(w)
@@ -278,7 +283,7 @@ def relabel_by_median(df: DataFrame, label: str, feature: str, out: str = "new_l
     med = percentile_columns(df, label, feature, {"_med": 0.5})
     key = F.desc("_med") if descending else F.asc("_med")
     rank = med.select(label, (F.row_number().over(Window.orderBy(key, label)) - 1).alias(out))  # one row per label
-    return df.join(rank, label)
+    return join_null_safe(df, rank, [label])
 
 
 def relabel_by_distance(df: DataFrame, label: str, features: Sequence[str], sort_feature: str, out: str = "new_label", low_to_high: bool = True) -> DataFrame:
@@ -286,23 +291,28 @@ def relabel_by_distance(df: DataFrame, label: str, features: Sequence[str], sort
     med = None
     for f in features:
         m = percentile_columns(df, label, f, {f"_{f}": 0.5})
-        med = m if med is None else med.join(m, label)
+        med = m if med is None else join_null_safe(med, m, [label])
     v = med.select(label, F.array(*[F.col(f"_{f}") for f in features]).alias("_v"), F.col(f"_{sort_feature}").alias("_s"))
     ref = v.agg(F.max_by("_v", F.struct("_s", -F.col(label))).alias("_ref")).withColumn("_k", F.lit(1))
     dist = v.withColumn("_k", F.lit(1)).join(ref, "_k").withColumn("_d", sq_distance("_v", "_ref"))  # one row per label
     key = F.desc("_d") if low_to_high else F.asc("_d")
-    return df.join(dist.select(label, (F.row_number().over(Window.orderBy(key, label)) - 1).alias(out)), label)
+    return join_null_safe(df, dist.select(label, (F.row_number().over(Window.orderBy(key, label)) - 1).alias(out)), [label])
 
 
 def relabel_fixed(df: DataFrame, label: str, mapping: dict, out: str = "new_label") -> DataFrame:
-    expr = F.col(label)
-    for old, new in mapping.items():
-        expr = F.when(F.col(label) == F.lit(old), F.lit(new)).otherwise(expr)
-    return df.withColumn(out, expr)
+    """Labels replaced by a table of old and new ones; others, NULL included, stay."""
+    if not mapping:
+        return df.withColumn(out, F.col(label))
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return df.withColumn(out, F.coalesce(F.try_element_at(table, F.col(label)), F.col(label)))
 
 
 def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Mean over clusters of the worst (scatter_i + scatter_j) / centroid distance; only cluster-sized joins."""
+    """Mean over clusters of the worst (scatter_i + scatter_j) / centroid distance; only cluster-sized joins.
+
+    A row without a label belongs to no cluster.
+    """
+    df = df.where(F.col(label).isNotNull())
     cent = group_means(df, vec, label).withColumnRenamed(vec, "_c")
     scatter = df.join(cent.select(label, "_c"), label).groupBy(label).agg(F.avg(F.sqrt(sq_distance(vec, "_c"))).alias("_s")).join(cent.select(label, "_c"), label)
     other = scatter.select(F.col(label).alias("_l2"), F.col("_s").alias("_s2"), F.col("_c").alias("_c2"))
@@ -313,7 +323,8 @@ def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 def squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Mean silhouette with squared distances, exact for any row count: the mean squared distance of a row to
-    a cluster follows from the cluster's size, mean and mean square."""
+    a cluster follows from the cluster's size, mean and mean square. Rows without a label are left out."""
+    df = df.where(F.col(label).isNotNull())
     sq = F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v * v)
     square = df.groupBy(label).agg(F.avg(sq).alias("_q"))
     means = group_means(df, vec, label)
@@ -321,10 +332,13 @@ def squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
     extra = {r[label]: (r["n"], r["_q"]) for r in means.select(label, "n").join(square, label).collect()}
     size, mean_sq = np.array([extra[k][0] for k in keys], dtype=float), np.array([extra[k][1] for k in keys])
 
+    order = np.argsort(np.array(keys), kind="stable")
+    ranked = np.array(keys)[order]
+
     @F.pandas_udf("double")
     def width(v: pd.Series, own: pd.Series) -> pd.Series:
         x = np.vstack(v.to_numpy())
-        me, at = np.array([keys.index(k) for k in own]), np.arange(len(x))
+        me, at = order[np.searchsorted(ranked, own.to_numpy())], np.arange(len(x))
         d = (x ** 2).sum(axis=1)[:, None] - 2 * x @ cent.T + mean_sq
         a = d[at, me] * size[me] / np.maximum(size[me] - 1, 1)
         d[at, me] = np.inf
@@ -335,7 +349,11 @@ def squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 
 def cluster_quality(model: DataFrame, key: str, vec: str, label: str) -> DataFrame:
-    """Davies-Bouldin, Dunn and silhouette of a labelled model table (prototypes, group vectors), from its pair distances."""
+    """Davies-Bouldin, Dunn and silhouette of a labelled model table (prototypes, group vectors), from its pair distances.
+
+    A row without a label belongs to no cluster.
+    """
+    model = model.where(F.col(label).isNotNull())
     lab = model.select(F.col(key).alias("src"), F.col(label).alias("_own"))
     d = pair_moments(model, key, vec).select("src", "dst", "dist")
     d = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, names, ratio
 from .ranges import count_in_windows
-from .scan import scan, time_chunk
+from .scan import join_null_safe, scan, time_chunk
 
 DAY = 86400.0
 
@@ -47,7 +47,7 @@ def free_intervals(
 ) -> DataFrame:
     """Complement of the windows inside each key's ``[lo, hi]`` of ``bounds``; no windows: the whole range."""
     keys = names(keys)
-    clipped = win.join(bounds, keys).select(
+    clipped = join_null_safe(win, bounds, keys).select(
         *keys, F.greatest("t0", "lo").alias("t0"), F.least("t1", "hi").alias("t1")).where("t1 > t0")
     # a zero-width end marker per bound makes the stretch before, between and after windows one rule
     ends = bounds.select(*keys, F.col("lo").alias("t0"), F.col("lo").alias("t1")).unionByName(
@@ -98,7 +98,7 @@ def members_per_merge(merged: DataFrame, win: DataFrame, keys: Sequence[str] | s
     ended = count_in_windows(
         m.select(*keys, F.col("t0").alias("m0"), F.col("t1").alias("m1"), F.lit(-1e300).alias("t0"), F.col("t0").alias("t1")),
         win.select(*keys, F.col("t1").alias("t")), keys, "_e", chunk_s, closed=False)
-    return started.select(*keys, "m0", "m1", "_s").join(ended.select(*keys, "m0", "m1", "_e"), keys + ["m0", "m1"]).select(
+    return join_null_safe(started.select(*keys, "m0", "m1", "_s"), ended.select(*keys, "m0", "m1", "_e"), keys + ["m0", "m1"]).select(
         *keys, F.col("m0").alias("t0"), F.col("m1").alias("t1"), (F.col("_s") - F.col("_e")).alias(out))
 
 
@@ -121,7 +121,7 @@ def extend_borders(
     keys = names(keys)
     starts = borders.select(*keys, "t0", F.lit(True).alias("_s")).distinct()
     stops = borders.select(*keys, "t1", F.lit(True).alias("_e")).distinct()
-    j = merged.join(starts, keys + ["t0"], "left").join(stops, keys + ["t1"], "left")
+    j = join_null_safe(join_null_safe(merged, starts, keys + ["t0"], "left"), stops, keys + ["t1"], "left")
     return j.select(
         *keys, (F.col("t0") - F.when(F.col("_s"), F.lit(pad)).otherwise(0.0)).alias("t0"),
         (F.col("t1") + F.when(F.col("_e"), F.lit(pad)).otherwise(0.0)).alias("t1")).where(F.col("t1") - F.col("t0") >= min_dur)
@@ -132,7 +132,7 @@ def gap_windows(win: DataFrame, bounds: DataFrame, keys: Sequence[str] | str, ch
     keys = names(keys)
     chunk = time_chunk("t0", chunk_s)
     seq = scan(win.select(*keys, "t0", "t1"), keys, ["t0", "t1"], chunk, _pt1=("lag", "t1"), _nt0=("lead", "t0"))
-    j = seq.join(bounds, keys)
+    j = join_null_safe(seq, bounds, keys)
     before = j.select(*keys, F.coalesce("_pt1", "lo").alias("t0"), F.col("t0").alias("t1"))
     after = j.where("_nt0 IS NULL").select(*keys, F.col("t1").alias("t0"), F.col("hi").alias("t1"))
     return before.unionByName(after)
@@ -187,7 +187,7 @@ def time_fractions(win_by_kind: DataFrame, bounds: DataFrame, keys: Sequence[str
     dur = F.col("t1") - F.col("t0")
     sums = win_by_kind.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("kind") == k, dur)).alias(f"_{k}") for k in [*kinds, artifact]])
-    j = bounds.join(sums, keys, "left")
+    j = join_null_safe(bounds, sums, keys, "left")
     usable = F.col("hi") - F.col("lo") - F.coalesce(F.col(f"_{artifact}"), F.lit(0.0))
     return j.select(*keys, usable.alias("usable"), *[
         ratio(F.coalesce(F.col(f"_{k}"), F.lit(0.0)), usable).alias(f"frac_{k}") for k in kinds])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import names
 from .ranges import overlap_flag, window_pairs
-from .scan import scan, time_chunk
+from .scan import join_null_safe, scan, time_chunk
 
 DAY = 86400.0
 # Fixed value: marks an entity without a single matching score.
@@ -45,7 +45,7 @@ def before_reference(win: DataFrame, ref: DataFrame, keys: Sequence[str] | str,
     """Windows that end at least ``buff`` before the first reference event; no reference keeps all."""
     keys = names(keys)
     first = ref.groupBy(*keys).agg(F.min("t").alias("_ref"))
-    return win.join(first, keys, "left").where(
+    return join_null_safe(win, first, keys, "left").where(
         F.col("_ref").isNull() | (F.col("t1") <= F.col("_ref") - buff)).drop("_ref")
 
 
@@ -118,7 +118,7 @@ def followon_windows(a: DataFrame, b: DataFrame, keys: Sequence[str] | str) -> D
     """Windows of ``b`` that start exactly where a window of ``a`` stops."""
     keys = names(keys)
     ends = a.select(*keys, F.col("t1").alias("t0")).distinct()
-    return b.join(ends, keys + ["t0"], "left_semi")
+    return join_null_safe(b, ends, keys + ["t0"], "left_semi")
 
 
 def next_opposite_events(
@@ -130,7 +130,7 @@ def next_opposite_events(
     r = scan(ev, keys, ["t", "eid"], time_chunk("t", chunk_s), _rn="row")
     a = r.select(*keys, F.col("eid").alias("src"), F.col("t").alias("_t"), F.col("sign").alias("_s"), F.col("lo").alias("_lo"),
                  F.col("hi").alias("_hi"), F.explode(F.sequence(F.col("_rn") + 1, F.col("_rn") + (search - 1))).alias("_rn"))
-    j = a.join(r, keys + ["_rn"])
+    j = join_null_safe(a, r, keys + ["_rn"])
     ok = (F.col("sign") != F.col("_s")) & (F.col("t") - F.col("_t") <= max_diff) & (F.col("lo") <= F.col("_hi")) & (F.col("hi") >= F.col("_lo"))
     return j.where(ok).select(*keys, "src", F.col("eid").alias("dst"), (F.col("t") - F.col("_t")).alias("dt"))
 

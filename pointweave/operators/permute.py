@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, names, ratio
 from .aggregate import crosstab, levels_grid
+from ..session import cut_lineage
 from .scan import hash_chunk, join_null_safe, scan
 
 # P levels of the signed significance code.
 P_LEVELS = (0.05, 0.01, 0.001)
 #: Repetitions that one task draws together.
 REP_BLOCK = 250
+#: Cells times repetitions of a random table that one task draws.
+TASK_CELLS = 20_000_000
 
 
 def permute_counts(
@@ -44,13 +47,16 @@ def permute_counts(
 
 
 def permute_counts_by_margins(
-    df: DataFrame, a1: str, a2: str, const: Sequence[str] | str, reps: int, by: Sequence[str] | str = (), seed: int = 0
+    df: DataFrame, a1: str, a2: str, const: Sequence[str] | str, reps: int, by: Sequence[str] | str = (), seed: int = 0,
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """The same null distribution drawn from the margins alone.
 
-    Shuffling inside a constant group only leaves the group's two margins fixed, so each repetition is a
-    draw from the multivariate hypergeometric law of its contingency table. Rows are read once and
-    aggregated map-side; what is shuffled and drawn is levels x groups x reps, whatever the row count.
+    Shuffling inside a constant group only leaves the group's two margins fixed, so each repetition is a draw from the
+    multivariate hypergeometric law of its contingency table. Rows are read once and aggregated map-side; what is drawn
+    is levels x groups x reps, whatever the row count. A table is drawn as a tree: the levels of ``a1`` are halved, one
+    draw for each column says how much of it falls to the first half, and each half is a table of its own. Halves of a
+    table with more than ``task_cells`` cells and repetitions go to different tasks until they are small enough.
     """
     by, const = names(by), [c for c in names(const) if c not in names(by)]
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -58,33 +64,63 @@ def permute_counts_by_margins(
         df, const = df.withColumn("_whole", F.lit(0)), ["_whole"]
     group = by + const
     cells = df.groupBy(*group, a1, a2).agg(F.count(F.lit(1)).alias("n"))
-    m1 = cells.groupBy(*group, a1).agg(F.sum("n").alias("n")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(a1).alias("v"), "n"))).alias("m1"))
-    m2 = cells.groupBy(*group, a2).agg(F.sum("n").alias("n")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(a2).alias("v"), "n"))).alias("m2"))
-    joined = join_null_safe(m1, m2, group)
+
+    def margin(attr: str, out: str) -> DataFrame:
+        n = cells.groupBy(*group, attr).agg(F.sum("n").alias("n"))
+        return n.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(attr).alias("v"), "n"))).alias(out))
+
+    joined = cut_lineage(join_null_safe(margin(a1, "m1"), margin(a2, "m2"), group))
     tag = F.to_json(F.struct(*group))  # different groups, NULL included, get different streams
     blocks = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REP_BLOCK)))
-    tasks = joined.select(*by, tag.alias("_g"), "m1", "m2", blocks.alias("rep"))
-    tasks = tasks.repartition("_g", "rep")
+    nodes = joined.select(*by, tag.alias("_g"), blocks.alias("rep"), F.lit("").alias("_path"), "m1", F.col("m2.v").alias("m2"), F.array(F.col("m2.n")).alias("left"))
+    halve, draw = _table_tasks(a1, a2, by, reps, seed, task_cells)
+    largest = joined.agg(F.max(F.size("m1").cast("long") * F.size("m2"))).first()[0] or 0
+    while largest * min(REP_BLOCK, reps) > task_cells and largest > 1:
+        nodes = nodes.repartition("_g", "rep", "_path").mapInPandas(halve, nodes.schema)
+        largest = (largest + 1) // 2
     schema = "".join(f"`{c}` {fields[c]}, " for c in by) + f"rep int, `{a1}` {fields[a1]}, `{a2}` {fields[a2]}, n bigint"
+    drawn = nodes.repartition("_g", "rep", "_path").mapInPandas(draw, schema)
+    return drawn.groupBy(*by, "rep", a1, a2).agg(F.sum("n").alias("n"))
+
+
+def _table_tasks(a1: str, a2: str, by: Sequence[str], reps: int, seed: int, task_cells: int):
+    """The two steps on nodes of the tree: hand on the halves of a large one, draw all cells of a small one."""
+
+    def opened(r: dict) -> tuple[np.random.Generator, np.ndarray, np.ndarray]:
+        key = hashlib.blake2b(f"{seed}|{r['rep']}|{r['_g']}|{r['_path']}".encode(), digest_size=8).digest()
+        left = np.array([np.asarray(x, np.int64) for x in r["left"]])
+        if len(left) == 1:  # the root: all repetitions have the same columns
+            left = np.tile(left, (min(REP_BLOCK, reps - r["rep"]), 1))
+        return np.random.default_rng(int.from_bytes(key, "little")), np.array([x["n"] for x in r["m1"]], np.int64), left
+
+    def halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if len(r["m1"]) * len(r["m2"]) * min(REP_BLOCK, reps) <= task_cells or len(r["m1"]) < 2:
+                    out.append(r)
+                    continue
+                rng, rows, left = opened(r)
+                half = len(rows) // 2
+                first = _share(rng, left, np.full(len(left), rows[:half].sum()))
+                out.append({**r, "_path": r["_path"] + "0", "m1": r["m1"][:half], "left": first.tolist()})
+                out.append({**r, "_path": r["_path"] + "1", "m1": r["m1"][half:], "left": (left - first).tolist()})
+            if out:
+                yield pd.DataFrame(out, columns=pdf.columns)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False, name=None):
-                r = dict(zip(pdf.columns, row, strict=True))
-                g, rep, l1, l2 = row[len(by)], row[len(by) + 3], row[len(by) + 1], row[len(by) + 2]
-                key = hashlib.blake2b(f"{seed}|{rep}|{g}".encode(), digest_size=8).digest()
-                rng = np.random.default_rng(int.from_bytes(key, "little"))
-                table = _random_tables(rng, [x["n"] for x in l1], [x["n"] for x in l2], min(REP_BLOCK, reps - rep))
+            for r in pdf.to_dict("records"):
+                rng, rows, left = opened(r)
+                table = _random_tables(rng, rows, left)
                 t, i, j = np.nonzero(table)
-                block = {c: [r[c]] * len(i) for c in by}
-                block |= {"rep": rep + t, a1: [l1[k]["v"] for k in i], a2: [l2[k]["v"] for k in j], "n": table[t, i, j]}
-                out.append(pd.DataFrame(block))
+                v1, v2 = np.array([x["v"] for x in r["m1"]], object), np.array(list(r["m2"]), object)
+                out.append(pd.DataFrame({c: [r[c]] * len(i) for c in by} | {"rep": r["rep"] + t, a1: v1[i], a2: v2[j], "n": table[t, i, j]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    drawn = tasks.mapInPandas(draw, schema)
-    return drawn.groupBy(*by, "rep", a1, a2).agg(F.sum("n").alias("n"))
+    return halve, draw
 
 
 def exact_moments(df: DataFrame, a1: str, a2: str, const: Sequence[str] | str, by: Sequence[str] | str = ()) -> DataFrame:
@@ -106,21 +142,32 @@ def exact_moments(df: DataFrame, a1: str, a2: str, const: Sequence[str] | str, b
     return grid.select(*by, a1, a2, "n", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("sd", F.lit(0.0)).alias("sd"))
 
 
-def _random_tables(rng: np.random.Generator, rows: Sequence[int], cols: Sequence[int], reps: int) -> np.ndarray:
-    """``reps`` random contingency tables with the given margins, drawn cell by cell for all of them at once."""
-    left = np.tile(np.asarray(cols, dtype=np.int64), (reps, 1))
-    table = np.zeros((reps, len(rows), left.shape[1]), dtype=np.int64)
-    for i, n in enumerate(rows):
-        if i == len(rows) - 1:
-            table[:, i] = left
-            break
-        need, rest = np.full(reps, int(n)), left.sum(axis=1)
-        for j in range(left.shape[1]):
-            rest = rest - left[:, j]
-            table[:, i, j] = _hypergeometric(rng, left[:, j], rest, need)
-            need = need - table[:, i, j]
-        left -= table[:, i]
-    return table
+def _share(rng: np.random.Generator, left: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """How many of ``need`` items fall to each column of ``left`` (tables, columns): one draw a column for all tables."""
+    out, rest = np.empty_like(left), left.sum(axis=1)
+    for j in range(left.shape[1]):
+        rest = rest - left[:, j]
+        out[:, j] = _hypergeometric(rng, left[:, j], rest, need)
+        need = need - out[:, j]
+    return out
+
+
+def _random_tables(rng: np.random.Generator, rows: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """(reps, rows, columns): a random table with margins ``rows`` for each line of column sums ``left`` (reps, columns).
+
+    All nodes of one level of the tree are split together.
+    """
+    width = 1 << (len(rows) - 1).bit_length()
+    margins = np.zeros(width, np.int64)
+    margins[: len(rows)] = rows
+    reps, columns = left.shape
+    nodes = left[None]
+    while width > 1:
+        need = margins.reshape(-1, width)[:, : width // 2].sum(axis=1)
+        first = _share(rng, nodes.reshape(-1, columns), np.repeat(need, reps)).reshape(nodes.shape)
+        nodes = np.stack([first, nodes - first], axis=1).reshape(-1, reps, columns)
+        width //= 2
+    return nodes[: len(rows)].transpose(1, 0, 2)
 
 
 def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:

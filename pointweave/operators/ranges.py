@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import names
-from .scan import scan, time_chunk
+from .scan import join_null_safe, scan, time_chunk
 
 
 def _buckets(lo: str, hi: str, width: float):
@@ -30,7 +30,7 @@ def points_in_windows(
     w = windows.withColumn("_bk", F.explode(_buckets(t0, t1, bucket)))
     inside = (F.col(t) >= F.col(t0)) & (F.col(t) <= F.col(t1)) if closed else (
         (F.col(t) > F.col(t0)) & (F.col(t) < F.col(t1)))
-    return p.join(w, keys + ["_bk"]).where(inside).drop("_bk")
+    return join_null_safe(p, w, keys + ["_bk"]).where(inside).drop("_bk")
 
 
 def window_pairs(
@@ -43,7 +43,7 @@ def window_pairs(
     right = b.withColumn("_bk", F.explode(_buckets(b0, b1, bucket)))
     first = F.greatest(F.floor(F.col(a0) / float(bucket)), F.floor(F.col(b0) / float(bucket)))
     overlap = (F.col(a0) <= F.col(b1)) & (F.col(a1) >= F.col(b0))
-    return left.join(right, keys + ["_bk"]).where(overlap & (F.col("_bk") == first)).drop("_bk")
+    return join_null_safe(left, right, keys + ["_bk"]).where(overlap & (F.col("_bk") == first)).drop("_bk")
 
 
 def overlap_flag(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, names
 from .filters import dense_ids
-from .scan import hash_chunk, scan, time_chunk
+from .scan import hash_chunk, join_null_safe, scan, time_chunk
 
 DAY = 86400.0
 
@@ -37,7 +37,7 @@ def cap_trials(trg: DataFrame, keys: Sequence[str] | str, n_min: int, cap: int |
     else:
         raise ValueError(f"unknown selection {mode!r}")
     n = trg.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n_min)
-    return r.join(n, keys).where((F.col("_n") == n_min) | (F.col("_r") <= cap)).drop("_r", "_n")
+    return join_null_safe(r, n, keys).where((F.col("_n") == n_min) | (F.col("_r") <= cap)).drop("_r", "_n")
 
 
 def sample_per_group(df: DataFrame, keys: Sequence[str] | str, n: int, entity: str, salt: str = "pick") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import finite, names, ratio, sq_distance
 from .aggregate import levels_grid, with_share
-from .scan import scan
+from .scan import join_null_safe, scan
 
 
 def _tile_of(row: Column, n: Column, k: Column) -> Column:
@@ -36,7 +36,7 @@ def chop_blocks(win: DataFrame, keys: Sequence[str] | str, order: Sequence[str]
     """Cut each key's windows into ``int(n / n_per)`` blocks (from 0); keys with fewer than ``n_per`` are left out."""
     keys = names(keys)
     n = win.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / n_per).alias("_k")).where("_k > 0")
-    parts = equal_parts(win.join(n, keys), keys, order, F.col("_k"), "block", chunk)
+    parts = equal_parts(join_null_safe(win, n, keys), keys, order, F.col("_k"), "block", chunk)
     return parts.withColumn("block", F.col("block") - 1).drop("_k")
 
 
@@ -91,7 +91,7 @@ def transitions(blocks: DataFrame, keys: Sequence[str] | str, entity: str, block
     ok = blocks.where((F.col(n) >= n_min) & F.col(cat).isNotNull())
     a = ok.select(*keys, entity, F.col(block).alias("step"), F.col(cat).alias("src"))
     b = ok.select(*keys, entity, (F.col(block) - 1).alias("step"), F.col(cat).alias("dst"))
-    return a.join(b, [*keys, entity, "step"]).groupBy(*keys, "step", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return join_null_safe(a, b, [*keys, entity, "step"]).groupBy(*keys, "step", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def transition_stats(trans: DataFrame, by: Sequence[str] | str = ()) -> DataFrame:
@@ -102,7 +102,7 @@ def transition_stats(trans: DataFrame, by: Sequence[str] | str = ()) -> DataFram
     """
     by = names(by)
     t = trans.groupBy(*by, "src", "dst").agg(F.sum("n").alias("n"))
-    full = levels_grid(t, "src", "dst", by).join(t, [*by, "src", "dst"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = join_null_safe(levels_grid(t, "src", "dst", by), t, [*by, "src", "dst"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     row, col, tot = (F.sum("n").over(Window.partitionBy(*by, *c)) for c in (["src"], ["dst"], [F.lit(0)]))
     m = full.withColumns({"_r": row, "_c": col, "_t": tot})
     m = m.withColumn("expected", ratio(F.col("_r") * F.col("_c").cast("double"), "_t"))
@@ -145,10 +145,10 @@ def transition_rollup(trans: DataFrame, block_sizes: DataFrame, keys: Sequence[s
     s = block_sizes.where(F.col("n") >= n_min)
     a = s.select(*keys, F.col("block").alias("step"), F.col("name").alias("name_a"))
     b = s.select(*keys, (F.col("block") - 1).alias("step"), F.col("name").alias("name_b"))
-    named = a.join(b, keys + ["step"])
+    named = join_null_safe(a, b, keys + ["step"])
     if allowed is not None:
         named = named.where(allowed)
-    j = trans.join(named, keys + ["step"]).withColumn("pair", F.concat_ws(">", "name_a", "name_b"))
+    j = join_null_safe(trans, named, keys + ["step"]).withColumn("pair", F.concat_ws(">", "name_a", "name_b"))
     return j.groupBy("pair", "src", "dst").agg(F.sum("n").alias("n"), F.count_distinct(*keys).alias("n_rec"))
 
 

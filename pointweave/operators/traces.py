@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalars import names, ratio
-from .scan import percentile_columns, scan
+from .scan import join_null_safe, percentile_columns, scan
 
 FRAME = 65536
 
@@ -57,7 +57,7 @@ def local_extrema(tr: DataFrame, keys: Sequence[str] | str, mode: str = "max", v
 def zscored(tr: DataFrame, keys: Sequence[str] | str, value: str = "v", out: str = "z") -> DataFrame:
     keys = names(keys)
     m = tr.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    return tr.join(m, keys).withColumn(out, ratio(F.col(value) - F.col("_mu"), "_sd")).drop("_mu", "_sd")
+    return join_null_safe(tr, m, keys).withColumn(out, ratio(F.col(value) - F.col("_mu"), "_sd")).drop("_mu", "_sd")
 
 
 def signed_peaks(tr: DataFrame, keys: Sequence[str] | str, z_thr: float, value: str = "v") -> DataFrame:
@@ -168,7 +168,7 @@ def savgol(tr: DataFrame, keys: Sequence[str] | str, width: int = 11, order: int
     keys, half, weights = names(keys), width // 2, savgol_weights(width, order)
     ends = tr.groupBy(*keys).agg(F.min_by(value, "i").alias("_y0"), F.max_by(value, "i").alias("_y1"), F.max("i").alias("_n"))
     body = tr.select(*keys, "i", F.col(value).alias("_v"))
-    edge = body.join(ends, keys)
+    edge = join_null_safe(body, ends, keys)
     left = edge.where((F.col("i") >= 1) & (F.col("i") <= half)).select(
         *keys, (-F.col("i")).alias("i"), (F.col("_y0") - F.abs(F.col("_v") - F.col("_y0"))).alias("_v"))
     right = edge.where((F.col("i") >= F.col("_n") - half) & (F.col("i") < F.col("_n"))).select(
@@ -199,7 +199,7 @@ def resample_linear(tr: DataFrame, keys: Sequence[str] | str, sr_old: float, sr_
     keys = names(keys)
     size = tr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn(
         "_m", F.floor(F.col("_n") * F.lit(sr_new) / F.lit(sr_old)).cast("bigint")).where("_m > 1")
-    t = neighbourhood(tr.select(*keys, "i", value), keys, 1, lambda w: {"_q": F.lead(value).over(w)}).join(size, keys)
+    t = join_null_safe(neighbourhood(tr.select(*keys, "i", value), keys, 1, lambda w: {"_q": F.lead(value).over(w)}), size, keys)
     n1, m1, i = F.col("_n") - 1, F.col("_m") - 1, F.col("i")
     up = lambda k: F.floor((k * m1 + n1 - 1) / n1).cast("bigint")  # noqa: E731  ceil(k m1 / n1)
     js = F.when(F.col("_q").isNull(), F.array(m1)).when(up(i) <= up(i + 1) - 1, F.sequence(up(i), up(i + 1) - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -221,7 +221,7 @@ def xcorr(xy: DataFrame, keys: Sequence[str] | str, max_lag: int, x: str = "x",
         (s["j"] - F.col("i")).alias("lag"), (s["x"] * F.col(y)).alias("p")))).alias("e"))
     c = prods.groupBy(*keys, F.col("e.lag").alias("lag")).agg(F.sum("e.p").alias("_c"))
     norm = xy.groupBy(*keys).agg(F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y))).alias("_n"))
-    return c.join(norm, keys).where(F.abs("lag") <= max_lag).select(*keys, "lag", ratio("_c", "_n").alias("c"))
+    return join_null_safe(c, norm, keys).where(F.abs("lag") <= max_lag).select(*keys, "lag", ratio("_c", "_n").alias("c"))
 
 
 def best_shift(corr: DataFrame, keys: Sequence[str] | str) -> DataFrame:
@@ -275,18 +275,18 @@ def adaptive_area_threshold(shapes: DataFrame, key: str, width: float, hi: float
     its first contiguous run of such bins; if no later run exists, of the first bin. Else the smallest area.
     """
     lo = shapes.groupBy(key).agg(F.min("area").alias("lo")).withColumn("n_bins", F.floor((F.lit(hi) - F.col("lo")) / width).cast("bigint"))
-    binned = shapes.join(lo, key).withColumn("k", F.floor((F.col("area") - F.col("lo")) / width)).where("k < n_bins")
+    binned = join_null_safe(shapes, lo, [key]).withColumn("k", F.floor((F.col("area") - F.col("lo")) / width)).where("k < n_bins")
     counts = binned.groupBy(key, "k").agg(F.count(F.lit(1)).alias("n"))
     # empty bins enter the moments through n_bins; only filled bins are rows
-    mom = counts.groupBy(key).agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).join(lo, key)
+    mom = join_null_safe(counts.groupBy(key).agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")), lo, [key])
     mean = F.col("s") / F.col("n_bins")
     thr = mom.select(key, "lo", "n_bins", (mean + n_sd * F.sqrt(F.greatest(F.col("q") / F.col("n_bins") - mean * mean, F.lit(0.0)))).alias("cut"))
-    over = counts.join(thr, key).where("n > cut")
+    over = join_null_safe(counts, thr, [key]).where("n > cut")
     w = Window.partitionBy(key).orderBy("k")  # bounded by the bin count
     runs = over.withColumn("_r", F.col("k") - F.row_number().over(w))
     first = runs.groupBy(key).agg(
         F.min("k").alias("k0"), F.max(F.when(F.col("_r") == -1, F.col("k"))).alias("k_end"), F.max("k").alias("k_last"))
-    j = lo.join(first, key, "left")
+    j = join_null_safe(lo, first, [key], "left")
     idx = F.when(F.col("k_last") > F.col("k_end"), F.col("k_end")).otherwise(F.lit(0))
     return j.select(key, F.when(F.col("k0") == 0, F.col("lo") + (idx + 1) * F.lit(width)).otherwise(F.col("lo")).alias("thr"))
 
@@ -296,10 +296,10 @@ def rate_histogram(ev: DataFrame, spans: DataFrame, keys: Sequence[str] | str, w
     keys = names(keys)
     n_bins = F.floor((F.col("hi") - F.col("lo")) / F.lit(width))
     grid = index_grid(spans, keys, n_bins, "bin")
-    j = ev.join(spans, keys)
+    j = join_null_safe(ev, spans, keys)
     k = F.floor((F.col("t") - F.col("lo")) / F.lit(width))
     counts = j.where((F.col("t") >= F.col("lo")) & (k < n_bins)).groupBy(*keys, k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(counts, keys + ["bin"], "left").select(
+    return join_null_safe(grid, counts, keys + ["bin"], "left").select(
         *keys, "bin", (F.coalesce("n", F.lit(0)) / F.lit(width * n_units)).alias("rate"))
 
 
@@ -317,11 +317,11 @@ def channel_consensus(
     keys = names(keys)
     n = det.groupBy(*keys, chan).agg(F.count(F.lit(1)).alias("_n"))
     lim = n.groupBy(*keys).agg(F.avg("_n").alias("_mu"), F.stddev_pop("_n").alias("_sd"))
-    kept = n.join(lim, keys).where(F.abs(F.col("_n") - F.col("_mu")) <= n_sd * F.col("_sd")).select(*keys, chan)
+    kept = join_null_safe(n, lim, keys).where(F.abs(F.col("_n") - F.col("_mu")) <= n_sd * F.col("_sd")).select(*keys, chan)
     size = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    hits = det.join(kept, keys + [chan]).groupBy(*keys, i).agg(F.count(F.lit(1)).alias("_h"))
+    hits = join_null_safe(det, kept, keys + [chan]).groupBy(*keys, i).agg(F.count(F.lit(1)).alias("_h"))
     blocked = stim.select(*keys, F.explode(F.sequence(F.col("i") + stim_lo, F.col("i") + (stim_hi - 1))).alias(i)).distinct()
-    return hits.join(size, keys).join(blocked, keys + [i], "left_anti").select(*keys, i, (F.col("_h") / F.col("_k") * 100).alias("pct"))
+    return join_null_safe(join_null_safe(hits, size, keys), blocked, keys + [i], "left_anti").select(*keys, i, (F.col("_h") / F.col("_k") * 100).alias("pct"))
 
 
 def hist2d(df: DataFrame, x: str, y: str, x_edges: tuple[float, float, int], y_edges: tuple[float, float, int], keys: Sequence[str] = ()) -> DataFrame:
@@ -347,11 +347,11 @@ def density_hist(df: DataFrame, key: str, value: str, upper: float = 0.975) -> D
     """Per category: ``int(sqrt(n)) - 1`` equal bins from 0 to the ``upper`` percentile; count, prob, prob per width."""
     top = percentile_columns(df, key, value, {"_top": upper})
     n = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("bigint").alias("_e"))
-    grid = n.join(top, key).where("_e > 1").withColumns({"n_bins": F.col("_e") - 1, "bw": F.col("_top") / (F.col("_e") - 1)})
+    grid = join_null_safe(n, top, [key]).where("_e > 1").withColumns({"n_bins": F.col("_e") - 1, "bw": F.col("_top") / (F.col("_e") - 1)})
     k = F.floor(ratio(value, "bw"))
-    j = df.join(grid, key).where((F.col(value) >= 0) & (F.col(value) <= F.col("_top")))
+    j = join_null_safe(df, grid, [key]).where((F.col(value) >= 0) & (F.col(value) <= F.col("_top")))
     counts = j.groupBy(key, F.least(k, F.col("n_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     full = grid.select(key, "bw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
-    c = full.join(counts, [key, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = join_null_safe(full, counts, [key, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tot = counts.groupBy(key).agg(F.sum("n").alias("_s"))
-    return c.join(tot, key).select(key, "bin", "n", ratio("n", "_s").alias("prob"), ratio(F.col("n"), F.col("_s") * F.col("bw")).alias("density"))
+    return join_null_safe(c, tot, [key]).select(key, "bin", "n", ratio("n", "_s").alias("prob"), ratio(F.col("n"), F.col("_s") * F.col("bw")).alias("density"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import INTERVAL_METRICS, gated
 from ..functions.scalars import as_col, correlation, finite, names, ratio
 from .ranges import points_in_windows
-from .scan import average_rank, percentile_columns, scan, time_chunk
+from .scan import average_rank, join_null_safe, percentile_columns, scan, time_chunk
 
 DAY = 86400.0
 
@@ -64,7 +64,7 @@ def interval_rate(isi: DataFrame, keys: Sequence[str] | str, min_n: int = 1) ->
     keys = names(keys)
     med = percentile_columns(isi, keys, "isi", {"_med": 0.5})
     n = isi.groupBy(*keys).agg(F.count("isi").alias("_n"))
-    return med.join(n, keys).select(*keys, F.when(F.col("_n") >= min_n, ratio(F.lit(1.0), "_med")).alias("isi_rate"))
+    return join_null_safe(med, n, keys).select(*keys, F.when(F.col("_n") >= min_n, ratio(F.lit(1.0), "_med")).alias("isi_rate"))
 
 
 def window_counts(ev: DataFrame, win: DataFrame, bucket: float, recid: str = "recid", uid: str = "uid") -> DataFrame:
@@ -72,8 +72,8 @@ def window_counts(ev: DataFrame, win: DataFrame, bucket: float, recid: str = "re
     entities = ev.select(recid, uid).distinct()
     n = events_in_windows(ev, win, bucket, recid).groupBy(recid, uid, "win_id").agg(F.count(F.lit(1)).alias("n"))
     # entity x window of one recording is the shape of the result, not an intermediate product
-    grid = entities.join(win.select(recid, "win_id", "t0", "t1"), recid)
-    return grid.join(n, [recid, uid, "win_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = join_null_safe(entities, win.select(recid, "win_id", "t0", "t1"), [recid])
+    return join_null_safe(grid, n, [recid, uid, "win_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def log_rate(counts: DataFrame) -> DataFrame:

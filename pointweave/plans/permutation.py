@@ -192,3 +192,114 @@ def shuffle_edges(spark, sf):
     "", "SELECT CASE WHEN grouping(a2) = 1 THEN 'all' ELSE a2 END AS a2, avg(abs(coalesce(z, 0))) AS amp, var_pop(coalesce(z, 0)) AS var FROM en GROUP BY ROLLUP (a2)", **_N))
 def polarization(spark, sf):
     return ag.polarization(_enriched(spark, sf), "a2", "z")
+
+
+# ---- the same statistics at full size: random draws cannot be repeated in SQL, so SQL gives the exact moments that they must meet
+
+FULL = 1000
+
+
+def _near_exact(drawn, exact, by=()):
+    """Observed counts and exact moments, and whether what was drawn agrees: mean and sd within five standard errors, the
+    percentile with the normal law at the observed count (whose own error is a few points in small cells), level and p with
+    the percentile, z with mean and sd."""
+    keys = [*by, "a1", "a2"]
+    j = exact.withColumnsRenamed({"mean": "exact_mean", "sd": "exact_sd", "n": "exact_n"}).join(drawn, keys, "left")
+    error = 5 / FULL ** 0.5
+    below = lambda x: 100 / (1 + F.exp(-1.702 * (x - F.col("exact_mean")) / F.greatest("exact_sd", F.lit(1e-9))))
+    normal = (below(F.col("n") - 0.5) + below(F.col("n") + 0.5)) / 2
+    level = sum(F.when(F.col("pofs") > 100 - 100 * p, 1).when(F.col("pofs") < 100 * p, -1).otherwise(0) for p in pm.P_LEVELS)
+    p = F.least(F.col("pofs"), 100 - F.col("pofs")) / 100
+    flags = {
+        "n_ok": F.col("n") == F.col("exact_n"),
+        "mean_ok": F.abs(F.col("mean") - F.col("exact_mean")) <= error * F.col("exact_sd") + 1e-9,
+        "sd_ok": F.abs(F.col("sd") - F.col("exact_sd")) <= 1.5 * error * F.col("exact_sd") + 1e-9,
+        "pofs_ok": (F.col("exact_sd") < 1) | (F.abs(F.col("pofs") - normal) <= 50 * error + 3),
+        "level_ok": F.col("level") == level,
+        "p_ok": F.abs(pm.pofs_to_p("pofs") - p) < 1e-9,
+        "z_ok": F.col("z").isNull() | (F.abs(F.col("z") * F.col("sd") - (F.col("n") - F.col("mean"))) < 1e-6),
+    }
+    return j.select(*keys, F.col("exact_n").alias("n"), "exact_mean", "exact_sd", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()])
+
+
+_FLAGS = ("n_ok", "mean_ok", "sd_ok", "pofs_ok", "level_ok", "p_ok", "z_ok")
+_FULL_COLUMNS = "a1:s a2:s n:i exact_mean:f exact_sd:f " + " ".join(f"{f}:b" for f in _FLAGS)
+
+
+def _moments_sql(source: str, by: str = "") -> str:
+    """Exact moments of the null over all cells of ``source`` (by, a1, a2, const), every flag true."""
+    b, on = (f"{by}, ", f"x.{by} = y.{by} AND ") if by else ("", "")
+    return with_ctes(
+        "", f"SELECT {b}a1, a2, n, coalesce(mean, 0) AS exact_mean, coalesce(sd, 0) AS exact_sd, {', '.join(f'true AS {f}' for f in _FLAGS)} FROM obs LEFT JOIN g USING ({b}a1, a2)",
+        base=source, obs=perm_ctes("const", by=by)["obs"],
+        g=f"SELECT {b}a1, a2, sum(r * c / w) AS mean, sqrt(sum(CASE WHEN w > 1 THEN r * c * (w - r) * (w - c) / (w * w * (w - 1)) ELSE 0 END)) AS sd FROM ("
+          f"SELECT {f'x.{by}, ' if by else ''}x.a1, y.a2, x.n::DOUBLE AS r, y.n::DOUBLE AS c, z.n::DOUBLE AS w FROM (SELECT {b}const, a1, count(*) AS n FROM base GROUP BY ALL) x "
+          f"JOIN (SELECT {b}const, a2, count(*) AS n FROM base GROUP BY ALL) y ON {on}x.const = y.const "
+          f"JOIN (SELECT {b}const, count(*) AS n FROM base GROUP BY ALL) z ON {on.replace('y.', 'z.')}z.const = x.const) GROUP BY {b}a1, a2")
+
+
+def _full(df, by=()):
+    """Enrichment with ``FULL`` draws from the margins."""
+    drawn = pm.permute_counts_by_margins(df, "a1", "a2", "const", FULL, by)
+    return pm.enrichment(df, drawn, "a1", "a2", FULL, by)
+
+
+@query("enrichment_full", "N1 N2 N3 N4 N5 N7", _FULL_COLUMNS, _moments_sql(_BASE))
+def enrichment_full(spark, sf):
+    base = _base(spark, sf)
+    return _near_exact(_full(base), pm.exact_moments(base, "a1", "a2", "const"))
+
+
+_SCOPES = f"SELECT 'within' AS scope, id, a1, a2, const FROM ({_BASE}) p UNION ALL SELECT 'across', id, a1, a2, 0 FROM ({_BASE}) q"
+
+
+@query("shuffle_scope_full", "N9", "scope:s " + _FULL_COLUMNS, _moments_sql(_SCOPES, "scope"))
+def shuffle_scope_full(spark, sf):
+    scopes = F.explode(F.array(F.struct(F.lit("within").alias("scope"), F.col("const")), F.struct(F.lit("across").alias("scope"), F.lit(0).cast("bigint").alias("const"))))
+    both = _base(spark, sf).select(scopes.alias("s"), "a1", "a2").select("s.*", "a1", "a2")
+    return _near_exact(_full(both, ["scope"]), pm.exact_moments(both, "a1", "a2", "const", ["scope"]), ["scope"])
+
+
+#: Ten attributes of an order, as SQL that both engines read; each is a view over all orders and over the dear ones.
+VIEW_ATTRIBUTES = {
+    "priority": "o_orderpriority", "customer6": "o_custkey % 6", "customer10": "o_custkey % 10", "customer3": "o_custkey % 3", "year": "year(o_orderdate)",
+    "month": "month(o_orderdate)", "quarter": "quarter(o_orderdate)", "band": "CAST(floor(o_totalprice / 60000) AS INT)", "order7": "o_orderkey % 7", "day": "day(o_orderdate) % 5",
+}
+_DEAR = "o_totalprice > 150000"
+
+
+@query("enrichment_views_full", "N8", "view:s " + _FULL_COLUMNS, _moments_sql(" UNION ALL ".join(
+    f"SELECT '{name}{tag}' AS view, o_orderkey AS id, CAST({sql} AS VARCHAR) AS a1, o_orderstatus AS a2, CAST(o_custkey % 4 AS VARCHAR) AS const FROM orders WHERE {where}"
+    for name, sql in VIEW_ATTRIBUTES.items() for tag, where in (("", "true"), ("_dear", _DEAR))), "view"))
+def enrichment_views_full(spark, sf):
+    """Twenty views in one pass: rows are folded to margins once, whatever the number of draws."""
+    o = src.read_table(spark, sf, "orders")
+    o = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("a2"), (F.col("o_custkey") % 4).alias("c4"), F.expr(_DEAR).alias("dear"),
+                 *[F.expr(sql).alias(name) for name, sql in VIEW_ATTRIBUTES.items()])
+    views = {f"{name}{tag}": (name, ["c4"], where) for name in VIEW_ATTRIBUTES for tag, where in (("", None), ("_dear", F.col("dear")))}
+    v = pm.stack_views(o, "id", "a2", views)
+    return _near_exact(_full(v, ["view"]), pm.exact_moments(v, "a1", "a2", "const", ["view"]), ["view"])
+
+
+@query("tuning_enrichment_full", "N11", "view:s " + _FULL_COLUMNS, _moments_sql(_TUNE, "view"))
+def tuning_enrichment_full(spark, sf):
+    o = src.read_table(spark, sf, "orders")
+    flags = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("a2"),
+                     F.when(F.col("o_totalprice") > 300000, "signif").otherwise("ns").alias("price"),
+                     F.when(F.col("o_custkey") % 5 == 0, "signif").otherwise("ns").alias("cust"))
+    v = pm.stack_views(flags, "id", "a2", {"price": ("price", [], None), "cust": ("cust", [], None)})
+    return _near_exact(_full(v, ["view"]), pm.exact_moments(v, "a1", "a2", "const", ["view"]), ["view"])
+
+
+@query("enrichment_summary_full", "N6 N10 A10", "a2:s cells:i rows:i si_ok:b amp_ok:b", with_ctes(
+    "", "SELECT a2, count(*) AS cells, sum(n) AS rows, true AS si_ok, true AS amp_ok FROM obs WHERE a1 IN (SELECT a1 FROM obs GROUP BY a1 HAVING sum(n) > 100) GROUP BY a2",
+    base=_BASE, obs=perm_ctes("const")["obs"]))
+def enrichment_summary_full(spark, sf):
+    """Separation index and mean amplitude of z of the large groups, against those of the exact moments."""
+    base = _base(spark, sf)
+    drawn = pm.presel(_full(base), "a1", 100)
+    exact = pm.exact_moments(base, "a1", "a2", "const").withColumn("exact_z", pm.enrichment_z("n", "mean", "sd")).select("a1", "a2", "exact_z")
+    si = pm.separation_index(drawn, "a2")
+    amp = drawn.join(exact, ["a1", "a2"]).groupBy("a2").agg(
+        F.count("*").alias("cells"), F.sum("n").alias("rows"), F.avg(F.abs("z")).alias("amp"), F.avg(F.abs("exact_z")).alias("exact_amp"))
+    return amp.join(si, "a2").select("a2", "cells", "rows", F.col("si").between(0, 1).alias("si_ok"), (F.abs(F.col("amp") - F.col("exact_amp")) <= 0.25 + 0.2 * F.col("exact_amp")).alias("amp_ok"))
