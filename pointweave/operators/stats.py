@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,6 +206,87 @@ def choice_probability(
                     F.when(flip, 1 - F.col("_p")).otherwise(F.col("_p")).alias("p"), F.when(flip, -1).otherwise(1).alias("pref"))
 
 
+def choice_probability_matrix(
+    counts: DataFrame, trials: DataFrame, entity: Sequence[str] | str, trial: str, condition: str, label: str, value: str, reps: int,
+    group: Sequence[str] | str = (), seed: int = 0,
+) -> DataFrame:
+    """As ``choice_probability``, for thousands of shuffles: ``(entity, cccp, p, pref, n_trials)``.
+
+    The shuffled labels of a group's condition are a function of ``seed``, so they are never rows: each task makes them once
+    as a matrix of bits and multiplies it with the rank vectors of all entities of the group. Rows grow with entities
+    times trials, not with shuffles. A NULL label leaves a trial out.
+    """
+    entity, group = names(entity), names(group)
+    trials = trials.where(F.col(label).isNotNull())
+    both = trials.groupBy(*group, condition).agg(F.sum(F.col(label).cast("int")).alias("_a"), F.count(F.lit(1)).alias("_n")).where("_a > 0 AND _a < _n")
+    used = join_null_safe(trials, both.select(*group, condition), [*group, condition], "left_semi")
+    # place of a trial in its condition: by hash prefix, so a long recording is no single task
+    placed = scan(used.select(*group, trial, condition, label).withColumn("_h", hash_key("pos", trial)), [*group, condition], ["_h", trial], hash_chunk("_h"), _at="row")
+    placed = placed.select(*group, trial, condition, label, (F.col("_at") - 1).cast("int").alias("_at"), F.to_json(F.struct(condition)).alias("_c"))
+    ranked = average_rank(join_null_safe(counts.drop(condition), placed.drop(label), [*group, trial]), [*entity, condition], value, "_r")
+    vectors = ranked.groupBy(*entity).agg(F.collect_list(F.struct("_c", "_at", F.col("_r").cast("double").alias("_r"))).alias("_ranks"))
+    marks = placed.groupBy(*group).agg(F.collect_list(F.struct("_c", "_at", F.col(label).alias("_l"))).alias("_labels"))
+    tag = F.to_json(F.struct(*group)) if group else F.lit("")
+    if group:
+        joined = join_null_safe(vectors, marks, group)
+    else:
+        joined = vectors.withColumn("_one", F.lit(1)).join(marks.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    kinds = dict(joined.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in entity) + "cccp double, p double, pref int, n_trials long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str, dict] = ("", {})
+        for pdf in batches:
+            out = np.zeros((len(pdf), 2))
+            size = np.zeros(len(pdf), np.int64)
+            for name, rows in pdf.groupby("_tag", sort=False).indices.items():
+                if held[0] != name:
+                    held = (name, _shuffled_labels(pdf["_labels"].iat[rows[0]], name, reps, seed))
+                for row in rows:
+                    out[row], size[row] = _combined_probability(pdf["_ranks"].iat[row], held[1], reps)
+            flip = out[:, 0] < 0.5
+            yield pdf[entity].assign(
+                cccp=np.where(flip, 1 - out[:, 0], out[:, 0]), p=np.where(flip, 1 - out[:, 1], out[:, 1]), pref=np.where(flip, -1, 1).astype("int32"), n_trials=size)
+
+    return joined.withColumn("_tag", tag).sortWithinPartitions("_tag").mapInPandas(run, schema)
+
+
+def _shuffled_labels(labels: Sequence[dict], name: str, reps: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """condition -> (labels by place, packed bits of ``reps`` shuffles)."""
+    of: dict[str, list] = {}
+    for x in labels:
+        of.setdefault(x["_c"], []).append((x["_at"], x["_l"]))
+    out = {}
+    for c, pairs in of.items():
+        own = np.array([mark for _, mark in sorted(pairs)], bool)
+        key = hashlib.blake2b(f"{seed}|{name}|{c}".encode(), digest_size=8).digest()
+        rng = np.random.default_rng(int.from_bytes(key, "little"))
+        step = max(1, 4_000_000 // len(own))
+        packed = [np.packbits(rng.permuted(np.tile(own, (min(step, reps - i), 1)), axis=1), axis=1) for i in range(0, reps, step)]
+        out[c] = own, np.concatenate(packed)
+    return out
+
+
+def _combined_probability(ranks: Sequence[dict], shuffled: dict[str, tuple[np.ndarray, np.ndarray]], reps: int) -> tuple[tuple[float, float], int]:
+    """(sum of U over sum of nA nB, share of shuffles not below it) of one entity, and its number of trials."""
+    of: dict[str, list] = {}
+    for x in ranks:
+        of.setdefault(x["_c"], []).append((x["_at"], x["_r"]))
+    seen, drawn, pairs = 0.0, np.zeros(reps), 0
+    for c, (own, packed) in shuffled.items():
+        rank = np.zeros(len(own))
+        for at, r in of.get(c, ()):
+            rank[at] = r
+        n_a = int(own.sum())
+        pairs += n_a * (len(own) - n_a)
+        least = n_a * (n_a + 1) / 2
+        seen += rank[own].sum() - least
+        step = max(1, 4_000_000 // len(own))
+        for i in range(0, reps, step):  # ranks are halves, so sums are exact
+            drawn[i : i + step] += np.unpackbits(packed[i : i + step], axis=1, count=len(own)) @ rank - least
+    return (seen / pairs, float((drawn >= seen).mean())), len(ranks)
+
+
 def wilcoxon(df: DataFrame, keys: Sequence[str] | str, base: str, value: str) -> DataFrame:
     """Signed-rank statistic, tie-corrected z and two-sided normal p of value - base; zero differences are dropped."""
     keys = names(keys)

@@ -253,3 +253,64 @@ def trial_windows(spark, sf):
        "l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS yd FROM lineitem)")
 def within_group_contrast(spark, sf):
     return st.within_group_contrast(_lineitem(spark, sf), "l_extendedprice", "l_quantity", "l_suppkey")
+
+
+# ---- choice probability at full size: three variables, three sets of conditions, 2000 shuffles
+
+FULL_SHUFFLES = 2000
+#: What a trial is labelled by, and what its condition is, as SQL that both engines read (d: day of the trigger).
+CP_VARIABLES = {"amplitude": "amp > 12", "afternoon": "t - floor(t / 86400) * 86400 >= 43200", "parity": "win_id % 2 = 0"}
+CP_SETS = {"day": "CAST(floor(t / 86400) AS BIGINT) % 3", "half": "CAST(floor(t / 1296000) AS BIGINT)", "none": "CAST(0 AS BIGINT)"}
+_CP_FULL = {
+    "trials": " UNION ALL ".join(f"SELECT recid, win_id, '{v}' AS variable, '{c}' AS cset, {cond} AS cond, {lab} AS lab, t - 21600 AS t0, t + 21600 AS t1 FROM trg"
+                                 for v, lab in CP_VARIABLES.items() for c, cond in CP_SETS.items()),
+    "counts": "SELECT u.uid, t.recid, t.win_id, count(e.eid) AS n FROM (SELECT DISTINCT recid, uid FROM ev) u JOIN (SELECT DISTINCT recid, win_id, t0, t1 FROM trials) t USING (recid) "
+              "LEFT JOIN ev e ON e.recid = t.recid AND e.uid = u.uid AND e.t BETWEEN t.t0 AND t.t1 GROUP BY ALL",
+    "cn": "SELECT recid, variable, cset, cond, count(*) FILTER (WHERE lab) AS na, count(*) FILTER (WHERE NOT lab) AS nb FROM trials GROUP BY ALL HAVING count(*) FILTER (WHERE lab) > 0 AND count(*) FILTER (WHERE NOT lab) > 0",
+    "rk": "SELECT uid, recid, variable, cset, lab, rank() OVER w + (count(*) OVER (PARTITION BY recid, uid, variable, cset, cond, n) - 1) / 2 AS r FROM counts JOIN trials USING (recid, win_id) SEMI JOIN cn USING (recid, variable, cset, cond) "
+          "WINDOW w AS (PARTITION BY recid, uid, variable, cset, cond ORDER BY n)",
+    "nn": "SELECT recid, variable, cset, sum(na * (na + 1) / 2) AS o, sum(na * nb) AS d FROM cn GROUP BY ALL",
+    "ob": "SELECT recid, uid, variable, cset, count(*) AS n_trials, (sum(r) FILTER (WHERE lab) - any_value(o)) / any_value(d) AS c FROM rk JOIN nn USING (recid, variable, cset) GROUP BY ALL",
+}
+
+
+def choice_trials(trg):
+    """Trials of every variable and condition set: (recid, variable, cset, win_id, cond, lab)."""
+    both = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(c).alias("cset"), F.expr(cond).alias("cond"), F.expr(lab).alias("lab"))
+                               for v, lab in CP_VARIABLES.items() for c, cond in CP_SETS.items()]))
+    return trg.select("recid", "win_id", both.alias("x")).select("recid", "win_id", "x.*")
+
+
+@query("cccp_full", "T8", "recid:i uid:i variable:s cset:s n_trials:i cccp:p pref:i p_ok:b", with_ctes(
+    "ev trg", "SELECT recid, uid, variable, cset, n_trials, CASE WHEN c < 0.5 THEN 1 - c ELSE c END AS cccp, CASE WHEN c < 0.5 THEN -1 ELSE 1 END AS pref, true AS p_ok FROM ob", **_CP_FULL))
+def cccp_full(spark, sf):
+    """All variables and condition sets in one run. ``p_ok``: p is a multiple of one shuffle between 0 and 1, and near what
+    the observed probability allows: below a half where the probability lies clearly above it, for many trials."""
+    ev, trg = src.event_rows(spark, sf), src.triggers(spark, sf)
+    spans = trg.select("recid", "win_id", (F.col("t") - 21600).alias("t0"), (F.col("t") + 21600).alias("t1"))
+    counts = trains.window_counts(ev, spans, bucket=43200.0).select("recid", "uid", "win_id", "n")
+    trials = choice_trials(trg)
+    sets = trials.select("recid", "variable", "cset").distinct()
+    counts = counts.join(sets, "recid")
+    keys = ["recid", "variable", "cset"]
+    out = st.choice_probability_matrix(counts, trials, ["recid", "uid", "variable", "cset"], "win_id", "cond", "lab", "n", FULL_SHUFFLES, group=keys)
+    whole = F.abs(F.col("p") * FULL_SHUFFLES - F.round(F.col("p") * FULL_SHUFFLES)) < 1e-6
+    clear = (F.col("cccp") < 0.75) | (F.col("n_trials") < 100) | (F.col("p") < 0.05)
+    return out.withColumn("p_ok", F.col("p").between(0, 1) & whole & clear)
+
+
+@query("tuning_signif_full", "T11", "variable:s units:i tuned_ok:b", with_ctes(
+    "ev trg", "SELECT variable, count(DISTINCT (recid, uid)) AS units, true AS tuned_ok FROM ob WHERE cset = 'none' GROUP BY variable", **_CP_FULL))
+def tuning_signif_full(spark, sf):
+    """Significance from the shuffles: conditions by day against no conditions; no more units are tuned than pass either level."""
+    ev, trg = src.event_rows(spark, sf), src.triggers(spark, sf)
+    spans = trg.select("recid", "win_id", (F.col("t") - 21600).alias("t0"), (F.col("t") + 21600).alias("t1"))
+    trials = choice_trials(trg).where("cset IN ('day', 'none')")
+    counts = trains.window_counts(ev, spans, bucket=43200.0).select("recid", "uid", "win_id", "n").join(trials.select("recid", "variable", "cset").distinct(), "recid")
+    keys = ["recid", "variable", "cset"]
+    cp = st.choice_probability_matrix(counts, trials, ["recid", "uid", "variable", "cset"], "win_id", "cond", "lab", "n", FULL_SHUFFLES, group=keys)
+    day = cp.where("cset = 'day'").select("recid", "uid", "variable", "cccp", "p", "pref")
+    none = cp.where("cset = 'none'").select("recid", "uid", "variable", F.col("p").alias("p0"), F.col("pref").alias("pref0"))
+    both = none.join(day, ["recid", "uid", "variable"], "left").withColumn("tuned", st.tuning_significance("p", "p0", "pref", "pref0", "cccp"))
+    return both.groupBy("variable").agg(
+        F.count("*").alias("units"), (F.count(F.when(F.col("tuned"), 1)) <= F.count(F.when((F.col("p") <= 0.05) & (F.col("p0") <= 0.001), 1))).alias("tuned_ok"))
