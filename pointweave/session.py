@@ -26,12 +26,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "poi
     )
 
 
+def _own_folder(spark: SparkSession, wanted: str) -> str:
+    """A folder of this machine, which only a local session may use."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {wanted} to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="pointweave-")
+
+
 def output_folder(spark: SparkSession, what: str) -> str:
     """A new folder for results under ``spark.pointweave.outputDir``, else under ``spark.checkpoint.dir``.
 
-    Only a session without either (tests) gets a local folder.
+    Only a local session without either (tests) gets a local folder.
     """
-    top = spark.conf.get("spark.pointweave.outputDir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointweave-")
+    top = spark.conf.get("spark.pointweave.outputDir", None) or spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark, "spark.checkpoint.dir")
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -45,9 +53,9 @@ def ship_package(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests) gets a local folder instead.
+    Only a local session without that setting (tests) gets a local folder instead.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointweave-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark, "spark.checkpoint.dir"))
     return df.checkpoint()
