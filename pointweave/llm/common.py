@@ -25,9 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; only a session without that setting (tests) gets a local one."""
+    """A new folder name under ``spark.checkpoint.dir``; only a local session without that setting (tests) gets a local one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = _OWN.setdefault("top", tempfile.mkdtemp(prefix="pointweave-"))
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

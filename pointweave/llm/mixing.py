@@ -3,8 +3,9 @@
 Each source's rows are cut into blocks. With target weight ``w`` block ``k`` of a source is released at ``floor(k / w)``
 and due by ``ceil((k + 1) / w)``; earliest deadline first over the released blocks then keeps every source within one
 block of its share at every moment. Weights are whole numbers of ``SCALE`` parts, which is the precision of a float, so
-this holds against the targets themselves however long the schedule is. The driver lays out the schedule (one number for
-each block that is dealt, no data), and rows look their slot up in it.
+this holds against the targets themselves however long the schedule is. A block has ``BLOCK_ROWS`` rows, or as many as
+keep the schedule within ``MOST_SLOTS`` slots: the driver lays out a bounded list of numbers (no data) whatever the number
+of rows, and rows look their slot up in it.
 
 The mix ends when the last source has been seen once. Sources that are through earlier start over, so no document is
 lost and every document's number of turns differs from its neighbours' by at most one.
@@ -26,6 +27,8 @@ from .common import free_name, materialise, table
 from .registry import llm_query
 
 BLOCK_ROWS = 16
+#: Slots of the whole schedule, up to one or two more for each source (8 bytes each on the driver and in the broadcast).
+MOST_SLOTS = 400_000
 #: Parts of all weights together.
 SCALE = 1 << 60
 #: Slots of a source in one row of the layout.
@@ -49,6 +52,13 @@ def parts_of(weights: list[float], period: int) -> list[int]:
     return parts
 
 
+def rows_of_block(totals: list[int], share: list[float], block_rows: int, most: int) -> int:
+    """The block size from ``block_rows`` on with which the mix ends within ``most`` slots: its length in rows is set by the
+    source that needs longest at its share."""
+    longest = max(n * sum(map(Fraction, share)) / Fraction(w) for n, w in zip(totals, share, strict=True))
+    return max(block_rows, -(-int(longest) // most))
+
+
 def pfair(parts: list[int], blocks: list[int] | None = None) -> list[array]:
     """For each source its slots, by earliest deadline first among released blocks.
 
@@ -93,14 +103,14 @@ def _earliest_deadline(parts: list[int], blocks: list[int], end: int) -> list[ar
 
 
 def mix(docs: DataFrame, source: str = "source", weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, temper: float = TEMPER, period: int | None = None) -> tuple[DataFrame, int]:
-    """``docs`` plus ``mix_position`` (long), ``mix_slot`` (long), ``mix_epoch`` (int), and the number of slots.
+    """``docs`` plus ``mix_position`` (long), ``mix_slot`` (long), ``mix_epoch`` (int), and the end of all positions.
 
     ``weights`` names the target of each source (others: weight 0 is not possible, they count as the smallest named
     one); without it targets are row counts to the power ``temper``. ``period`` rounds the targets to whole parts of so many
     slots (at least four a source), which then repeat; without it they hold as they are. The number of sources is that of a configuration:
     one row per source reaches the driver. A null source is a source of its own. Rows are taken in the order of a hash
     of all their columns; equal rows are all kept. An empty table gives an empty result. New columns get underscores in
-    front if ``docs`` has their names.
+    front if ``docs`` has their names. Weights of zero and below are refused. ``block_rows`` is the least size of a block.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -118,6 +128,9 @@ def mix(docs: DataFrame, source: str = "source", weights: dict[str | None, float
             share = [named.get(k, min(named.values())) for k in totals]
         else:
             share = [n**temper for n in totals.values()]
+        if min(share) <= 0:
+            raise ValueError("a target weight must be above zero")
+        block_rows = rows_of_block(list(totals.values()), share, block_rows, MOST_SLOTS)
         blocks = [-(-n // block_rows) for n in totals.values()]
         slots = pfair(parts_of(share, max(period, 4 * len(totals)) if period else SCALE), blocks)
         slots_all = 1 + max(own[-1] for own in slots)
@@ -131,7 +144,7 @@ def mix(docs: DataFrame, source: str = "source", weights: dict[str | None, float
     schedule = spark.createDataFrame(pa.concat_tables([kinds.empty_table(), *(c.cast(kinds) for c in chunks)]))
     inside = Window.partitionBy("skey", "bucket").orderBy("h", *cols)
     ranked = rows.join(starts.select("skey", "bucket", "low"), ["skey", "bucket"]).withColumn("rank", F.col("low") + F.row_number().over(inside) - 1)
-    # one row per source, and one number per block that is dealt
+    # one row per source, and at most MOST_SLOTS numbers
     timed = ranked.join(F.broadcast(layout), "skey").withColumn("block", F.expr(f"rank div {block_rows}"))
     timed = timed.withColumn("epoch", F.explode(F.expr("sequence(0L, (turns - 1 - block) div blocks)")))
     timed = timed.withColumn("turn", F.col("block") + F.col("epoch") * F.col("blocks"))

@@ -137,3 +137,37 @@ def test_mix_holds_against_the_targets(spark):
     assert sorted(got) == list(range(end // 2))
     assert off([got[t] for t in range(len(got))], {s: n**mixing.TEMPER for s, n in rows.items()}) < 1
     assert mixed.where("mix_epoch = 0").select("doc_id").distinct().count() == sum(rows.values())
+
+
+def test_the_schedule_stays_bounded(spark, monkeypatch):
+    """Ten times the rows make blocks larger, not the driver's schedule; the targets still hold to less than one block."""
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 300)
+    lengths = []
+    for n in (2_000, 20_000):
+        rows = {"hot": n, "half": n // 2, "tiny": 3}
+        docs = spark.range(sum(rows.values())).selectExpr("id as doc_id", f"case when id < {n} then 'hot' when id < {n + n // 2} then 'half' else 'tiny' end as source")
+        mixed, _ = mixing.mix(docs, block_rows=4)
+        got = {r["mix_slot"]: r["source"] for r in mixed.select("mix_slot", "source").distinct().collect()}
+        assert sorted(got) == list(range(len(got)))
+        assert off([got[t] for t in range(len(got))], {s: k**mixing.TEMPER for s, k in rows.items()}) < 1
+        assert mixed.where("mix_epoch = 0").select("doc_id").distinct().count() == sum(rows.values())
+        lengths.append(len(got))
+    assert max(lengths) <= 300 + 2 * 3
+    assert mixing.rows_of_block([3 * 10**10, 10**10, 1], [3.0, 1.0, 1e-9], 16, mixing.MOST_SLOTS) >= 10**5
+
+
+def test_weights_must_be_positive(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    for w in (0.0, -1.0):
+        with pytest.raises(ValueError, match="above zero"):
+            mixing.mix(docs, weights={"a": 1.0, "b": w})
+
+
+def test_write_mixed_with_odd_rows(spark, odd, nothing):
+    """Null, empty and very long texts, repeated rows and a null key keep their record; an empty table gives none."""
+    from pointweave.llm import records
+
+    rows = records.write_mixed(spark, odd).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.select("doc_id").collect())
+    assert all(r["n_tokens"] >= 1 for r in rows) and sorted(r["start"] for r in rows)[0] == 0
+    assert records.write_mixed(spark, nothing).count() == 0
