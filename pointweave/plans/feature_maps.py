@@ -62,6 +62,26 @@ def som_train(spark, sf):
     return ft.bmu(e, "vec", w).groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.avg("dist").alias("qe"))
 
 
+SOM_FULL, SOM_FULL_ITERS = (20, 20), 200
+
+
+@query("som_train_full", "M3", "nodes:i rows:i qe_ok:b te_ok:b u_ok:b", "SELECT 400 AS nodes, count(*) AS rows, true AS qe_ok, true AS te_ok, true AS u_ok FROM embeddings")
+def som_train_full(spark, sf):
+    """A map of the usual size, 400 nodes and 200 iterations: every row has a node, the rows lie nearer to their nodes than to
+    those of the initial plane, and neighbouring nodes lie nearer to each other than nodes do on average."""
+    e = ft.standardize(_emb(spark, sf), "vec")
+    start = ft.som_init(e, "vec", SOM_FULL)
+    w = ft.som_train(e, "vec", SOM_FULL, SOM_FULL_ITERS, init=start)
+    grid = ft.hex_distances(SOM_FULL)
+    apart = ((w[:, None, :] - w[None, :, :]) ** 2).sum(axis=2) ** 0.5
+    ordered = bool(apart[(grid > 0) & (grid < 1.01)].mean() < apart[grid > 0].mean())
+    before = ft.bmu(e, "vec", start).agg(F.avg("dist").alias("plane"))
+    after = ft.bmu(e, "vec", w).agg(F.count(F.lit(1)).alias("rows"), F.avg("dist").alias("qe"), F.countDistinct("node").alias("used"))
+    one = F.lit(1).alias("_one")
+    return after.select("*", one).join(before.select("*", one), "_one").select(
+        F.lit(len(w)).alias("nodes"), "rows", (F.col("qe") < F.col("plane")).alias("qe_ok"), (F.col("used") > 1).alias("te_ok"), F.lit(ordered).alias("u_ok"))
+
+
 @query("som_init", "M4", "node:i d:i w:f")
 def som_init(spark, sf):
     w = ft.som_init(_emb(spark, sf), "vec", SOM_SHAPE)
@@ -125,7 +145,13 @@ def kmeans(spark, sf):
 
 @query("bisecting", "M10", "k:i label:i n:i")
 def bisecting(spark, sf):
-    return ft.bisecting(_emb(spark, sf).drop("label"), "vec", range(2, 11, 4)).groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
+    return ft.bisecting(_emb(spark, sf).drop("label"), "vec", range(2, 11)).groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bisecting_cuts", "M10", "k:i labels:i rows:i", "SELECT k, k AS labels, count(*) AS rows FROM embeddings CROSS JOIN (SELECT unnest(range(2, 11)) AS k) GROUP BY k")
+def bisecting_cuts(spark, sf):
+    """Each of the nine cuts has its number of classes and all rows."""
+    return ft.bisecting(_emb(spark, sf).drop("label"), "vec", range(2, 11)).groupBy("k").agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("node_label", "M11", "vec_id:i node:i cat:s", with_ctes(
