@@ -90,3 +90,14 @@ def test_cover_and_ranks():
             while want < 56 and keys[i][1][want] == keys[i - 1][1][want]:
                 want += 1
         assert common[i] == want
+
+
+def test_large_buckets_are_handed_on(spark, monkeypatch):
+    """The small limit of the test above does send stretches through Spark, and they give spans there."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 1500)
+    docs = spark.createDataFrame(tangled(4), "k long, t string").withColumn("r", F.lit(0).cast("long")).select("k", "r", "t")
+    found = suffixes.sorted_buckets(suffixes.bucket_rows(docs, 9, 4, 0, 1), 9, 4)
+    late = found.where("data is not null")
+    assert late.count() > 0 and suffixes.single_suffixes(late, 9).count() > 0
