@@ -77,56 +77,6 @@ def kendall_tau(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> Dat
     return out.withColumn("p", F.when(F.col("tau").isNotNull(), normal_tails("_z"))).drop("_z")
 
 
-def theil_sen(df: DataFrame, x: str, y: str, fan: int = 32) -> DataFrame:
-    """Median of all pairwise slopes and the separate intercept median(y) - slope median(x), without pairs.
-
-    The number of slopes below s is the number of inversions of ``y - s x`` in x order, so the median is
-    found by counting: every round counts ``fan`` candidate slopes at once and narrows the interval around
-    the two middle order statistics by that factor, until no double lies inside. Driver state is two intervals.
-    """
-    pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    head = pts.agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("ymax"), F.min("y").alias("ymin")).first()
-    spark = df.sparkSession
-    empty = spark.createDataFrame([(None, None)], "slope double, intercept double")
-    if head["n"] < 2:
-        return empty
-    pts = cut_lineage(running_rank(pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")), [], "x", weight="k").select("x", F.col("below").alias("rx")).join(
-        pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")), "x"))
-    ties = pts.groupBy("x").agg(F.sum("w").alias("c")).agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0]
-    pairs = head["n"] * (head["n"] - 1) / 2 - ties
-    if pairs == 0:
-        return empty
-    # the smallest step in x bounds every slope
-    step = scan(pts.select("x").distinct(), [], "x", magnitude_chunk("x"), _p=("lag", "x")).agg(F.min(F.col("x") - F.col("_p"))).first()[0]
-    top = (head["ymax"] - head["ymin"]) / step + 1e-9
-    bits = F.lit(max(int(head["n"]).bit_length(), 1))
-    ranks = [int((pairs - 1) // 2), int(pairs // 2)]
-    span = {k: (-top, top) for k in ranks}
-    while True:
-        before = dict(span)
-        cands = sorted({lo + (hi - lo) * i / fan for lo, hi in span.values() for i in range(1, fan)})
-        below = _slopes_below(pts, cands, bits)
-        for k, (lo, hi) in span.items():
-            lo = max([c for c in cands if below[c] <= k and c > lo] + [lo])
-            hi = min([c for c in cands if below[c] > k and c < hi] + [hi])
-            span[k] = (lo, hi)
-        if span == before or all(hi - lo <= 1e-14 * abs(lo + hi) for lo, hi in span.values()):
-            break
-    slope = sum((lo + hi) / 2 for lo, hi in span.values()) / len(span)
-    wide = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_g", F.lit(1))
-    mx = percentile_columns(wide, "_g", x, {"mx": 0.5})
-    my = percentile_columns(wide, "_g", y, {"my": 0.5})
-    return mx.join(my, "_g").select(F.lit(slope).alias("slope"), (F.col("my") - F.lit(slope) * F.col("mx")).alias("intercept"))
-
-
-def _slopes_below(pts: DataFrame, cands: Sequence[float], bits: Column) -> dict[float, float]:
-    """Number of pairwise slopes smaller than each candidate."""
-    at = pts.withColumn("s", F.explode(F.array(*[F.lit(float(c)) for c in cands]))).withColumn("z", F.col("y") - F.col("s") * F.col("x"))
-    rz = running_rank(at, "s", "z", weight="w").select("s", "z", F.col("below").alias("ry"))
-    cells = at.join(rz, ["s", "z"]).groupBy("s", "rx", "ry").agg(F.sum("w").alias("w"))
-    return {c: 0.0 for c in cands} | {r["s"]: r["d"] for r in _discordant(cells, ["s"], bits).collect()}
-
-
 def linregress(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
     mean_x, mean_y = F.avg(F.when(F.col(y).isNotNull(), F.col(x))), F.avg(F.when(F.col(x).isNotNull(), F.col(y)))
     return df.groupBy(*names(keys)).agg(

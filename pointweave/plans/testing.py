@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import normal_tails_sql
+from ..operators import slopes, trains
 from ..operators import stats as st
-from ..operators import trains
 from ..sources import tables as src
 from .registry import query
 from .sources_filters import units
@@ -84,7 +84,7 @@ _SUP = "SELECT s_acctbal AS x, q AS y FROM supplier JOIN (SELECT l_suppkey, avg(
     "SELECT slope, (SELECT quantile_cont(y, 0.5) FROM p) - slope * (SELECT quantile_cont(x, 0.5) FROM p) AS intercept FROM m"))
 def theil_sen(spark, sf):
     q = _lineitem(spark, sf).groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg("l_extendedprice").alias("y"))
-    return st.theil_sen(src.read_table(spark, sf, "supplier").join(q, "s_suppkey").withColumnRenamed("s_acctbal", "x"), "x", "y")
+    return slopes.theil_sen(src.read_table(spark, sf, "supplier").join(q, "s_suppkey").withColumnRenamed("s_acctbal", "x"), "x", "y")
 
 
 @query("mann_whitney", "T7", "lang:s n_a:i n_b:i u:f auc:f", (
@@ -162,7 +162,7 @@ def cccp_shared_names(spark, sf):
     "SELECT slope, (SELECT quantile_cont(y, 0.5) FROM p) - slope * (SELECT quantile_cont(x, 0.5) FROM p) AS intercept FROM m"))
 def theil_sen_close_x(spark, sf):
     s = src.read_table(spark, sf, "supplier")
-    return st.theil_sen(s.select(F.expr("s_suppkey div 2 + (s_suppkey % 2) * 1e-9D").alias("x"), (F.col("s_acctbal") / 1000).alias("y")), "x", "y")
+    return slopes.theil_sen(s.select(F.expr("s_suppkey div 2 + (s_suppkey % 2) * 1e-9D").alias("x"), (F.col("s_acctbal") / 1000).alias("y")), "x", "y")
 
 
 @query("wilcoxon", "T9", "l_suppkey:i n:i w:f z:f p:f", f"SELECT *, {normal_tails_sql('z')} AS p FROM ({_WILCOXON})")

@@ -10,6 +10,7 @@ from pointweave.operators import features as ft
 from pointweave.operators import permute as pm
 from pointweave.operators import select as sl
 from pointweave.operators import stability as sb
+from pointweave.operators import slopes
 from pointweave.operators import stats as st
 
 
@@ -77,7 +78,7 @@ def test_kendall_and_theil_sen_against_pairs(spark):
     assert st.kendall_tau(df, [], "x", "y").first()["tau"] == pytest.approx((sx * sy).sum() / np.sqrt((sx != 0).sum() * (sy != 0).sum()))
     ok = x[i] != x[j]
     slope = np.median((y[i] - y[j])[ok] / (x[i] - x[j])[ok])
-    r = st.theil_sen(df, "x", "y").first()
+    r = slopes.theil_sen(df, "x", "y").first()
     assert r["slope"] == pytest.approx(slope, abs=1e-9)
     assert r["intercept"] == pytest.approx(np.median(y) - slope * np.median(x), abs=1e-9)
 
