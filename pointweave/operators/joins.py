@@ -1,8 +1,8 @@
-"""Joins of windows, events, entities and shapes."""
+"""Joins of windows, events and entities."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,6 @@ from .scan import join_null_safe, scan, time_chunk
 DAY = 86400.0
 # Fixed value: marks an entity without a single matching score.
 NO_SCORE = 999.0
-MAX_EDGES = 20000
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str] | str, bucket: float) -> DataFrame:
@@ -135,41 +134,6 @@ def next_opposite_events(
     return j.where(ok).select(*keys, "src", F.col("eid").alias("dst"), (F.col("t") - F.col("_t")).alias("dt"))
 
 
-def point_in_polygon(points: DataFrame, polygons: Mapping[str, Sequence[tuple[float, float]]], x: str, y: str, out: str) -> DataFrame:
-    """First polygon that contains the point, else the one with the nearest border.
-
-    Polygons are model-sized configuration, so each point is settled in its own row: no join, no shuffle.
-    """
-    n_edges = sum(len(p) for p in polygons.values())
-    if n_edges > MAX_EDGES:
-        raise ValueError(f"{n_edges} polygon edges, at most {MAX_EDGES} are supported")
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    inside, distances = [], []
-    for i, (name, pts) in enumerate(polygons.items()):
-        pts = [(float(a), float(b)) for a, b in pts]
-        ring = list(zip(pts, pts[1:] + pts[:1], strict=True))
-        edges = F.array(*[
-            F.struct(F.lit(x1).alias("x1"), F.lit(y1).alias("y1"), F.lit(x2).alias("x2"), F.lit(y2).alias("y2"))
-            for (x1, y1), (x2, y2) in ring])
-
-        def crosses(e):
-            spans = (e["y1"] > py) != (e["y2"] > py)
-            at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-            return F.coalesce(spans & (px < at), F.lit(False))
-
-        def dist2(e):
-            dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-            u = ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-            u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(u, F.lit(0.0))))
-            ex, ey = px - (e["x1"] + u * dx), py - (e["y1"] + u * dy)
-            return ex * ex + ey * ey
-
-        inside.append(F.when(F.size(F.filter(edges, crosses)) % 2 == 1, F.lit(name)))
-        distances.append(F.struct(F.array_min(F.transform(edges, dist2)).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("n")))
-    nearest = F.array_min(F.array(*distances))["n"]
-    return points.withColumn(out, F.coalesce(*inside, nearest))
-
-
 def assign_blocks(win: DataFrame, blocks: DataFrame, keys: Sequence[str] | str, bucket: float) -> DataFrame:
     """First block (lowest id) each window overlaps; windows in no block are dropped."""
     keys = names(keys)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, trains
+from ..operators import joins, polygons, trains
 from ..operators import intervals as iv
 from ..operators.ranges import count_in_windows
 from ..sources import tables as src
@@ -191,16 +191,34 @@ def _edge_values() -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(i, roi, x1, y1, x2, y2)"
 
 
-@query("point_in_polygon", "J15", "uid:i roi:s", (
-    f"WITH edges AS ({_edge_values()}), p AS (SELECT c_custkey AS uid, c_nationkey + 0.25 AS x, c_acctbal AS y FROM customer), "
+_HIT = (  # from p(uid, x, y) and edges: each point against each edge
     "hit AS (SELECT uid, i, roi, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) AS n, "
     "min(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2)) AS d FROM (SELECT *, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / "
     "(pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS u FROM p CROSS JOIN edges) GROUP BY uid, i, roi) "
-    "SELECT uid, coalesce(min_by(roi, i) FILTER (WHERE n % 2 = 1), min_by(roi, (d, i))) AS roi FROM hit GROUP BY uid"))
+    "SELECT uid, coalesce(min_by(roi, i) FILTER (WHERE n % 2 = 1), min_by(roi, (d, i))) AS roi FROM hit GROUP BY uid")
+
+
+@query("point_in_polygon", "J15", "uid:i roi:s", (
+    f"WITH edges AS ({_edge_values()}), p AS (SELECT c_custkey AS uid, c_nationkey + 0.25 AS x, c_acctbal AS y FROM customer), " + _HIT))
 def point_in_polygon(spark, sf):
     p = src.read_table(spark, sf, "customer").select(
         F.col("c_custkey").alias("uid"), (F.col("c_nationkey") + 0.25).alias("x"), F.col("c_acctbal").alias("y"))
-    return joins.point_in_polygon(p, POLYGONS, "x", "y", "roi")
+    return polygons.point_in_polygon(p, POLYGONS, "x", "y", "roi")
+
+
+@query("point_in_polygon_table", "J15", "uid:i roi:s", (
+    "WITH s AS (SELECT s_suppkey AS i, 's' || s_suppkey AS roi, s_nationkey + s_suppkey % 7 / 7.0::DOUBLE AS x, s_acctbal AS y FROM supplier), "
+    "c AS (SELECT i, roi, unnest([0, 1, 2, 3]) AS v, unnest([x - 0.5, x + 0.4, x - 0.1, x + 0.4]) AS x, unnest([y, y - 200, y, y + 200]) AS y FROM s), "
+    "edges AS (SELECT a.i, a.roi, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON a.i = b.i AND b.v = (a.v + 1) % 4), "
+    "p AS (SELECT c_custkey AS uid, c_nationkey + 0.25 AS x, c_acctbal AS y FROM customer), " + _HIT))
+def point_in_polygon_table(spark, sf):
+    """Customers in the concave quadrilaterals around suppliers, many of which overlap."""
+    s = src.read_table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") + F.col("s_suppkey") % 7 / F.lit(7.0)).alias("sx"), F.col("s_acctbal").alias("sy"))
+    turns = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(a).alias("a"), F.lit(b).alias("b")) for v, (a, b) in enumerate([(-0.5, 0.0), (0.4, -200.0), (-0.1, 0.0), (0.4, 200.0)])])
+    c = s.withColumn("t", F.explode(turns)).select(
+        F.col("s_suppkey").alias("i"), F.concat(F.lit("s"), "s_suppkey").alias("roi"), "t.v", (F.col("sx") + F.col("t.a")).alias("x"), (F.col("sy") + F.col("t.b")).alias("y"))
+    p = src.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), (F.col("c_nationkey") + 0.25).alias("x"), F.col("c_acctbal").alias("y"))
+    return polygons.point_in_polygon(p, c, "x", "y", "roi")
 
 
 @query("assign_blocks", "J16", "recid:i win_id:i block_id:i", with_ctes(

@@ -142,13 +142,6 @@ def test_as_of_needs_strictly_earlier_start(spark):
     assert rows(joins.artifact_free_trials(t, free, "recid"), "id") == [(3,)]
 
 
-def test_point_in_polygon(spark):
-    shapes = {"square": [(0, 0), (4, 0), (4, 4), (0, 4)], "ell": [(6, 0), (12, 0), (12, 2), (8, 2), (8, 6), (6, 6)]}
-    p = spark.createDataFrame([(1.0, 1.0), (7.0, 5.0), (11.0, 5.0), (5.2, 1.0), (4.5, 9.0)], "x double, y double")
-    got = [r["roi"] for r in joins.point_in_polygon(p, shapes, "x", "y", "roi").collect()]
-    assert got == ["square", "ell", "ell", "ell", "ell"]
-
-
 def test_unique_match_is_checked(spark):
     a = spark.createDataFrame([("r__1", 1)], "k string, x int")
     b = spark.createDataFrame([("r__1", 1), ("r__1", 2)], "k string, y int")
