@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,10 +236,10 @@ def som_errors(df: DataFrame, vec: str, prototypes: np.ndarray, shape: tuple[int
         F.avg("dist").alias("qe"), F.avg((~key.isin(pairs)).cast("int")).alias("te"), F.count(F.lit(1)).alias("n"))
 
 
-def group_means(df: DataFrame, vec: str, group: str, d: int | None = None) -> DataFrame:
+def group_means(df: DataFrame, vec: str, group: Sequence[str] | str, d: int | None = None) -> DataFrame:
     """``(group, n, vec)``: mean vector per group, one aggregation."""
     d = d or dimension(df, vec)
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col(vec)[i]) for i in range(d)]).alias(vec))
+    return df.groupBy(*names(group)).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col(vec)[i]) for i in range(d)]).alias(vec))
 
 
 def collect_model(means: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
@@ -255,15 +255,46 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 1, out: str = "label") -
     return model.transform(feats).drop("_f")
 
 
+def split_tree(df: DataFrame, vec: str, k: int, seed: int = 1, out: str = "labels") -> DataFrame:
+    """Divisive clustering by one tree: ``labels[i]`` is the row's class in the cut with ``i + 1`` classes.
+
+    The class with the largest sum of squared distances is split in two, so each cut refines the one before: the new
+    class gets the next number, the others keep theirs. Once only classes of equal vectors are left, later cuts repeat
+    the last one. Only centres and one sum per class come to the driver.
+    """
+    d = dimension(df, vec)
+    now = cut_lineage(df.withColumns({"_f": array_to_vector(F.col(vec)), "_at": F.lit(0), out: F.array(F.lit(0))}))
+    spread: dict[int, float] = {}
+    fresh = [0]
+    for i in range(1, k):
+        spread |= _spreads(now.where(F.col("_at").isin(fresh)), vec, "_at", d)
+        at = max(spread, key=lambda c: (spread[c], -c))
+        if spread[at] <= 0:
+            now = now.withColumn(out, F.concat(out, F.array("_at")))
+            fresh = [at]
+            continue
+        centres = KMeans(k=2, seed=seed, featuresCol="_f").fit(now.where(F.col("_at") == at)).clusterCenters()
+        if len(centres) < 2:
+            raise ValueError("a class with some spread has one centre only")
+        _check_cells(2, d)
+        closer = sq_distance(F.col(vec), _literal(centres[1])) < sq_distance(F.col(vec), _literal(centres[0]))
+        now = now.withColumn("_at", F.when((F.col("_at") == at) & closer, i).otherwise(F.col("_at")))
+        now = cut_lineage(now.withColumn(out, F.concat(out, F.array("_at"))))
+        fresh = [at, i]
+    return now.drop("_f", "_at")
+
+
+def _spreads(df: DataFrame, vec: str, label: str, d: int) -> dict[int, float]:
+    """Sum of squared distances to the class mean per class; 0 where all vectors of a class are equal."""
+    v = [F.col(vec)[j] for j in range(d)]
+    got = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.var_pop(c) for c in v]).alias("s"), F.array(*[F.max(c) - F.min(c) for c in v]).alias("w"))
+    return {r[label]: r["n"] * sum(r["s"]) if max(r["w"]) > 0 else 0.0 for r in got.collect()}
+
+
 def bisecting(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 1) -> DataFrame:
-    """Divisive clustering for every k: one row per (row, k)."""
-    feats = df.withColumn("_f", array_to_vector(F.col(vec)))
-    out = None
-    for k in ks:
-        part = BisectingKMeans(k=k, seed=seed, featuresCol="_f", predictionCol="label").fit(feats).transform(feats)
-        part = part.drop("_f").withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Divisive clustering for every k: one row per (row, k), all cuts from one tree."""
+    cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.col("_cuts")[k - 1].alias("label")) for k in ks])
+    return split_tree(df, vec, max(ks), seed, "_cuts").withColumn("_c", F.explode(cuts)).withColumns({"k": F.col("_c.k"), "label": F.col("_c.label")}).drop("_c", "_cuts")
 
 
 def gmm_confidence(df: DataFrame, vec: str, k: int, seed: int = 1) -> DataFrame:
@@ -307,18 +338,20 @@ def relabel_fixed(df: DataFrame, label: str, mapping: dict, out: str = "new_labe
     return df.withColumn(out, F.coalesce(F.try_element_at(table, F.col(label)), F.col(label)))
 
 
-def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Mean over clusters of the worst (scatter_i + scatter_j) / centroid distance; only cluster-sized joins.
+def davies_bouldin(df: DataFrame, vec: str, label: str, by: Sequence[str] | str = ()) -> DataFrame:
+    """Mean over clusters of the worst (scatter_i + scatter_j) / centroid distance, per ``by``; only cluster-sized joins.
 
     A row without a label belongs to no cluster.
     """
+    keys = names(by)
     df = df.where(F.col(label).isNotNull())
-    cent = group_means(df, vec, label).withColumnRenamed(vec, "_c")
-    scatter = df.join(cent.select(label, "_c"), label).groupBy(label).agg(F.avg(F.sqrt(sq_distance(vec, "_c"))).alias("_s")).join(cent.select(label, "_c"), label)
-    other = scatter.select(F.col(label).alias("_l2"), F.col("_s").alias("_s2"), F.col("_c").alias("_c2"))
-    rivals = scatter.select(label).agg(F.collect_list(label)).scalar()  # one entry per cluster
-    pair = scatter.withColumn("_l2", F.explode(rivals)).where(F.col(label) != F.col("_l2")).join(other, "_l2").withColumn("_r", ratio(F.col("_s") + F.col("_s2"), F.sqrt(sq_distance("_c", "_c2"))))
-    return pair.groupBy(label).agg(F.max("_r").alias("_r")).agg(F.avg("_r").alias("db"))
+    cent = group_means(df, vec, [*keys, label]).withColumnRenamed(vec, "_c").select(*keys, label, "_c")
+    near = join_null_safe(df, cent, [*keys, label])
+    scatter = near.groupBy(*keys, label).agg(F.avg(F.sqrt(sq_distance(vec, "_c"))).alias("_s"), F.first("_c").alias("_c")).withColumn("_all", F.lit(0))
+    other = scatter.select(*keys, "_all", F.col(label).alias("_l2"), F.col("_s").alias("_s2"), F.col("_c").alias("_c2"))
+    pair = join_null_safe(scatter, other, [*keys, "_all"]).where(F.col(label) != F.col("_l2"))
+    pair = pair.withColumn("_r", ratio(F.col("_s") + F.col("_s2"), F.sqrt(sq_distance("_c", "_c2"))))
+    return pair.groupBy(*keys, label).agg(F.max("_r").alias("_r")).groupBy(*keys).agg(F.avg("_r").alias("db"))
 
 
 def squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
@@ -353,21 +386,29 @@ def cluster_quality(model: DataFrame, key: str, vec: str, label: str) -> DataFra
 
     A row without a label belongs to no cluster.
     """
-    model = model.where(F.col(label).isNotNull())
-    lab = model.select(F.col(key).alias("src"), F.col(label).alias("_own"))
+    return quality_curve(model.withColumn("_cuts", F.array(F.struct(F.lit(1).alias("k"), F.col(label).alias("label")))), key, vec, "_cuts").drop("k")
+
+
+def quality_curve(model: DataFrame, key: str, vec: str, cuts: str) -> DataFrame:
+    """``(k, dunn, silhouette, db)`` of a model table for each of its labellings: ``cuts`` is an array of (k, label), alike in all rows.
+
+    The distance of a pair is computed once and serves every k. A row without a label in a cut belongs to no cluster there.
+    """
+    lab = model.select(F.col(key).alias("src"), F.explode(cuts).alias("_c")).select("src", "_c.k", F.col("_c.label").alias("_own")).where("_own IS NOT NULL")
     d = pair_moments(model, key, vec).select("src", "dst", "dist")
     d = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
-    d = d.join(lab, "src").join(lab.select(F.col("src").alias("dst"), F.col("_own").alias("_other")), "dst")
-    per = d.groupBy("src", "_own", "_other").agg(
+    d = d.join(lab, "src").join(lab.select(F.col("src").alias("dst"), "k", F.col("_own").alias("_other")), ["dst", "k"])
+    per = d.groupBy("k", "src", "_own", "_other").agg(
         F.avg("dist").alias("_m"), F.max("dist").alias("_far"), F.min(F.when(F.col("dist") > 0, F.col("dist"))).alias("_close"))
     same = F.col("_own") == F.col("_other")
-    row = per.groupBy("src").agg(
+    row = per.groupBy("k", "src").agg(
         F.max(F.when(same, F.col("_m"))).alias("_a"), F.min(F.when(~same, F.col("_m"))).alias("_b"),
         F.min(F.when(~same, F.col("_close"))).alias("_apart"), F.max(F.when(same, F.col("_far"))).alias("_wide"))
     # the only member of its class has silhouette 0
     sil = F.when(F.col("_a").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b", F.lit(1e-300)))
-    q = row.agg(ratio(F.min("_apart"), F.max(F.coalesce("_wide", F.lit(0.0)))).alias("dunn"), F.avg(sil).alias("silhouette"))
-    return q.withColumn("_k", F.lit(1)).join(davies_bouldin(model, vec, label).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    q = row.groupBy("k").agg(ratio(F.min("_apart"), F.max(F.coalesce("_wide", F.lit(0.0)))).alias("dunn"), F.avg(sil).alias("silhouette"))
+    flat = model.select(F.col(vec).alias("_vec"), F.explode(cuts).alias("_c")).select("_vec", "_c.k", "_c.label")
+    return q.join(davies_bouldin(flat, "_vec", "label", "k"), "k", "left")
 
 
 def pair_moments(vectors: DataFrame, group: str, vec: str) -> DataFrame:
@@ -411,36 +452,6 @@ def modularity(edges: DataFrame, labels: DataFrame, node: str, label: str, resol
     return q.agg(F.sum("_q").alias("q"))
 
 
-def harmonize_labels(df: DataFrame, a: str, b: str, out: str = "b_new", mode: str = "desc") -> DataFrame:
-    """Rename the labels of ``b`` so that they match ``a``: greedy by label size, then unused numbers.
-
-    Overlaps are counted by Spark; the greedy pass sees label-pair counts only.
-    """
-    counts = {(r[0], r[1]): r[2] for r in df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = lambda k: {x: sum(n for p, n in counts.items() if p[k] == x) for x in sorted({p[k] for p in counts})}
-    size_a, size_b = size(0), size(1)
-    # larger labels first; equal sizes from the larger label down
-    order = lambda s: sorted(s, key=lambda x: (s[x], x), reverse=True)
-    new: dict = {}
-    if mode == "desc":
-        for la in order(size_a):
-            free = [(counts[la, lb], -i, lb) for i, lb in enumerate(sorted(size_b)) if (la, lb) in counts and lb not in new]
-            if free:
-                new[max(free)[2]] = la
-    else:
-        for lb in order(size_b):
-            hit = [(counts[la, lb], -i, la) for i, la in enumerate(sorted(size_a)) if (la, lb) in counts]
-            if hit:
-                new[lb] = max(hit)[2]
-    spare = iter([x for x in range(len(size_b)) if x not in set(new.values())])
-    for lb in sorted(size_b):
-        if lb not in new:
-            nxt = next(spare, None)
-            if nxt is not None:
-                new[lb] = nxt
-    return relabel_fixed(df, b, new, out)
-
-
 def order_by_path(df: DataFrame, item: str, levels: Sequence[str], out: str = "pos") -> DataFrame:
     """Position (from 0) of items sorted by their label path over the levels (one row per item)."""
     path = F.concat_ws("", *[F.format_string("%04d", F.col(c).cast("int")) for c in levels])

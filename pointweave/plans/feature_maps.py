@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
+from ..operators import labels
 from ..operators.scan import percentile_columns
 from ..sources import tables as src
 from .registry import query
@@ -154,6 +155,14 @@ def bisecting_cuts(spark, sf):
     return ft.bisecting(_emb(spark, sf).drop("label"), "vec", range(2, 11)).groupBy("k").agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("bisecting_nested", "M10", "k:i pairs:i rows:i", "SELECT k, k + 1 AS pairs, count(*) AS rows FROM embeddings CROSS JOIN (SELECT unnest(range(2, 10)) AS k) GROUP BY k")
+def bisecting_nested(spark, sf):
+    """Each cut splits one class of the cut before: k and k + 1 classes meet in k + 1 pairs."""
+    t = ft.split_tree(_emb(spark, sf), "vec", 10, out="cuts")
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("cuts")[k - 1].alias("a"), F.col("cuts")[k].alias("b")) for k in range(2, 10)])).alias("s")
+    return t.select(steps).select("s.*").groupBy("k").agg(F.countDistinct("a", "b").alias("pairs"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("node_label", "M11", "vec_id:i node:i cat:s", with_ctes(
     "", "SELECT vec_id, node, CASE WHEN node % 3 = 0 THEN 'a' WHEN node % 3 = 1 THEN 'b' ELSE 'c' END AS cat FROM best", **M_CTES))
 def node_label(spark, sf):
@@ -206,6 +215,22 @@ def cluster_quality(spark, sf):
     return ft.cluster_quality(_group_vectors(spark, sf), "nat", "vec", "lab")
 
 
+@query("cluster_quality_curve", "M13", "k:i dunn:f silhouette:f db:f", with_ctes(
+    "", "SELECT k, dunn, silhouette, db FROM du JOIN (SELECT k, avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette FROM sil GROUP BY k) USING (k) JOIN (SELECT k, avg(r) AS db FROM dbx GROUP BY k) USING (k)",
+    **GV_CTES, ks="SELECT unnest(range(2, 9)) AS k", pk="SELECT src, dst, k, src % k AS la, dst % k AS lb, d FROM pr CROSS JOIN ks",
+    du="SELECT k, min(d) FILTER (WHERE la <> lb AND d > 0) / max(d) FILTER (WHERE la = lb) AS dunn FROM pk GROUP BY k",
+    m="SELECT k, src, la, lb, avg(d) AS d FROM pk GROUP BY ALL",
+    sil="SELECT k, src, max(d) FILTER (WHERE la = lb) AS a, min(d) FILTER (WHERE la <> lb) AS b FROM m GROUP BY k, src",
+    lv="SELECT k, nat % k AS lab, e FROM gv CROSS JOIN ks",
+    ce="SELECT k, lab, list(v ORDER BY i) AS c FROM (SELECT k, lab, i, avg(e[i]) AS v FROM (SELECT k, lab, e, unnest(range(1, len(e) + 1)) AS i FROM lv) GROUP BY ALL) GROUP BY k, lab",
+    sc="SELECT k, lab, c, avg(list_distance(e, c)) AS s FROM lv JOIN ce USING (k, lab) GROUP BY ALL",
+    dbx="SELECT x.k, x.lab, max((x.s + y.s) / list_distance(x.c, y.c)) AS r FROM sc x JOIN sc y ON x.k = y.k AND x.lab <> y.lab GROUP BY x.k, x.lab"))
+def cluster_quality_curve(spark, sf):
+    """Quality over k; the labels of cut k are the nation's number modulo k."""
+    cuts = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("nat") % k).alias("label")) for k in range(2, 9)])
+    return ft.quality_curve(_group_vectors(spark, sf).withColumn("cuts", cuts), "nat", "vec", "cuts")
+
+
 @query("cluster_quality_rows", "M13", "db:f silhouette:f", with_ctes(
     "", "SELECT (SELECT avg(r) FROM dbx) AS db, (SELECT avg((b - a) / greatest(a, b)) FROM sil) AS silhouette", **M_CTES,
     pd="SELECT a.vec_id, a.label AS la, b.label AS lb, avg(pow(list_distance(a.e, b.e), 2)) AS d FROM emb a JOIN emb b ON a.vec_id <> b.vec_id GROUP BY ALL",
@@ -245,7 +270,17 @@ def modularity(spark, sf):
 @query("harmonize_labels", "M17", "label:i cluster:i b_new:i n:i")
 def harmonize_labels(spark, sf):
     k = ft.kmeans(_emb(spark, sf).withColumnRenamed("label", "a"), "vec", 6, out="cluster")
-    return ft.harmonize_labels(k.withColumnRenamed("a", "label"), "label", "cluster").groupBy("label", "cluster", "b_new").agg(F.count(F.lit(1)).alias("n"))
+    return labels.harmonize_labels(k.withColumnRenamed("a", "label"), "label", "cluster").groupBy("label", "cluster", "b_new").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("harmonize_chain", "M17", "k:i label:i label_new:i n:i")
+def harmonize_chain(spark, sf):
+    """Seven cuts of one tree renamed outward from the one with five classes."""
+    t = ft.split_tree(_emb(spark, sf).drop("label"), "vec", 8, out="cuts")
+    cols = [f"c{k}" for k in range(2, 9)]
+    h = labels.harmonize_chain(t.select(*[F.col("cuts")[k - 1].alias(f"c{k}") for k in range(2, 9)]), cols, 3)
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("label"), F.col(f"c{k}_new").alias("label_new")) for k in range(2, 9)])).alias("s")
+    return h.select(both).select("s.*").groupBy("k", "label", "label_new").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("order_by_labels", "M18", "nat:i path:s pos:i rank:i", with_ctes(

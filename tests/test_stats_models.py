@@ -128,12 +128,6 @@ def test_first_prototype_wins_and_errors(spark):
     assert e["qe"] == pytest.approx(0.1 / 3) and e["te"] == pytest.approx(0.0)
 
 
-def test_harmonize_prefers_large_overlaps(spark):
-    df = spark.createDataFrame([(0, 5)] * 4 + [(0, 7)] + [(1, 7)] * 3 + [(2, 9)], "a int, b int")
-    got = dict(rows(ft.harmonize_labels(df, "a", "b").select("b", "b_new").distinct()))
-    assert got == {5: 0, 7: 1, 9: 2}
-
-
 def test_balanced_tiles_sizes(spark):
     df = spark.range(103).select(F.lit("r").alias("region"), F.col("id"), (F.col("id") * 37 % 103).cast("double").alias("x"), (F.col("id") * 11 % 103).cast("double").alias("y"))
     n = [r[1] for r in rows(ft.balanced_tiles(df, "region", "x", "y", "id", per_tile=20).groupBy("tile").count())]
