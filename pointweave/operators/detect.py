@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import names, sq_distance
 from .intervals import islands, merge_by_gap
 from .ranges import points_in_windows
-from .scan import join_null_safe, scan, time_chunk
+from .scan import join_null_safe, range_chunks, scan, time_chunk
 
 DAY = 86400.0
 
@@ -123,12 +123,13 @@ def jump_segments(points: DataFrame, order: str, coords: str, max_d: float, feat
 
     Gives the segment number and, inside a segment, the feature distance to the previous point.
     """
-    chunk = F.floor(F.col(order) / 4096) if chunk is None else chunk
+    if chunk is None:
+        points, chunk = range_chunks(points, [order]), F.col("_range")
     p = scan(points, [], order, chunk, _pc=("lag", coords), _pf=("lag", features))
     step = F.sqrt(sq_distance(coords, "_pc"))
     new = F.col("_pc").isNull() | (step > max_d)
     seg = islands(p, [], order, chunk, new, "segment")
-    return seg.withColumn("dist", F.when(~new, F.sqrt(sq_distance(features, "_pf")))).drop("_pc", "_pf")
+    return seg.withColumn("dist", F.when(~new, F.sqrt(sq_distance(features, "_pf")))).drop("_pc", "_pf", "_range")
 
 
 def peaked_crossings(

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import correlation, dot, names, ratio, sq_distance
 from ..session import cut_lineage
 from .aggregate import with_share
-from .scan import join_null_safe, magnitude_chunk, percentile_columns, scan
+from .scan import join_null_safe, magnitude_chunk, percentile_columns, range_chunks, scan
 
 MAX_MODEL = 4_000_000  # cells of a model array that may travel to every task
 HEX_ROW = 0.8660254  # fixed value: row spacing of the hexagonal grid
@@ -455,7 +455,8 @@ def modularity(edges: DataFrame, labels: DataFrame, node: str, label: str, resol
 def order_by_path(df: DataFrame, item: str, levels: Sequence[str], out: str = "pos") -> DataFrame:
     """Position (from 0) of items sorted by their label path over the levels (one row per item)."""
     path = F.concat_ws("", *[F.format_string("%04d", F.col(c).cast("int")) for c in levels])
-    return df.withColumn("path", path).withColumn(out, (F.row_number().over(Window.orderBy("path", item)) - 1).cast("bigint"))
+    placed = range_chunks(df.withColumn("path", path), ["path", item])
+    return scan(placed, [], ["path", item], F.col("_range"), **{out: "row"}).withColumn(out, F.col(out) - 1).drop("_range")
 
 
 def polygon_area(vertices: DataFrame, roi: str, order: str, x: str, y: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_col, finite
-from .scan import scan
+from .scan import range_chunks, scan
 
 # Areas whose name ends in a digit that is not a layer.
 DIGIT_AREAS = ("CA1", "CA2", "CA3")
@@ -167,12 +167,12 @@ def metric_filter(df: DataFrame, metrics: Sequence[str], rate: str, min_rate: fl
 def dense_ids(df: DataFrame, cols: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
     """Dense id (from 0) of the distinct rows of ``cols`` inside ``by``.
 
-    Only distinct combinations are numbered (chunked by the first column when there are many); the ids are
-    joined back NULL-safely.
+    Only distinct combinations are numbered, in range partitions over all columns, so no single column has to spread
+    them; the ids are joined back NULL-safely.
     """
     by, cols = list(by), list(cols)
-    combos = df.select(*by, *cols).distinct()
-    ids = scan(combos, by, cols, F.struct(cols[0]), **{out: "row"}).withColumn(out, F.col(out) - 1)
+    combos = range_chunks(df.select(*by, *cols).distinct(), by + cols)
+    ids = scan(combos, by, cols, F.col("_range"), **{out: "row"}).withColumn(out, F.col(out) - 1)
     cond = F.lit(True)
     ids = ids.select(*[F.col(c).alias(f"_k_{c}") for c in by + cols], out)
     for c in by + cols:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import as_col, names
+from ..session import cut_lineage
 
 CHUNK = "_chunk"
 RANK_COLUMNS = ("n", "below", "total")  # output columns of running_rank
@@ -39,6 +40,16 @@ def hash_chunk(h: str | Column, digits: int = 2) -> Column:
     return F.substring(as_col(h), 1, digits)
 
 
+def range_chunks(df: DataFrame, cols: Sequence[str], out: str = "_range") -> DataFrame:
+    """Add a chunk that follows the order of ``cols`` whatever their values: the number of the range partition.
+
+    For orders without a natural chunk (labels, paths, ids) and for scans without a key: there are as many chunks as
+    partitions, even in size unless rows are equal in all of ``cols``. The numbered rows are written once, so that every
+    later reader sees the same numbers.
+    """
+    return cut_lineage(df.repartitionByRange(*[F.col(c) for c in cols]).withColumn(out, F.spark_partition_id()))
+
+
 def null_safe(df: DataFrame, cols: Sequence[str], prefix: str) -> dict[str, Column]:
     """Columns to use as keys in place of ``cols``: never NULL, and equal where ``cols`` are equal or both NULL.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from pointweave.operators import scan as sc
+from pointweave.operators.features import order_by_path
+from pointweave.operators.filters import dense_ids
 from pointweave.operators.ranges import count_in_windows, overlap_flag, points_in_windows, window_pairs
 
 DATA = [("a", 1.0, 1, 5), ("a", 2.0, 2, None), ("a", 2.0, 3, 7), ("a", 90.0, 4, 1), ("a", 250.0, 5, None), ("b", 3.0, 6, 2), ("b", 300.0, 7, 9)]
@@ -88,3 +90,19 @@ def test_window_pairs_once(spark):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         sc.scan(frame(spark), "k", ["t", "id"], F.lit(0), x=("nope", "v"))
+
+
+def test_dense_ids_and_paths_over_a_constant_first_column(spark):
+    """Range partitions number rows that the first column cannot spread, NULLs first."""
+    data = [(None if i % 50 == 0 else "one", None if i % 41 == 0 else i * 7 % 83, i % 3, i) for i in range(600)]
+    df = spark.createDataFrame(data, "a string, b int, g int, id int")
+    rank = lambda r: tuple((v is not None, v if v is not None else 0) for v in (r["a"], r["b"]))
+    got = dense_ids(df, ["a", "b"], "n").collect()
+    order = sorted({rank(r) for r in got})
+    assert [r["n"] for r in got] == [order.index(rank(r)) for r in got]
+    for g in range(3):
+        part = [r for r in dense_ids(df, ["a", "b"], "n", ["g"]).collect() if r["g"] == g]
+        order = sorted({rank(r) for r in part})
+        assert [r["n"] for r in part] == [order.index(rank(r)) for r in part]
+    flat = order_by_path(df.select("id", F.lit(1).alias("l0"), (F.col("id") % 2).alias("l1")), "id", ["l0", "l1"]).orderBy("pos").collect()
+    assert [r["id"] for r in flat] == [*range(0, 600, 2), *range(1, 600, 2)] and [r["pos"] for r in flat] == list(range(600))
