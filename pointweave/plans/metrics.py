@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, trains
+from ..operators import joins, trains, windowed
 from ..operators.stability import equal_parts
 from ..sources import tables as src
 from .registry import query
@@ -161,8 +161,5 @@ def spontaneous_metrics(spark, sf):
     quiet = src.event_windows(spark, sf, "signup", 3600.0, 3600.0)
     near = kept.withColumn("t0", F.col("t1") - 1800.0)
     win = joins.label_states(near, quiet, "recid").withColumn("t0", F.col("t1") - float(_PRE))
-    evw = trains.events_in_windows(ev, win, bucket=float(_PRE))
-    # a trigger window belongs to one recording and state: two numeric keys order the big table
-    isi = trains.intervals(evw, ["win_id", "uid"], ("t", "eid"), keep_first=True)
-    values = trains.interval_metrics(isi, ["win_id", "uid", "recid", "state", "t0", "t1"], ["b", "lv"], min_n=4).withColumnRenamed("n_rows", "n")
+    values = windowed.windowed_metrics(ev, win, ["b", "lv"], min_n=4)
     return trains.mean_std(trains.log_rate(values), ["recid", "uid", "state"], ["b", "lv", "rate"], n_min=2, count_as="n_win")
