@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import names, sq_distance
 from .intervals import islands, merge_by_gap
 from .ranges import points_in_windows
-from .scan import join_null_safe, range_chunks, scan, time_chunk
+from .scan import join_null_safe, linked, range_chunks, scan, time_chunk
 
 DAY = 86400.0
 
@@ -28,7 +28,7 @@ def _gap_islands(
 def bursts(ev: DataFrame, keys: Sequence[str] | str, max_dist: float, order: Sequence[str] = ("t",), chunk_s: float = DAY) -> DataFrame:
     """Maximal runs of intervals shorter than ``max_dist``: ``(keys, t0, t1, n)`` with n events (n >= 2)."""
     keys = names(keys)
-    isl = _gap_islands(ev, keys, list(order), "t", lambda g: g >= max_dist, time_chunk("t", chunk_s), "_b")
+    isl = linked(ev, keys, list(order), time_chunk("t", chunk_s), "t", "t", lambda t, before: t - before >= max_dist, "_b")
     return isl.groupBy(*keys, "_b").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("_b")
 
 
@@ -40,7 +40,7 @@ def bursts_merged(ev: DataFrame, keys: Sequence[str] | str, max_dist: float, max
 def segments(ev: DataFrame, keys: Sequence[str] | str, max_diff: float, n_min: int, order: Sequence[str] = ("t",), chunk_s: float = DAY) -> DataFrame:
     """Runs without a gap above ``max_diff`` that hold at least ``n_min`` events."""
     keys = names(keys)
-    isl = _gap_islands(ev, keys, list(order), "t", lambda g: g > max_diff, time_chunk("t", chunk_s), "_b")
+    isl = linked(ev, keys, list(order), time_chunk("t", chunk_s), "t", "t", lambda t, before: t - before > max_diff, "_b")
     return isl.groupBy(*keys, "_b").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= n_min).drop("_b")
 

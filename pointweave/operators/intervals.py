@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, names, ratio
 from .ranges import count_in_windows
-from .scan import join_null_safe, scan, time_chunk
+from .scan import join_null_safe, linked, scan, time_chunk
 
 DAY = 86400.0
 
@@ -34,12 +34,9 @@ def merge_intervals(
     if gap is None:
         w = w.where("t1 > t0")
     w = w.groupBy(*keys, "t0", "t1").agg(F.count(F.lit(1)).alias("n"))
-    chunk = time_chunk("t0", chunk_s)
-    prev = scan(w, keys, ["t0", "t1"], chunk, _reach=("reach", "t1"))
-    apart = F.col("t0") > F.col("_reach") if gap is None else (F.col("t0") - F.col("_reach")) >= F.lit(gap)
-    starts = F.col("_reach").isNull() | apart
-    return islands(prev, keys, ["t0", "t1"], chunk, starts, "_isl").groupBy(*keys, "_isl").agg(
-        F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n")).drop("_isl")
+    apart = lambda lo, r: lo > r if gap is None else lo - r >= F.lit(gap)
+    return linked(w, keys, ["t0", "t1"], time_chunk("t0", chunk_s), "t0", "t1", apart).groupBy(*keys, "_start").agg(
+        F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n")).drop("_start")
 
 
 def free_intervals(

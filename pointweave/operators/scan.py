@@ -8,7 +8,7 @@ only full shuffle is by (key, chunk). There is one path for all sizes, and NULL
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,12 +94,7 @@ def scan(
     """
     keys, order = names(keys), names(order)
     specs = {o: (s, F.lit(1)) if isinstance(s, str) else (s[0], as_col(s[1])) for o, s in outs.items()}
-    base = df.withColumn(CHUNK, chunk)
-    group, part = null_safe(base, keys, "_g"), null_safe(base, [CHUNK], "_p")
-    base = base.withColumns(group | part)
-    whole = list(group)
-    at = ["_pn", "_p0"]  # NULL chunks carry 1 and come first
-    base = base.withColumn("_pn", 1 - F.col("_pn"))
+    base, whole, at = _chunked(df, keys, chunk)
     pkeys = whole + at
     frame, across, pos = _Frames(pkeys, order), _Frames(whole, at), F.struct(*order)
     local, edge, carry, final = {}, {}, {}, {}
@@ -117,6 +112,41 @@ def scan(
     return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 
+def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with never-NULL key columns and chunk columns, and the names of both."""
+    base = df.withColumn(CHUNK, chunk)
+    group, part = null_safe(base, keys, "_g"), null_safe(base, [CHUNK], "_p")
+    base = base.withColumns(group | part)
+    return base.withColumn("_pn", 1 - F.col("_pn")), list(group), ["_pn", "_p0"]  # NULL chunks carry 1 and come first
+
+
+def linked(
+    df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str, chunk: Column, lo: str, reach: str,
+    apart: Callable[[Column, Column], Column], out: str = "_start",
+) -> DataFrame:
+    """Add ``out``: a struct that names the island of each row, with one pass over the chunks.
+
+    A row opens an island when ``apart(lo, r)`` holds for the largest ``reach`` r before it; ``lo`` must not decrease
+    along ``order`` and ``apart`` must not turn false again as ``lo`` grows. What a chunk does to the islands around it is
+    then a small map: with the reach C carried in, exactly the rows whose ``lo`` is apart from C can open islands, and
+    whether they do is known inside the chunk. The maps of a key are chained on the table of chunks.
+    """
+    keys, order = names(keys), names(order)
+    base, whole, at = _chunked(df, keys, chunk)
+    pkeys = whole + at
+    frame, across = _Frames(pkeys, order), _Frames(whole, at)
+    here = F.struct(F.col(lo).alias("lo"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    opens = lambda at_lo, r: r.isNull() | apart(at_lo, r)
+    base = base.withColumn("_lr", F.max(reach).over(frame.before))
+    base = base.withColumn("_ls", F.last(F.when(opens(F.col(lo), F.col("_lr")), here), ignorenulls=True).over(frame.upto))
+    edges = base.groupBy(*pkeys).agg(F.max(reach).alias("_er"), F.max("_ls").alias("_es"))
+    edges = edges.withColumn("_c", F.max("_er").over(across.before))
+    own = F.when(opens(F.col("_es.lo"), F.col("_c")), F.col("_es"))
+    edges = edges.select(*pkeys, "_c", F.last(own, ignorenulls=True).over(across.before).alias("_s"))
+    start = F.when(opens(F.col("_ls.lo"), F.col("_c")), F.col("_ls")).otherwise(F.col("_s"))
+    return base.join(edges, pkeys, "left").select(*df.columns, start.alias(out))
+
+
 class _Frames:
     """The window frames of one ordered partition."""
 

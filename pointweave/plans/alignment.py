@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import align
 from ..operators import intervals as iv
 from ..operators import traces as tc
+from ..session import cut_lineage
 from ..sources import tables as src
 from .detection import LEVEL, crossing_ctes
 from .interval_algebra import merge_ctes
@@ -147,10 +148,11 @@ _OFF = {
 def off_periods(spark, sf):
     b = bounds(spark, sf)
     rate = tc.rate_histogram(src.event_rows(spark, sf), b, "recid", 1800.0).withColumnRenamed("bin", "i")
-    leveled = rate.join(tc.geometric_mean_level(rate, "recid"), "recid")
+    # the trace is read by every later scan twice: it is made once
+    leveled = cut_lineage(rate.join(tc.geometric_mean_level(rate, "recid"), "recid"))
     troughs = tc.halfwaves(leveled, "recid", F.col("gmean"), 0.2 * F.col("gmean"), 1, "trough", "rate").where("i1 - i0 <= 100").select(
         "recid", F.col("i0").cast("double").alias("t0"), F.col("i1").cast("double").alias("t1"))
-    merged = iv.merge_by_gap(troughs, "recid", 3.0, 4096.0)
+    merged = cut_lineage(iv.merge_by_gap(troughs, "recid", 3.0, 4096.0))
     bins = b.select("recid", F.lit(0.0).alias("lo"), F.floor((F.col("hi") - F.col("lo")) / 1800.0).cast("double").alias("hi"))
     return iv.border_intervals(merged, "n", bins, "recid", 3, 2.0, 1.0, 2.0, 4096.0)
 

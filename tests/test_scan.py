@@ -1,5 +1,6 @@
 """Scans agree with plain Python whatever the chunks."""
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
@@ -106,3 +107,22 @@ def test_dense_ids_and_paths_over_a_constant_first_column(spark):
         assert [r["n"] for r in part] == [order.index(rank(r)) for r in part]
     flat = order_by_path(df.select("id", F.lit(1).alias("l0"), (F.col("id") % 2).alias("l1")), "id", ["l0", "l1"]).orderBy("pos").collect()
     assert [r["id"] for r in flat] == [*range(0, 600, 2), *range(1, 600, 2)] and [r["pos"] for r in flat] == list(range(600))
+
+
+@pytest.mark.parametrize("chunk", [1.0, 5.0, 1e6])
+def test_linked_islands_against_a_plain_sweep(spark, chunk):
+    rng = np.random.default_rng(11)
+    spans = [(k, float(a), float(a + d)) for k in ("x", None) for a, d in zip(rng.integers(0, 90, 60), rng.choice([0, 0, 1, 2, 30], 60, p=[0.4, 0.2, 0.2, 0.18, 0.02]))]
+    df = spark.createDataFrame([(*s, i) for i, s in enumerate(spans)], "k string, a double, b double, i long")
+    for gap in (0.0, 1.5, 3.0):
+        got = sc.linked(df, "k", ["a", "i"], F.floor(F.col("a") / chunk), "a", "b", lambda lo, r: lo - r > gap)
+        want, reach, number = {}, {}, 0
+        for k, a, b, i in sorted([(*s, i) for i, s in enumerate(spans)], key=lambda s: (str(s[0]), s[1], s[3])):
+            if k not in reach or a - reach[k] > gap:
+                number += 1
+            reach[k] = max(b, reach.get(k, b))
+            want.setdefault(number, set()).add(i)
+        sets = {}
+        for r in got.collect():
+            sets.setdefault((r["k"], r["_start"]), set()).add(r["i"])
+        assert sorted(map(sorted, sets.values())) == sorted(map(sorted, want.values()))
