@@ -7,14 +7,15 @@ many tasks with one shuffle, and the copies are dropped afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.scalars import names, ratio
+from ..functions.scalars import finite, names, ratio
 from .scan import join_null_safe, percentile_columns, scan
 
 FRAME = 65536
@@ -208,20 +209,71 @@ def resample_linear(tr: DataFrame, keys: Sequence[str] | str, sr_old: float, sr_
         *keys, "j", (F.col(value) + F.coalesce((F.col("_q") - F.col(value)) * pos, F.lit(0.0))).alias(value))
 
 
+def _lagged_sums(x: np.ndarray, y: np.ndarray, max_lag: int) -> np.ndarray:
+    """sum over i of x[i + lag] y[i] for lag = -max_lag .. max_lag, zeros beyond the ends."""
+    if len(x) * (2 * max_lag + 1) <= 1 << 20:
+        wide = np.concatenate([np.zeros(max_lag), x, np.zeros(max_lag)])
+        return np.correlate(wide, y, "valid")
+    size = 1 << int(len(x) + max_lag).bit_length()  # room for every lag, so that none wraps around
+    c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+    return np.concatenate([c[size - max_lag:], c[:max_lag + 1]]) if max_lag else c[:1]
+
+
+def _present(c: np.ndarray | None, n: int) -> np.ndarray:
+    out = np.zeros(n) if c is None else c
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def _correlate_frames(keys: list[str], max_lag: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):  # one frame a row; the work of a row is numpy's
+                s = batch.column("_s")[r].values
+                at = s.field("i").to_numpy(zero_copy_only=False)
+                at = (at - at.min()).astype(np.int64)
+                own = s.field("own").to_numpy(zero_copy_only=False).astype(bool)
+                vals = [s.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")]
+                n = int(at.max()) + 1
+                dense = lambda w, to: np.bincount(to, w, n)
+                x, y = _present(vals[0], len(at)), _present(np.where(own, vals[1], 0.0), len(at))
+                c = _lagged_sums(dense(x, at), dense(y, at), max_lag)
+                met = _lagged_sums(dense(np.ones(len(at)), at), dense(own.astype(float), at), max_lag)
+                full = [np.isfinite(v) for v in vals]
+                both = met if all(f.all() for f in full) else _lagged_sums(
+                    dense(full[0].astype(float), at), dense((full[1] & own).astype(float), at), max_lag)
+                cells = [pa.array(np.arange(-max_lag, max_lag + 1)), pa.array(c), pa.array(np.rint(met).astype(np.int64)), pa.array(np.rint(both).astype(np.int64))]
+                sums = [pa.array(np.full(len(c), v)) for v in ((x * x)[own].sum(), (y * y).sum())]
+                same = pa.array(np.full(len(c), r, dtype=np.int64))
+                seen = np.rint(met).astype(np.int64) > 0
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(k).take(same) for k in keys] + cells + sums, [*keys, "lag", "_c", "_met", "_both", "_xx", "_yy"])
+                yield out.filter(pa.array(seen | (np.arange(len(c)) == max_lag)))
+    return run
+
+
 def xcorr(xy: DataFrame, keys: Sequence[str] | str, max_lag: int, x: str = "x", y: str = "y") -> DataFrame:
     """``(keys, lag, c)``: sum of x(i + lag) y(i) over the norms of x and y, for |lag| <= ``max_lag``.
 
-    Each sample meets the ``2 max_lag + 1`` samples around it inside its frame; products are summed before
-    the shuffle.
+    A trace is cut into frames; a frame, with ``max_lag`` samples around it, is one row and is transformed as a whole
+    (Fourier transforms where that pays), and the lags of all frames are added up. Memory of a row is three frames at most,
+    and a frame is as long as the lags if they are longer than ``FRAME``. NULL and non-finite samples are missing: their
+    products do not count, and a lag with missing products only has ``c`` NULL. NULL keys are keys like others.
     """
     keys = names(keys)
-    near = neighbourhood(xy, keys, max_lag, lambda w: {
-        "_near": F.collect_list(F.struct(F.col("i").alias("j"), F.col(x).alias("x"))).over(w.rowsBetween(-max_lag, max_lag))})
-    prods = near.select(*keys, F.explode(F.transform("_near", lambda s: F.struct(
-        (s["j"] - F.col("i")).alias("lag"), (s["x"] * F.col(y)).alias("p")))).alias("e"))
-    c = prods.groupBy(*keys, F.col("e.lag").alias("lag")).agg(F.sum("e.p").alias("_c"))
-    norm = xy.groupBy(*keys).agg(F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y))).alias("_n"))
-    return join_null_safe(c, norm, keys).where(F.abs("lag") <= max_lag).select(*keys, "lag", ratio("_c", "_n").alias("c"))
+    frame = max(FRAME, max_lag)
+    own = F.floor(F.col("i") / F.lit(frame))
+    near = F.array_distinct(F.array(own, F.floor((F.col("i") - max_lag) / F.lit(frame)), F.floor((F.col("i") + max_lag) / F.lit(frame))))
+    rows = xy.select(*keys, F.col("i").cast("bigint").alias("i"), finite(x).alias("x"), finite(y).alias("y"), F.explode(near).alias("_fr"))
+    sample = F.struct("i", "x", "y", (F.col("_fr") == F.floor(F.col("i") / F.lit(frame))).alias("own"))
+    frames = rows.groupBy(*keys, "_fr").agg(F.collect_list(sample).alias("_s")).where(F.exists("_s", lambda s: s["own"]))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in xy.select(*keys).schema.fields)
+    sums = frames.select(*keys, "_s").mapInArrow(
+        _correlate_frames(keys, max_lag), f"{kept}, lag bigint, _c double, _met bigint, _both bigint, _xx double, _yy double")
+    # the norms are those of lag 0, which every frame has
+    c = sums.groupBy(*keys, "lag").agg(*[F.sum(s).alias(s) for s in ("_c", "_met", "_both")], F.sum("_xx").alias("_xx"), F.sum("_yy").alias("_yy"))
+    norm = c.where("lag = 0").select(*keys, F.sqrt(F.col("_xx") * F.col("_yy")).alias("_n"))
+    c = c.where("_met > 0").select(*keys, "lag", F.when(F.col("_both") > 0, F.col("_c")).alias("_c"))
+    return join_null_safe(c, norm, keys).select(*keys, "lag", ratio("_c", "_n").alias("c"))
 
 
 def best_shift(corr: DataFrame, keys: Sequence[str] | str) -> DataFrame:
