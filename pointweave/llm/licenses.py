@@ -2,8 +2,10 @@
 
 All rolling word k-grams of every document are joined with the positions of the same k-grams in licence templates. A hit
 at word ``i`` for template position ``p`` votes for the diagonal ``i - p``. Votes are counted per diagonal, diagonals at
-most ``SHIFT`` words apart (small insertions and cuts) are merged, and a merged span counts once the k-grams in it, now
-compared word by word, cover enough of the template. The template side is a fixed table of this library, a few thousand
+most ``SHIFT`` words apart (small insertions and cuts) are merged. Merged diagonals that hold a part of the template and
+follow each other in both the text and the template, at most ``GAP`` words apart, form one span, so that an added clause
+or a long name does not split a licence; a span counts once the k-grams in it, now compared word by word, cover enough of
+the template. The template side is a fixed table of this library, a few thousand
 k-grams at most, and is broadcast. Base phrases are found in the same pass over the words.
 """
 
@@ -20,6 +22,10 @@ from .registry import llm_query
 
 GRAM = 4
 SHIFT = 4
+#: Words that may stand between two parts of one span.
+GAP = 100
+#: Share of a template's k-grams that a part must hold to be joined or scored; less is a chance phrase.
+PART = 0.1
 #: Share of a template's k-grams that a span must hold.
 COVERAGE = 0.6
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,7 +52,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, gram:
     """(one row per document, one row per template span).
 
     Documents: key, n_words, n_base (places of base phrases), first_word, last_word (null without one), base_labels,
-    labels (sorted, comma-joined, empty without any) and score: 1 with a base phrase, else the best span's coverage. Spans: key,
+    labels (sorted, comma-joined, empty without any) and score: 1 with a base phrase, else the best coverage of a template, also
+    below the bound that a label needs. Spans, at or above the bound: key,
     text_key (hash of the text), label, first_word, last_word, coverage. A null or empty text has no words; repeated rows
     and null keys each keep their row; other columns are not read; an empty table gives empty results.
     """
@@ -74,9 +81,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, gram:
     order = Window.partitionBy("k", "tk", "label").orderBy("diagonal")
     lines = lines.withColumn("opens", (F.col("diagonal") - F.lag("diagonal").over(order) > SHIFT).cast("int"))
     lines = lines.withColumn("span", F.sum(F.coalesce("opens", F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = lines.groupBy("k", "tk", "label", "total", "span").agg(
-        F.min("low").alias("first_word"), (F.max("high") + gram - 1).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
-    ).select("k", "tk", "label", "first_word", "last_word", (F.size("seen") / F.col("total")).alias("coverage")).where(F.col("coverage") >= coverage)
+    parts = lines.groupBy("k", "tk", "label", "total", "span").agg(
+        F.min("low").alias("low"), (F.max("high") + gram - 1).alias("high"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
+    ).drop("span").where(F.size("seen") >= PART * F.col("total"))
+    # a wording that a template repeats also votes off its diagonal, so parts are ordered by their middle places
+    parts = parts.withColumn("middle", F.expr("sort_array(seen)[size(seen) div 2]"))
+    order = Window.partitionBy("k", "tk", "label").orderBy("low", "middle", "high")
+    again = F.size(F.array_intersect("seen", F.lag("seen").over(order)))
+    follows = (F.col("low") <= F.lag("high").over(order) + 1 + GAP) & (F.col("middle") > F.lag("middle").over(order)) & (2 * again < F.size("seen"))
+    parts = parts.withColumn("opens", (~F.coalesce(follows, F.lit(False))).cast("int"))
+    parts = parts.withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    scored = parts.groupBy("k", "tk", "label", "total", "span").agg(
+        F.min("low").alias("first_word"), F.max("high").alias("last_word"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
+    ).select("k", "tk", "label", "first_word", "last_word", (F.size("seen") / F.col("total")).alias("coverage"))
+    spans = scored.where(F.col("coverage") >= coverage)
 
     # a document's row -1 counts how often the row itself occurs
     per = events.groupBy("k", "tk", "n_words").agg(
@@ -84,7 +102,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, gram:
         F.min(F.when(F.col("base").isNotNull(), F.col("i"))).alias("first_word"), F.max(F.when(F.col("base").isNotNull(), F.col("i"))).alias("last_word"),
         F.collect_set("base").alias("base_set"),
     )
-    found = spans.groupBy("k", "tk").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"))
+    found = scored.groupBy("k", "tk").agg(F.collect_set(F.when(F.col("coverage") >= coverage, F.col("label"))).alias("more"), F.max("coverage").alias("best"))
     same = per["k"].eqNullSafe(found["k"]) & (per["tk"] == found["tk"])
     every = per.join(found, same, "left").select(
         per["k"].alias(key), F.col("n_words").cast("long").alias("n_words"), F.expr("n div rows").alias("n_base"),

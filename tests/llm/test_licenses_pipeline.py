@@ -50,6 +50,36 @@ def test_spans_survive_cuts_and_insertions(spark):
     assert [x[0] for x in s] == [1, 2, 5, 5] and s[0][1] == 30 and s[1][1:] == (0, n + 1) and s[3][1] == n + 50
 
 
+def covered(text, label):
+    """Share of the template's 4-grams that stand in the text."""
+    grams = lambda w: [tuple(w[i : i + 4]) for i in range(len(w) - 3)]
+    there = set(grams(words(text)))
+    return sum(g in there for g in grams(words(TEMPLATES[label]))) / len(grams(words(TEMPLATES[label])))
+
+
+@pytest.mark.parametrize("label", ["mit-text", "bsd-3-clause-text", "isc-text"])
+def test_parts_of_a_template_are_joined(spark, label):
+    text = TEMPLATES[label].split()
+    n = len(text)
+    put = lambda at, count: " ".join(text[:at] + [f"added{i}" for i in range(count)] + text[at:])
+    twice = text[: n // 3] + ["one"] * 30 + text[n // 3 : 2 * n // 3] + ["two"] * 30 + text[2 * n // 3 :]
+    docs = [put(at, count) for count in (5, 20, 50) for at in (n // 3, n // 2, 2 * n // 3)] + [" ".join(twice)]
+    docs += [" ".join(text[: n // 2] + text[n // 2 + 12 :])]
+    below = [" ".join(text[: n // 3]), " ".join(text[n // 2 :] + text[: n // 2]), put(n // 2, 200)]
+    every, spans = li.scan_licenses(spark.createDataFrame(list(enumerate(docs + below)), "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in every.collect()}
+    span = {r["doc_id"]: r for r in spans.where(f"label = '{label}'").collect()}
+    for i, doc in enumerate(docs):
+        assert label in got[i]["labels"].split(","), (i, got[i])
+        # a wording that the template repeats counts for its cut place in the brute force, too
+        assert span[i]["coverage"] == pytest.approx(covered(doc, label), abs=0.02 if i == len(docs) - 1 else 1e-9)
+        assert (span[i]["first_word"], span[i]["last_word"]) == (0, len(words(doc)) - 1)
+    for i, doc in enumerate(below, len(docs)):
+        assert label not in got[i]["labels"].split(",") and i not in span
+    assert got[len(docs)]["score"] == pytest.approx(covered(below[0], label))
+    assert 0.4 < got[len(docs) + 1]["score"] < 0.6 and 0.4 < got[len(docs) + 2]["score"] < 0.6
+
+
 def test_hash_collisions_do_not_vote(spark, monkeypatch):
     from pyspark.sql import functions as F
 
