@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -411,19 +413,69 @@ def quality_curve(model: DataFrame, key: str, vec: str, cuts: str) -> DataFrame:
     return q.join(davies_bouldin(flat, "_vec", "label", "k"), "k", "left")
 
 
+BLOCK = 512  # vectors that meet as one matrix
+
+
+def _padded(vectors: list, d: int) -> np.ndarray:
+    """Rows of one length; NULL and absent cells are NaN."""
+    out = np.full((len(vectors), d), np.nan)
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = np.asarray(v, dtype=float)
+    return out
+
+
+def _block_moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Common positions, distance, cosine and correlation of each row of ``x`` with each of ``y``; NaN is missing."""
+    has_x, has_y = np.isfinite(x), np.isfinite(y)
+    n = has_x.astype(float) @ has_y.T.astype(float)
+    dist, cosine, corr = (np.zeros(n.shape) for _ in range(3))
+    for i, (row, has) in enumerate(zip(x, has_x, strict=True)):
+        both = has & has_y
+        a, b = np.where(both, row, 0.0), np.where(both, y, 0.0)
+        k = np.maximum(n[i], 1)[:, None]
+        dist[i] = np.sqrt(((a - b) ** 2).sum(axis=1))
+        for out, u, v in ((cosine, a, b), (corr, *(np.where(both, c - c.sum(axis=1, keepdims=True) / k, 0.0) for c in (a, b)))):
+            size = np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1))
+            out[i] = np.divide((u * v).sum(axis=1), size, out=np.zeros(len(v)), where=size > 0)
+        flat = lambda c: np.where(both, c, -np.inf).max(axis=1) == np.where(both, c, np.inf).min(axis=1)
+        corr[i][flat(a) | flat(b)] = 0.0
+    return n, dist, cosine, corr
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):  # a row holds two blocks
+            one, two = batch.column("one")[r].values, batch.column("two")[r].values
+            left, right = one.field("v").to_pylist(), two.field("v").to_pylist()
+            d = max(len(v) for v in left + right)
+            n, *measures = _block_moments(_padded(left, d), _padded(right, d))
+            i, j = np.nonzero(n > 0)
+            src, dst = one.field("g").take(pa.array(i)), two.field("g").take(pa.array(j))
+            swap = pc.greater(src, dst)
+            low, high = pc.if_else(swap, dst, src), pc.if_else(swap, src, dst)
+            out = pa.RecordBatch.from_arrays([low, high, *[pa.array(m[i, j]) for m in measures]], ["src", "dst", "dist", "cosine", "corr"])
+            # a block with itself meets each pair from both sides
+            once = pc.less(src, dst) if batch.column("same")[r].as_py() else pc.not_equal(src, dst)
+            yield out.filter(once)
+
+
 def pair_moments(vectors: DataFrame, group: str, vec: str) -> DataFrame:
-    """(src, dst, dist, cosine, corr) for each pair src < dst: cells meet on their position and are summed.
+    """(src, dst, dist, cosine, corr) for each pair src < dst of group vectors, one row per group.
 
-    One row per pair of groups is the operator's result; nothing else than the cells of both groups meets in a task.
+    Groups fall into blocks of about ``BLOCK`` by hash and two blocks meet as matrices, so a vector travels once for each
+    block instead of once for each pair, and a task holds two blocks. One row per pair is the operator's result. NULL and
+    non-finite cells are missing: a pair is measured where both have values, and is left out where there is no such place.
+    Cosine and correlation of a zero or constant vector are 0.
     """
-    cells = vectors.select(F.col(group).alias("src"), F.posexplode(vec).alias("_d", "_x")).withColumn("_x", F.col("_x").cast("double"))
-    other = cells.select(F.col("src").alias("dst"), "_d", F.col("_x").alias("_y"))
-    x, y = F.col("_x"), F.col("_y")
-    s = cells.join(other, "_d").where("src < dst").groupBy("src", "dst").agg(
-        F.sqrt(F.sum((x - y) * (x - y))).alias("dist"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx"), F.sum(y * y).alias("_yy"),
-        F.coalesce(correlation("_x", "_y"), F.lit(0.0)).alias("corr"))
-    cosine = F.coalesce(ratio("_xy", F.sqrt("_xx") * F.sqrt("_yy")), F.lit(0.0))
-    return s.select("src", "dst", "dist", cosine.alias("cosine"), "corr")
+    own = vectors.where(F.col(group).isNotNull() & (F.size(vec) > 0)).select(F.col(group).alias("g"), F.col(vec).cast("array<double>").alias("v"))
+    n = max(-(-own.count() // BLOCK), 1)
+    blocks = own.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(n))).groupBy("b").agg(F.collect_list(F.struct("g", "v")).alias("m"))
+    i, j = F.least("b", "o"), F.greatest("b", "o")
+    sides = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).select(i.alias("i"), j.alias("j"), "b", "m")
+    met = sides.groupBy("i", "j").agg(F.max_by("m", -F.col("b")).alias("one"), F.max_by("m", F.col("b")).alias("two"), F.count_distinct("b").alias("sides"))
+    met = met.where((F.col("i") == F.col("j")) | (F.col("sides") == 2)).select("one", "two", (F.col("i") == F.col("j")).alias("same"))
+    kind = own.schema["g"].dataType.simpleString()
+    return met.mapInArrow(_block_pairs, f"src {kind}, dst {kind}, dist double, cosine double, corr double")
 
 
 def similarity_matrix(vectors: DataFrame, group: str, vec: str) -> DataFrame:
