@@ -321,11 +321,11 @@ def relabel_by_median(df: DataFrame, label: str, feature: str, out: str = "new_l
 
 def relabel_by_distance(df: DataFrame, label: str, features: Sequence[str], sort_feature: str, out: str = "new_label", low_to_high: bool = True) -> DataFrame:
     """Labels renumbered by the distance of their median vector to that of the cluster with the largest median of one feature."""
-    med = None
-    for f in features:
-        m = percentile_columns(df, label, f, {f"_{f}": 0.5})
-        med = m if med is None else join_null_safe(med, m, [label])
-    v = med.select(label, F.array(*[F.col(f"_{f}") for f in features]).alias("_v"), F.col(f"_{sort_feature}").alias("_s"))
+    at = list(features).index(sort_feature) if sort_feature in features else len(features)
+    cells = F.posexplode(F.array(*[F.col(f).cast("double") for f in [*features, sort_feature][: max(len(features), at + 1)]])).alias("_dim", "_cell")
+    med = percentile_columns(df.select(label, cells), [label, "_dim"], "_cell", {"_m": 0.5})  # all features in one pass
+    of = lambda i: F.max(F.when(F.col("_dim") == i, F.col("_m")))
+    v = med.groupBy(label).agg(F.array(*[of(i) for i in range(len(features))]).alias("_v"), of(at).alias("_s"))
     ref = v.agg(F.max_by("_v", F.struct("_s", -F.col(label))).alias("_ref")).withColumn("_k", F.lit(1))
     dist = v.withColumn("_k", F.lit(1)).join(ref, "_k").withColumn("_d", sq_distance("_v", "_ref"))  # one row per label
     key = F.desc("_d") if low_to_high else F.asc("_d")
