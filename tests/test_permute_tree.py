@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -35,3 +38,35 @@ def test_large_tables_are_split_over_tasks(spark):
         assert abs((q - m * m) ** 0.5 - sd) <= 0.25 * sd + 1e-9
     again = pm.permute_counts_by_margins(df, "a1", "a2", "const", reps, task_cells=2000)
     assert again.exceptAll(drawn).isEmpty()
+
+
+def test_shuffled_counts_from_packed_pieces(spark, monkeypatch):
+    """Groups of many hash prefixes, one entity, NULL group, levels and ids: ranks as if all rows were sorted in one place."""
+    for name, value in {"CHUNK": 8, "PACK_ROWS": 150, "TASK_KEYS": 100}.items():
+        monkeypatch.setattr(pm, name, value)
+    data = [(i, "xyz"[i * 7 % 3] if i % 11 else None, i * 5 % 4, "pq"[i % 2] if i % 10 else None, i % 3 // 2) for i in range(400)]
+    data += [(None, "x", 1, "p", 0), (900, None, None, "alone", 1)]
+    df = spark.createDataFrame(data, "id long, a1 string, a2 int, const string, by int")
+    reps = 3
+    want = Counter()
+    for rep in range(reps):
+        groups = {}
+        for r in data:
+            groups.setdefault((r[4], r[3]), []).append(r)
+        for (by, _), members in groups.items():
+            key = lambda salt, r: hashlib.md5("_".join([salt, str(rep)] + ([] if r[0] is None else [str(r[0])])).encode()).digest()  # noqa: B023, E731
+            first, second = (sorted(members, key=lambda r: key(salt, r)) for salt in "ab")  # noqa: B023
+            want.update((by, rep, x[1], y[2]) for x, y in zip(first, second, strict=True))
+    got = pm.permute_counts(df, "id", "a1", "a2", ["by", "const"], reps, by="by")
+    assert got.dtypes == [("by", "int"), ("rep", "int"), ("a1", "string"), ("a2", "int"), ("n", "bigint")]
+    assert {tuple(r)[:4]: r["n"] for r in got.collect()} == want
+    whole = pm.permute_counts(df, "id", "a1", "a2", (), 2).groupBy("rep").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, whole.collect())) == [(0, 402), (1, 402)]
+    assert pm.permute_counts(df.limit(0), "id", "a1", "a2", "const", 2).isEmpty()
+
+
+def test_no_row_of_a_shuffle_for_each_entity_and_repetition(spark):
+    """Digests and codes are packed: 20 repetitions of 4000 entities in two groups are a few rows."""
+    df = spark.range(4000).select("id", (F.col("id") % 3).alias("a1"), (F.col("id") % 5).alias("a2"), (F.col("id") % 2).alias("const"))
+    plan = pm.permute_counts(df, "id", "a1", "a2", "const", 20)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
