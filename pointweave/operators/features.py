@@ -219,7 +219,8 @@ def _fold_by_node(rows: DataFrame, vec: str, w: np.ndarray) -> tuple[np.ndarray,
                 n += np.bincount(b, minlength=k)
                 np.add.at(s, b, x)
         hit = np.nonzero(n)[0]
-        yield pd.DataFrame({"node": hit, "n": n[hit], "s": list(s[hit])})
+        if len(hit):  # a task may have no rows
+            yield pd.DataFrame({"node": hit, "n": n[hit], "s": list(s[hit])})
 
     parts = rows.mapInPandas(fold, "node int, n double, s array<double>")
     got = parts.groupBy("node").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(d)]).collect()

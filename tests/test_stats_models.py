@@ -119,6 +119,13 @@ def test_batch_map_against_numpy(spark):
     assert np.allclose(got, w)
 
 
+def test_batch_map_with_tasks_without_rows(spark):
+    x = np.random.default_rng(5).normal(size=(12, 3))
+    few, many = vectors(spark, x).coalesce(1), vectors(spark, x).repartition(40)
+    w = ft.som_init(few, "vec", (2, 2))
+    assert np.allclose(ft.som_train(many, "vec", (2, 2), 3, w), ft.som_train(few, "vec", (2, 2), 3, w))
+
+
 def test_first_prototype_wins_and_errors(spark):
     x = np.array([[0.0, 0.0], [1.0, 0.0], [0.1, 0.0]])
     w = np.array([[0.0, 0.0], [0.0, 0.0], [1.0, 0.0], [5.0, 5.0]])
