@@ -15,6 +15,9 @@ from ..session import cut_lineage
 from .filters import dense_ids
 from .scan import average_rank, hash_chunk, join_null_safe, magnitude_chunk, percentile_columns, running_rank, scan
 
+#: Bytes of shuffled labels that a task keeps.
+HELD_BYTES = 200_000_000
+
 
 def pearson(df: DataFrame, keys: Sequence[str] | str, x: str, y: str) -> DataFrame:
     return df.groupBy(*names(keys)).agg(correlation(x, y).alias("r"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
@@ -163,70 +166,79 @@ def choice_probability_matrix(
     """As ``choice_probability``, for thousands of shuffles: ``(entity, cccp, p, pref, n_trials)``.
 
     The shuffled labels of a group's condition are a function of ``seed``, so they are never rows: each task makes them once
-    as a matrix of bits and multiplies it with the rank vectors of all entities of the group. Rows grow with entities
-    times trials, not with shuffles. A NULL label leaves a trial out.
+    as a matrix of bits and multiplies it with the rank vectors of all entities of the group. What is shuffled is one
+    vector of values an entity and one of labels a group; ranks are taken where they meet. ``counts`` may lack columns of
+    ``group``: its entities then meet every group that agrees in the others. A NULL label leaves a trial out.
     """
     entity, group = names(entity), names(group)
-    trials = trials.where(F.col(label).isNotNull())
-    both = trials.groupBy(*group, condition).agg(F.sum(F.col(label).cast("int")).alias("_a"), F.count(F.lit(1)).alias("_n")).where("_a > 0 AND _a < _n")
-    used = join_null_safe(trials, both.select(*group, condition), [*group, condition], "left_semi")
-    # place of a trial in its condition: by hash prefix, so a long recording is no single task
-    placed = scan(used.select(*group, trial, condition, label).withColumn("_h", hash_key("pos", trial)), [*group, condition], ["_h", trial], hash_chunk("_h"), _at="row")
-    placed = placed.select(*group, trial, condition, label, (F.col("_at") - 1).cast("int").alias("_at"), F.to_json(F.struct(condition)).alias("_c"))
-    ranked = average_rank(join_null_safe(counts.drop(condition), placed.drop(label), [*group, trial]), [*entity, condition], value, "_r")
-    vectors = ranked.groupBy(*entity).agg(F.collect_list(F.struct("_c", "_at", F.col("_r").cast("double").alias("_r"))).alias("_ranks"))
-    marks = placed.groupBy(*group).agg(F.collect_list(F.struct("_c", "_at", F.col(label).alias("_l"))).alias("_labels"))
-    tag = F.to_json(F.struct(*group)) if group else F.lit("")
-    if group:
-        joined = join_null_safe(vectors, marks, group)
+    own, shared = [c for c in entity if c in counts.columns], [c for c in group if c in counts.columns]
+    pair = F.struct(F.col(trial).alias("t"), F.col(value).alias("v"))
+    vectors = counts.groupBy(*own).agg(F.collect_list(pair).alias("_x")).select(*own, F.col("_x.t").alias("_trial"), F.col("_x.v").alias("_value"))
+    # trials in the order of their hash, condition by condition: the place of a trial does not depend on partitioning
+    mark = F.struct(F.to_json(F.struct(condition)).alias("c"), hash_key("pos", trial).alias("h"), F.col(trial).alias("t"), F.col(label).alias("l"))
+    marks = trials.where(F.col(label).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_list(mark)).alias("_m"))
+    marks = marks.select(*group, F.col("_m.c").alias("_conds"), F.col("_m.t").alias("_trials"), F.col("_m.l").alias("_labels"), (F.to_json(F.struct(*group)) if group else F.lit("")).alias("_tag"))
+    if shared:
+        joined = join_null_safe(vectors.repartition(*shared).sortWithinPartitions(*shared), marks, shared)
     else:
         joined = vectors.withColumn("_one", F.lit(1)).join(marks.withColumn("_one", F.lit(1)), "_one").drop("_one")
     kinds = dict(joined.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in entity) + "cccp double, p double, pref int, n_trials long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[str, dict] = ("", {})
+        held: dict[str, dict] = {}
         for pdf in batches:
             out = np.zeros((len(pdf), 2))
             size = np.zeros(len(pdf), np.int64)
-            for name, rows in pdf.groupby("_tag", sort=False).indices.items():
-                if held[0] != name:
-                    held = (name, _shuffled_labels(pdf["_labels"].iat[rows[0]], name, reps, seed))
-                for row in rows:
-                    out[row], size[row] = _combined_probability(pdf["_ranks"].iat[row], held[1], reps)
+            for row, (name, conds, ids, labels, trial_ids, values) in enumerate(pdf[["_tag", "_conds", "_trials", "_labels", "_trial", "_value"]].itertuples(index=False)):
+                if name not in held:
+                    while held and sum(bits.nbytes for of in held.values() for _, _, bits in of.values()) > HELD_BYTES:
+                        held.pop(next(iter(held)))
+                    held[name] = _shuffled_labels(conds, labels, name, reps, seed)
+                out[row], size[row] = _combined_probability(ids, trial_ids, values, held[name], reps)
             flip = out[:, 0] < 0.5
-            yield pdf[entity].assign(
+            done = pdf[entity].assign(
                 cccp=np.where(flip, 1 - out[:, 0], out[:, 0]), p=np.where(flip, 1 - out[:, 1], out[:, 1]), pref=np.where(flip, -1, 1).astype("int32"), n_trials=size)
+            yield done[size > 0]
 
-    return joined.withColumn("_tag", tag).sortWithinPartitions("_tag").mapInPandas(run, schema)
+    return joined.mapInPandas(run, schema)
 
 
-def _shuffled_labels(labels: Sequence[dict], name: str, reps: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """condition -> (labels by place, packed bits of ``reps`` shuffles)."""
-    of: dict[str, list] = {}
-    for x in labels:
-        of.setdefault(x["_c"], []).append((x["_at"], x["_l"]))
+def _shuffled_labels(conds: np.ndarray, labels: np.ndarray, name: str, reps: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """condition with both labels -> (its trials' positions, labels, packed bits of ``reps`` shuffles)."""
     out = {}
-    for c, pairs in of.items():
-        own = np.array([mark for _, mark in sorted(pairs)], bool)
+    for c, rows in pd.Series(conds).groupby(conds, sort=False).indices.items():
+        own = np.array(labels[rows], bool)
+        if own.all() or not own.any():
+            continue
         key = hashlib.blake2b(f"{seed}|{name}|{c}".encode(), digest_size=8).digest()
         rng = np.random.default_rng(int.from_bytes(key, "little"))
         step = max(1, 4_000_000 // len(own))
         packed = [np.packbits(rng.permuted(np.tile(own, (min(step, reps - i), 1)), axis=1), axis=1) for i in range(0, reps, step)]
-        out[c] = own, np.concatenate(packed)
+        out[c] = rows, own, np.concatenate(packed)
     return out
 
 
-def _combined_probability(ranks: Sequence[dict], shuffled: dict[str, tuple[np.ndarray, np.ndarray]], reps: int) -> tuple[tuple[float, float], int]:
+def _combined_probability(
+    ids: np.ndarray, trial_ids: np.ndarray, values: np.ndarray, shuffled: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], reps: int
+) -> tuple[tuple[float, float], int]:
     """(sum of U over sum of nA nB, share of shuffles not below it) of one entity, and its number of trials."""
-    of: dict[str, list] = {}
-    for x in ranks:
-        of.setdefault(x["_c"], []).append((x["_at"], x["_r"]))
-    seen, drawn, pairs = 0.0, np.zeros(reps), 0
-    for c, (own, packed) in shuffled.items():
+    code = pd.factorize(np.concatenate([ids, trial_ids]), use_na_sentinel=False)[0]
+    of, at = code[: len(ids)], code[len(ids):]
+    order = np.argsort(at, kind="stable")
+    low, high = (np.searchsorted(at[order], of, side) for side in ("left", "right"))
+    seen, drawn, pairs, n = 0.0, np.zeros(reps), 0, 0
+    for rows, own, packed in shuffled.values():
+        times = (high - low)[rows]  # a trial without a value has rank 0, a repeated one counts as often
+        place = np.repeat(np.arange(len(rows)), times)
+        if not len(place):
+            met = np.zeros(0)
+        else:
+            first = np.repeat(low[rows] - np.cumsum(times) + times, times)
+            met = pd.Series(values[order[first + np.arange(len(place))]]).rank(na_option="top").to_numpy()
         rank = np.zeros(len(own))
-        for at, r in of.get(c, ()):
-            rank[at] = r
+        rank[place] = met
+        n += len(place)
         n_a = int(own.sum())
         pairs += n_a * (len(own) - n_a)
         least = n_a * (n_a + 1) / 2
@@ -234,7 +246,7 @@ def _combined_probability(ranks: Sequence[dict], shuffled: dict[str, tuple[np.nd
         step = max(1, 4_000_000 // len(own))
         for i in range(0, reps, step):  # ranks are halves, so sums are exact
             drawn[i : i + step] += np.unpackbits(packed[i : i + step], axis=1, count=len(own)) @ rank - least
-    return (seen / pairs, float((drawn >= seen).mean())), len(ranks)
+    return (seen / max(pairs, 1), float((drawn >= seen).mean())), n
 
 
 def wilcoxon(df: DataFrame, keys: Sequence[str] | str, base: str, value: str) -> DataFrame:

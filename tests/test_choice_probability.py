@@ -63,3 +63,14 @@ def test_no_usable_condition_and_repeatable(spark):
     t = t.withColumn("lab", F.col("trial") % 2 == 0)
     a, b = (st.choice_probability_matrix(c, t, ["recid", "uid"], "trial", "cond", "lab", "n", 50, group="recid").collect() for _ in range(2))
     assert a == b and len(a) == 1
+
+
+def test_matrix_meets_groups_finer_than_the_counts(spark):
+    """Counts of a recording meet each of its label sets without a copy of the counts for every set."""
+    counts = spark.createDataFrame([("r", u, i, (i * 7 + u) % 5) for u in range(2) for i in range(30)], "recid string, uid int, trial int, n int")
+    trials = spark.createDataFrame([("r", v, i, i % 2, (i * k) % 3 == 0) for v, k in (("x", 1), ("y", 2)) for i in range(30)], "recid string, variable string, trial int, cond int, lab boolean")
+    entity, group = ["recid", "uid", "variable"], ["recid", "variable"]
+    got, want = (
+        st.choice_probability_matrix(c, trials, entity, "trial", "cond", "lab", "n", 50, group=group).collect()
+        for c in (counts, counts.join(trials.select("recid", "variable").distinct(), "recid")))
+    assert len(got) == 4 and sorted(map(tuple, got)) == sorted(map(tuple, want))
