@@ -288,7 +288,7 @@ def cccp_full(spark, sf):
     the observed probability allows: below a half where the probability lies clearly above it, for many trials."""
     ev, trg = src.event_rows(spark, sf), src.triggers(spark, sf)
     spans = trg.select("recid", "win_id", (F.col("t") - 21600).alias("t0"), (F.col("t") + 21600).alias("t1"))
-    counts = trains.window_counts(ev, spans, bucket=43200.0).select("recid", "uid", "win_id", "n")
+    counts = trains.window_counts(ev, spans, bucket=43200.0).select("recid", "uid", "win_id", "n").where("recid IS NOT NULL")
     trials = choice_trials(trg)
     keys = ["recid", "variable", "cset"]
     out = st.choice_probability_matrix(counts, trials, ["recid", "uid", "variable", "cset"], "win_id", "cond", "lab", "n", FULL_SHUFFLES, group=keys)
@@ -304,7 +304,7 @@ def tuning_signif_full(spark, sf):
     ev, trg = src.event_rows(spark, sf), src.triggers(spark, sf)
     spans = trg.select("recid", "win_id", (F.col("t") - 21600).alias("t0"), (F.col("t") + 21600).alias("t1"))
     trials = choice_trials(trg).where("cset IN ('day', 'none')")
-    counts = trains.window_counts(ev, spans, bucket=43200.0).select("recid", "uid", "win_id", "n")
+    counts = trains.window_counts(ev, spans, bucket=43200.0).select("recid", "uid", "win_id", "n").where("recid IS NOT NULL")
     keys = ["recid", "variable", "cset"]
     cp = st.choice_probability_matrix(counts, trials, ["recid", "uid", "variable", "cset"], "win_id", "cond", "lab", "n", FULL_SHUFFLES, group=keys)
     day = cp.where("cset = 'day'").select("recid", "uid", "variable", "cccp", "p", "pref")
