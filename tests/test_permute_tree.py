@@ -70,3 +70,25 @@ def test_no_row_of_a_shuffle_for_each_entity_and_repetition(spark):
     df = spark.range(4000).select("id", (F.col("id") % 3).alias("a1"), (F.col("id") % 5).alias("a2"), (F.col("id") % 2).alias("const"))
     plan = pm.permute_counts(df, "id", "a1", "a2", "const", 20)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "md5" not in plan
+
+
+def test_no_digest_in_a_shuffle_and_ids_of_any_kind(spark, monkeypatch, tmp_path):
+    """Entities travel as compressed differences, under 6 bytes with their codes (13 as digests); text and odd numbers as well."""
+    monkeypatch.setattr(pm, "SPREAD", 1)
+    n, reps = 40_000, 2
+    df = spark.range(n).select((F.col("id") * 3 + 10 ** 12).alias("id"), (F.col("id") % 3).alias("a1"), (F.col("id") * 7919 % 5).alias("a2"))
+    pack = pm._rank_tasks(reps, ("a", "b"), np.dtype("u1"), 8, True)[0]
+    coded = df.select(F.lit(0).cast("long").alias("_gid"), F.lit(n).cast("long").alias("_all"), F.col("a1").alias("_c1"), F.col("a2").alias("_c2"), F.col("id").alias("_id"))
+    pieces = coded.coalesce(1).mapInArrow(pack, "side int, rep int, gid long, chunk long, rows int, nulls int, raw int, ids binary, codes binary")
+    size = pieces.agg(F.sum("rows"), F.sum(F.length("ids") + F.length("codes"))).first()
+    assert size[0] == 2 * reps * n and size[1] < 6 * size[0]
+    odd = [-(1 << 63), (1 << 63) - 1, -1, 0, 7, 7, None, *range(100, 160)]
+    for kind, ids in (("long", odd), ("string", [None if i is None else f"é{i}" for i in odd] + ["", "a b"])):
+        data = [(x, i * 5 % 3, i % 4) for i, x in enumerate(ids)]
+        got = pm.permute_counts(spark.createDataFrame(data, f"id {kind}, a1 int, a2 int"), "id", "a1", "a2", (), reps)
+        want = Counter()
+        for rep in range(reps):
+            key = lambda salt, r: hashlib.md5("_".join([salt, str(rep)] + ([] if r[0] is None else [str(r[0])])).encode()).digest()  # noqa: B023, E731
+            first, second = sorted(data, key=lambda r: (key("a", r), r[1])), sorted(data, key=lambda r: (key("b", r), r[2]))  # noqa: B023
+            want.update((rep, x[1], y[2]) for x, y in zip(first, second, strict=True))
+        assert {tuple(r)[:3]: r["n"] for r in got.collect()} == want
