@@ -1,6 +1,7 @@
 """Points in polygons against the plain test of every edge."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pointweave.operators import polygons
 
@@ -57,3 +58,19 @@ def test_odd_points_and_no_polygon(spark):
     got = polygons.point_in_polygon(p.withColumn("roi", p.x), one, "x", "y", "roi").collect()
     assert sorted((r["roi"] or "") for r in got) == ["", "", "", "a"]
     assert {r["roi"] for r in polygons.point_in_polygon(p, one.limit(0), "x", "y", "roi").collect()} == {None}
+
+
+def test_many_overlapping_polygons_leave_few_to_ask(spark):
+    """Polygons of three sizes, thirty deep: the first that holds a point, and few cells and pieces kept for each polygon."""
+    g = np.random.default_rng(5)
+    shapes = []
+    for k in range(1500):
+        x, y, s = g.uniform(0, 20), g.uniform(-500, 9000), (0.05, 1.0, 1.4)[k % 3]
+        shapes.append([(x - 0.5 * s, y), (x + 0.4 * s, y - 1500 * s), (x - (0.1 if k % 2 else 0.4) * s, y), (x + 0.4 * s, y + 1500 * s)])
+    pts = np.concatenate([g.uniform((-1, -2500), (21, 11000), (1500, 2)), np.array([p for s in shapes[::50] for p in s])])
+    with np.errstate(all="ignore"):
+        want = brute(shapes, *pts.T)
+    assert ask(spark, shapes, pts, table=True) == [f"p{i}" for i in want]
+    edges = polygons.polygon_edges(polygons.polygon_table(spark, {f"p{i}": s for i, s in enumerate(shapes)})).cache()
+    shape = edges.groupBy("i").agg(F.min("x1").alias("bx0"), F.max("x1").alias("bx9"), F.min("y1").alias("by0"), F.max("y1").alias("by9"), F.lit(1.0).alias("step"))
+    assert polygons._cells(edges.join(shape, "i"), shape).count() < 40 * len(shapes)
