@@ -53,7 +53,7 @@ def point_in_polygon(points: DataFrame, polygons: Mapping[str, Sequence[tuple[fl
     side = FAN ** levels
     height = (size["y9"] - size["y0"]) / side or 1.0
     cell = max(size["x9"] - size["x0"], size["y9"] - size["y0"]) / side or 1.0
-    cell = max(cell, (size["length"] or 0.0) / size["n"])  # at most two pieces an edge on average
+    cell = max(cell, (size["length"] or 0.0) / size["n"] / FAN)  # at most FAN + 1 pieces an edge on average
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     spots = points.select(px.alias("px"), py.alias("py")).where((F.abs("px") < float("inf")) & (F.abs("py") < float("inf"))).distinct()
     held = cut_lineage(spots.join(_containing(spots, edges, size["y0"], height), ["px", "py"], "left"))

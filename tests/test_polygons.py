@@ -74,3 +74,10 @@ def test_many_overlapping_polygons_leave_few_to_ask(spark):
     edges = polygons.polygon_edges(polygons.polygon_table(spark, {f"p{i}": s for i, s in enumerate(shapes)})).cache()
     shape = edges.groupBy("i").agg(F.min("x1").alias("bx0"), F.max("x1").alias("bx9"), F.min("y1").alias("by0"), F.max("y1").alias("by9"), F.lit(1.0).alias("step"))
     assert polygons._cells(edges.join(shape, "i"), shape).count() < 40 * len(shapes)
+
+
+def test_open_chain(spark):
+    """A chain without its way back has no inside: each of its edges counts, as far left as a point may be."""
+    edges = polygons.polygon_edges(polygons.polygon_table(spark, {"a": [(0, 0), (2, 0), (1, 3)]})).where("NOT (x1 = 1 AND y1 = 3)")
+    p = spark.createDataFrame([(1.0, 1.0), (-9.0, 1.0), (1.9, 1.0), (-9.0, 7.0)], "px double, py double")
+    assert sorted((r["px"], r["i"]) for r in polygons._containing(p, edges, 0.0, 1.0).collect()) == [(-9.0, 0), (1.0, 0)]
