@@ -25,6 +25,8 @@ from .registry import llm_query
 SHINGLE, PERCENT, RADIUS, FLIPS, SEEDS = 5, 80, 15, 3, 3
 #: Distinct benchmark shingles up to which they are broadcast (about 100 bytes each).
 BROADCAST_SHINGLES = 200_000
+#: Documents with windows up to which their hashes are broadcast (a number each).
+BROADCAST_KEYS = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -126,7 +128,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, key: s
 
     laid = F.explode(F.array_distinct(F.expr("transform(hits, x -> greatest(0, least(x.i - x.place, m - n_words)))"))).alias("start")
     starts = touched.select("k", "text_key", "unit", "n_words", laid).groupBy("k", "text_key").agg(F.collect_set(F.struct("unit", "n_words", "start")).alias("windows"))
-    starts = starts.withColumnsRenamed({"k": "_k", "text_key": "_text_key"})
+    starts = materialise(starts.withColumnsRenamed({"k": "_k", "text_key": "_text_key"}), "starts")
+    if starts.count() <= BROADCAST_KEYS:  # texts without a shingle of the benchmark stay out of the shuffle
+        d = d.join(F.broadcast(starts.select(F.col("_text_key").alias("text_key")).distinct()), "text_key", "left_semi")
     cut = d.join(starts, F.col("k").eqNullSafe(F.col("_k")) & (F.col("text_key") == F.col("_text_key"))).select("k", "text_key", "w", F.inline("windows"))
     cut = cut.select("k", "text_key", "unit", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("words"))
     windows = materialise(cut.withColumn("tid", F.sha2(F.concat_ws(" ", "unit", "words"), 256)).distinct(), "windows")
