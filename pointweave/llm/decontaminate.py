@@ -41,18 +41,19 @@ def hash_at(i: Column, n: int, w: str = "w") -> Column:
     return F.xxhash64(*[F.get(w, i + j) for j in range(n)])
 
 
-def fingerprints(rows: DataFrame, key: str, features: Column | None = None, seed: int = 0) -> DataFrame:
-    """(key, fp) from an array of ``features``, else a column of blank-separated words: 32 sums carry the counts of bits j and j + 32."""
+def fingerprints(rows: DataFrame, key: str, features: Column | None = None, seeds: int = 1) -> DataFrame:
+    """(key, seed, fp) from an array of ``features``, else a column of blank-separated words: 32 sums carry the counts of bits j and j + 32."""
     each = rows.select(key, F.explode(F.split("words", " ") if features is None else features).alias("word"))
-    h = each.select(key, (F.xxhash64(F.lit(seed), "word") if seed else F.xxhash64("word")).alias("h"))
+    hashes = [F.struct(F.lit(i).alias("seed"), (F.xxhash64(F.lit(i), "word") if i else F.xxhash64("word")).alias("h")) for i in range(seeds)]
+    h = each.select(key, F.inline(F.array(*hashes)))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"s{j}") for j in range(32)]
-    counted = h.groupBy(key).agg(F.count("*").alias("n"), *sums)
+    counted = h.groupBy(key, "seed").agg(F.count("*").alias("n"), *sums)
 
     def bit(j: int) -> Column:
         field = F.col(f"s{j}").bitwiseAND(F.lit((1 << 32) - 1)) if j < 32 else F.shiftrightunsigned(f"s{j - 32}", 32)
         return F.when(2 * field > F.col("n"), F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
 
-    return counted.select(key, reduce(lambda a, b: a.bitwiseOR(b), [bit(j) for j in range(64)]).alias("fp"))
+    return counted.select(key, "seed", reduce(lambda a, b: a.bitwiseOR(b), [bit(j) for j in range(64)]).alias("fp"))
 
 
 def blocks(fp: DataFrame, radius: int, near: int = 0, flip: bool = False) -> DataFrame:
@@ -71,12 +72,15 @@ def blocks(fp: DataFrame, radius: int, near: int = 0, flip: bool = False) -> Dat
 
 
 def near_items(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(tid, iid): the windows (tid, words, unit) and items (iid, words, unit) of which a fingerprint over shingles lies within ``RADIUS``."""
+    """(tid, iid): the windows (tid, words, unit) and items (iid, words, unit) of which a fingerprint over shingles lies within ``RADIUS``.
+
+    Fingerprints are written before they meet: the driver then holds one plan with their sums at a time.
+    """
 
     def marked(rows: DataFrame, key: str) -> DataFrame:
         rows = rows.select(key, "unit", F.split("words", " ").alias("w"))
         shingles = F.expr("transform(sequence(0, size(w) - unit), i -> array_join(slice(w, i + 1, unit), ' '))")
-        return reduce(DataFrame.unionByName, [fingerprints(rows, key, shingles, seed).withColumn("seed", F.lit(seed)) for seed in range(SEEDS)])
+        return materialise(fingerprints(rows, key, shingles, SEEDS), "marks")
 
     left = blocks(marked(windows, "tid"), RADIUS, FLIPS)
     right = blocks(marked(items, "iid").withColumnRenamed("fp", "item_fp").withColumn("fp", F.col("item_fp")), RADIUS, FLIPS, flip=True).drop("fp")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, codes, components, materialise, shingle_sets, slices, table, texts, word_hashes, words
+from .common import arrow_schema, bounded_batches, codes, components, materialise, shingle_sets, slices, table, texts, word_hashes, words
 from .registry import llm_query
 
 #: Counters of the word sketch (4 bytes each): what is broadcast, whatever the input.
@@ -78,7 +78,9 @@ def word_sketch(rows: DataFrame) -> np.ndarray:
 
     sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
     parts = rows.mapInArrow(count, "chunk int, counts binary")
-    for r in parts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+    with bounded_batches(rows.sparkSession):
+        summed = parts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
+    for r in summed:
         sketch[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return sketch.reshape(-1)
 

@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import codes, materialise, shared_folder, slices, table, texts, words
+from .common import bounded_batches, codes, materialise, shared_folder, slices, table, texts, words
 from .registry import llm_query
 
 END_ID = 1
@@ -177,7 +177,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
     # the hash spreads rows that share a key, and keeps texts out of the range sample
     by = [f"o{i}" for i in range(len(order))] if order else [F.col("k").asc_nulls_first(), "h"]
     ranged = rows.repartitionByRange(files, *by).sortWithinPartitions(*by)
-    ranged.mapInArrow(run, "part long, file string, records long, tokens long").write.parquet(f"{folder}/manifest")
+    with bounded_batches(spark):
+        ranged.mapInArrow(run, "part long, file string, records long, tokens long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("part long, file string, records long, tokens long").parquet(f"{folder}/manifest")
 
 

@@ -159,3 +159,19 @@ def test_candidates_come_from_fingerprints(spark, monkeypatch):
     right = dc.blocks(spark.createDataFrame(b, "b long, fp long"), dc.RADIUS, dc.FLIPS, flip=True).withColumnRenamed("fp", "fp_b")
     got = {(r["a"], r["b"]) for r in left.join(right, ["block", "bits"]).where(f"bit_count(fp_a ^ fp_b) <= {dc.RADIUS}").select("a", "b").distinct().collect()}
     assert got == {(i, i) for i in range(20) if 7 + i // 2 <= dc.RADIUS}
+
+
+def test_fingerprints_of_all_seeds_come_from_one_plan_and_are_written_before_they_meet(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x"), (3, "p q r s t u v w")], "tid long, words string")
+    got = {(r["tid"], r["seed"]): r["fp"] for r in dc.fingerprints(rows, "tid", seeds=dc.SEEDS).collect()}
+    for seed in range(dc.SEEDS):
+        call = f"xxhash64({seed}, w)" if seed else "xxhash64(w)"
+        for r in rows.selectExpr("tid", f"transform(split(words, ' '), w -> {call}) AS h").collect():
+            fp = sum(1 << j for j in range(64) if 2 * sum((h >> j) & 1 for h in r["h"]) > len(r["h"]))
+            assert got[r["tid"], seed] % (1 << 64) == fp
+    assert len(got) == 3 * dc.SEEDS
+    items = rows.where("tid <> 2").select(rows.tid.alias("iid"), "words").selectExpr("*", "5 AS unit")
+    near = dc.near_items(rows.selectExpr("tid", "words", "5 AS unit"), items)
+    assert {(1, 1), (3, 3)} <= {(r["tid"], r["iid"]) for r in near.collect()}
+    # 32 sums and 64 bits for each seed and side stood in the plan of the join
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("sum(") == 0

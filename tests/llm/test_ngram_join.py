@@ -99,3 +99,20 @@ def test_keep_one_and_empty(spark, odd, nothing):
     assert kept.columns == odd.columns
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert 1 in ids and 2 not in ids and ids.count(12) == 1 and 4 in ids and 5 in ids
+
+
+def test_written_steps_pass_arrow_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from pointweave.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('a b ', 1500) AS t")
+    before = spark.conf.get(common._BATCH)
+    got = common.materialise(rows.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
+    assert sum(r["rows"] for r in got) == 3000
+    assert max(r["bytes"] for r in got) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common._BATCH) == before
