@@ -32,8 +32,11 @@ from .common import bounded_batches, codes, materialise, shared_folder, slices,
 from .registry import llm_query
 
 END_ID = 1
-#: Pieces that a worker remembers before it starts anew (about 200 bytes each).
+#: Pieces that a worker remembers before it starts anew, and the bytes they may take (about 30 each).
 REMEMBERED = 800_000
+REMEMBERED_BYTES = 40_000_000
+#: Pieces that the library encodes at a time: what it returns takes many times the ids.
+LIBRARY_PIECES = 4096
 READ_BYTES = 4_000_000
 #: Text bytes that are encoded at a time.
 ENCODE_BYTES = 5_000_000
@@ -79,7 +82,7 @@ class WordEncoder:
     """Ids of whole texts from the library's ids of their pieces.
 
     The vocabulary's own rules never join text across ASCII white space, nor ASCII letters with the marks after them, and
-    lower-case every letter. So each distinct piece goes through the library once; its ids stay in one flat array.
+    lower-case every letter. So each distinct piece goes through the library once; pieces and ids stay in flat arrays.
     """
 
     def __init__(self, path: str) -> None:
@@ -91,37 +94,45 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = {"": 0}
+        self.known = pa.array([""])
         self.first, self.pool = np.zeros(2, np.int64), np.empty(0, np.uint32)
 
-    def places(self, names: list[str]) -> np.ndarray:
+    def remembered_bytes(self) -> int:
+        return self.known.nbytes + self.first.nbytes + self.pool.nbytes
+
+    def places(self, names: pa.Array) -> np.ndarray:
         """Number of each piece; new pieces go through the library."""
-        found = list(map(self.known.get, names))
-        if None in found:
-            new = [p for p, at in zip(names, found, strict=True) if at is None]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-            found = list(map(self.known.__getitem__, names))
-        return np.array(found, np.int64)
+        found = pc.index_in(names, value_set=self.known)
+        if found.null_count:
+            new = pc.unique(names.filter(found.is_null()))
+            found = pc.coalesce(found, pc.add(pc.index_in(names, value_set=new), len(self.known)))
+            sizes, pools = [], []
+            for start in range(0, len(new), LIBRARY_PIECES):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(start, LIBRARY_PIECES).to_pylist(), add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                pools.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+            self.known = pa.concat_arrays([self.known, new])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+            self.pool = np.concatenate([self.pool, *pools])
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets per text, all ids in order)."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
         offsets, flat = words(values)
         index, distinct = codes(flat)
         plain = pc.extract_regex(distinct, _PLAIN)
         stem, marks = codes(pc.coalesce(pc.ascii_lower(pc.struct_field(plain, "stem")), distinct)), codes(pc.coalesce(pc.struct_field(plain, "marks"), ""))
+        places = self.places(pa.concat_arrays([stem[1], marks[1]]))
         pieces = np.empty(2 * len(index), np.int64)
-        for at, (code, names) in enumerate((stem, marks)):
-            pieces[at::2] = self.places(names.to_pylist())[code][index]
+        pieces[::2] = places[: len(stem[1])][stem[0]][index]
+        pieces[1::2] = places[len(stem[1]) :][marks[0]][index]
         start = self.first[pieces]
         size = self.first[pieces + 1] - start
         ends = np.concatenate([[0], np.cumsum(size)])
-        return ends[2 * offsets], self.pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        ids = self.pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        if len(self.known) > REMEMBERED or self.remembered_bytes() > REMEMBERED_BYTES:
+            self.forget()
+        return ends[2 * offsets], ids
 
 
 @lru_cache(maxsize=4)
@@ -167,6 +178,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
                 frames.append(f)
             out.write(b"".join(frames))
             index.write(entries.tobytes())
+            pa.default_memory_pool().release_unused()  # else a worker keeps the most that a step took, beside the executor's JVM
         if out is not None:
             for stream, kind in ((out, "rec"), (index, "idx")):
                 stream.close()

@@ -31,6 +31,31 @@ def test_word_pieces_give_the_librarys_ids(monkeypatch):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_remembered_pieces_stay_small(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    enc, lib = records.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    rows = pa.array([" ".join(f"{i * 7919:x}" for i in range(at, at + 1000)) for at in range(0, 60_000, 1000)])
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for i in range(len(rows)):
+        enc.encode(rows.slice(i, 1))
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(enc.known) > 60_000
+    # strings and numbers of a dictionary took over 150 bytes a piece
+    assert kept < 80 * len(enc.known)
+    assert kept < 1.1 * enc.remembered_bytes() + 1_000_000
+    # a few long pieces count by their bytes
+    monkeypatch.setattr(records, "REMEMBERED_BYTES", enc.remembered_bytes() + 100_000)
+    long = ["ab1" * 30_000, "word", "ab1" * 40_000 + " word word"]
+    offsets, ids = enc.encode(pa.array(long))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [lib.encode(t, add_special_tokens=False).ids for t in long]
+    assert len(enc.known) == 1 and enc.remembered_bytes() < 1000
+
+
 def test_merging_gives_the_librarys_counts():
     bpe, lib = token_counts.ByteBpe(BYTES), Tokenizer.from_file(BYTES)
     for seed in range(6):
