@@ -6,13 +6,14 @@ covariances (dimension), prototypes and centroids (nodes), each behind ``MAX_MOD
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ from .aggregate import with_share
 from .scan import join_null_safe, magnitude_chunk, percentile_columns, range_chunks, scan
 
 MAX_MODEL = 4_000_000  # cells of a model array that may travel to every task
+BLOCK_CELLS = 500_000  # values of a block of packed vectors
 HEX_ROW = 0.8660254  # fixed value: row spacing of the hexagonal grid
 
 
@@ -181,6 +183,33 @@ def som_hits(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _best_nodes(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``_distances(x, w).argmin(axis=1)`` by matrix products, in row blocks that keep memory flat.
+
+    Squared distances about the middle of the nodes, less a row's own part, err by less than ``slack``. Rows whose two
+    least lie nearer to each other than that, or have values that are not finite, are measured directly.
+    """
+    mid = w.mean(axis=0)
+    nodes = w - mid
+    size = (nodes ** 2).sum(axis=1)
+    eps = 16 * (w.shape[1] + 4) * np.finfo(float).eps
+    out = np.empty(len(x), dtype=np.int64)
+    step = max(1, 250_000 // len(w))
+    for i in range(0, len(x), step):
+        part = x[i:i + step] - mid
+        score = part @ (-2 * nodes.T)
+        score += size
+        at, best = np.arange(len(part)), score.argmin(axis=1)
+        least = score[at, best]
+        score[at, best] = np.inf
+        slack = eps * (np.sqrt((part ** 2).sum(axis=1)) + np.sqrt(size.max())) ** 2
+        unsure = np.nonzero(~(score.min(axis=1) - least > slack))[0]
+        if len(unsure):
+            best[unsure] = _distances(x[i:i + step][unsure], w).argmin(axis=1)
+        out[i:i + step] = best
+    return out
+
+
 def som_train(
     df: DataFrame, vec: str, shape: tuple[int, int], iters: int = 200, init: np.ndarray | None = None
 ) -> np.ndarray:
@@ -195,38 +224,59 @@ def som_train(
     w = _bounded(np.asarray(som_init(df, vec, shape) if init is None else init, dtype=float))
     k, d = w.shape
     s0, s1 = grid.max(), grid[grid > 0].min() if k > 1 else 1.0
-    rows = df.select(vec).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = _packed(df, vec, d).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for it in range(iters):
             h = np.exp(-(grid ** 2) / (s0 * (s1 / s0) ** (it / iters)) ** 2) if k > 1 else np.ones((1, 1))
-            n, s = _fold_by_node(rows, vec, w)
+            n, s = _fold_by_node(blocks, w)
             mass = h @ n
             w = np.where(mass[:, None] > 0, (h @ s) / np.maximum(mass, 1e-300)[:, None], w)
     finally:
-        rows.unpersist()
+        blocks.unpersist()
     return w
 
 
-def _fold_by_node(rows: DataFrame, vec: str, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _packed(df: DataFrame, vec: str, d: int) -> RDD[bytes]:
+    """Vectors as blocks of doubles, for passes that read all rows again and again: no plan, no row by row conversion."""
+    step = max(1, BLOCK_CELLS // d) * d
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            if lists.null_count or not pc.all(pc.equal(pc.list_value_length(lists), d)).as_py():
+                raise ValueError(f"a vector is missing or has not {d} values")
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+            for i in range(0, len(x), step):
+                yield pa.record_batch({"x": pa.array([x[i:i + step].tobytes()], pa.binary())})
+
+    return df.select(vec).mapInArrow(pack, "x binary").rdd.map(lambda r: bytes(r["x"]))
+
+
+def _fold_by_node(blocks: RDD[bytes], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and vector sum of each node. A core folds all its partitions to one model, so what is shuffled in a pass does
+    not depend on the rows; models meet by spans of nodes, and one model reaches the driver."""
     k, d = w.shape
+    tasks = max(1, min(blocks.getNumPartitions(), blocks.context.defaultParallelism))
+    spans = min(k, math.ceil(math.sqrt(tasks)))
+    cuts = [k * i // spans for i in range(spans + 1)]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(parts: Iterator[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
         n, s = np.zeros(k), np.zeros((k, d))
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf[vec].to_numpy())
-                b = _distances(x, w).argmin(axis=1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for part in parts:
+                x = np.frombuffer(part).reshape(-1, d)
+                b = _best_nodes(x, w)
                 n += np.bincount(b, minlength=k)
-                np.add.at(s, b, x)
-        hit = np.nonzero(n)[0]
-        if len(hit):  # a task may have no rows
-            yield pd.DataFrame({"node": hit, "n": n[hit], "s": list(s[hit])})
+                order = np.argsort(b, kind="stable")
+                hit, first = np.unique(b[order], return_index=True)
+                s[hit] += np.add.reduceat(x[order], first, axis=0)
+        if n.any():  # a task may have no rows
+            yield from ((i, (n[cuts[i]:cuts[i + 1]], s[cuts[i]:cuts[i + 1]])) for i in range(spans))
 
-    parts = rows.mapInPandas(fold, "node int, n double, s array<double>")
-    got = parts.groupBy("node").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(d)]).collect()
+    got = blocks.coalesce(tasks).mapPartitions(fold).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), spans).collect()
     n, s = np.zeros(k), np.zeros((k, d))
-    for r in got:
-        n[r["node"]], s[r["node"]] = r["n"], [r[f"s{j}"] for j in range(d)]
+    for i, (rows, total) in got:
+        n[cuts[i]:cuts[i + 1]], s[cuts[i]:cuts[i + 1]] = rows, total
     return n, s
 
 

@@ -45,7 +45,8 @@ def som_shape(spark, sf):
     return e.agg(F.lit(c).alias("cols"), F.lit(r).alias("rows"), F.count(F.lit(1)).alias("n")).select("cols", "rows")
 
 
-SOM_SHAPE, SOM_ITERS = (5, 4), 10
+SOM_SHAPE = (5, 4)
+SOM_FULL, SOM_FULL_ITERS = (20, 20), 200
 
 
 def _model_rows(spark, w):
@@ -54,7 +55,7 @@ def _model_rows(spark, w):
 
 def _trained(spark, sf):
     e = ft.standardize(_emb(spark, sf), "vec")
-    return e, ft.som_train(e, "vec", SOM_SHAPE, SOM_ITERS)
+    return e, ft.som_train(e, "vec", SOM_FULL, SOM_FULL_ITERS)
 
 
 @query("som_train", "M3", "node:i hits:i qe:f")
@@ -63,9 +64,6 @@ def som_train(spark, sf):
     return ft.bmu(e, "vec", w).groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.avg("dist").alias("qe"))
 
 
-SOM_FULL, SOM_FULL_ITERS = (20, 20), 200
-
-
 @query("som_train_full", "M3", "nodes:i rows:i qe_ok:b te_ok:b u_ok:b", "SELECT 400 AS nodes, count(*) AS rows, true AS qe_ok, true AS te_ok, true AS u_ok FROM embeddings")
 def som_train_full(spark, sf):
     """A map of the usual size, 400 nodes and 200 iterations: every row has a node, the rows lie nearer to their nodes than to

@@ -12,6 +12,7 @@ from pointweave.operators import select as sl
 from pointweave.operators import stability as sb
 from pointweave.operators import slopes
 from pointweave.operators import stats as st
+from pointweave.plans import feature_maps
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +127,40 @@ def test_batch_map_with_tasks_without_rows(spark):
     assert np.allclose(ft.som_train(many, "vec", (2, 2), 3, w), ft.som_train(few, "vec", (2, 2), 3, w))
 
 
+def test_som_train_is_the_whole_map(spark, tmp_path):
+    """The registered query trains 400 nodes in 200 passes: hits and errors as numpy has them."""
+    x = np.random.default_rng(6).normal(size=(90, 4)) * [3, 2, 1, 1] + [0, 5, 0, 0]
+    own = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    own.write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = ft.standardize(feature_maps._emb(spark, str(tmp_path)), "vec")
+    x, w = np.array([r["vec"] for r in e.orderBy("vec_id").collect()]), ft.som_init(e, "vec", (20, 20))
+    d = ft.hex_distances((20, 20))
+    s0, s1 = d.max(), d[d > 0].min()
+    for it in range(200):
+        best = np.linalg.norm(x[:, None, :] - w[None, :, :], axis=2).argmin(axis=1)
+        h = np.exp(-d[best] ** 2 / (s0 * (s1 / s0) ** (it / 200)) ** 2)
+        w = (h.T @ x) / h.sum(axis=0)[:, None]
+    far = np.linalg.norm(x[:, None, :] - w[None, :, :], axis=2)
+    best, dist = far.argmin(axis=1), far.min(axis=1)
+    got = {r["node"]: (r["hits"], r["qe"]) for r in feature_maps.som_train(spark, str(tmp_path)).collect()}
+    assert len(got) > 20 and got == {n: (int((best == n).sum()), pytest.approx(dist[best == n].mean(), abs=1e-6)) for n in set(best.tolist())}
+
+
+def test_best_nodes_by_products_are_the_measured_ones():
+    rng = np.random.default_rng(7)
+    x, w = rng.normal(size=(700, 6)), rng.normal(size=(40, 6))
+    grid = np.array([[i, j] for i in range(6) for j in range(6)], dtype=float)
+    odd = x.copy()
+    odd[3, 2], odd[5] = np.nan, np.inf
+    cases = [
+        (x, w), (x, np.vstack([w, w])), (x, w[:1]), (x[:0], w), (x + 1e7, w + 1e7), (x * 1e-170, w * 1e-170), (x * 1e170, w * 1e170),
+        (rng.integers(0, 12, (700, 2)) / 2, grid), (x, np.repeat(w[:9], 4, axis=0) * (1 + 2.3e-16 * rng.integers(-2, 3, (36, 1)))), (odd, w),
+    ]
+    with np.errstate(all="ignore"):
+        for a, b in cases:
+            assert (ft._best_nodes(a, b) == ft._distances(a, b).argmin(axis=1)).all()
+
+
 def test_first_prototype_wins_and_errors(spark):
     x = np.array([[0.0, 0.0], [1.0, 0.0], [0.1, 0.0]])
     w = np.array([[0.0, 0.0], [0.0, 0.0], [1.0, 0.0], [5.0, 5.0]])
