@@ -27,6 +27,7 @@ from .scan import join_null_safe, magnitude_chunk, percentile_columns, range_chu
 
 MAX_MODEL = 4_000_000  # cells of a model array that may travel to every task
 BLOCK_CELLS = 500_000  # values of a block of packed vectors
+DRIVER_CELLS = 4_000_000  # cells of the tasks' models that one pass may bring to the driver
 HEX_ROW = 0.8660254  # fixed value: row spacing of the hexagonal grid
 
 
@@ -253,11 +254,11 @@ def _packed(df: DataFrame, vec: str, d: int) -> RDD[bytes]:
 
 
 def _fold_by_node(blocks: RDD[bytes], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and vector sum of each node. A core folds all its partitions to one model, so what is shuffled in a pass does
-    not depend on the rows; models meet by spans of nodes, and one model reaches the driver."""
+    """Rows and vector sum of each node. A core folds all its partitions to one model, so what moves in a pass does not
+    depend on the rows. Few models meet on the driver; more than ``DRIVER_CELLS`` meet by spans of nodes in tasks before."""
     k, d = w.shape
     tasks = max(1, min(blocks.getNumPartitions(), blocks.context.defaultParallelism))
-    spans = min(k, math.ceil(math.sqrt(tasks)))
+    spans = 1 if tasks * k * (d + 1) <= DRIVER_CELLS else min(k, math.isqrt(tasks) + 1)
     cuts = [k * i // spans for i in range(spans + 1)]
 
     def fold(parts: Iterator[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
@@ -273,10 +274,13 @@ def _fold_by_node(blocks: RDD[bytes], w: np.ndarray) -> tuple[np.ndarray, np.nda
         if n.any():  # a task may have no rows
             yield from ((i, (n[cuts[i]:cuts[i + 1]], s[cuts[i]:cuts[i + 1]])) for i in range(spans))
 
-    got = blocks.coalesce(tasks).mapPartitions(fold).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), spans).collect()
+    parts = blocks.coalesce(tasks).mapPartitions(fold)
+    if spans > 1:
+        parts = parts.reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), spans)
     n, s = np.zeros(k), np.zeros((k, d))
-    for i, (rows, total) in got:
-        n[cuts[i]:cuts[i + 1]], s[cuts[i]:cuts[i + 1]] = rows, total
+    for i, (rows, total) in parts.collect():
+        n[cuts[i]:cuts[i + 1]] += rows
+        s[cuts[i]:cuts[i + 1]] += total
     return n, s
 
 

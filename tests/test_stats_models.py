@@ -127,6 +127,16 @@ def test_batch_map_with_tasks_without_rows(spark):
     assert np.allclose(ft.som_train(many, "vec", (2, 2), 3, w), ft.som_train(few, "vec", (2, 2), 3, w))
 
 
+def test_batch_map_where_models_meet_in_tasks(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(300, 3))
+    many = vectors(spark, x).repartition(9)
+    w = ft.som_init(many, "vec", (4, 3))
+    whole = ft.som_train(many, "vec", (4, 3), 4, w)
+    monkeypatch.setattr(ft, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(ft, "BLOCK_CELLS", 20)
+    assert np.allclose(ft.som_train(many, "vec", (4, 3), 4, w), whole)
+
+
 def test_som_train_is_the_whole_map(spark, tmp_path):
     """The registered query trains 400 nodes in 200 passes: hits and errors as numpy has them."""
     x = np.random.default_rng(6).normal(size=(90, 4)) * [3, 2, 1, 1] + [0, 5, 0, 0]
